@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatelens.llm.common import fresh_path, table
+from gatelens.llm.common import fresh_path, id_fold, table
+from gatelens.llm.packing import pack
+from gatelens.llm.queries import FOLDS, HELD_OUT
 from gatelens.llm.simhash import keep_one
+from gatelens.llm.subwords import keep_good
+from gatelens.llm.toxicity import keep_clean
+
+
+def learnable():
+    return id_fold(F.col("doc_id"), FOLDS) != HELD_OUT
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return keep_good(docs, table(spark, sf_dir, "labels"), learnable())
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity chain doesn't reject."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"), learnable())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +32,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, with their places in sequences."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("toxicity", toxic), ("simhash near-dedup", near_duplicates), ("best-fit packing", packing)]
 
 #: SQL has no subword training, chains or XXH64 fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,32 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 def shuffle_width(df: DataFrame, rows: int, rows_per_task: int) -> int:
     """Partitions for a shuffle of so many rows: the session's number, or more if tasks grew too large."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
+
+
+#: From a text column to runs of its rows: first row, end row, one array of numbers a score.
+Scorer = Callable[[pa.Array], Iterator[tuple[int, int, list[pa.Array]]]]
+
+
+def scored_rows(docs: DataFrame, score: Scorer, names: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(doc_id long, one double a name) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).cast(pa.int64())
+            for a, b, found in score(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([ids[a:b], *found], ["doc_id", *names])
+
+    schema = ", ".join(["doc_id long", *(f"{n} double" for n in names)])
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+
+def filtered_rows(docs: DataFrame, score: Scorer, keep: Callable[[list[pa.Array]], np.ndarray], text_col: str) -> DataFrame:
+    """The rows whose scores keep accepts; columns, names and types stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, found in score(batch.column(at).cast(pa.string())):
+                yield batch.slice(a, b - a).filter(pa.array(keep(found)))
+
+    return docs.mapInArrow(run, docs.schema)

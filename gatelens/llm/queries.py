@@ -5,18 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import rules, urls
 from .bytebpe import byte_bpe
-from .common import table
+from .common import id_fold, table
 from .packing import pack
 from .records import token_records
+from .rules import quality_rules
 from .simhash import simhash_components
+from .subwords import quality_scores
+from .toxicity import toxicity
+from .urls import url_filter
+
+#: Rows of this fold of the ids are never learned from.
+FOLDS, HELD_OUT = 5, 0
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    may = id_fold(F.col("doc_id"), FOLDS) != HELD_OUT
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may)
+    return scored.withColumn("held_out", id_fold(F.col("doc_id"), FOLDS) == HELD_OUT)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -25,13 +44,24 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    may = id_fold(F.col("doc_id"), FOLDS) != HELD_OUT
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may)
+    return scored.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op5_packing": op5_packing, "op6_records": op6_records, "op10_byte_bpe": op10_byte_bpe}
+    made = (op1_simhash, op3_urls, op4_toxicity, op5_packing, op6_records, op7_quality, op9_rules, op10_byte_bpe)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_urls": urls.sql(), "op9_rules": rules.SQL}

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import filtered_rows, scored_rows
 from .textkit import SPACE, as_binary, finish, prefix_sums, slices, span_hash, words
 
 BITS = 16
@@ -123,20 +124,19 @@ def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id",
     return train([(int(b["label"] > 0), np.frombuffer(b["rows"], "<u4").astype(np.int64), np.frombuffer(b["shares"], "<f4")) for _, b in got])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): softmax's probability of label 1 for every whole text."""
+def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
+    """The function from a batch's text column to scores, softmax's probabilities of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         margin, bias = shared.value
-        for batch in batches:
-            for a, b, buf, offs in slices(as_binary(batch.column(1)), 1 << 20):
-                doc, row = rows_of(buf, offs)
-                n = np.maximum(np.bincount(doc, minlength=b - a), 1)
-                z = np.bincount(doc, margin[row], b - a) / n + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
+        for a, b, buf, offs in slices(as_binary(texts), 1 << 20):
+            doc, row = rows_of(buf, offs)
+            n = np.maximum(np.bincount(doc, minlength=b - a), 1)
+            z = np.bincount(doc, margin[row], b - a) / n + bias
+            yield a, b, [pa.array(1 / (1 + np.exp(-z)))]
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, score double")
+    return run
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -148,5 +148,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, may: Column, id_col: str
     one: equal texts get equal scores, ids may be null or repeat. No rows in,
     no rows out.
     """
-    scored = score(docs, fit(docs, labels, may, id_col, text_col), id_col, text_col)
+    scored = scored_rows(docs, scorer(docs, fit(docs, labels, may, id_col, text_col)), ["score"], id_col, text_col)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that quality_scores predicts 1 for, with docs' columns as they are."""
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+    return filtered_rows(docs, run, lambda p: p[-1].to_numpy() >= threshold, text_col)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import filtered_rows, scored_rows
 from .subwords import labelled_sample
 from .textkit import LOWER, as_binary, finish, prefix_sums, slices, span_hash
 
@@ -70,7 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(blobs, pa.binary())], ["doc_id", "label", "rows"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 200) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 200) -> np.ndarray:
     """Weights and, last, the bias, by accelerated gradient steps on the ridge-penalised mean loss."""
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     w = np.zeros(x1.shape[1], np.float32)
@@ -147,24 +148,33 @@ def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id",
     return Chain([(y, np.frombuffer(r, "<u4").astype(np.int64)) for _, y, r in got])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, may: Column | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scorer(docs: DataFrame, chain: Chain):
+    """The function from a batch's text column to the categories' probabilities."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # one number a hash, MARKERS weights a category
+
+    def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        for a, b, buf, offs in slices(as_binary(texts)):
+            p = shared.value.probabilities(*markers_of(buf, offs), b - a)
+            yield a, b, [pa.array(p[:, k]) for k in range(p.shape[1])]
+
+    return run
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, overt, veiled, score, predicted) of every row of docs; score is the chain's last category, toxic.
 
-    may, a condition on doc_id, says which labelled rows are learned from; by
-    default all. Null, empty and blank texts have no markers and get the biases'
+    may, a condition on doc_id, says which labelled rows are learned from.
+    Null, empty and blank texts have no markers and get the biases'
     probabilities. Without toxic labels nothing is predicted toxic. Rows are
     scored one by one; ids may be null or repeat, other columns play no part. No
     rows in, no rows out.
     """
-    chain = fit(docs, labels, F.lit(True) if may is None else may, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # one number a hash, MARKERS weights a category
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+    scored = scored_rows(docs, run, [*CATEGORIES[:-1], "score"], id_col, text_col)
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, buf, offs in slices(as_binary(batch.column(1))):
-                p = shared.value.probabilities(*markers_of(buf, offs), b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].cast(pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["doc_id", *CATEGORIES[:-1], "score"])
 
-    schema = ", ".join(["doc_id long", *(f"{c} double" for c in CATEGORIES[:-1]), "score double"])
-    scored = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def keep_clean(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that toxicity doesn't predict toxic, with docs' columns as they are."""
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+    return filtered_rows(docs, run, lambda p: p[-1].to_numpy() < threshold, text_col)
