@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import rules, urls
 from .bytebpe import byte_bpe
 from .common import id_fold, table
+from .maxent import lm_scores
 from .packing import pack
 from .records import token_records
 from .rules import quality_rules
@@ -50,6 +51,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_fold(F.col("doc_id"), 7) == 2
+    scored = lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,7 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash, op3_urls, op4_toxicity, op5_packing, op6_records, op7_quality, op9_rules, op10_byte_bpe)
+    made = (op1_simhash, op3_urls, op4_toxicity, op5_packing, op6_records, op7_quality, op8_lm, op9_rules, op10_byte_bpe)
     return {f.__name__: f for f in made}
 
 
