@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .textkit import as_binary, slices
-from .wordids import WordEncoder
+from .wordids import word_encoder
 
 CAPACITY = 2048
 END = 0
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """(doc_id, piece, start, length, ids_crc32, salt[, ids]) of every document's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, count = WordEncoder(), 0
+        coder, count = word_encoder(), 0
         for batch in batches:
             ids, column = batch.column(0).cast(pa.int64()), as_binary(batch.column(1))
             for a, b, *_ in slices(column):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path
 from .textkit import as_binary, slices
-from .wordids import WordEncoder
+from .wordids import word_encoder
 
 END = 2
 MAGIC = b"GLTOKIX1"
@@ -76,7 +76,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         fs, folder = at(path)
         name = f"{folder}/part-{context.partitionId():06d}"
         own = f"{folder}/.try-{context.partitionId():06d}-{context.taskAttemptId()}"
-        coder, offset, tokens, index = WordEncoder(), 0, 0, []
+        coder, offset, tokens, index = word_encoder(), 0, 0, []
         with fs.open_output_stream(f"{own}.rec") as out:
             for batch in batches:
                 ids, column = batch.column(0).to_pylist(), as_binary(batch.column(1))
