@@ -11,6 +11,7 @@ from . import rules, urls
 from .bytebpe import byte_bpe
 from .common import id_fold, table
 from .maxent import lm_scores
+from .media import media
 from .packing import pack
 from .records import token_records
 from .rules import quality_rules
@@ -27,6 +28,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media(table(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -66,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_simhash, op3_urls, op4_toxicity, op5_packing, op6_records, op7_quality, op8_lm, op9_rules, op10_byte_bpe)
+    made = (op1_simhash, op2_media, op3_urls, op4_toxicity, op5_packing, op6_records, op7_quality, op8_lm, op9_rules, op10_byte_bpe)
     return {f.__name__: f for f in made}
 
 
