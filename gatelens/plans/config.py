@@ -1,0 +1,79 @@
+"""Detector settings; one frozen record that travels with a plan."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, fields, replace
+
+GATES = 9
+GATE_METRES = 0.75
+
+#: The stages that run by default, in order, and the set of all stable ones.
+DEFAULT_STAGES = (
+    "recurring_floor", "mode_spread", "in_room_gates", "arrival_bar", "run_score",
+    "lone_gate_suppression", "energy_floor", "motion_anchor", "score_hold",
+)
+
+
+@dataclass(frozen=True)
+class Config:
+    """Thresholds in residual units, times in seconds."""
+
+    stages: tuple[str, ...] = DEFAULT_STAGES
+    k: float = 3.0
+    enter: float = 3.0
+    hold_score: float = 1.5
+    hold_s: float = 30.0
+    gap_s: float | None = None
+    bucket_s: float = 60.0
+    window_s: float = 43_200.0
+    min_buckets: int = 5
+    min_mad: float = 1.0
+    support_tau_s: float = 1.0
+    stall_s: float = 10.0
+    energy_floor: float = 30.0
+    arrival_frac: float = 0.55
+    arrival_frames: int = 1
+    lead_gate_max: int = 1
+    anchor_bar: float = 40.0
+    dwell_half_life_d: float = 7.0
+    max_gate: int | None = None
+
+    @property
+    def gate_on(self) -> float:
+        return self.k * 0.5
+
+    @property
+    def gate_off(self) -> float:
+        return self.k * 0.25
+
+    @property
+    def episode_gap_s(self) -> float:
+        return self.hold_s if self.gap_s is None else self.gap_s
+
+    @property
+    def window_buckets(self) -> int:
+        return max(1, round(self.window_s / self.bucket_s))
+
+    @property
+    def dwell_half_life_s(self) -> float:
+        return self.dwell_half_life_d * 86_400.0
+
+
+#: Allowed ranges of the settings that users may change.
+RANGES = {
+    "k": (1.0, 10.0), "enter": (0.5, 20.0), "hold_score": (0.0, 20.0), "hold_s": (1.0, 600.0),
+    "bucket_s": (1.0, 3600.0), "window_s": (60.0, 604_800.0), "energy_floor": (0.0, 200.0),
+    "arrival_frac": (0.0, 1.0), "arrival_frames": (1, 50), "lead_gate_max": (-1, GATES - 1),
+}
+
+
+def configured(base: Config | None = None, **changes) -> Config:
+    """base with changes; ValueError names an unknown setting or one out of range."""
+    known = {f.name for f in fields(Config)}
+    for name, value in changes.items():
+        if name not in known:
+            raise ValueError(f"unknown setting {name!r}")
+        low, high = RANGES.get(name, (None, None))
+        if low is not None and not low <= value <= high:
+            raise ValueError(f"{name} = {value!r} is outside {low}..{high}")
+    return replace(base or Config(), **changes)
