@@ -112,7 +112,7 @@ def cls8(spark, d):
     return D.boundary_gate(compensated(spark, d), "level", 0.995, "sensor")
 
 
-@query("cls9_confirmed_boundary", SQL_SAMPLES, "ev as (select sensor, at, max(c) % 4 as cand from (select sensor, floor(ts / 86400)::bigint as at, gate // 3 as third, count(*) as c from s group by all) group by all)", "r as (select *, count(*) filter (where cand is distinct from was) over (partition by sensor order by at) as run from (select *, lag(cand) over (partition by sensor order by at) as was from ev))", sql="select sensor, at, cand from (select *, row_number() over (partition by sensor, run order by at) as n from r) where n >= 2")
+@query("cls9_confirmed_boundary", SQL_SAMPLES, "ev as (select sensor, day, max(c) % 4 as cand from (select sensor, floor(ts / 86400)::bigint as day, gate // 3 as third, count(*) as c from s group by all) group by all)", "r as (select *, count(*) filter (where cand is distinct from was) over (partition by sensor order by day) as run from (select *, lag(cand) over (partition by sensor order by day) as was from ev))", sql="select sensor, day as \"at\", cand from (select *, row_number() over (partition by sensor, run order by day) as n from r) where n >= 2")
 def cls9(spark, d):
     """A candidate counts once the same one has come twice in a row."""
     s = samples(spark, d).withColumn("at", F.floor(F.col("ts") / 86_400).cast("long"))
