@@ -61,7 +61,7 @@ class Config:
 
 #: Allowed ranges of the settings that users may change.
 RANGES = {
-    "k": (1.0, 10.0), "enter": (0.5, 20.0), "hold_score": (0.0, 20.0), "hold_s": (1.0, 600.0),
+    "k": (1.0, 10.0), "enter": (0.5, 20.0), "hold_score": (0.0, 20.0), "hold_s": (1.0, 86_400.0),
     "bucket_s": (1.0, 3600.0), "window_s": (60.0, 604_800.0), "energy_floor": (0.0, 200.0),
     "arrival_frac": (0.0, 1.0), "arrival_frames": (1, 50), "lead_gate_max": (-1, GATES - 1),
 }
