@@ -76,6 +76,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 200)
     x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     w = np.zeros(x1.shape[1], np.float32)
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    if not y.any():  # nothing of the kind is known
+        w[-1] = -np.log(len(y) + 2)
+        return w
     pen = np.full(len(w), ridge / max(len(y), 1), np.float32)
     pen[-1] = 0
     top = x1.T @ (x1 @ np.ones(len(w), np.float32))  # bounds the largest curvature
