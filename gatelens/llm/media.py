@@ -55,13 +55,21 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def marks_of(data: np.ndarray, part: int = 1 << 22) -> list[int]:
+    """Where the rolling hash's low bits are zero, found part by part with the bytes that it reaches back to."""
+    out = []
+    for a in range(0, len(data), part):
+        back = min(a, 31)
+        out.append(np.flatnonzero((gear(data[a - back : a + part])[back:] & MASK) == 0) + a + 1)
+    return np.concatenate(out).tolist()
+
+
 def cut(data: bytes) -> list[bytes]:
     """Chunks of LEAST to MOST bytes, but for the last, that end where the rolling hash's low bits are zero."""
     if len(data) <= LEAST:
         return [data]
     ends, at = [], 0
-    marks = (np.flatnonzero((gear(np.frombuffer(data, np.uint8)) & MASK) == 0) + 1).tolist()
-    for m in [*marks, len(data)]:
+    for m in [*marks_of(np.frombuffer(data, np.uint8)), len(data)]:
         while m - at > MOST:
             at += MOST
             ends.append(at)
@@ -165,7 +173,8 @@ def _features(data: bytes) -> tuple[int, str, int, int, str, str]:
         raise ValueError("no stored payload")
     payload = data[HEAD:]
     samples = np.frombuffer(payload, np.uint8)
-    sum_, square = int(samples.sum(dtype=np.int64)), int((samples.astype(np.int64) ** 2).sum())
+    counts = np.bincount(samples, minlength=256)
+    sum_, square = int(counts @ np.arange(256)), int(counts @ np.arange(256) ** 2)
     turns = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
     feature = f"samples={len(samples)};sum={sum_};energy={square};crossings={turns};peak={int(samples.max())}"
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_width
 from .graph import connected_components
-from .textkit import as_binary
+from .textkit import as_binary, parts_of
 
 SHINGLE = 4
 SEED = 42
@@ -32,28 +32,42 @@ MAX_GROUP = 200_000
 LIMIT = 1 << 18
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
-    """XXH64 of each shingle of the lower-cased text; fewer words than size make one shingle."""
+def shingle_hashes(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> list[int]:
+    """XXH64 of each run of size words, joined by a space; fewer words make one shingle."""
     from xxhash import xxh64_intdigest
 
-    w = text.lower().split()  # bytes: only A-Z, and only 0x20 and 0x09-0x0D
-    if len(w) <= size:
-        return [xxh64_intdigest(b" ".join(w), seed)] if w else []
-    joined = b" ".join(w)
-    ends = list(accumulate(map(len, w), lambda a, n: a + 1 + n))
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return [xxh64_intdigest(joined, seed)] if words else []
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
     starts = [0, *(x + 1 for x in ends)]
     return [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :], strict=False)]
 
 
-def fingerprint(hashes: list[int]) -> int:
-    """A bit is set if over half of the hashes have it; none: zero."""
-    if not hashes:
-        return 0
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """A bit is set if over half of the lower-cased text's shingle hashes have it; without words zero.
+
+    A long text is read in parts, each with the last words of the one before.
+    """
+    total, n, held = np.zeros(64, np.int64), 0, []
+    for part in parts_of(text):
+        held += part.lower().split()  # bytes: only A-Z, and only 0x20 and 0x09-0x0D
+        if len(held) >= size:
+            hashes = shingle_hashes(held, size)
+            total += _bit_counts(hashes)
+            n += len(hashes)
+            held = held[len(held) - size + 1 :]
+    if not n and held:
+        total, n = _bit_counts(shingle_hashes(held, size)), 1
+    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big") if n else 0
+
+
+def _bit_counts(hashes: list[int]) -> np.ndarray:
     total = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[a : a + (1 << 16)], ">u8").view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+    return total
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_binary(batch.column(1))
-            fps = [fingerprint(shingle_hashes(t.as_py())) for t in texts]
+            fps = [fingerprint(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import filtered_rows, scored_rows
-from .textkit import SPACE, as_binary, finish, prefix_sums, slices, span_hash, words
+from .textkit import SPACE, as_binary, finish, prefix_sums, runs, span_hash, words
 
 BITS = 16
 ROWS = 3 << BITS
@@ -34,7 +34,10 @@ _FOLDED[SPACE] = 0x20
 
 
 def rows_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and table row of every word, word pair and n-gram of the documents."""
+    """Document number and table row of every word, word pair and n-gram of the documents.
+
+    Of a text that comes in parts, the pair of words across a cut is no feature.
+    """
     start, end, doc = words(buf, offs)
     shift = np.uint64(64 - BITS)
     h = span_hash(prefix_sums(buf), start, end)
@@ -63,13 +66,16 @@ def rows_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, text) -> (doc_id, label, rows, weights): each document's distinct rows and their shares."""
     for batch in batches:
-        column = as_binary(batch.column(2))
-        for a, b, buf, offs in slices(column):
-            doc, row = rows_of(buf, offs)
-            key, n = np.unique(doc * ROWS + row, return_counts=True)
+        for a, b, parts in runs(as_binary(batch.column(2))):
+            key, n = np.zeros(0, np.int64), np.zeros(0)
+            for buf, offs, _ in parts:
+                doc, row = rows_of(buf, offs)
+                new, times = np.unique(doc * ROWS + row, return_counts=True)
+                key, at = np.unique(np.concatenate([key, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times]), len(key))
             cut = np.searchsorted(key, np.arange(b - a + 1) * ROWS)
             ids = (key % ROWS).astype("<u4")
-            share = n / np.maximum(np.bincount(doc, minlength=b - a), 1)[key // ROWS] if len(key) else n.astype(float)
+            share = n / np.maximum(np.bincount(key // ROWS, n, b - a), 1)[key // ROWS]
             share = share.astype("<f4")
             blobs = [[x[s:t].tobytes() for s, t in zip(cut, cut[1:], strict=False)] for x in (ids, share)]
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *(pa.array(x, pa.binary()) for x in blobs)], ["doc_id", "label", "rows", "shares"])
@@ -130,11 +136,13 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         margin, bias = shared.value
-        for a, b, buf, offs in slices(as_binary(texts), 1 << 20):
-            doc, row = rows_of(buf, offs)
-            n = np.maximum(np.bincount(doc, minlength=b - a), 1)
-            z = np.bincount(doc, margin[row], b - a) / n + bias
-            yield a, b, [pa.array(1 / (1 + np.exp(-z)))]
+        for a, b, parts in runs(as_binary(texts), 1 << 20):
+            n, z = np.zeros(b - a), np.zeros(b - a)
+            for buf, offs, _ in parts:
+                doc, row = rows_of(buf, offs)
+                n += np.bincount(doc, minlength=b - a)
+                z += np.bincount(doc, margin[row], b - a)
+            yield a, b, [pa.array(1 / (1 + np.exp(-z / np.maximum(n, 1) - bias)))]
 
     return run
 

@@ -61,6 +61,48 @@ def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         a = b
 
 
+def blank_cuts(buf: np.ndarray, limit: int) -> list[int]:
+    """Ends of parts of about limit bytes that each end with a blank, but for the last; a word is never cut."""
+    ends, at = [], 0
+    while len(buf) - at > limit:
+        found = np.flatnonzero(SPACE[buf[at + limit // 2 : at + limit]])
+        if len(found):
+            at += limit // 2 + int(found[-1]) + 1
+        else:  # a word longer than that: on to its end
+            step = at + limit
+            while step < len(buf) and not len(found := np.flatnonzero(SPACE[buf[step : step + limit]])):
+                step += limit
+            if step >= len(buf):
+                break
+            at = step + int(found[0]) + 1
+        ends.append(at)
+    return [*ends, len(buf)]
+
+
+#: One part of a run of rows: its bytes, its rows' offsets in them, and whether the rows end with it.
+Part = tuple[np.ndarray, np.ndarray, bool]
+
+
+def runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, Iterator[Part]]]:
+    """As slices, but a row longer than limit comes alone and in parts cut at blanks, so that one text's size bounds nothing but itself."""
+    for a, b, buf, offs in slices(column, limit):
+        if len(buf) <= 2 * limit:
+            yield a, b, iter([(buf, offs, True)])
+        else:
+            ends = blank_cuts(buf, limit)
+            yield a, b, ((buf[s:e], np.array([0, e - s]), e == len(buf)) for s, e in zip([0, *ends], ends, strict=False))
+
+
+def parts_of(text: bytes, limit: int = 1 << 21) -> Iterator[bytes]:
+    """A text in parts of about limit bytes, cut at blanks."""
+    if len(text) <= 2 * limit:
+        yield text
+        return
+    ends = blank_cuts(np.frombuffer(text, np.uint8), limit)
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield text[a:b]
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; rows bound words."""
     if not len(buf):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import filtered_rows, scored_rows
 from .subwords import labelled_sample
-from .textkit import LOWER, as_binary, finish, prefix_sums, slices, span_hash
+from .textkit import LOWER, as_binary, finish, prefix_sums, runs, span_hash
 
 BITS = 18
 PREFIXES = (4, 5)
@@ -62,9 +62,11 @@ def markers_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, offs in slices(as_binary(batch.column(2))):
-            doc, row = markers_of(buf, offs)
-            key = np.unique((doc << BITS) + row)
+        for a, b, parts in runs(as_binary(batch.column(2))):
+            key = np.zeros(0, np.int64)
+            for buf, offs, _ in parts:
+                doc, row = markers_of(buf, offs)
+                key = np.unique(np.concatenate([key, (doc << BITS) + row]))
             cut = np.searchsorted(key, np.arange(b - a + 1) << BITS)
             ids = (key & ((1 << BITS) - 1)).astype("<u4")
             blobs = [ids[s:t].tobytes() for s, t in zip(cut, cut[1:], strict=False)]
@@ -131,11 +133,14 @@ class Chain:
                     outside[fold == f] = sigmoid(inputs[fold == f] @ w[:-1] + w[-1])
             earlier = np.concatenate([earlier, outside[:, None]], axis=1)
 
-    def probabilities(self, doc: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """One row a document, one column a category."""
+    def hits(self, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Each document's markers once, a number for document and marker."""
         c = self.column[row]
         hit = c >= 0
-        key = np.unique((doc[hit] << 32) | c[hit])
+        return np.unique((doc[hit] << 32) | c[hit])
+
+    def probabilities(self, key: np.ndarray, n: int) -> np.ndarray:
+        """From hits: one row a document, one column a category."""
         doc, c = key >> 32, key & 0xFFFFFFFF
         out = np.zeros((n, len(CATEGORIES)))
         for k, w in enumerate(self.weights):
@@ -156,8 +161,10 @@ def scorer(docs: DataFrame, chain: Chain):
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # one number a hash, MARKERS weights a category
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
-        for a, b, buf, offs in slices(as_binary(texts)):
-            p = shared.value.probabilities(*markers_of(buf, offs), b - a)
+        chain = shared.value
+        for a, b, parts in runs(as_binary(texts)):
+            key = np.unique(np.concatenate([chain.hits(*markers_of(buf, offs)) for buf, offs, _ in parts]))
+            p = chain.probabilities(key, b - a)
             yield a, b, [pa.array(p[:, k]) for k in range(p.shape[1])]
 
     return run

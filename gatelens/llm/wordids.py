@@ -16,9 +16,12 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from .textkit import parts_of
+
 VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 PUNCTUATION = punctuation.encode()
+PART = 1 << 21
 CACHE_WORDS = 1_000_000
 CACHE_BYTES = 40 << 20
 
@@ -96,11 +99,24 @@ class WordEncoder:
             self._store(w, known[base] + known[tail])
 
     def encode(self, texts: Iterable[bytes], end: int | None = None) -> list[np.ndarray]:
-        """The ids of each whole UTF-8 text, the end id appended if given."""
+        """The ids of each whole UTF-8 text, the end id appended if given. Long texts are read in parts."""
+        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
+        out, short, at = [], [], []
+        for t in texts:
+            if len(t) > 2 * PART:
+                out.append(b"".join(self._encode([p])[0] for p in parts_of(t, PART)))
+            else:
+                at.append(len(out))
+                out.append(b"")
+                short.append(t)
+        for k, ids in zip(at, self._encode(short), strict=True):
+            out[k] = ids
+        return [np.frombuffer(x + tail, self.dtype) for x in out]
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
             self.held = 0
-        tail = b"" if end is None else np.array([end], self.dtype).tobytes()
         get, out, open_, missing = self.known.get, [], [], set()
         for t in texts:
             # added tokens such as <|x|> are matched before case is folded
@@ -110,7 +126,7 @@ class WordEncoder:
                 new = [k for k, v in enumerate(f) if v is None]
                 missing.update([w[k] for k in new])
                 open_.append((len(out), f, new, [w[k] for k in new]))
-                out.append(None)
+                out.append(b"")
             else:
                 out.append(b"".join(f))
         if missing:
@@ -119,4 +135,4 @@ class WordEncoder:
                 for i, v in zip(new, map(get, w), strict=True):
                     f[i] = v
                 out[k] = b"".join(f)
-        return [np.frombuffer(x + tail, self.dtype) for x in out]
+        return out

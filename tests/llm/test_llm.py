@@ -76,8 +76,17 @@ def test_components(spark):
 # -- 1 near-duplicates -------------------------------------------------------------
 
 
+def brute_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
+    hashes = [xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def brute_components(rows, budget):
-    fps = [simhash.fingerprint(simhash.shingle_hashes((t or "").encode())) for _, t in rows]
+    fps = [brute_fingerprint(t) for _, t in rows]
     comp = list(range(len(rows)))
     for _ in rows:
         for i in range(len(rows)):
@@ -136,6 +145,29 @@ def test_one_of_each_component_stays(docs):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 7, 8, 9, 10, 11, 12)] + [(True, None)]
 
 
+def test_long_texts_are_read_in_parts(spark, monkeypatch):
+    """Whole results don't depend on where long texts are cut."""
+    r = random.Random(8)
+    texts = ["".join(r.choice(["Ab", "c", "déf", ".", " ", " ", "\n", "x" * 70]) for _ in range(n)) for n in (0, 5, 400, 3000)]
+    whole = pa.array([t.encode() for t in texts], pa.large_binary())
+    for limit in (16, 50, 300):
+        parts = [[p for p in textkit.parts_of(t.encode(), limit)] for t in texts]
+        assert [b"".join(p) for p in parts] == [t.encode() for t in texts]
+        assert [[w for p in ps for w in p.split()] for ps in parts] == [t.encode().split() for t in texts]
+        monkeypatch.setattr(simhash, "parts_of", lambda t, n=limit: textkit.parts_of(t, n))
+        assert [simhash.fingerprint(t.encode()) for t in texts] == [brute_fingerprint(t) for t in texts]
+        monkeypatch.setattr(wordids, "PART", limit)
+        coder = wordids.WordEncoder()
+        assert [x.tolist() for x in coder.encode([t.encode() for t in texts], 7)] == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        data = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
+        assert media.marks_of(data, limit) == media.marks_of(data)
+        for a, b, parts in textkit.runs(whole, limit):
+            got = list(maxent._read(parts))
+            want = list(maxent._read(iter([(*next(textkit.slices(whole[a:b], 1 << 30))[2:], True)])))[0]
+            assert all((np.concatenate([g[k] for g in got]) == want[k]).all() for k in range(3))
+            assert all((np.concatenate([g[3][k] for g in got]) == want[3][k]).all() for k in range(3))
+
+
 # -- 2 media -----------------------------------------------------------------------
 
 
@@ -500,7 +532,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
 
 
 def brute_small(rows):
-    fps = np.array([simhash.fingerprint(simhash.shingle_hashes(t.encode())) for _, t in rows], np.uint64)
+    fps = np.array([brute_fingerprint(t) for _, t in rows], np.uint64)
     forest = simhash.Forest(len(rows))
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
     forest.union(i, j)
