@@ -15,35 +15,70 @@ import numpy as np
 
 from gatelens.plans.config import GATES, Config
 
+from .learned import ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom
+
 GATE = np.arange(GATES)
+#: The letter of each gate class.
+LETTERS = {"in_room": "I", "portal": "P", "bleed": "B", "unknown": "U", "out": "O"}
 
 
 class Baseline:
-    """Floor and spread of each gate and channel: lower quartiles over the last closed buckets' medians and tails."""
+    """Floor, spread and ceiling of each gate and channel, by the listed stages.
+
+    Floors: the lower quartile of the last closed buckets' medians, the most
+    frequent energy, or the lowest recurring one. Spreads: the lower quartile of
+    the buckets' upper tails, or the distance from the mode.
+    """
+
+    REFRESH, LEAST = 5.0, 60.0
 
     def __init__(self, config: Config):
-        self.bucket_s, self.min_spread, self.need = config.bucket_s, config.min_mad, config.min_buckets
+        self.c = config
+        first = lambda *names: next((n for n in config.stages if n in names), names[0])
+        self.floor_by = first("quantile_floor", "histogram_floor", "recurring_floor")
+        self.spread_by = first("tail_spread", "mode_spread")
         self.open: int | None = None
         self.rows: list[np.ndarray] = []
         self.levels: deque = deque(maxlen=config.window_buckets)
-        self.floor = np.zeros(2 * GATES)
-        self.spread = np.ones(2 * GATES)
+        self.hist = Histograms(2 * GATES, config) if (self.floor_by, self.spread_by) != ("quantile_floor", "tail_spread") else None
+        self.floor, self.spread = np.zeros(2 * GATES), np.ones(2 * GATES)
+        self.ceiling, self.refreshed = 0.0, -math.inf
 
     @property
     def ready(self) -> bool:
-        return len(self.levels) >= self.need
+        return len(self.levels) >= self.c.min_buckets
 
     def add(self, ts: float, energies: np.ndarray) -> None:
-        at = math.floor(ts / self.bucket_s)
+        at = math.floor(ts / self.c.bucket_s)
         if self.open is not None and at != self.open:
-            if at <= self.open + 1 and self.rows:  # the next one, or time went back; after a gap the bucket is dropped
-                q = np.quantile(np.array(self.rows), (0.5, 0.9), axis=0)
-                self.levels.append((q[0], np.maximum(q[1] - q[0], 0.0)))
-                self.floor = np.quantile([m for m, _ in self.levels], 0.25, axis=0)
-                self.spread = np.maximum(np.quantile([t for _, t in self.levels], 0.25, axis=0), max(self.min_spread, 1e-6))
+            keep = at <= self.open + 1  # the next one, or time went back; after a gap the bucket is dropped
+            if self.hist:
+                self.hist.close(keep)
+            if keep:
+                self._close()
             self.rows = []
         self.open = at
         self.rows.append(energies)
+        if self.hist:
+            self.hist.add(ts, energies)
+            if self.floor_by == "recurring_floor" and self.hist.observed >= self.LEAST and ts - self.refreshed >= self.REFRESH:
+                self.floor, self.refreshed = self.hist.recurring(), ts
+
+    def _close(self) -> None:
+        rows = np.array(self.rows)
+        q = np.quantile(rows, (0.5, 0.9), axis=0)
+        self.levels.append((q[0], np.maximum(q[1] - q[0], 0.0), float(np.quantile(rows[:, :GATES].max(axis=1), 0.9))))
+        least = max(self.c.min_mad, 1e-6)
+        self.ceiling = max(x[2] for x in self.levels)
+        modes = self.hist.modes() if self.hist else None
+        if self.floor_by == "quantile_floor":
+            self.floor = np.quantile([x[0] for x in self.levels], 0.25, axis=0)
+        elif self.floor_by == "histogram_floor":
+            self.floor = modes
+        if self.spread_by == "tail_spread":
+            self.spread = np.maximum(np.quantile([x[1] for x in self.levels], 0.25, axis=0), least)
+        else:
+            self.spread = self.hist.spreads(modes, least)
 
 
 class Retention:
@@ -201,9 +236,9 @@ class Sensor:
         self.on = set(config.stages)
         self.baseline = Baseline(config)
         self.retention, self.anchor, self.arming = Retention(), Anchor(config.anchor_bar), Arming()
-        self.nearest = NearestGate(config.hold_s)
+        self.nearest, self.change = NearestGate(config.hold_s), ChangepointRelease(config.hold_s, config.tick_s)
+        self.in_room, self.bar, self.classes = InRoom(config.dwell_half_life_s), ArrivalBar(config.window_s), GateClasses(config)
         self.support = np.zeros(GATES)
-        self.ceiling = 0.0
         self.mono: float | None = None
         self.ts: float | None = None
         self.occupied, self.deadline, self.vacated = False, None, None
@@ -237,7 +272,7 @@ class Sensor:
     def _verdict(self, anchored: bool) -> str | None:
         checks = {
             "energy_floor": self.c.energy_floor > 0 and self.candidate < self.c.energy_floor,
-            "arrival": self.ceiling > 0 and self.arrivals < self.c.arrival_frames,
+            "arrival": self.baseline.ceiling > 0 and self.arrivals < self.c.arrival_frames,
             "leading_edge": self.c.lead_gate_max >= 0 and (self.edge is None or self.edge > self.c.lead_gate_max),
             "motion_anchor": not anchored,
         }
@@ -251,6 +286,10 @@ class Sensor:
         held |= "retention_hold" in self.on and not unowned and not self.arming.armed and any(self.retention.blocking[g] for g in self.owned)
         return bool(held)
 
+    def _enter_releases(self, ts: float, active: tuple[int, ...]) -> None:
+        self.nearest.enter()
+        self.change.enter(ts, active)
+
     def _leave(self, ts: float) -> None:
         self.occupied, self.deadline, self.vacated, self.owned = False, None, ts, None
         self.arming.reset()
@@ -262,7 +301,7 @@ class Sensor:
                 if "ownership" in self.on and self.edge is not None and self.edge <= self.c.lead_gate_max:
                     self.owned = set(active)
                 self.arming.reset()
-                self.nearest.enter()
+                self._enter_releases(ts, active)
             return
         if released:
             return self._leave(ts)
@@ -347,7 +386,7 @@ class Sensor:
         if dt is not None and dt < 0:  # the process restarted: what was timed by the old clock starts over
             self.deadline = None if self.deadline is None else mono + c.hold_s
             self.arming.reset()
-            self.nearest.enter()
+            self._enter_releases(ts, tuple(self.change.models))
             dt = None
         alpha = 1.0 if dt is None or c.support_tau_s <= 0 else (1.0 - math.exp(-dt / c.support_tau_s) if dt > 0 else 0.0)
         self.retention.observe(dt, still)
@@ -362,7 +401,9 @@ class Sensor:
         rm, rs = residual[:GATES], residual[GATES:]
         peaks = np.maximum(0.0, np.maximum(rm, rs))
         self.support += alpha * (peaks - self.support)
-        barred = np.zeros(GATES, bool) if c.max_gate is None else GATE > c.max_gate
+        barred = self.classes.barred("dwell_evidence" in self.on) if "gate_exclusion" in self.on else np.zeros(GATES, bool)
+        if c.max_gate is not None:
+            barred = barred | (GATE > c.max_gate)
         lone = "lone_gate_suppression" in self.on
         full, _ = self._runs(self.support, np.zeros(GATES, bool), lone)
         score, active = self._runs(self.support, np.zeros(GATES, bool) if self.occupied else barred, lone)
@@ -380,17 +421,30 @@ class Sensor:
         else:
             g = list(active)
             self.candidate = max(self.candidate, float((move + still)[g].max()))
-            self.arrivals += int(move[g].max() >= c.arrival_frac * self.ceiling)
-        anchored = self.anchor.observe(ts, move, still, self.baseline.floor[GATES:], self.baseline.spread[GATES:])
+            self.arrivals += int(move[g].max() >= c.arrival_frac * self.baseline.ceiling)
+        floor, spread = self.baseline.floor, self.baseline.spread
+        if "in_room_gates" in self.on:
+            self.in_room.observe(ts, move, still, floor[GATES:], spread[GATES:])
+        if "arrival_bar" in self.on:
+            self.anchor.bar = self.bar.observe(ts, move, floor[:GATES] + c.k * spread[:GATES], c.k) or c.anchor_bar
+        anchored = self.anchor.observe(ts, move, still, floor[GATES:], spread[GATES:])
         self.arming.observe(ts, lead is not None and lead <= 1)
         if not self.was_ready and self.occupied:
-            self.nearest.enter()
+            self._enter_releases(ts, active)
         self.was_ready = True
-        released = self.occupied and "nearest_gate_release" in self.on and self.nearest.observe(ts, float(np.maximum(rs[2], 0.0)), bool(active))
+        released = False
+        if self.occupied:  # every release is stepped, whatever another one says
+            watched = self.in_room.watched(ts) if "nearest_gate_release" in self.on else None
+            if watched is not None:
+                released |= self.nearest.observe(ts, float(max(still[watched] - floor[GATES + watched], 0.0)), anchored)
+            if "changepoint_release" in self.on:
+                released |= self.change.observe(ts, still, spread[GATES:], anchored)
         verdict = self._verdict(anchored) if not self.occupied and active else None
         self._advance(ts, mono, score, full, active, verdict, released)
         closed = self._episodes(ts, peaks, rs, active, verdict)
-        self.ceiling = max(self.ceiling * 0.5 ** (max(dt or 0.0, 0.0) / c.window_s), float(move.max()))
+        for e in closed:
+            self.classes.closed(e)
+        self.classes.tick(ts, self.gates)
         self.baseline.add(ts, energies)
         self.ts = ts
         slope = 4.0 / c.enter if c.enter > 0 else 4.0
@@ -402,7 +456,8 @@ class Sensor:
         return {
             "ts": ts, "occupied": self.occupied, "confidence": confidence, "score": score, "active_gates": list(active),
             "rejection": verdict, "leading_gate": lead, "anchored": anchored, "frozen": frozen,
-            "baseline_ready": self.baseline.ready, "retention_max": float(self.retention.peak.max()), "owned": sorted(self.owned) if self.owned else [],
+            "baseline_ready": self.baseline.ready, "gate_classes": "".join(LETTERS[k] for k in self.classes.kind), "boundary_gate": self.classes.boundary,
+            "retention_max": float(self.retention.peak.max()), "owned": sorted(self.owned) if self.owned else [],
         }
 
 

@@ -1,0 +1,332 @@
+"""What a sensor learns over days: histograms, bars, in-room gates, gate classes, boundary."""
+
+from __future__ import annotations
+
+import math
+from collections import deque
+
+import numpy as np
+
+from gatelens.plans.config import GATES, Config
+
+LEVELS = 101
+
+
+def weighted_middle(counts: np.ndarray) -> float:
+    """The mean of the two middle ranks of values 0..n-1 with these counts."""
+    n = int(counts.sum())
+    if not n:
+        return 0.0
+    cum = np.cumsum(counts)
+    return float(np.searchsorted(cum, (n - 1) // 2, side="right") + np.searchsorted(cum, n // 2, side="right")) / 2
+
+
+def weighted_first(counts: np.ndarray) -> int:
+    """The least value whose cumulative count is half of all or more."""
+    cum = np.cumsum(counts)
+    return int(np.searchsorted(2 * cum, cum[-1]))
+
+
+class Histograms:
+    """Counts of every energy of each channel over the window's closed buckets and the open one."""
+
+    def __init__(self, channels: int, config: Config):
+        self.counts = np.zeros((channels, LEVELS), np.int64)
+        self.open = np.zeros_like(self.counts)
+        self.window: deque = deque()
+        self.most, self.bucket_s = config.window_buckets, config.bucket_s
+        self.observed, self.last, self.rows = 0.0, None, 0
+
+    def add(self, ts: float, energies: np.ndarray) -> None:
+        if self.last is not None:
+            self.observed += min(max(ts - self.last, 0.0), self.bucket_s)
+        self.last = ts
+        self.rows += 1
+        self.open[np.arange(len(energies)), np.clip(np.rint(energies), 0, LEVELS - 1).astype(int)] += 1
+
+    def close(self, keep: bool) -> None:
+        if keep:
+            self.window.append(self.open)
+            self.counts += self.open
+            if len(self.window) > self.most:
+                self.counts -= self.window.popleft()
+        self.open = np.zeros_like(self.counts)
+
+    def modes(self) -> np.ndarray:
+        """The most frequent energy, the lowest of equals."""
+        return self.counts.argmax(axis=1).astype(float)
+
+    def spreads(self, modes: np.ndarray, least: float, reach: int = 6) -> np.ndarray:
+        """Each channel's median distance from its mode among energies within reach of it."""
+        out = np.empty(len(modes))
+        for c, m in enumerate(modes.astype(int)):
+            away = np.zeros(reach + 1, np.int64)
+            for k in range(-reach, reach + 1):
+                if 0 <= m + k < LEVELS:
+                    away[abs(k)] += self.counts[c, m + k]
+            out[c] = weighted_first(away) if away.sum() else 0
+        return np.maximum(out, max(least, 1e-6))
+
+    def recurring(self, seconds: float = 60.0) -> np.ndarray:
+        """The median within the lowest two-wide bin that is a local maximum seen for that long; else within the fullest bin."""
+        rate = self.rows / self.observed if self.observed > 0 else 0.0
+        every = self.counts + self.open
+        padded = np.pad(every, ((0, 0), (0, 2 - LEVELS % 2 if LEVELS % 2 else 0)))[:, : (LEVELS + 1) // 2 * 2]
+        mass = padded.reshape(len(every), -1, 2).sum(axis=2)
+        side = np.pad(mass, ((0, 0), (1, 1)))
+        top = (mass > side[:, :-2]) & (mass >= side[:, 2:]) & (mass >= max(seconds * rate, 1.0))
+        out = np.empty(len(every))
+        for c in range(len(every)):
+            b = int(top[c].argmax()) if top[c].any() else int(mass[c].argmax())
+            out[c] = 2 * b + weighted_middle(padded[c, 2 * b : 2 * b + 2])
+        return out
+
+
+class InRoom:
+    """Gates whose halving motion peak is high, and those whose still channel has ever risen over its noise."""
+
+    PEAK = 90.0
+
+    def __init__(self, half_life_s: float):
+        self.half_life_s = half_life_s
+        self.level, self.at = np.zeros(GATES), np.zeros(GATES)
+        self.capable = np.zeros(GATES, bool)
+
+    def observe(self, ts: float, move: np.ndarray, still: np.ndarray, floor: np.ndarray, spread: np.ndarray) -> None:
+        now = self.now(ts)
+        win = (move > 0) & (move >= now)
+        self.level, self.at = np.where(win, move, self.level), np.where(win, ts, self.at)
+        self.capable |= still > floor + 3 * spread
+
+    def now(self, ts: float) -> np.ndarray:
+        return self.level * 2.0 ** (-np.maximum(ts - self.at, 0.0) / self.half_life_s)
+
+    def watched(self, ts: float) -> int | None:
+        both = np.flatnonzero(self.capable & (self.now(ts) >= self.PEAK))
+        return int(both[0]) if len(both) else None
+
+
+class ArrivalBar:
+    """A motion bar learned from bursts: above the upper cut of their peaks' three classes, once enough lie there."""
+
+    GAP, ENOUGH, FIRST = 1.0, 20, 2
+
+    def __init__(self, window_s: float):
+        self.window_s = window_s
+        self.weights, self.counts = np.zeros(LEVELS), np.zeros(LEVELS, np.int64)
+        self.peak, self.last, self.closed_at, self.bar = 0.0, None, None, None
+
+    def observe(self, ts: float, move: np.ndarray, bound: np.ndarray, k: float) -> float | None:
+        f = slice(self.FIRST, GATES)
+        if self.last is not None and ts - self.last > self.GAP:
+            self._close(ts)
+        if (move[f] > bound[f]).any():
+            self.peak, self.last = max(self.peak, float(move[f].max())), ts
+        return self.bar
+
+    def _close(self, ts: float) -> None:
+        if self.closed_at is not None:
+            self.weights *= math.exp(-max(ts - self.closed_at, 0.0) / self.window_s)
+        self.closed_at = ts
+        p = min(int(round(self.peak)), LEVELS - 1)
+        self.weights[p] += 1
+        self.counts[p] += 1
+        self.peak, self.last = 0.0, None
+        split = three_classes(self.weights)[1]
+        if self.counts[split + 1 :].sum() >= self.ENOUGH:
+            self.bar = split + 1.0
+
+
+def three_classes(weights: np.ndarray) -> tuple[int, int]:
+    """Lower and upper cut with the greatest variance between the three classes; the first of equals."""
+    n = np.cumsum(weights)
+    m = np.cumsum(weights * np.arange(len(weights)))
+
+    def part(mass: np.ndarray, moment: np.ndarray) -> np.ndarray:
+        return np.where(mass > 1e-12, moment * moment / np.maximum(mass, 1e-12), 0.0)
+
+    low, high = np.meshgrid(np.arange(len(weights) - 1), np.arange(len(weights) - 1), indexing="ij")
+    between = part(n[low], m[low]) + part(n[high] - n[low], m[high] - m[low]) + part(n[-1] - n[high], m[-1] - m[high])
+    between = np.where(low < high, between, -1.0)
+    at = int(between.argmax())
+    return at // between.shape[1], at % between.shape[1]
+
+
+class Decayed:
+    """A count that halves every half-life."""
+
+    def __init__(self, half_life_s: float):
+        self.half_life_s, self.n, self.at = half_life_s, 0.0, 0.0
+
+    def now(self, ts: float) -> float:
+        return self.n * 0.5 ** (max(ts - self.at, 0.0) / self.half_life_s)
+
+    def add(self, ts: float) -> None:
+        self.n, self.at = self.now(ts) + 1.0, max(ts, self.at)
+
+
+class GateClasses:
+    """Evidence of each gate's kind from its closed episodes, and the boundary beyond which nothing is in the room."""
+
+    SUSTAINED, BRIEF, LINKED, EVERY = 60.0, 10.0, 5.0, 86_400.0
+    NAMES = ("in_room", "portal", "bleed", "in_room", "unknown")
+
+    def __init__(self, config: Config):
+        self.c, hl = config, config.dwell_half_life_s
+        of = lambda: [Decayed(hl) for _ in range(GATES)]
+        self.sustained, self.brief, self.lead, self.dead = of(), of(), of(), of()
+        self.last_sustained: list[float | None] = [None] * GATES
+        self.pending: list[tuple[int, float]] = []
+        self.starts: deque = deque()
+        self.kind = ["unknown"] * GATES
+        self.bins = np.zeros((GATES, LEVELS))
+        self.bins_at, self.episodes = 0.0, [Decayed(hl) for _ in range(GATES)]
+        self.evaluated: float | None = None
+        self.boundary: int | None = None
+        self.candidate: tuple[int | None, int] = (None, 0)
+
+    def closed(self, e: dict) -> None:
+        """A gate episode has closed."""
+        if e["scope"] != "gate":
+            return
+        g, length, ts = e["gate"], e["t1"] - e["t0"], e["t1"]
+        if length >= self.SUSTAINED and e["active_frac"] >= 0.6:
+            self.sustained[g].add(ts)
+            self.last_sustained[g] = ts
+            self.starts.append((e["t0"], g))
+        elif length <= self.BRIEF:
+            self.brief[g].add(ts)
+            self.pending.append((g, ts))
+        self.bins *= 0.5 ** (max(ts - self.bins_at, 0.0) / self.c.dwell_half_life_s)
+        self.bins[self.bins < 1e-9] = 0.0
+        self.bins_at = max(ts, self.bins_at)
+        self.bins[g, min(int(e["peak"]), LEVELS - 1)] += 1
+        self.episodes[g].add(ts)
+
+    def tick(self, ts: float, open_: dict) -> bool:
+        """Settles brief episodes whose outcome is known, and looks at all gates once a day; true if classes may have changed."""
+        left, changed = [], False
+        while self.starts and self.starts[0][0] < ts - 7200.0:
+            self.starts.popleft()
+        for g, end in self.pending:
+            near = lambda t0, other, g=g, end=end: other != g and abs(t0 - end) <= self.LINKED
+            if any(near(t0, o) for t0, o in self.starts):
+                self.lead[g].add(end)
+                changed = True
+            elif ts - end <= self.LINKED or any(near(e.t0, o) for o, e in open_.items()):
+                left.append((g, end))  # that one may yet be sustained
+            else:
+                self.dead[g].add(end)
+                changed = True
+        self.pending = left
+        if self.evaluated is None:
+            self.evaluated = ts
+        daily = ts - self.evaluated >= self.EVERY
+        if daily:
+            self.evaluated = ts
+            self._boundary(ts, open_)
+        if changed or daily:
+            self.kind = [self._class(g, ts) for g in range(GATES)]
+        return changed or daily
+
+    def _class(self, g: int, ts: float) -> str:
+        s, b, lead, dead = (x[g].now(ts) for x in (self.sustained, self.brief, self.lead, self.dead))
+        if s >= 1:
+            return "in_room"
+        if lead >= 5 and lead >= 0.3 * (lead + dead):
+            return "portal"
+        last = self.last_sustained[g]
+        if b >= 20 and s < 0.5 and (last is None or ts - last > self.c.dwell_half_life_s):
+            return "bleed"
+        return "in_room" if last is not None else "unknown"
+
+    def profile(self, ts: float) -> dict[int, float]:
+        """Each evaluated gate's peak level against what its distance leads one to expect."""
+        level = {}
+        for g in range(GATES):
+            cum = np.cumsum(self.bins[g])
+            if self.episodes[g].now(ts) >= 10 and cum[-1] > 0:
+                q = int(np.searchsorted(cum, 0.9 * cum[-1]))
+                if 0 < q:
+                    level[g] = float(q)
+        fit = [(math.log((g + 1) * 0.75), math.log(v)) for g, v in level.items() if v < 100]
+        if len(fit) < 3:
+            return {}
+        slopes = [(y2 - y1) / (x2 - x1) for i, (x1, y1) in enumerate(fit) for x2, y2 in fit[i + 1 :]]
+        slope = min(float(np.median(slopes)), 0.0)
+        top = max(y - slope * x for x, y in fit)
+        return {g: v / math.exp(top + slope * math.log((g + 1) * 0.75)) for g, v in level.items()}
+
+    def _boundary(self, ts: float, open_: dict) -> None:
+        p = self.profile(ts)
+        found = next((k for k in range(2, GATES) if any(g >= k for g in p) and all(v < 0.45 for g, v in p.items() if g >= k)), None)
+        same = found == self.candidate[0]
+        self.candidate = (found, self.candidate[1] + 1 if same else 1)
+        if self.candidate[1] >= 3 and found != self.boundary:
+            inside = found is not None and any(g >= found for g in open_)
+            if inside and self.candidate[1] == 3:
+                return  # someone is beyond it just now: once more before it moves
+            self.boundary = found
+
+    def barred(self, learned: bool) -> np.ndarray:
+        out = np.array([k in ("bleed", "out") for k in self.kind]) if learned else np.zeros(GATES, bool)
+        if self.boundary is not None:
+            out |= np.arange(GATES) >= self.boundary
+        return out
+
+
+class ChangepointRelease:
+    """Leaves once every gate that carried the presence has lost most of its still energy at a changepoint and stays so."""
+
+    PRE, GUARD, POST = 50, 5, 30
+    AFTER_ENTRY, AFTER_MOTION = 50, 20  # ticks in which a change doesn't count
+
+    def __init__(self, hold_s: float, tick_s: float = 0.1):
+        self.hold_s, self.tick = hold_s, tick_s
+        self.enter(0.0, ())
+
+    def enter(self, ts: float, gates: tuple[int, ...]) -> None:
+        from .automaton import Changepoints
+
+        self.entered, self.moved = ts, -math.inf
+        self.models = {g: Changepoints() for g in gates}
+        self.past: dict[int, deque] = {g: deque(maxlen=self.PRE + self.GUARD + self.POST) for g in gates}
+        self.next, self.held, self.lost, self.turned = ts, None, {}, {}
+
+    def observe(self, ts: float, still: np.ndarray, spread: np.ndarray, admitted: bool) -> bool:
+        if admitted:
+            self.moved = ts
+        ticks = 0
+        while self.held is not None and self.next < ts and ticks < 600:
+            for g, m in self.models.items():
+                x = float(self.held[g])
+                past = self.past[g]
+                past.append(x)
+                if m.observe(x)[1]:
+                    self.turned[g] = len(past), self.next
+                elif g in self.turned:
+                    self._decide(g, spread[g])
+            self.next += self.tick
+            ticks += 1
+        if ticks == 600:
+            self.next = ts
+        self.held = still
+        if not self.models or set(self.lost) != set(self.models):
+            return False
+        return ts - max(self.lost.values()) >= self.hold_s
+
+    def _decide(self, g: int, spread: float) -> None:
+        seen, at = self.turned[g]
+        if self.next - at < self.POST * self.tick:
+            return
+        del self.turned[g]
+        x = list(self.past[g])
+        if len(x) < self.POST + self.GUARD + 5:
+            return
+        before, after = float(np.median(x[: -self.POST - self.GUARD])), float(np.median(x[-self.POST :]))
+        quiet = at - self.entered > self.AFTER_ENTRY * self.tick and at - self.moved > self.AFTER_MOTION * self.tick
+        if before - after >= max(3 * spread, 0.5 * before):
+            if quiet:
+                self.lost[g] = at
+        elif after > before:
+            self.lost.pop(g, None)

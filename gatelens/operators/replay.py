@@ -17,7 +17,7 @@ from .automaton import Changepoints, Sensor
 
 STATE = (
     "sensor string, ts double, occupied boolean, confidence double, score double, active_gates array<int>, rejection string, "
-    "leading_gate int, anchored boolean, frozen boolean, baseline_ready boolean, retention_max double, owned array<int>"
+    "leading_gate int, anchored boolean, frozen boolean, baseline_ready boolean, gate_classes string, boundary_gate int, retention_max double, owned array<int>"
 )
 EPISODE = (
     "sensor string, scope string, gate int, t0 double, t1 double, peak double, lo int, hi int, centroid double, velocity double, "
@@ -36,7 +36,7 @@ def ordered(df: DataFrame, *keys: str, by: tuple[str, ...] = ("ts", "id")) -> Da
 
 def typed(rows: list[dict], schema: str) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names(schema))
-    for c in ("gate", "lo", "hi", "leading_gate"):
+    for c in ("gate", "lo", "hi", "leading_gate", "boundary_gate"):
         if c in out:
             out[c] = out[c].astype("Int32")
     return out

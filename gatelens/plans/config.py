@@ -30,6 +30,7 @@ class Config:
     min_mad: float = 1.0
     support_tau_s: float = 1.0
     stall_s: float = 10.0
+    tick_s: float = 0.1
     energy_floor: float = 30.0
     arrival_frac: float = 0.55
     arrival_frames: int = 1
