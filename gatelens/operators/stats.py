@@ -51,17 +51,17 @@ def top_mass(df: DataFrame, value: str, share: float, *keys: str, by: str = "gat
 def best_threshold(df: DataFrame, label: str, score: str, cuts: int = 400) -> DataFrame:
     """(cut, gain): the percentile cut with the greatest true less false positive rate, the higher of equals."""
     points = F.array(*(F.lit(i / cuts) for i in range(cuts + 1)))
-    grid = df.agg(F.percentile(score, points).alias("c")).select(F.explode(F.array_distinct("c")).alias("cut"))
+    grid = df.agg(F.array_sort(F.array_distinct(F.percentile(score, points))).alias("grid"))
     by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    # one ordered pass: what stands at or above each cut
-    both = by.select("s", "p", "q", F.lit(False).alias("is_cut")).unionByName(grid.select(F.col("cut").alias("s"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(True).alias("is_cut")))
-    both = both.groupBy("s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.bool_or("is_cut").alias("is_cut")).withColumn("one", F.lit(1))
-    w = Window.partitionBy("one").orderBy(F.desc("s"))  # a row a distinct score
-    up = both.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("q").over(w)})
+    # each score goes to the highest cut that it reaches; what is left is a row a cut
+    at = by.crossJoin(F.broadcast(grid)).withColumn("k", F.size(F.filter("grid", lambda c: c <= F.col("s"))))
+    at = at.groupBy("k", "grid").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    w = Window.partitionBy("grid").orderBy(F.desc("k"))
+    up = at.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("q").over(w)})
     all_ = by.agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"))
-    up = up.where("is_cut").crossJoin(F.broadcast(all_))  # one row
+    up = up.where("k > 0").crossJoin(F.broadcast(all_)).withColumn("cut", F.get("grid", F.col("k") - 1))  # one row
     gain = F.round(F.col("tp") / F.col("n1") - F.col("fp") / F.col("n0"), 9)
-    best = up.agg(F.max(F.struct(gain.alias("gain"), F.col("s").alias("cut"))).alias("b"))
+    best = up.agg(F.max(F.struct(gain.alias("gain"), "cut")).alias("b"))
     return best.select("b.cut", "b.gain")
 
 

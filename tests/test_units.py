@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from gatelens.functions import arrays as A
-from gatelens.operators import buckets, decay, intervals, islands, models, replay
+from gatelens.operators import buckets, decay, house, intervals, islands, learned, models, replay, research, snapshot
 from gatelens.operators.automaton import Anchor, Changepoints, Sensor
 from gatelens.plans.config import Config, configured
 from gatelens.plans.stages import ALL_STAGES, chosen, order
@@ -199,3 +199,78 @@ def test_models():
     assert models.greedy_pairs([(50.0, 0.0), (20.0, 1.0)], [(22.0, 0.0), (90.0, 0.0), (48.0, 0.0)]) == [(1, 0), (0, 2)]
     assert models.suppressed_peaks(np.array([0.0, 1.0, 5.0]), np.array([1.0, 2.0, 1.0])) == [1, 2]
     assert models.turning_points(np.array([0.0, 2, 4, 2, 0, 3])) == [0, 2, 4, 5]
+
+
+def test_snapshot_goes_on_where_it_was():
+    whole, first = Sensor(CONFIG), Sensor(CONFIG)
+    want = [whole.step(t, t, m, s, False)[0] for t, m, s in frames(400, range(300, 320))]
+    rows = list(frames(400, range(300, 320)))
+    for t, m, s in rows[:310]:
+        first.step(t, t, m, s, False)
+    second = snapshot.restore(snapshot.save(first), CONFIG)
+    assert [second.step(t, t, m, s, False)[0] for t, m, s in rows[310:]] == want[310:]
+    other = snapshot.restore(snapshot.save(first), configured(CONFIG, window_s=120.0))
+    assert not other.baseline.ready  # another window: learned anew
+    assert snapshot.reconfigured(second, configured(CONFIG, enter=9.0)).baseline.ready
+
+
+def test_three_classes():
+    w = np.zeros(101)
+    w[[5, 6, 40, 41, 90, 91]] = 10
+    low, high = learned.three_classes(w)
+    assert 6 <= low < 40 and 41 <= high < 90
+
+
+def test_arrival_bar_needs_enough_bursts():
+    bar = learned.ArrivalBar(1e9)
+    got = None
+    for i in range(90):
+        move = np.zeros(9)
+        move[4] = (20, 50, 90)[i % 3]
+        bar.observe(i * 10.0, move, np.full(9, 10.0), 3.0)
+        got = bar.observe(i * 10.0 + 5.0, np.zeros(9), np.full(9, 10.0), 3.0)
+    assert 50 < got <= 90
+
+
+def test_classes_follow_evidence():
+    g = learned.GateClasses(CONFIG)
+    e = lambda gate, t0, t1: {"scope": "gate", "gate": gate, "t0": t0, "t1": t1, "active_frac": 1.0, "peak": 50.0}
+    g.closed(e(3, 0.0, 100.0))
+    for i in range(8):
+        t = 1000.0 * (i + 1)
+        g.closed(e(1, t, t + 5))
+        g.closed(e(4, t + 7, t + 100))
+        g.tick(t + 200, {})
+    assert g.kind[1] == "portal" and g.kind[4] == "in_room" and g.kind[8] == "unknown"
+
+
+def test_boundary_is_confirmed_by_three_evaluations():
+    g = learned.GateClasses(Config())
+    for day in range(4):
+        for k in range(12):
+            for gate in range(9):
+                t = day * 86_400.0 + k * 7000.0 + gate
+                g.closed({"scope": "gate", "gate": gate, "t0": t - 5, "t1": t, "active_frac": 1.0, "peak": 90.0 if gate <= 3 else 22.0})
+        g.tick((day + 1) * 86_400.0 - 1 + (day == 0), {})
+        g.evaluated = g.evaluated if day else 0.0
+        assert (g.boundary is None) == (day < 3)
+    assert g.boundary == 4
+
+
+@pytest.mark.parametrize("kind", research.ShapeHold.KINDS)
+def test_holds_begin_with_motion(kind):
+    h = research.ShapeHold(kind, np.full(9, 10.0), np.full(9, 2.0), level=0.2)
+    quiet, seated = np.full(9, 10.0), np.array([10, 10, 12, 40, 60, 40, 12, 10, 10.0])
+    assert h.step(np.zeros(9), quiet) == (False, 0.0)
+    assert h.step(np.where(seated > 30, 70.0, 0.0), seated)[0]
+    assert h.step(np.zeros(9), seated)[0]
+    if kind != "continuity":
+        assert not h.step(np.zeros(9), quiet)[0]
+    with pytest.raises(ValueError, match="nothing"):
+        research.ShapeHold("nothing", np.zeros(9), np.ones(9))
+
+
+def test_reach(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
+    got = house.reachable(edges, spark.createDataFrame([("a",)], "node string"))
+    assert {(r.node, r.hops) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
