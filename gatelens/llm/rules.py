@@ -115,14 +115,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every row.
 
     base_failed: one of the base rules rejects. kept: none of all rules does;
-    the order that the sample of at most sample_rows rows (least hashes of the
-    id) gives changes the cost only. A null or empty text has zero words and
+    the order that the sample of about sample_rows rows gives changes the cost
+    only. A null or empty text has zero words and
     fails the base. Rows are judged one by one, so equal rows get equal
     results; ids may be null or repeat, other columns play no part. No rows in,
     no rows out.
     """
-    few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = materialize(few.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample_rows).select("text"), "sample")
+    share = min(1.0, sample_rows / max(docs.select(F.lit(1)).count(), 1))
+    sample = materialize(docs.select(F.col(text_col).alias("text")).sample(share, seed=1), "sample")
     order = order_rules(features(sample, "text"), rules)
     judged = features(docs, text_col, F.col(id_col).alias("doc_id"))
     failed = F.lit(False)
