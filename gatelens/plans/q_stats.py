@@ -229,7 +229,7 @@ def spc3(spark, d):
     return t.withColumn("k", k).where("k <= 2").select("sensor", "tick", "conf")
 
 
-@query("vec_embedding_profiles", sql="select label, count(*) as n, round(avg(list_avg(embedding)), 5) as mean, round(max(list_max(embedding)), 5) as top from embeddings group by label")
+@query("vec_embedding_profiles", sql="select label, count(*) as n, round(avg(list_avg(embedding)), 5) as mean, round(max(list_max(embedding))::double, 5) as top from embeddings group by label")
 def vec_embeddings(spark, d):
     e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")

@@ -73,3 +73,31 @@ def throttled(states: DataFrame, least_s: float) -> DataFrame:
         yield pd.DataFrame(keep, columns=["sensor", "ts", "occupied", "score"])
 
     return states.groupBy("sensor").applyInPandasWithState(run, "sensor string, ts double, occupied boolean, score double", "last double, was boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def decoded(chunks: DataFrame) -> DataFrame:
+    """Engineering reports from a stream of byte pieces (sensor, ts, id, data); what is left of a frame waits as state."""
+    from gatelens.sources.wire import Cutter, report
+
+    schema = "sensor string, ts double, id long, ts_mono double, move array<int>, still array<int>, distance_cm int, device_occ boolean"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        cutter, n = Cutter(), 0
+        if state.exists:
+            cutter.held, n = bytes(state.get[0]), state.get[1]
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable").itertuples(index=False):
+            for kind, payload in cutter.feed(bytes(r.data)):
+                if kind == "report" and (got := report(payload)):
+                    out.append((key[0], r.ts, n, r.ts, got["move"], got["still"], got["distance_cm"], got["device_occ"]))
+                    n += 1
+        state.update((cutter.held, n))
+        yield pd.DataFrame(out, columns=["sensor", "ts", "id", "ts_mono", "move", "still", "distance_cm", "device_occ"])
+
+    return chunks.groupBy("sensor").applyInPandasWithState(run, schema, "held binary, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def appended(df: DataFrame, path: str, checkpoint: str, every: str | None = "1 second"):
+    """Appends a stream to Parquet, a commit a trigger; without an interval what is there now. Returns the running query."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()

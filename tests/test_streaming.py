@@ -64,3 +64,25 @@ def test_bursts_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     shutil.copy(f"{SMALL}/events.parquet", tmp_path / "in" / "a.parquet")
     assert run(flows.bursts(flows.read_events(spark, str(tmp_path / "in"))), tmp_path).count() > 0
+
+
+def test_pieces_of_frames_wait_for_the_rest(spark, tmp_path):
+    from gatelens.sources import wire
+
+    frames_ = [wire.encode_report(1, 0, 0, 0, 0, 100 + i, [i] * 9, [i + 1] * 9) for i in range(6)]
+    data = b"noise" + b"".join(frames_)
+    cuts = [0, 20, 70, 71, 150, len(data)]
+    (tmp_path / "in").mkdir()
+    import os
+
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = str(tmp_path / f"p{k}")
+        spark.createDataFrame([("s", float(k), k, bytearray(data[a:b]))], "sensor string, ts double, id long, data binary").coalesce(1).write.parquet(part)
+        target = tmp_path / "in" / f"{k}.parquet"
+        shutil.copy(next((tmp_path / f"p{k}").glob("part-*.parquet")), target)
+        os.utime(target, (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema("sensor string, ts double, id long, data binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = flows.appended(flows.decoded(stream), str(tmp_path / "out"), str(tmp_path / "state"), None)
+    q.awaitTermination(120)
+    got = sorted((r.id, r.distance_cm, list(r.move), list(r.still)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(i, 100 + i, [i] * 9, [i + 1] * 9) for i in range(6)]
