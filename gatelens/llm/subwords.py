@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered_rows, scored_rows
+from .common import filtered_rows, materialize, scored_rows
 from .textkit import SPACE, as_binary, finish, prefix_sums, runs, span_hash, words
 
 BITS = 16
@@ -27,6 +27,7 @@ EPOCHS = 12
 RATE = 1.0
 #: The most labelled rows that training takes, those of the least hashes of the id.
 SAMPLE = 4_000
+SAMPLE_BYTES = 128 << 20
 THRESHOLD = 0.3
 
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -96,6 +97,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # at most rows ids
 
 
+def collected(bags: DataFrame, size: Column, most: int) -> list:
+    """The rows of bags (doc_id, ...) in the order of the ids' hashes, as many as fit into so many bytes.
+
+    The rows' sizes are looked at first, so that long documents can't fill the driver.
+    """
+    bags = materialize(bags, "bags")
+    total, ids = 0, []
+    for r in bags.select("doc_id", F.xxhash64("doc_id").bitwiseAND(2**63 - 1).alias("h"), size.alias("size")).orderBy("h", "doc_id").collect():
+        total += r["size"]
+        if total > most and ids:
+            break
+        ids.append((r["doc_id"],))
+    if not ids:
+        return []
+    few = bags.sparkSession.createDataFrame(ids, "doc_id long")
+    return bags.join(F.broadcast(few), "doc_id").collect()
+
+
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """(label, rows, shares) of each document -> each row's margin for label 1, and the bias."""
     rng = np.random.default_rng(seed)
@@ -124,12 +143,12 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = DIM, epochs
     return (table @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Trains on at most rows labelled documents of those that may be learned from."""
+def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Trains on at most rows labelled documents of those that may be learned from, and on at most so many bytes of their features."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, may, rows)
     bags = sample.mapInArrow(_bags, "doc_id long, label int, rows binary, shares binary")
     one = bags.groupBy("doc_id").agg(F.min(F.struct("label", "rows", "shares")).alias("bag"))  # ids that repeat count once
-    got = sorted((r["doc_id"], r["bag"]) for r in one.collect())
+    got = sorted((r["doc_id"], r["bag"]) for r in collected(one, 2 * F.length("bag.rows"), most))
     return train([(int(b["label"] > 0), np.frombuffer(b["rows"], "<u4").astype(np.int64), np.frombuffer(b["shares"], "<f4")) for _, b in got])
 
 

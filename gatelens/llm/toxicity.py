@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import filtered_rows, scored_rows
-from .subwords import labelled_sample
+from .subwords import SAMPLE_BYTES, collected, labelled_sample
 from .textkit import LOWER, as_binary, finish, prefix_sums, runs, span_hash
 
 BITS = 18
@@ -149,10 +149,10 @@ class Chain:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> Chain:
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, may, rows)
     sets = sample.mapInArrow(_sets, "doc_id long, label int, rows binary").groupBy("doc_id").agg(F.min(F.struct("label", "rows")).alias("s"))  # ids that repeat count once
-    got = sorted((r["doc_id"], int(r["s"]["label"] > 0), r["s"]["rows"]) for r in sets.collect())
+    got = sorted((r["doc_id"], int(r["s"]["label"] > 0), r["s"]["rows"]) for r in collected(sets, F.length("s.rows"), most))
     return Chain([(y, np.frombuffer(r, "<u4").astype(np.int64)) for _, y, r in got])
 
 

@@ -280,6 +280,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    docs, labels, _ = labelled(spark)
+    may = F.lit(True)
+    assert subwords.labelled_sample(docs, labels, "doc_id", "text", "quality", may, 50).count() <= 50
+    assert subwords.labelled_sample(docs, labels, "doc_id", "text", "quality", may, 10**6).count() == 400
+    bags = subwords.labelled_sample(docs, labels, "doc_id", "text", "quality", may, 400).withColumn("rows", F.col("text"))
+    got = subwords.collected(bags, F.length("rows"), 5000)
+    assert 0 < sum(len(r["rows"]) for r in got) <= 5000
+    assert len(subwords.collected(bags, F.length("rows"), 10**9)) == 400
+
+
 def test_chain_feeds_earlier_categories_to_later_ones():
     chain = toxicity.Chain([(k % 2, np.array([7, 9 + k % 2])) for k in range(40)])
     assert [len(w) for w in chain.weights] == [len(chain.weights[0]) + k for k in range(3)]
