@@ -30,7 +30,7 @@ class Baseline:
     the buckets' upper tails, or the distance from the mode.
     """
 
-    REFRESH, LEAST = 5.0, 60.0
+    REFRESH = 5.0
 
     def __init__(self, config: Config):
         self.c = config
@@ -61,8 +61,8 @@ class Baseline:
         self.rows.append(energies)
         if self.hist:
             self.hist.add(ts, energies)
-            if self.floor_by == "recurring_floor" and self.hist.observed >= self.LEAST and ts - self.refreshed >= self.REFRESH:
-                self.floor, self.refreshed = self.hist.recurring(), ts
+            if self.floor_by == "recurring_floor" and self.hist.observed >= self.c.mode_min_s and ts - self.refreshed >= self.REFRESH:
+                self.floor, self.refreshed = self.hist.recurring(self.c.mode_min_s), ts
 
     def _close(self) -> None:
         rows = np.array(self.rows)
@@ -78,16 +78,17 @@ class Baseline:
         if self.spread_by == "tail_spread":
             self.spread = np.maximum(np.quantile([x[1] for x in self.levels], 0.25, axis=0), least)
         else:
-            self.spread = self.hist.spreads(modes, least)
+            self.spread = self.hist.spreads(modes, least, int(self.c.mode_band))
 
 
 class Retention:
     """A signed fast-over-slow rise of each still channel, in units of its own noise, with a decaying peak and a latch."""
 
-    FAST, SLOW, NOISE, PEAK = 2.0, 60.0, 10.0, 90.0
+    NOISE = 10.0
 
-    def __init__(self, on: float = 20.0, off: float = 10.0):
-        self.on, self.off = on, off
+    def __init__(self, config: Config | None = None):
+        c = config or Config()
+        self.on, self.off, self.taus = c.retention_on, c.retention_off, (c.tau_fast, c.tau_slow, c.tau_peak)
         self.fast = self.slow = None
         self.noise, self.peak = np.zeros(GATES), np.zeros(GATES)
         self.blocking = np.zeros(GATES, bool)
@@ -100,10 +101,10 @@ class Retention:
         step = 2.0 if dt is None else min(max(dt, 0.0), 2.0)
         mix = lambda tau: 1.0 - math.exp(-step / tau)
         self.noise += mix(self.NOISE) * (np.minimum(np.abs(still - self.last), 4 * self.noise + 0.5) - self.noise)
-        self.fast += mix(self.FAST) * (still - self.fast)
-        self.slow += mix(self.SLOW) * (still - self.slow)
+        self.fast += mix(self.taus[0]) * (still - self.fast)
+        self.slow += mix(self.taus[1]) * (still - self.slow)
         rise = (self.fast - self.slow) / np.maximum(self.noise, 0.1)
-        self.peak = np.maximum(self.peak * math.exp(-step / self.PEAK), np.maximum(rise, 0.0))
+        self.peak = np.maximum(self.peak * math.exp(-step / self.taus[2]), np.maximum(rise, 0.0))
         self.last = still
         if self.off > 0:
             self.blocking = np.where(self.peak >= self.on, True, np.where(self.peak < self.off, False, self.blocking))
@@ -139,9 +140,11 @@ class Anchor:
 class Arming:
     """Quiet for a while, then many near frames in a short time: someone crosses the near gates on the way out."""
 
-    QUIET, COUNT, WITHIN = 10.0, 20, 20.0
+    WITHIN = 20.0
 
-    def __init__(self):
+    def __init__(self, config: Config | None = None):
+        c = config or Config()
+        self.quiet_s, self.count = c.quiet_s, c.cross_n
         self.reset()
 
     def reset(self) -> None:
@@ -149,23 +152,23 @@ class Arming:
 
     def observe(self, ts: float, near: bool) -> bool:
         if near:
-            if self.last_near is not None and ts - self.last_near >= self.QUIET:
+            if self.last_near is not None and ts - self.last_near >= self.quiet_s:
                 self.near.clear()
             self.last_near = ts
             self.near.append(ts)
             while self.near and ts - self.near[0] > self.WITHIN:
                 self.near.popleft()
-            self.armed = self.armed or len(self.near) >= self.COUNT
+            self.armed = self.armed or len(self.near) >= self.count
         return self.armed
 
 
 class NearestGate:
     """Release when the watched gate's trailing median has long been far under its plateau."""
 
-    MEDIAN_S, HALF_LIFE, LOST = 5.0, 600.0, 0.2
+    MEDIAN_S, HALF_LIFE = 5.0, 600.0
 
-    def __init__(self, hold_s: float):
-        self.hold_s = hold_s
+    def __init__(self, hold_s: float, lost: float = 0.2):
+        self.hold_s, self.lost = hold_s, lost
         self.enter()
 
     def enter(self) -> None:
@@ -179,7 +182,7 @@ class NearestGate:
         age = 0.0 if self.last is None else max(ts - self.last, 0.0)
         self.plateau, self.last = max(self.plateau * 2.0 ** (-age / self.HALF_LIFE), median), ts
         self.lit = self.lit or self.plateau > 0
-        low = self.lit and not admitted and self.plateau > 0 and median / self.plateau < self.LOST
+        low = self.lit and not admitted and self.plateau > 0 and median / self.plateau < self.lost
         self.since = (self.since if self.since is not None else ts) if low else None
         return self.since is not None and ts - self.since >= self.hold_s
 
@@ -235,9 +238,9 @@ class Sensor:
         self.c = config
         self.on = set(config.stages)
         self.baseline = Baseline(config)
-        self.retention, self.anchor, self.arming = Retention(), Anchor(config.anchor_bar), Arming()
-        self.nearest, self.change = NearestGate(config.hold_s), ChangepointRelease(config.hold_s, config.tick_s)
-        self.in_room, self.bar, self.classes = InRoom(config.dwell_half_life_s), ArrivalBar(config.window_s), GateClasses(config)
+        self.retention, self.anchor, self.arming = Retention(config), Anchor(config.anchor_bar), Arming(config)
+        self.nearest, self.change = NearestGate(config.hold_s, config.release_fraction), ChangepointRelease(config.hold_s, config.tick_s, config.changepoint_hazard_s)
+        self.in_room, self.bar, self.classes = InRoom(config.in_room_half_life_s), ArrivalBar(config.baseline_window_s), GateClasses(config)
         self.support = np.zeros(GATES)
         self.mono: float | None = None
         self.ts: float | None = None
@@ -272,7 +275,7 @@ class Sensor:
     def _verdict(self, anchored: bool) -> str | None:
         checks = {
             "energy_floor": self.c.energy_floor > 0 and self.candidate < self.c.energy_floor,
-            "arrival": self.baseline.ceiling > 0 and self.arrivals < self.c.arrival_frames,
+            "arrival": self.baseline.ceiling > 0 and self.arrivals < self.c.arrival_min_frames,
             "leading_edge": self.c.lead_gate_max >= 0 and (self.edge is None or self.edge > self.c.lead_gate_max),
             "motion_anchor": not anchored,
         }
@@ -280,9 +283,9 @@ class Sensor:
 
     def _holds(self, score: float, ts: float) -> bool:
         unowned = self.owned is None
-        held = "score_hold" in self.on and unowned and score >= self.c.hold_score
-        near = self.near_at is not None and ts - self.near_at <= 60.0
-        held |= "attributed_hold" in self.on and not unowned and score >= self.c.hold_score and near
+        held = "score_hold" in self.on and unowned and score >= self.c.exit_score
+        near = self.near_at is not None and ts - self.near_at <= self.c.grace_s
+        held |= "attributed_hold" in self.on and not unowned and score >= self.c.exit_score and near
         held |= "retention_hold" in self.on and not unowned and not self.arming.armed and any(self.retention.blocking[g] for g in self.owned)
         return bool(held)
 
@@ -296,7 +299,7 @@ class Sensor:
 
     def _advance(self, ts: float, mono: float, score: float, full: float, active: tuple[int, ...], verdict: str | None, released: bool) -> None:
         if not self.occupied:
-            if active and score >= self.c.enter and verdict is None:
+            if active and score >= self.c.enter_score and verdict is None:
                 self.occupied, self.deadline = True, None
                 if "ownership" in self.on and self.edge is not None and self.edge <= self.c.lead_gate_max:
                     self.owned = set(active)
@@ -307,7 +310,7 @@ class Sensor:
             return self._leave(ts)
         if self.owned is not None:
             self.owned |= set(active)
-        if full >= self.c.enter or self._holds(full, ts):
+        if full >= self.c.enter_score or self._holds(full, ts):
             self.deadline = None
         elif self.deadline is None:
             self.deadline = mono + self.c.hold_s
@@ -316,7 +319,7 @@ class Sensor:
 
     def _episodes(self, ts: float, peaks: np.ndarray, still: np.ndarray, active: tuple[int, ...], verdict: str | None) -> list[dict]:
         c, out, was = self.c, [], self.ts
-        if was is not None and ts - was > c.stall_s:
+        if was is not None and ts - was > c.episode_stall_s:
             out += self._close_all()
         step = 0.0 if was is None else min(max(ts - was, 0.0), c.episode_gap_s)
         for g in range(GATES):
@@ -401,7 +404,7 @@ class Sensor:
         rm, rs = residual[:GATES], residual[GATES:]
         peaks = np.maximum(0.0, np.maximum(rm, rs))
         self.support += alpha * (peaks - self.support)
-        barred = self.classes.barred("dwell_evidence" in self.on) if "gate_exclusion" in self.on else np.zeros(GATES, bool)
+        barred = self.classes.barred("dwell_class" in self.on, "energy_ceiling" in self.on or c.ceiling_enabled) if "gate_exclusion" in self.on else np.zeros(GATES, bool)
         if c.max_gate is not None:
             barred = barred | (GATE > c.max_gate)
         lone = "lone_gate_suppression" in self.on
@@ -447,12 +450,12 @@ class Sensor:
         self.classes.tick(ts, self.gates)
         self.baseline.add(ts, energies)
         self.ts = ts
-        slope = 4.0 / c.enter if c.enter > 0 else 4.0
-        confidence = 1.0 / (1.0 + math.exp(-max(min(slope * (score - c.enter), 700.0), -700.0)))
+        slope = 4.0 / c.enter_score if c.enter_score > 0 else 4.0
+        confidence = 1.0 / (1.0 + math.exp(-max(min(slope * (score - c.enter_score), 700.0), -700.0)))
         return self._row(ts, score, active, confidence, verdict, lead, anchored), closed
 
     def _row(self, ts: float, score: float, active: tuple[int, ...], confidence: float, verdict: str | None, lead: int | None, anchored: bool) -> dict:
-        frozen = self.occupied or (self.vacated is not None and ts - self.vacated <= 60.0)
+        frozen = self.occupied or (self.vacated is not None and ts - self.vacated <= self.c.freeze_hold_s)
         return {
             "ts": ts, "occupied": self.occupied, "confidence": confidence, "score": score, "active_gates": list(active),
             "rejection": verdict, "leading_gate": lead, "anchored": anchored, "frozen": frozen,

@@ -168,11 +168,10 @@ class Decayed:
 class GateClasses:
     """Evidence of each gate's kind from its closed episodes, and the boundary beyond which nothing is in the room."""
 
-    SUSTAINED, BRIEF, LINKED, EVERY = 60.0, 10.0, 5.0, 86_400.0
     NAMES = ("in_room", "portal", "bleed", "in_room", "unknown")
 
     def __init__(self, config: Config):
-        self.c, hl = config, config.dwell_half_life_s
+        self.c, hl = config, config.stats_half_life_s
         of = lambda: [Decayed(hl) for _ in range(GATES)]
         self.sustained, self.brief, self.lead, self.dead = of(), of(), of(), of()
         self.last_sustained: list[float | None] = [None] * GATES
@@ -190,14 +189,14 @@ class GateClasses:
         if e["scope"] != "gate":
             return
         g, length, ts = e["gate"], e["t1"] - e["t0"], e["t1"]
-        if length >= self.SUSTAINED and e["active_frac"] >= 0.6:
+        if length >= self.c.t_dwell_s and e["active_frac"] >= self.c.active_frac_min:
             self.sustained[g].add(ts)
             self.last_sustained[g] = ts
             self.starts.append((e["t0"], g))
-        elif length <= self.BRIEF:
+        elif length <= self.c.t_brief_s:
             self.brief[g].add(ts)
             self.pending.append((g, ts))
-        self.bins *= 0.5 ** (max(ts - self.bins_at, 0.0) / self.c.dwell_half_life_s)
+        self.bins *= 0.5 ** (max(ts - self.bins_at, 0.0) / self.c.stats_half_life_s)
         self.bins[self.bins < 1e-9] = 0.0
         self.bins_at = max(ts, self.bins_at)
         self.bins[g, min(int(e["peak"]), LEVELS - 1)] += 1
@@ -209,11 +208,11 @@ class GateClasses:
         while self.starts and self.starts[0][0] < ts - 7200.0:
             self.starts.popleft()
         for g, end in self.pending:
-            near = lambda t0, other, g=g, end=end: other != g and abs(t0 - end) <= self.LINKED
+            near = lambda t0, other, g=g, end=end: other != g and abs(t0 - end) <= self.c.lead_window_s
             if any(near(t0, o) for t0, o in self.starts):
                 self.lead[g].add(end)
                 changed = True
-            elif ts - end <= self.LINKED or any(near(e.t0, o) for o, e in open_.items()):
+            elif ts - end <= self.c.lead_window_s or any(near(e.t0, o) for o, e in open_.items()):
                 left.append((g, end))  # that one may yet be sustained
             else:
                 self.dead[g].add(end)
@@ -221,7 +220,7 @@ class GateClasses:
         self.pending = left
         if self.evaluated is None:
             self.evaluated = ts
-        daily = ts - self.evaluated >= self.EVERY
+        daily = ts - self.evaluated >= self.c.class_eval_interval_s
         if daily:
             self.evaluated = ts
             self._boundary(ts, open_)
@@ -233,10 +232,10 @@ class GateClasses:
         s, b, lead, dead = (x[g].now(ts) for x in (self.sustained, self.brief, self.lead, self.dead))
         if s >= 1:
             return "in_room"
-        if lead >= 5 and lead >= 0.3 * (lead + dead):
+        if lead >= self.c.n_portal_min and lead >= self.c.portal_lead_frac * (lead + dead):
             return "portal"
         last = self.last_sustained[g]
-        if b >= 20 and s < 0.5 and (last is None or ts - last > self.c.dwell_half_life_s):
+        if b >= self.c.n_bleed_min and s < 0.5 and (last is None or ts - last > self.c.stats_half_life_s):
             return "bleed"
         return "in_room" if last is not None else "unknown"
 
@@ -245,11 +244,11 @@ class GateClasses:
         level = {}
         for g in range(GATES):
             cum = np.cumsum(self.bins[g])
-            if self.episodes[g].now(ts) >= 10 and cum[-1] > 0:
+            if self.episodes[g].now(ts) >= self.c.n_ceil_min and cum[-1] > 0:
                 q = int(np.searchsorted(cum, 0.9 * cum[-1]))
                 if 0 < q:
                     level[g] = float(q)
-        fit = [(math.log((g + 1) * 0.75), math.log(v)) for g, v in level.items() if v < 100]
+        fit = [(math.log((g + 1) * 0.75), math.log(v)) for g, v in level.items() if v < self.c.ceil_sat]
         if len(fit) < 3:
             return {}
         slopes = [(y2 - y1) / (x2 - x1) for i, (x1, y1) in enumerate(fit) for x2, y2 in fit[i + 1 :]]
@@ -259,18 +258,18 @@ class GateClasses:
 
     def _boundary(self, ts: float, open_: dict) -> None:
         p = self.profile(ts)
-        found = next((k for k in range(2, GATES) if any(g >= k for g in p) and all(v < 0.45 for g, v in p.items() if g >= k)), None)
+        found = next((k for k in range(2, GATES) if any(g >= k for g in p) and all(v < self.c.ceil_drop for g, v in p.items() if g >= k)), None)
         same = found == self.candidate[0]
         self.candidate = (found, self.candidate[1] + 1 if same else 1)
-        if self.candidate[1] >= 3 and found != self.boundary:
+        if self.candidate[1] >= self.c.boundary_confirm_days and found != self.boundary:
             inside = found is not None and any(g >= found for g in open_)
-            if inside and self.candidate[1] == 3:
+            if inside and self.candidate[1] == self.c.boundary_confirm_days:
                 return  # someone is beyond it just now: once more before it moves
             self.boundary = found
 
-    def barred(self, learned: bool) -> np.ndarray:
+    def barred(self, learned: bool, bounded: bool) -> np.ndarray:
         out = np.array([k in ("bleed", "out") for k in self.kind]) if learned else np.zeros(GATES, bool)
-        if self.boundary is not None:
+        if bounded and self.boundary is not None:
             out |= np.arange(GATES) >= self.boundary
         return out
 
@@ -281,15 +280,15 @@ class ChangepointRelease:
     PRE, GUARD, POST = 50, 5, 30
     AFTER_ENTRY, AFTER_MOTION = 50, 20  # ticks in which a change doesn't count
 
-    def __init__(self, hold_s: float, tick_s: float = 0.1):
-        self.hold_s, self.tick = hold_s, tick_s
+    def __init__(self, hold_s: float, tick_s: float = 0.1, hazard_s: float = 120.0):
+        self.hold_s, self.tick, self.hazard = hold_s, tick_s, 0.1 / hazard_s
         self.enter(0.0, ())
 
     def enter(self, ts: float, gates: tuple[int, ...]) -> None:
         from .automaton import Changepoints
 
         self.entered, self.moved = ts, -math.inf
-        self.models = {g: Changepoints() for g in gates}
+        self.models = {g: Changepoints(self.hazard) for g in gates}
         self.past: dict[int, deque] = {g: deque(maxlen=self.PRE + self.GUARD + self.POST) for g in gates}
         self.next, self.held, self.lost, self.turned = ts, None, {}, {}
 

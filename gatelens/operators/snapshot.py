@@ -13,13 +13,13 @@ VERSION = 1
 
 
 def save(sensor: Sensor) -> bytes:
-    return pickle.dumps({"version": VERSION, "bucket_s": sensor.c.bucket_s, "window_s": sensor.c.window_s, "sensor": sensor})
+    return pickle.dumps({"version": VERSION, "bucket_s": sensor.c.bucket_s, "window_s": sensor.c.baseline_window_s, "sensor": sensor})
 
 
 def restore(data: bytes, config: Config) -> Sensor:
     """The saved state under config; a new sensor where version, bucket or window differ."""
     held = pickle.loads(data)
-    if held["version"] != VERSION or (held["bucket_s"], held["window_s"]) != (config.bucket_s, config.window_s):
+    if held["version"] != VERSION or (held["bucket_s"], held["window_s"]) != (config.bucket_s, config.baseline_window_s):
         return Sensor(config)
     return reconfigured(held["sensor"], config)
 

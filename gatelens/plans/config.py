@@ -16,55 +16,88 @@ DEFAULT_STAGES = (
 
 @dataclass(frozen=True)
 class Config:
-    """Thresholds in residual units, times in seconds."""
+    """Thresholds in units of the residual, times in seconds unless a name says days. Names and defaults are fixed values."""
 
     stages: tuple[str, ...] = DEFAULT_STAGES
-    k: float = 3.0
-    enter: float = 3.0
-    hold_score: float = 1.5
-    hold_s: float = 30.0
-    gap_s: float | None = None
+    k: float = 4.5
+    baseline_window_s: float = 43_200.0
     bucket_s: float = 60.0
-    window_s: float = 43_200.0
     min_buckets: int = 5
+    enter_score: float = 3.0
+    exit_score: float = 1.5
+    hold_s: float = 30.0
+    freeze_hold_s: float = 60.0
     min_mad: float = 1.0
     support_tau_s: float = 1.0
-    stall_s: float = 10.0
-    tick_s: float = 0.1
+    mode_min_s: float = 60.0
+    mode_band: float = 6.0
+    s_gate_on_k: float = 0.5
+    s_gate_off_k: float = 0.25
+    gap_close_s: float | None = None
+    episode_stall_s: float = 10.0
+    active_frac_min: float = 0.6
+    t_dwell_s: float = 60.0
+    t_brief_s: float = 10.0
+    n_bleed_min: float = 20.0
+    n_portal_min: float = 5.0
+    portal_lead_frac: float = 0.3
+    lead_window_s: float = 5.0
+    stats_half_life_days: float = 30.0
+    class_eval_interval_s: float = 86_400.0
+    max_gate: int | None = None
+    ceiling_enabled: bool = False
+    ceil_drop: float = 0.45
+    n_ceil_min: float = 10.0
+    ceil_sat: float = 95.0
+    boundary_confirm_days: int = 3
     energy_floor: float = 30.0
     arrival_frac: float = 0.55
-    arrival_frames: int = 1
+    arrival_min_frames: int = 1
     lead_gate_max: int = 1
     anchor_bar: float = 40.0
-    dwell_half_life_d: float = 7.0
-    max_gate: int | None = None
+    retention_on: float = 20.0
+    retention_off: float = 10.0
+    tau_fast: float = 2.0
+    tau_slow: float = 60.0
+    tau_peak: float = 90.0
+    quiet_s: float = 10.0
+    cross_n: int = 20
+    grace_s: float = 60.0
+    release_fraction: float = 0.2
+    in_room_half_life_days: float = 7.0
+    changepoint_hazard_s: float = 120.0
+    tick_s: float = 0.1
 
     @property
     def gate_on(self) -> float:
-        return self.k * 0.5
+        return self.k * self.s_gate_on_k
 
     @property
     def gate_off(self) -> float:
-        return self.k * 0.25
+        return self.k * self.s_gate_off_k
 
     @property
     def episode_gap_s(self) -> float:
-        return self.hold_s if self.gap_s is None else self.gap_s
+        return self.hold_s if self.gap_close_s is None else self.gap_close_s
 
     @property
     def window_buckets(self) -> int:
-        return max(1, round(self.window_s / self.bucket_s))
+        return max(1, round(self.baseline_window_s / self.bucket_s))
+
+    @property
+    def stats_half_life_s(self) -> float:
+        return self.stats_half_life_days * 86_400.0
 
     @property
-    def dwell_half_life_s(self) -> float:
-        return self.dwell_half_life_d * 86_400.0
+    def in_room_half_life_s(self) -> float:
+        return self.in_room_half_life_days * 86_400.0
 
 
 #: Allowed ranges of the settings that users may change.
 RANGES = {
-    "k": (1.0, 10.0), "enter": (0.5, 20.0), "hold_score": (0.0, 20.0), "hold_s": (1.0, 86_400.0),
-    "bucket_s": (1.0, 3600.0), "window_s": (60.0, 604_800.0), "energy_floor": (0.0, 200.0),
-    "arrival_frac": (0.0, 1.0), "arrival_frames": (1, 50), "lead_gate_max": (-1, GATES - 1),
+    "k": (1.0, 10.0), "enter_score": (0.5, 20.0), "exit_score": (0.0, 20.0), "hold_s": (1.0, 86_400.0),
+    "bucket_s": (1.0, 3600.0), "baseline_window_s": (60.0, 604_800.0), "energy_floor": (0.0, 200.0),
+    "arrival_frac": (0.0, 1.0), "arrival_min_frames": (1, 50), "lead_gate_max": (-1, GATES - 1),
 }
 
 

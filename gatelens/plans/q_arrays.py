@@ -34,7 +34,7 @@ def prj2(spark, d):
 
 @query("prj3_confidence", SQL_FRAMES, P, sql="select id, round(1 / (1 + exp(-(4 / 3.0) * (list_max(peak) - 3.0))), 6) as confidence from q")
 def prj3(spark, d):
-    return peaked(spark, d).select("id", r6(A.confidence(F.array_max("peak"), Config().enter), "confidence"))
+    return peaked(spark, d).select("id", r6(A.confidence(F.array_max("peak"), Config().enter_score), "confidence"))
 
 
 @query("prj4_centroid_span", SQL_FRAMES, P, "u as (select id, unnest(act) as g, peak from q)", "c as (select id, sum(g * peak[g + 1]) / sum(peak[g + 1]) as m, sum(g * g * peak[g + 1]) / sum(peak[g + 1]) as m2 from u group by id)", sql="select id, round(coalesce(m, 0), 6) as centroid, round(coalesce(sqrt(greatest(m2 - m * m, 0)), 0), 6) as span from q left join c using (id)")

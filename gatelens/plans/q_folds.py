@@ -18,7 +18,7 @@ from .registry import query, r6
 from .stages import ALL_STAGES, plan, sweep
 
 #: The events are minutes apart where a radar's frames are tenths of a second: time constants grow alike.
-SCALED = {"bucket_s": 3600.0, "window_s": 86_400.0, "support_tau_s": 1200.0, "hold_s": 3600.0, "stall_s": 14_400.0, "tick_s": 600.0, "lead_gate_max": -1}
+SCALED = {"k": 3.0, "bucket_s": 3600.0, "baseline_window_s": 86_400.0, "support_tau_s": 1200.0, "hold_s": 3600.0, "episode_stall_s": 14_400.0, "tick_s": 600.0, "lead_gate_max": -1}
 SIMPLE = ("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression", "energy_floor", "score_hold")
 
 
@@ -70,7 +70,7 @@ def pln_default(spark, d):
 
 @query("rel_releases")
 def releases(spark, d):
-    stages = (*SIMPLE[:-1], "in_room_gates", "nearest_gate_release", "changepoint_release")
+    stages = (*SIMPLE[:-1], "motion_anchor", "in_room_gates", "nearest_gate_release", "changepoint_release")
     return plan(frames(spark, d), stages, "transitions", **SCALED).select("sensor", "ts", "occupied")
 
 

@@ -92,7 +92,7 @@ def rec10(spark, d):
 
     def step(s: dict, r) -> tuple:
         if not s:
-            s |= {"h": L.Histograms(9, Config(bucket_s=3600.0, window_s=86_400.0)), "at": -1e18, "f": np.zeros(9)}
+            s |= {"h": L.Histograms(9, Config(bucket_s=3600.0, baseline_window_s=86_400.0)), "at": -1e18, "f": np.zeros(9)}
         s["h"].add(r.ts, np.asarray(r.still, float))
         if r.ts - s["at"] >= 7200.0:
             s["f"], s["at"] = s["h"].recurring(5 * 3600.0), r.ts

@@ -13,75 +13,75 @@ from .config import Config, configured
 
 @dataclass(frozen=True)
 class Stage:
-    """role: what it gives; requires: roles that must be listed; optional: roles that it uses if they are."""
+    """A stage's role, the stages that must be listed and run before it, those that must be listed, and those that it uses if they are."""
 
     name: str
     role: str
     requires: tuple[str, ...] = ()
+    expects: tuple[str, ...] = ()
     optional: tuple[str, ...] = ()
 
 
-#: The stages' names, and what each needs.
+#: The stages' names, their roles and what each needs.
 STAGES = {
     s.name: s
     for s in (
         Stage("quantile_floor", "floor"),
+        Stage("tail_spread", "spread"),
         Stage("histogram_floor", "floor"),
         Stage("recurring_floor", "floor"),
-        Stage("tail_spread", "spread"),
-        Stage("mode_spread", "spread"),
-        Stage("energy_ceiling", "ceiling"),
-        Stage("in_room_gates", "in_room", ("floor", "spread")),
-        Stage("arrival_bar", "bar", ("floor", "spread")),
-        Stage("run_score", "score", ("floor", "spread")),
-        Stage("lone_gate_suppression", "suppression", ("score",)),
-        Stage("dwell_evidence", "evidence", ("score",)),
-        Stage("portal_evidence", "portal", ("evidence",)),
-        Stage("boundary_inference", "boundary", ("ceiling",)),
-        Stage("gate_exclusion", "exclusion", ("evidence",)),
-        Stage("energy_floor", "entry", ("score",)),
-        Stage("arrival", "entry", ("score", "ceiling")),
-        Stage("leading_edge", "entry", ("score",)),
-        Stage("motion_anchor", "entry", ("floor", "spread"), ("bar",)),
+        Stage("mode_spread", "spread", optional=("histogram_floor", "recurring_floor")),
+        Stage("move_ceiling", "ceiling"),
+        Stage("in_room_gates", "room_gates"),
+        Stage("arrival_bar", "arrival_bar"),
+        Stage("run_score", "scorer", optional=("lone_gate_suppression",)),
+        Stage("lone_gate_suppression", "suppression"),
+        Stage("dwell_class", "gate_class"),
+        Stage("portal_class", "gate_class", requires=("dwell_class",)),
+        Stage("energy_ceiling", "gate_boundary"),
+        Stage("gate_exclusion", "gate_mask"),
+        Stage("energy_floor", "entry_filter"),
+        Stage("motion_anchor", "entry_filter"),
+        Stage("arrival", "entry_filter", requires=("move_ceiling",)),
+        Stage("leading_edge", "entry_filter", expects=("run_score",)),
         Stage("retention", "retention"),
-        Stage("ownership", "ownership", ("score",)),
-        Stage("crossing_arming", "arming", ("score",)),
-        Stage("score_hold", "hold", ("score",)),
-        Stage("attributed_hold", "hold", ("score", "ownership")),
-        Stage("retention_hold", "hold", ("retention", "ownership")),
-        Stage("nearest_gate_release", "release", ("in_room",)),
-        Stage("changepoint_release", "release", ("floor", "spread")),
+        Stage("ownership", "ownership", expects=("run_score",)),
+        Stage("crossing_arming", "arming", requires=("ownership",)),
+        Stage("score_hold", "hold", optional=("ownership",)),
+        Stage("attributed_hold", "hold", requires=("ownership", "crossing_arming")),
+        Stage("retention_hold", "hold", requires=("retention", "ownership", "crossing_arming")),
+        Stage("nearest_gate_release", "release", requires=("in_room_gates", "motion_anchor")),
+        Stage("changepoint_release", "release", requires=("motion_anchor",)),
     )
 }
 
+#: The preset with every mechanism but the newer five.
 ALL_STAGES = tuple(n for n in STAGES if n not in ("recurring_floor", "in_room_gates", "arrival_bar", "nearest_gate_release", "changepoint_release"))
 
 
-def order(names: tuple[str, ...]) -> list[Stage]:
-    """The listed stages with every stage after those that it needs; ValueError names what is wrong."""
+def order(names: tuple[str, ...], stages: dict[str, Stage] = STAGES) -> list[Stage]:
+    """The listed stages with every stage after those that it needs or uses; ValueError names what is wrong."""
     for name in names:
-        if name not in STAGES:
+        if name not in stages:
             raise ValueError(f"unknown stage {name!r}")
     if len(set(names)) < len(names):
         raise ValueError("a stage is listed twice")
-    listed = [STAGES[n] for n in names]
-    roles = {s.role for s in listed}
+    listed = [stages[n] for n in names]
     for role in ("floor", "spread"):
-        if role not in roles:
+        if role not in {s.role for s in listed}:
             raise ValueError(f"no stage gives {role!r}")
     for s in listed:
-        for role in s.requires:
-            if role not in roles:
-                raise ValueError(f"stage {s.name!r} requires a stage that gives {role!r}")
-    done, out, left = set(), [], list(listed)
+        for other in (*s.requires, *s.expects):
+            if other not in names:
+                raise ValueError(f"stage {s.name!r} needs stage {other!r}")
+    out, left = [], list(listed)
     while left:
-        waits = {s.role for s in left}
-        ready = next((s for s in left if not [r for r in (*s.requires, *s.optional) if r in waits and r != s.role]), None)
+        waiting = {s.name for s in left}
+        ready = next((s for s in left if not waiting.intersection((*s.requires, *s.optional))), None)
         if ready is None:
             raise ValueError("stages need each other: " + ", ".join(s.name for s in left))
         left.remove(ready)
         out.append(ready)
-        done.add(ready.role)
     return out
 
 

@@ -9,7 +9,7 @@ from gatelens.sources.tables import frames, samples
 from gatelens.streaming import flows
 from pyspark.sql import functions as F
 
-CONFIG = Config(bucket_s=3600.0, window_s=86_400.0, support_tau_s=1200.0, hold_s=3600.0, stall_s=14_400.0, lead_gate_max=-1, stages=("quantile_floor", "tail_spread", "run_score", "energy_floor", "score_hold"))
+CONFIG = Config(bucket_s=3600.0, baseline_window_s=86_400.0, support_tau_s=1200.0, hold_s=3600.0, episode_stall_s=14_400.0, lead_gate_max=-1, stages=("quantile_floor", "tail_spread", "run_score", "energy_floor", "score_hold"))
 
 
 def run(df, tmp_path, mode="append"):

@@ -6,7 +6,7 @@ from gatelens.functions import arrays as A
 from gatelens.operators import buckets, decay, house, intervals, islands, learned, models, replay, research, snapshot
 from gatelens.operators.automaton import Anchor, Changepoints, Sensor
 from gatelens.plans.config import Config, configured
-from gatelens.plans.stages import ALL_STAGES, chosen, order
+from gatelens.plans.stages import ALL_STAGES, Stage, chosen, order
 from gatelens.sources import recordings, sinks, wire
 from pyspark.sql import functions as F
 
@@ -95,7 +95,7 @@ def frames(n, raised=range(0), start=1.7e9):
         yield start + i * 0.1, [x + (40 if g in (3, 4, 5) and i in raised else 0) for g, x in enumerate(noise)], noise
 
 
-CONFIG = Config(bucket_s=1.0, window_s=60.0, lead_gate_max=-1, stages=("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression", "energy_floor", "score_hold"))
+CONFIG = Config(k=3.0, bucket_s=1.0, baseline_window_s=60.0, lead_gate_max=-1, stages=("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression", "energy_floor", "score_hold"))
 
 
 def test_detector_enters_on_the_first_strong_frame_and_leaves_after_the_hold():
@@ -140,7 +140,10 @@ def test_replay_agrees_with_a_plain_loop(spark):
 
 
 def test_stages():
-    assert [s.name for s in order(("tail_spread", "run_score", "quantile_floor"))] == ["tail_spread", "quantile_floor", "run_score"]
+    assert [s.name for s in order(("tail_spread", "run_score", "lone_gate_suppression", "quantile_floor"))] == ["tail_spread", "lone_gate_suppression", "run_score", "quantile_floor"]
+    loop = {n: Stage(n, r, requires=(o,)) for n, r, o in (("a", "floor", "b"), ("b", "spread", "a"))}
+    with pytest.raises(ValueError, match="each other"):
+        order(("a", "b"), loop)
     assert chosen(("histogram_floor", "quantile_floor"), "floor") == "histogram_floor"
     order(ALL_STAGES)
     for bad, word in ((("nonsense",), "nonsense"), (("run_score",), "floor"), (("quantile_floor", "tail_spread", "retention_hold"), "retention")):
@@ -209,9 +212,9 @@ def test_snapshot_goes_on_where_it_was():
         first.step(t, t, m, s, False)
     second = snapshot.restore(snapshot.save(first), CONFIG)
     assert [second.step(t, t, m, s, False)[0] for t, m, s in rows[310:]] == want[310:]
-    other = snapshot.restore(snapshot.save(first), configured(CONFIG, window_s=120.0))
+    other = snapshot.restore(snapshot.save(first), configured(CONFIG, baseline_window_s=120.0))
     assert not other.baseline.ready  # another window: learned anew
-    assert snapshot.reconfigured(second, configured(CONFIG, enter=9.0)).baseline.ready
+    assert snapshot.reconfigured(second, configured(CONFIG, enter_score=9.0)).baseline.ready
 
 
 def test_three_classes():
