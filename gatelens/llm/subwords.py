@@ -67,7 +67,7 @@ def rows_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, text) -> (doc_id, label, rows, weights): each document's distinct rows and their shares."""
     for batch in batches:
-        for a, b, parts in runs(as_binary(batch.column(2))):
+        for a, b, parts in runs(as_binary(batch.column(2)), 1 << 18):
             key, n = np.zeros(0, np.int64), np.zeros(0)
             for buf, offs, _ in parts:
                 doc, row = rows_of(buf, offs)
@@ -158,7 +158,7 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         margin, bias = shared.value
-        for a, b, parts in runs(as_binary(texts), 1 << 20):
+        for a, b, parts in runs(as_binary(texts), 1 << 18):
             n, z = np.zeros(b - a), np.zeros(b - a)
             for buf, offs, _ in parts:
                 doc, row = rows_of(buf, offs)

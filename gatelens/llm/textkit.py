@@ -24,7 +24,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base's powers 0..n-1 and their inverses modulo 2**64; kept up to 4 Mi values."""
+    """The hash base's powers 0..n-1 and their inverses modulo 2**64; kept up to 2 Mi values."""
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
         made = []
@@ -32,7 +32,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             made.append(np.multiply.accumulate(steps))
-        if size > 1 << 22:
+        if size > 1 << 21:
             return made[0][:n], made[1][:n]
         _powers[:] = made
     return _powers[0][:n], _powers[1][:n]
@@ -45,7 +45,7 @@ def as_binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most limit bytes, or of one row: first row, end row, bytes, row offsets."""
     n = len(column)
     if not n:
@@ -83,7 +83,7 @@ def blank_cuts(buf: np.ndarray, limit: int) -> list[int]:
 Part = tuple[np.ndarray, np.ndarray, bool]
 
 
-def runs(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, Iterator[Part]]]:
+def runs(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, Iterator[Part]]]:
     """As slices, but a row longer than limit comes alone and in parts cut at blanks, so that one text's size bounds nothing but itself."""
     for a, b, buf, offs in slices(column, limit):
         if len(buf) <= 2 * limit:

@@ -22,8 +22,9 @@ VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
 PUNCTUATION = punctuation.encode()
 PART = 1 << 21
-CACHE_WORDS = 1_000_000
-CACHE_BYTES = 40 << 20
+#: Of the cache's younger half; the older one was as large when it was younger.
+CACHE_WORDS = 600_000
+CACHE_BYTES = 24 << 20
 
 
 def latin(word: bytes) -> bool:
@@ -53,6 +54,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
     def _store(self, word: bytes, ids: bytes) -> None:
@@ -77,6 +79,9 @@ class WordEncoder:
     def _learn(self, missing: set[bytes]) -> None:
         known, later, plain, other = self.known, [], set(), set()
         for w in missing:
+            if (ids := self.old.get(w)) is not None:
+                self._store(w, ids)
+                continue
             base = w.rstrip(PUNCTUATION)
             if base != w:
                 if b"<|" in w or not base or not (base[-1:].isalnum() or latin(base)):
@@ -115,8 +120,7 @@ class WordEncoder:
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.known.clear()
-            self.held = 0
+            self.old, self.known, self.held = self.known, {}, 0
         get, out, open_, missing = self.known.get, [], [], set()
         for t in texts:
             # added tokens such as <|x|> are matched before case is folded
