@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelens.functions import arrays as A
 from gatelens.operators import buckets as B
-from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, frames, samples, scan, table
+from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, frames, samples, scan
 
 from .registry import query, r6
 

@@ -13,7 +13,6 @@ from gatelens.operators.automaton import Anchor, Arming, Retention
 from gatelens.sources import sinks, wire
 from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, frames, samples
 
-from .config import Config
 from .registry import query, r6
 from .stages import ALL_STAGES, plan, sweep
 
@@ -23,7 +22,7 @@ SIMPLE = ("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression",
 
 
 @query(
-    "rec1_support_ema", SQL_SAMPLES,
+    "rec1_support_ema", "recursive " + SQL_SAMPLES,
     "n as (select sensor, id, ts, energy, row_number() over (partition by sensor order by ts, id) as n from s)",
     "r as (select sensor, id, ts, n, energy::double as ema from n where n = 1 union all select n.sensor, n.id, n.ts, n.n, r.ema + (case when n.ts > r.ts then 1 - exp(-(n.ts - r.ts) / 3600.0) else 0 end) * (n.energy - r.ema) from r join n on n.sensor = r.sensor and n.n = r.n + 1)",
     sql="select id, round(ema, 6) as ema from r",
@@ -32,11 +31,6 @@ def rec1(spark, d):
     return R.ema(samples(spark, d), "energy", 3600.0, "sensor").withColumn("ema", F.round("ema", 6))
 
 
-from .registry import SQL  # noqa: E402
-
-SQL["rec1_support_ema"] = SQL["rec1_support_ema"].replace("with ", "with recursive ", 1)
-
-
 @query("rec16_hold_grid", SQL_SAMPLES, "x as (select *, min(ts) over (partition by sensor) as a, lead(ts) over (partition by sensor order by ts, id) as nx from s)", sql="select id, count(*) as ticks, min(k) as tick from (select id, unnest(range(ceil((ts - a) / 600)::bigint, ceil((nx - a) / 600)::bigint)) as k from x where nx is not null) group by id")
 def rec16(spark, d):
     g = R.hold_grid(samples(spark, d), 600.0, "sensor")
