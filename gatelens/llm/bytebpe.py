@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textkit import as_binary
 
 RANKS = "byte_bpe_50k.tiktoken"
 CHUNK = 1 << 16

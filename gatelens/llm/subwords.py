@@ -97,8 +97,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")  # at most rows ids
 
 
-def collected(bags: DataFrame, size: Column, most: int) -> list:
-    """The rows of bags (doc_id, ...) in the order of the ids' hashes, as many as fit into so many bytes.
+def collected(bags: DataFrame, size: Column, most: int) -> pa.Table:
+    """The rows of bags (doc_id, ...), by doc_id: those of the least hashes of the id, as many as fit into so many bytes.
 
     The rows' sizes are looked at first, so that long documents can't fill the driver.
     """
@@ -109,10 +109,8 @@ def collected(bags: DataFrame, size: Column, most: int) -> list:
         if total > most and ids:
             break
         ids.append((r["doc_id"],))
-    if not ids:
-        return []
     few = bags.sparkSession.createDataFrame(ids, "doc_id long")
-    return bags.join(F.broadcast(few), "doc_id").collect()
+    return bags.join(F.broadcast(few), "doc_id").toArrow().sort_by("doc_id")
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -147,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id",
     """Trains on at most rows labelled documents of those that may be learned from, and on at most so many bytes of their features."""
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, may, rows)
     bags = sample.mapInArrow(_bags, "doc_id long, label int, rows binary, shares binary")
-    one = bags.groupBy("doc_id").agg(F.min(F.struct("label", "rows", "shares")).alias("bag"))  # ids that repeat count once
-    got = sorted((r["doc_id"], r["bag"]) for r in collected(one, 2 * F.length("bag.rows"), most))
-    return train([(int(b["label"] > 0), np.frombuffer(b["rows"], "<u4").astype(np.int64), np.frombuffer(b["shares"], "<f4")) for _, b in got])
+    one = bags.groupBy("doc_id").agg(F.min(F.struct("label", "rows", "shares")).alias("bag")).select("doc_id", "bag.*")  # ids that repeat count once
+    got = collected(one, 2 * F.length("rows"), most)
+    view = lambda name, kind: (np.frombuffer(x.as_buffer(), kind) for x in got.column(name))
+    return train([(int(y > 0), rows, shares) for y, rows, shares in zip(got.column("label").to_pylist(), view("rows", "<u4"), view("shares", "<f4"), strict=True)])
 
 
 def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):

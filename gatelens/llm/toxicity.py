@@ -23,12 +23,12 @@ from .textkit import LOWER, as_binary, finish, prefix_sums, runs, span_hash
 
 BITS = 18
 PREFIXES = (4, 5)
-MARKERS = 768
+MARKERS = 512
 STRONGEST = 32
 LEAST_Z = 3.0
 FOLDS = 3
 #: The most labelled rows that training takes, those of the least hashes of the id.
-SAMPLE = 12_000
+SAMPLE = 10_000
 CATEGORIES = ("overt", "veiled", "toxic")
 THRESHOLD = 0.5
 
@@ -104,7 +104,7 @@ class Chain:
     def __init__(self, sets: list[tuple[int, np.ndarray]]):
         size = 1 << BITS
         y = np.array([label for label, _ in sets], np.float32)
-        with_, without = (np.bincount(np.concatenate([r for v, r in sets if v == k] or [np.zeros(0, np.int64)]), minlength=size) for k in (1, 0))
+        with_, without = (np.bincount(np.concatenate([r for v, r in sets if v == k] or [np.zeros(0, np.uint32)]), minlength=size) for k in (1, 0))
         n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
         p = (with_ + without) / (n1 + n0)
         z = (with_ / n1 - without / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
@@ -151,9 +151,9 @@ class Chain:
 
 def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> Chain:
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, may, rows)
-    sets = sample.mapInArrow(_sets, "doc_id long, label int, rows binary").groupBy("doc_id").agg(F.min(F.struct("label", "rows")).alias("s"))  # ids that repeat count once
-    got = sorted((r["doc_id"], int(r["s"]["label"] > 0), r["s"]["rows"]) for r in collected(sets, F.length("s.rows"), most))
-    return Chain([(y, np.frombuffer(r, "<u4").astype(np.int64)) for _, y, r in got])
+    sets = sample.mapInArrow(_sets, "doc_id long, label int, rows binary").groupBy("doc_id").agg(F.min(F.struct("label", "rows")).alias("s")).select("doc_id", "s.*")  # ids that repeat count once
+    got = collected(sets, F.length("rows"), most)
+    return Chain([(int(y > 0), np.frombuffer(r.as_buffer(), "<u4")) for y, r in zip(got.column("label").to_pylist(), got.column("rows"), strict=True)])
 
 
 def scorer(docs: DataFrame, chain: Chain):
