@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelens.llm.common import fresh_path, id_fold, table
+from gatelens.llm.common import fresh_path, id_fold, remove, scratch, table
 from gatelens.llm.packing import pack
 from gatelens.llm.queries import FOLDS, HELD_OUT
 from gatelens.llm.simhash import keep_one
@@ -44,10 +44,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each one's rows are written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each one's rows are written as Parquet and read again.
+
+    A stage's input and its operators' own tables are deleted once its rows are written.
+    """
+    docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if held:
+            remove(spark, held)
+        docs, held = spark.read.parquet(path), path
     return docs

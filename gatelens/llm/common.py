@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has named, the oldest first.
+_named: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gatelens-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gatelens-{tag}-{uuid.uuid4().hex}"
+    _named.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the folders that operators named within; what reads them must be written by then."""
+    mark = len(_named)
+    try:
+        yield
+    finally:
+        for path in _named[mark:]:
+            remove(spark, path)
+        del _named[mark:]
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
