@@ -63,20 +63,20 @@ def jon6(spark, d):
     return V.asof(a, s.where("chan = 1"), "energy", "sensor", lag_s=3600.0).select("id", "match")
 
 
-@query("jon7_state_at", SQL_SAMPLES, "st as (select sensor, ts, id, case when energy >= 50 then 'on' else 'off' end as state from s where id % 7 = 0)", sql="select s.id, (select arg_max(state, (st.ts, st.id)) from st where st.sensor = s.sensor and st.ts <= s.ts) as match from s")
+@query("jon7_state_at", SQL_SAMPLES, "st as (select sensor, ts, id, case when energy >= 50 then 'on' else 'off' end as state from s where chan = 1)", sql="select s.id, (select arg_max(state, (st.ts, st.id)) from st where st.sensor = s.sensor and st.ts <= s.ts) as match from s")
 def jon7(spark, d):
     s = samples(spark, d)
-    states = s.where("id % 7 = 0").select("sensor", "ts", "id", F.when(F.col("energy") >= 50, "on").otherwise("off").alias("state"))
+    states = s.where("chan = 1").select("sensor", "ts", "id", F.when(F.col("energy") >= 50, "on").otherwise("off").alias("state"))
     return V.asof(s.select("sensor", "ts", "id"), states, "state", "sensor").select("id", "match")
 
 
-FA = "a as (select *, row_number() over (partition by sensor order by ts, id) as n from f where id % 2 = 0), b as (select *, row_number() over (partition by sensor order by ts, id) as n from f where id % 2 = 1)"
+FA = "a as (select *, row_number() over (partition by sensor order by ts, id) as n from f where not device_occ), b as (select *, row_number() over (partition by sensor order by ts, id) as n from f where device_occ)"
 
 
 @query("jon8_stream_mix", SQL_FRAMES, FA, sql="select a.sensor, a.n, list_sum(list_transform(list_zip(a.move, b.move), lambda z: greatest(z[1], z[2])))::bigint as mass_max, list_sum(list_transform(list_zip(a.move, b.move), lambda z: least(100, z[1] + z[2])))::bigint as mass_sum from a join b using (sensor, n)")
 def jon8(spark, d):
-    f = frames(spark, d).select("id", "sensor", "ts", "move")
-    m = V.aligned(f.where("id % 2 = 0"), f.where("id % 2 = 1"), "sensor")
+    f = frames(spark, d).select("id", "sensor", "ts", "move", "device_occ")
+    m = V.aligned(f.where("not device_occ"), f.where("device_occ"), "sensor")
     sum_ = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     return m.select("sensor", F.col("n").cast("long").alias("n"), sum_(F.zip_with("l_move", "r_move", lambda x, y: F.greatest(x, y))).alias("mass_max"), sum_(F.zip_with("l_move", "r_move", lambda x, y: F.least(F.lit(100), x + y))).alias("mass_sum"))
 
@@ -92,9 +92,9 @@ def set2(spark, d):
     return b.join(F.broadcast(tile), (F.col("n") - 1) % 10 + 1 == F.col("k")).select("sensor", "n", mass.alias("mass"))
 
 
-@query("set1_tile_continue", SQL_SAMPLES, "x as (select sensor, ts, id, energy from s where id % 100 = 0), m as (select sensor, max(ts) - min(ts) + 1 as span from x group by sensor)", sql="select sensor, ts + span * k as ts, energy, k from x join m using (sensor), (select unnest(range(0, 3)) as k)")
+@query("set1_tile_continue", SQL_SAMPLES, "x as (select sensor, ts, id, energy from s), m as (select sensor, max(ts) - min(ts) + 1 as span from x group by sensor)", sql="select sensor, ts + span * k as ts, energy, k from x join m using (sensor), (select unnest(range(0, 3)) as k)")
 def set1(spark, d):
-    x = samples(spark, d).where("id % 100 = 0")  # the stream that is repeated, not a shortcut
+    x = samples(spark, d)
     m = x.groupBy("sensor").agg((F.max("ts") - F.min("ts") + 1).alias("span"))
     x = x.join(m, "sensor").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2))))
     return x.select("sensor", (F.col("ts") + F.col("span") * F.col("k")).alias("ts"), "energy", "k")
@@ -104,8 +104,8 @@ def set1(spark, d):
 def set3(spark, d):
     f = frames(spark, d)
     n = F.row_number().over(I.order_by("sensor")).cast("long")
-    base = f.where("id % 2 = 0").withColumn("n", n).select("sensor", "n", "move")
-    short = f.where("id % 2 = 1").withColumn("n", n + 100).where("n <= 150").select("sensor", "n", F.col("move").alias("other"))
+    base = f.where("not device_occ").withColumn("n", n).select("sensor", "n", "move")
+    short = f.where("device_occ").withColumn("n", n + 100).where("n <= 150").select("sensor", "n", F.col("move").alias("other"))
     j = base.join(short, ["sensor", "n"], "left")
     return j.select("sensor", "n", F.array_max(F.when(F.col("other").isNull(), F.col("move")).otherwise(F.zip_with("move", "other", lambda x, y: F.greatest(x, y)))).alias("top"))
 
@@ -203,10 +203,10 @@ def jon14(spark, d):
     return V.overlap_pairs(left, right, BIN, "sensor").select("name").distinct()
 
 
-@query("jon16_event_context", SQL_SAMPLES, "ev as (select id as event, sensor, ts as t from s where id % 97 = 0)", sql="select event, count(*) as n, max(energy) as peak from ev join s on ev.sensor = s.sensor and s.ts between t - 3600 and t group by event")
+@query("jon16_event_context", SQL_SAMPLES, "ev as (select id as event, sensor, ts as t from s where energy = 99)", sql="select event, count(*) as n, max(energy) as peak from ev join s on ev.sensor = s.sensor and s.ts between t - 3600 and t group by event")
 def jon16(spark, d):
     s = samples(spark, d)
-    ev = s.where("id % 97 = 0").select(F.col("id").alias("event"), "sensor", (F.col("ts") - 3600).alias("start"), F.col("ts").alias("end"))
+    ev = s.where("energy = 99").select(F.col("id").alias("event"), "sensor", (F.col("ts") - 3600).alias("start"), F.col("ts").alias("end"))
     return V.points_in(s.select("sensor", "ts", "energy"), ev, BIN, "sensor").groupBy("event").agg(F.count("*").alias("n"), F.max("energy").alias("peak"))
 
 
@@ -223,11 +223,11 @@ def agg17(spark, d):
     return x.withColumns({c: F.round(c, 3) for c in ("latency", "overlap_s", "false_s", "missed_s")})
 
 
-@query("src5_label_spans", SQL_SAMPLES, "l as (select sensor, ts, id, case gate % 3 when 0 then 'seated' when 1 then 'walk' else 'empty' end as label from s where id % 20 = 0), x as (select *, coalesce(lead(ts) over (partition by sensor order by ts, id), (select max(ts) from s)) - 300 as stop from l)", sql='select sensor, label, ts as start, stop as "end" from x where stop - ts > 480')
+@query("src5_label_spans", SQL_SAMPLES, "l as (select sensor, ts, id, case gate % 3 when 0 then 'seated' when 1 then 'walk' else 'empty' end as label from s where energy >= 95), x as (select *, coalesce(lead(ts) over (partition by sensor order by ts, id), (select max(ts) from s)) - 300 as stop from l)", sql='select sensor, label, ts as start, stop as "end" from x where stop - ts > 480')
 def src5(spark, d):
     s = samples(spark, d)
     label = F.when(F.col("gate") % 3 == 0, "seated").when(F.col("gate") % 3 == 1, "walk").otherwise("empty")
-    events = s.where("id % 20 = 0").withColumn("label", label)
+    events = s.where("energy >= 95").withColumn("label", label)
     return V.label_spans(events, F.lit(s.agg(F.max("ts")).first()[0]), 300.0, 480.0, "sensor")
 
 

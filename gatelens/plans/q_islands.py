@@ -208,10 +208,11 @@ def win25(spark, d):
     return samples(spark, d).groupBy("sensor", "gate").agg(r6(F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)), "r"))
 
 
-@query("snk9_upsert", SQL_SAMPLES, "u as (select sensor, gate, energy, id as seq, (id % 3 = 0)::int as isnew from s)", sql="select sensor, gate, energy, seq from u qualify row_number() over (partition by sensor, gate order by isnew desc, seq desc) = 1")
+@query("snk9_upsert", SQL_SAMPLES, "u as (select sensor, gate, energy, id as seq, chan as isnew from s)", sql="select sensor, gate, energy, seq from u qualify row_number() over (partition by sensor, gate order by isnew desc, seq desc) = 1")
 def snk9(spark, d):
-    u = samples(spark, d).select("sensor", "gate", "energy", F.col("id").alias("seq"))
-    return I.upsert(u.where("seq % 3 <> 0"), u.where("seq % 3 = 0"), "sensor", "gate")
+    u = samples(spark, d).withColumn("seq", F.col("id"))
+    of = lambda chan: u.where(F.col("chan") == chan).select("sensor", "gate", "energy", "seq")
+    return I.upsert(of(0), of(1), "sensor", "gate")
 
 
 @query("agg37_occupied_fraction", SQL_SAMPLES, FLAG, sql="select sensor, round(avg(hot::int), 6) as share, min(ts) filter (where hot and ts >= 1704672000) as first_on, min(ts) filter (where not hot and ts >= 1704672000) as first_off from g group by sensor")

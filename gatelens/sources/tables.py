@@ -65,9 +65,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spans(spark: SparkSession, sf_dir: str, every: int = 50, length_s: float = 7200.0) -> DataFrame:
-    """(name, sensor, start, end): a ground-truth span from every so many events."""
-    s = samples(spark, sf_dir).where(F.col("id") % every == 0)
+def spans(spark: SparkSession, sf_dir: str, mark: int = 42, length_s: float = 7200.0) -> DataFrame:
+    """(name, sensor, start, end): a sample of the marking energy opens a ground-truth span."""
+    s = samples(spark, sf_dir).where(F.col("energy") == mark)
     return s.select(F.concat(F.lit("span"), F.col("id")).alias("name"), "sensor", F.col("ts").alias("start"), (F.col("ts") + length_s).alias("end"))
 
 
@@ -85,4 +85,4 @@ SQL_FRAMES = (
     "list_transform(range(0, 9), lambda i: ((3 * k + user_id + 11 * i) % 101)::int) as still, "
     "((k * 7) % 700)::int as distance_cm, event_id % 2 = 1 as device_occ from e)"
 )
-SQL_SPANS = "sp as (select 'span' || id as name, sensor, ts as start, ts + 7200.0 as \"end\" from s where id % 50 = 0)"
+SQL_SPANS = "sp as (select 'span' || id as name, sensor, ts as start, ts + 7200.0 as \"end\" from s where energy = 42)"
