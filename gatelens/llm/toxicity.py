@@ -22,7 +22,7 @@ from .subwords import SAMPLE_BYTES, collected, labelled_sample
 from .textkit import LOWER, as_binary, finish, prefix_sums, runs, span_hash
 
 BITS = 18
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 MARKERS = 512
 STRONGEST = 32
 LEAST_Z = 3.0
