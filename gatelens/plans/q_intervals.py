@@ -216,7 +216,8 @@ def jon16(spark, d):
     'de as (select sp.sensor, name, min(ru.start) - sp.start as lat from sp join ru on sp.sensor = ru.sensor and ru.start between sp.start and sp."end" group by sp.sensor, name, sp.start)',
     'ov as (select ru.sensor, sum(least(stop, "end") - greatest(ru.start, sp.start)) as o from ru join sp on ru.sensor = sp.sensor and ru.start < sp."end" and sp.start < stop group by ru.sensor)',
     'a as (select sensor, count(*) as entries, sum(stop - start) as rs from ru group by sensor)', 'b as (select sensor, count(*) as n, sum("end" - start) as ss from sp group by sensor)',
-    sql="select sensor, entries, (select count(*) from en where en.sensor = a.sensor and k = 0) as false_entries, (select count(*) from de where de.sensor = a.sensor) as spans_detected, n - (select count(*) from de where de.sensor = a.sensor) as spans_missed, round((select sum(lat) from de where de.sensor = a.sensor), 3) as latency, round(o, 3) as overlap_s, round(rs - o, 3) as false_s, round(ss - o, 3) as missed_s from a join b using (sensor) join ov using (sensor)",
+    "j as (select sensor, coalesce(entries, 0) as entries, coalesce(rs, 0) as rs, coalesce(n, 0) as n, coalesce(ss, 0) as ss, coalesce(o, 0) as o from a full join b using (sensor) left join ov using (sensor))",
+    sql="select sensor, entries, (select count(*) from en where en.sensor = j.sensor and k = 0) as false_entries, (select count(*) from de where de.sensor = j.sensor) as spans_detected, n - (select count(*) from de where de.sensor = j.sensor) as spans_missed, round(coalesce((select sum(lat) from de where de.sensor = j.sensor), 0), 3) as latency, round(o, 3) as overlap_s, round(rs - o, 3) as false_s, round(ss - o, 3) as missed_s from j",
 )
 def agg17(spark, d):
     x = V.timeline_score(runs(spark, d), spans(spark, d), BIN, "sensor")
