@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
 
     Only nodes that have an edge to another node and aren't roots are returned.
     Each round rewrites the edges as Parquet, so that lineage stays short; the
-    number of rounds is logarithmic in the size of a component. Nothing but one
-    flag a round goes to the driver.
+    number of rounds is logarithmic in the size of a component. It ends when all
+    edges are stars: no parent is a child, and no node has two parents. Nothing
+    but two flags a round go to the driver.
     """
     e = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag
@@ -26,5 +27,6 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = materialize(e.where("u <> v").distinct(), tag)
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        nested = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        if nested.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -74,6 +74,12 @@ def test_components(spark):
     assert {(r.node, r.root) for r in graph.connected_components(chain).collect()} == {(i, 0) for i in range(1, 101)}
 
 
+def test_components_have_one_root_a_node(spark):
+    """After one round of this chain no parent is a child, yet node 3 has two parents."""
+    chain = spark.createDataFrame([(2, 5), (5, 4), (4, 3), (3, 1)], "a long, b long")
+    assert sorted((r.node, r.root) for r in graph.connected_components(chain).collect()) == [(i, 1) for i in (2, 3, 4, 5)]
+
+
 # -- 1 near-duplicates -------------------------------------------------------------
 
 
