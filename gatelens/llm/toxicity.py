@@ -23,12 +23,11 @@ from .textkit import LOWER, as_binary, finish, prefix_sums, runs, span_hash
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7)
-MARKERS = 512
 STRONGEST = 32
 LEAST_Z = 3.0
 FOLDS = 3
 #: The most labelled rows that training takes, those of the least hashes of the id.
-SAMPLE = 10_000
+SAMPLE = 12_000
 CATEGORIES = ("overt", "veiled", "toxic")
 THRESHOLD = 0.5
 
@@ -73,24 +72,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(blobs, pa.binary())], ["doc_id", "label", "rows"])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 200) -> np.ndarray:
+class Rows:
+    """A sparse matrix of ones: each row's columns, and dense columns after those; the last one is the bias."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, width: int, dense: np.ndarray):
+        self.row, self.column, self.width = row, column, width
+        self.dense = np.concatenate([dense, np.ones((len(dense), 1))], axis=1)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], len(self.dense)) + self.dense @ w[self.width :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transposed matrix times r."""
+        return np.concatenate([np.bincount(self.column, r[self.row], self.width), r @ self.dense])
+
+    def where(self, keep: np.ndarray) -> Rows:
+        at, of = np.cumsum(keep) - 1, keep[self.row]
+        return Rows(at[self.row[of]], self.column[of], self.width, self.dense[keep, :-1])
+
+
+def logistic(x: Rows, y: np.ndarray, ridge: float = 0.1, steps: int = 200) -> np.ndarray:
     """Weights and, last, the bias, by accelerated gradient steps on the ridge-penalised mean loss."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.width + x.dense.shape[1])
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     if not y.any():  # nothing of the kind is known
         w[-1] = -np.log(len(y) + 2)
         return w
-    pen = np.full(len(w), ridge / max(len(y), 1), np.float32)
+    pen = np.full(len(w), ridge / max(len(y), 1))
     pen[-1] = 0
-    top = x1.T @ (x1 @ np.ones(len(w), np.float32))  # bounds the largest curvature
-    rate = 4 * len(y) / max(float(top.max()), 1.0)
+    top = x.back(x.times(np.ones(len(w))))  # bounds each weight's curvature; rare markers take larger steps
+    rate = 1 / (np.maximum(top, 1.0) / (4 * len(y)) + pen)
     seen = w.copy()
     for k in range(steps):
-        p = 1 / (1 + np.exp(-(x1 @ seen)))
-        new = seen - rate * (x1.T @ (p - y) / len(y) + pen * seen)
+        p = sigmoid(x.times(seen))
+        new = seen - rate * (x.back(p - y) / len(y) + pen * seen)
         seen = new + k / (k + 3) * (new - w)
-        w = new.astype(np.float32)
+        w = new
     return w
 
 
@@ -108,29 +125,26 @@ class Chain:
         n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
         p = (with_ + without) / (n1 + n0)
         z = (with_ / n1 - without / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        order = np.argsort(-np.abs(z), kind="stable")[:MARKERS]
+        order = np.argsort(-np.abs(z), kind="stable")
         order = order[(np.abs(z[order]) >= LEAST_Z) & ((with_ + without)[order] >= 3)]
         self.column = np.full(size, -1, np.int32)
         self.column[order] = np.arange(len(order))
-        strongest = {int(k) for k in np.flatnonzero(z[order] > 0)[:STRONGEST]}
-        x = np.zeros((len(sets), len(order)), np.float32)
-        overt = np.zeros(len(sets), np.float32)
-        for k, (_, rows) in enumerate(sets):
-            c = self.column[rows]
-            c = c[c >= 0]
-            x[k, c] = 1
-            overt[k] = any(int(i) in strongest for i in c)
+        strongest = np.zeros(len(order), bool)
+        strongest[np.flatnonzero(z[order] > 0)[:STRONGEST]] = True
+        key = self.hits(np.repeat(np.arange(len(sets)), [len(r) for _, r in sets]), np.concatenate([np.zeros(0, np.uint32), *(r for _, r in sets)]))
+        row, column = key >> 32, key & 0xFFFFFFFF
+        overt = (np.bincount(row, strongest[column], len(sets)) > 0).astype(np.float32)
         labels = {"overt": y * overt, "veiled": y * (1 - overt), "toxic": y}
         fold = np.arange(len(sets)) % FOLDS
-        self.weights, earlier = [], np.zeros((len(sets), 0), np.float32)
+        self.weights, earlier = [], np.zeros((len(sets), 0))
         for category in CATEGORIES:
-            t, inputs = labels[category], np.concatenate([x, earlier], axis=1)
+            t, inputs = labels[category], Rows(row, column, len(order), earlier)
             self.weights.append(logistic(inputs, t))
-            outside = np.zeros(len(sets), np.float32)
+            outside = np.zeros(len(sets))
             for f in range(FOLDS):
                 if (fold != f).any():
-                    w = logistic(inputs[fold != f], t[fold != f])
-                    outside[fold == f] = sigmoid(inputs[fold == f] @ w[:-1] + w[-1])
+                    w = logistic(inputs.where(fold != f), t[fold != f])
+                    outside[fold == f] = sigmoid(inputs.where(fold == f).times(w))
             earlier = np.concatenate([earlier, outside[:, None]], axis=1)
 
     def hits(self, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -158,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id",
 
 def scorer(docs: DataFrame, chain: Chain):
     """The function from a batch's text column to the categories' probabilities."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)  # one number a hash, MARKERS weights a category
+    shared = docs.sparkSession.sparkContext.broadcast(chain)  # one number a hash, one weight a marker and category
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         chain = shared.value

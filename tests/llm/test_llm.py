@@ -303,6 +303,15 @@ def test_chain_feeds_earlier_categories_to_later_ones():
     assert [len(w) for w in chain.weights] == [len(chain.weights[0]) + k for k in range(3)]
 
 
+def test_every_marker_over_the_bar_is_kept():
+    """900 features are in ten toxic documents each, and in no other one."""
+    sets = [(1, np.arange(k // 10 * 100, k // 10 * 100 + 100, dtype="<u4")) for k in range(90)] + [(0, np.array([5000 + k], "<u4")) for k in range(90)]
+    chain = toxicity.Chain(sets)
+    assert (chain.column[:900] >= 0).all() and (chain.column[900:] < 0).all()
+    key = chain.hits(np.zeros(100, np.int64), np.arange(800, 900))
+    assert chain.probabilities(key, 1)[0, -1] > 0.5
+
+
 def test_classifiers_on_odd_rows(docs, labels, empty, spark):
     may = F.col("doc_id") > 0
     for run in (lambda d, m: subwords.quality_scores(d, m, may), lambda d, m: toxicity.toxicity(d, m, may)):
