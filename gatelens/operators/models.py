@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 
 
@@ -93,21 +95,27 @@ def envelope(x: np.ndarray, ridge: float = 1e-3, margin: float = 1.5) -> tuple[n
 
 def greedy_pairs(a: list[tuple[float, float]], b: list[tuple[float, float]], least: float = 5.0, share: float = 0.2) -> list[tuple[int, int]]:
     """(strength, time) rows of a, strongest last, each with the nearest unused row of b within the band; at most once each."""
-    used, out = set(), []
+    out, waiting = [], {}
+    for j in sorted(range(len(b)), key=lambda k: (b[k], k), reverse=True):
+        waiting.setdefault(b[j][0], []).append(j)  # the earliest last
+    strengths = sorted(waiting)
     for i in sorted(range(len(a)), key=lambda k: a[k]):
-        band = max(least, share * a[i][0])
-        near = min((j for j in range(len(b)) if j not in used and abs(b[j][0] - a[i][0]) <= band), key=lambda j: (abs(b[j][0] - a[i][0]), b[j]), default=None)
-        if near is not None:
-            used.add(near)
-            out.append((i, near))
+        band, at = max(least, share * a[i][0]), bisect_left(strengths, a[i][0])
+        near = min(strengths[max(at - 1, 0) : at + 1], key=lambda x: (abs(x - a[i][0]), x), default=None)
+        if near is not None and abs(near - a[i][0]) <= band:
+            out.append((i, waiting[near].pop()))
+            if not waiting[near]:
+                strengths.remove(near)
     return out
 
 
 def suppressed_peaks(times: np.ndarray, heights: np.ndarray, apart_s: float = 2.5) -> list[int]:
     """Peaks strongest first, none within apart_s of one taken before."""
-    taken: list[int] = []
+    taken, at = [], []  # at: the times taken, sorted
     for k in np.lexsort((times, -heights)):
-        if all(abs(times[k] - times[j]) >= apart_s for j in taken):
+        i = bisect_left(at, times[k])
+        if all(abs(times[k] - t) >= apart_s for t in at[max(i - 1, 0) : i + 1]):
+            at.insert(i, times[k])
             taken.append(int(k))
     return sorted(taken)
 

@@ -210,19 +210,18 @@ def agg42(spark, d):
 
 @query("jon15_matched_pairs")
 def jon15(spark, d):
-    """One-to-one pairs of strong rows of both channels a sensor, gate and day."""
+    """One-to-one pairs of strong rows of both channels a sensor and gate."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (pdf[pdf.chan == k].sort_values(["energy", "ts", "id"]) for k in (0, 1))
         got = M.greedy_pairs(list(zip(a.energy, a.ts, strict=True)), list(zip(b.energy, b.ts, strict=True)))
         return pd.DataFrame([(int(a.id.iloc[i]), int(b.id.iloc[j])) for i, j in got], columns=["a", "b"])
 
-    s = samples(spark, d).where("energy >= 40").withColumn("day", F.floor(F.col("ts") / 86_400))
-    return s.groupBy("sensor", "gate", "day").applyInPandas(run, "a long, b long")
+    return samples(spark, d).where("energy >= 40").groupBy("sensor", "gate").applyInPandas(run, "a long, b long")
 
 
 @query("rec19_30_marches")
 def marches(spark, d):
-    """Zig-zag turns and marches along each sensor's daily path of hourly cells."""
+    """Zig-zag turns and marches along each sensor's path of hourly cells; a gap of over three cells breaks a track."""
     import numpy as np
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -233,8 +232,8 @@ def marches(spark, d):
         return pd.DataFrame(rows, columns=["sensor", "kind", "start", "end", "displacement"])
 
     c = samples(spark, d).where("energy >= 50").groupBy("sensor", F.floor(F.col("ts") / 3600).cast("long").alias("cell")).agg(F.avg("gate").alias("mid"))
-    c = c.withColumn("day", F.floor(F.col("cell") / 24))
-    return c.groupBy("sensor", "day").applyInPandas(run, "sensor string, kind string, start long, end long, displacement double")
+    c = I.islands(c, F.col("cell") - F.lag("cell").over(I.order_by("sensor", by=("cell",))) > 3, "sensor", by=("cell",), name="track")
+    return c.groupBy("sensor", "track").applyInPandas(run, "sensor string, kind string, start long, end long, displacement double")
 
 
 @query("spc1_room_belief")

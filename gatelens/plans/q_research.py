@@ -117,15 +117,15 @@ def agg30(spark, d):
 
 @query("win22_suppressed_peaks")
 def win22(spark, d):
-    """Local peaks of a day, strongest first, none within two hours of a stronger one."""
+    """Local peaks of a sensor, strongest first, none within two hours of a stronger one; groups are cut where candidates lie that far apart."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = M.suppressed_peaks(pdf.ts.to_numpy(), pdf.energy.to_numpy(float), 7200.0)
         return pdf.iloc[keep][["id", "sensor", "energy"]]
 
     w = I.order_by("sensor")
     s = samples(spark, d).withColumns({"p": F.lag("energy").over(w), "n": F.lead("energy").over(w)})
-    s = s.where("energy > p and energy >= n and energy >= 18").withColumn("day", F.floor(F.col("ts") / 86_400))
-    return s.groupBy("sensor", "day").applyInPandas(run, "id long, sensor string, energy int")
+    s = I.islands(s.where("energy > p and energy >= n and energy >= 18"), I.gap_from(7200.0, "sensor"), "sensor", name="group")
+    return s.groupBy("sensor", "group").applyInPandas(run, "id long, sensor string, energy int")
 
 
 PK = "pk as (select id, sensor, ts, energy from (select *, lag(energy) over w as p, lead(energy) over w as n from s window w as (partition by sensor order by ts, id)) where energy > p and energy >= n and energy >= 90)"

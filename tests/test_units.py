@@ -277,3 +277,38 @@ def test_reach(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
     got = house.reachable(edges, spark.createDataFrame([("a",)], "node string"))
     assert {(r.node, r.hops) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_greedy_operators_do_not_stop_at_midnight(spark, monkeypatch):
+    from gatelens.plans import q_folds, q_research
+
+    def given(rows):
+        df = spark.createDataFrame([("a", 86_400.0 + t, k, e, g, c) for k, (t, e, g, c) in enumerate(rows)], "sensor string, ts double, id long, energy int, gate int, chan int")
+        for module in (q_folds, q_research):
+            monkeypatch.setattr(module, "samples", lambda *_: df)
+
+    given([(-1200.0, 10, 0, 0), (-600.0, 50, 0, 0), (-300.0, 10, 0, 0), (600.0, 60, 0, 0), (900.0, 10, 0, 0)])
+    assert [r.id for r in q_research.win22(spark, "").collect()] == [3]
+    given([(-60.0, 50, 1, 0), (60.0, 52, 1, 1)])
+    assert [tuple(r) for r in q_folds.jon15(spark, "").collect()] == [(0, 1)]
+    given([(3600.0 * k, 60, g, 0) for k, g in ((-2, 1), (-1, 2), (0, 3), (1, 4), (5, 5), (6, 6))])
+    got = {(r.kind, r.start - 24, r.end - 24) for r in q_folds.marches(spark, "").collect()}
+    assert got == {("turn", -2, -2), ("turn", 1, 1), ("march", -2, 1), ("turn", 5, 5), ("turn", 6, 6)}
+
+
+def test_fast_greedy_steps_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = ([(float(x), float(t)) for x, t in rng.integers(0, (60, 5), (n, 2))] for n in rng.integers(0, 30, 2))
+        used, want = set(), []
+        for i in sorted(range(len(a)), key=lambda k: a[k]):
+            near = min((j for j in range(len(b)) if j not in used and abs(b[j][0] - a[i][0]) <= max(5.0, 0.2 * a[i][0])), key=lambda j: (abs(b[j][0] - a[i][0]), b[j]), default=None)
+            if near is not None:
+                used.add(near)
+                want.append((i, near))
+        assert models.greedy_pairs(a, b) == want
+        times, heights, taken = rng.integers(0, 99, 30).astype(float), rng.integers(0, 9, 30).astype(float), []
+        for k in np.lexsort((times, -heights)):
+            if all(abs(times[k] - times[j]) >= 4 for j in taken):
+                taken.append(int(k))
+        assert models.suppressed_peaks(times, heights, 4) == sorted(taken)
