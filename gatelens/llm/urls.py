@@ -11,6 +11,8 @@ decided, or any column of 1 (bad), 0 (good) and null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from .common import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path); a rule's name is host and path together.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: The segments that the SQL knows; the operator goes on to the last one.
 DEPTH = 3
 SUPPORT = 2
 SHARE = 100
@@ -44,11 +47,9 @@ def by_rules(rules: tuple[tuple[str, str, str], ...]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def shape_of(path: Column, depth: int = DEPTH) -> Column:
-    """The first depth segments, digit runs as wildcards, and a mark if there are more."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), lambda x: x != "")
-    more = F.when(F.size(parts) > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.slice(parts, 1, depth), more)
+def shape_of(path: Column) -> Column:
+    """All segments, digit runs as wildcards."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "*"), "/"), lambda x: x != "")
 
 
 def _differ(b1: Column, n1: Column, b2: Column, n2: Column) -> Column:
@@ -57,12 +58,17 @@ def _differ(b1: Column, n1: Column, b2: Column, n2: Column) -> Column:
     return F.coalesce(d * d > Z2 * p * (1 - p) * (1 / F.nullif(n1, F.lit(0)) + 1 / F.nullif(n2, F.lit(0))), F.lit(False))
 
 
-def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, shape, n, labelled, bad) -> the same with the shape's template."""
-    df = shapes.withColumn("template", F.lit(""))
-    for d in range(depth + 1):
+def templates(shapes: DataFrame) -> DataFrame:
+    """(host, shape, n, labelled, bad) -> the same with the shape's template; a level more for as long as any shape has one."""
+    df = materialize(shapes.withColumn("template", F.lit("")), "templates")
+    done, d = [], 0
+    while True:
+        done.append(df.where(F.size("shape") <= d))
+        df = df.where(F.size("shape") > d)
+        if df.isEmpty():
+            return reduce(DataFrame.unionByName, done)
         df = df.withColumn("seg", F.get("shape", F.lit(d)))
-        child = df.where("seg is not null").groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        child = df.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
         total = child.groupBy("host", "template").agg(F.sum("n").alias("total"))
         # at most SHARE segments a parent have that much support, which bounds the windows below
         known = child.where(F.col("n") >= SUPPORT).join(total, ["host", "template"]).where(F.col("n") * SHARE >= F.col("total"))
@@ -73,12 +79,11 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         known = known.join(names, ["host", "template", "branch"]).select("host", "template", "seg", "name")
         df = df.join(known, ["host", "template", "seg"], "left")
         grown = F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))
-        df = df.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(grown)).drop("seg", "name")
-        df = materialize(df, "templates")
-    return df
+        df = materialize(df.withColumn("template", grown).drop("seg", "name"), "templates")
+        d += 1
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, bad: Column | None = None, depth: int = DEPTH) -> DataFrame:
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, bad: Column | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every row.
 
     A null url, or one without ``://``, has an empty host and path; such rows
@@ -96,9 +101,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     df = df.withColumns({"rule": name, "verdict": verdict})
     if bad is None:
         df = df.withColumn("given", F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0))
-    df = df.withColumn("shape", shape_of(F.col("path"), depth))
+    df = df.withColumn("shape", shape_of(F.col("path")))
     counts = df.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.coalesce(F.sum("given"), F.lit(0)).cast("long").alias("bad"))
-    tree = templates(counts, depth)
+    tree = templates(counts)
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     alike = leaf.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     overall = leaf.agg(F.sum("labelled").alias("sum_labelled"), F.sum("bad").alias("sum_bad"))
@@ -116,7 +121,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def sql(rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, for paths of up to depth segments."""
     when = lambda i: " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{(v, h + p)[i]}'" for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2])))
     out = [
         "u as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), "

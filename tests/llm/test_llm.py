@@ -244,6 +244,13 @@ def test_templates_learn_from_given_labels(spark):
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") and r.rule is None for r in got)
 
 
+def test_templates_see_every_segment(spark):
+    rows = [(i, f"http://h.com/2024/05/12/{'casino' if i % 2 else 'news'}/{i}", i % 2 if i < 60 else None) for i in range(100)]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, bad int"), rules=(), bad=F.col("bad")).collect()
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+    assert {r.template for r in got} == {"/*/*/*/casino/*", "/*/*/*/news/*"}
+
+
 # -- 4, 7 classifiers --------------------------------------------------------------
 
 
