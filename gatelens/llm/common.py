@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 from gatelens.session import on_workers
 
+#: A key is hot if it has more than this share of all rows; so there are fewer hot keys than this.
+HOT = 1024
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -32,26 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders that this process has named, the oldest first.
-_named: list[str] = []
+#: The lists of the scratch blocks that this thread or task is in, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_dir(spark)}/gatelens-{tag}-{uuid.uuid4().hex}"
-    _named.append(path)
+    for named in _open.get()[-1:]:
+        named.append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the folders that operators named within; what reads them must be written by then."""
-    mark = len(_named)
+    """Deletes, at its end, the folders that operators named within; what reads them must be written by then.
+
+    Each block knows its own folders only, so pipelines of one process don't meet.
+    """
+    named: list[str] = []
+    token = _open.set((*_open.get(), named))
     try:
         yield
     finally:
-        for path in _named[mark:]:
+        _open.reset(token)
+        for path in named:
             remove(spark, path)
-        del _named[mark:]
 
 
 def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -85,6 +95,19 @@ def shuffle_width(df: DataFrame, rows: int, rows_per_task: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """left joined with right, which has a row a key and in the column weight the number of left's rows with that key.
+
+    Of total rows in left, fewer than HOT keys can have over a HOT-th each:
+    right's rows of those are broadcast, so that left's stay where they are;
+    all others are shuffled, none of them to a task that grows with one key.
+    """
+    hot = right.where(F.col(weight) * HOT > total).drop(weight)
+    cold = right.where(F.col(weight) * HOT <= total).drop(weight)
+    near = left.join(F.broadcast(hot), on)
+    return near.unionByName(left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))
+
+
 #: From a text column to runs of its rows: first row, end row, one array of numbers a score.
 Scorer = Callable[[pa.Array], Iterator[tuple[int, int, list[pa.Array]]]]
 

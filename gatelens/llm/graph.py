@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 
 def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
@@ -21,12 +21,17 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag
     )
     while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(e.where("u <> v").distinct(), tag)
+        both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), tag)
+        e = _pointed(both, both.where("v > u"), F.col("v"), F.least("u", "m"))
+        e = materialize(e.distinct(), tag)
+        child = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        e = materialize(_pointed(e, e, child, F.col("m")).where("u <> v").distinct(), tag)
         nested = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
         if nested.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _pointed(all_edges: DataFrame, edges: DataFrame, child: Column, parent: Column) -> DataFrame:
+    """edges (u, v) as (child, parent), where m is the least neighbour of u among all edges; hubs aren't shuffled."""
+    least = all_edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_hot(edges, least, ["u"], "n", all_edges.count()).select(child.alias("u"), parent.alias("v"))

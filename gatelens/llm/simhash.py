@@ -13,14 +13,15 @@ remaining bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_width
+from .common import HOT, join_hot, materialize, shuffle_width
 from .graph import connected_components
 from .textkit import as_binary, parts_of
 
@@ -71,15 +72,22 @@ def _bit_counts(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the fingerprint of every whole text; a null text counts as empty."""
+    """(doc_id, fp long, h long, size int): the fingerprint of every whole text, and the text's hash and length; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_binary(batch.column(1))
             fps = [fingerprint(t.as_py()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(2), batch.column(3)], ["doc_id", "fp", "h", "size"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    return docs.select(*columns).select("*", *_text_key("text")).mapInArrow(run, "doc_id long, fp long, h long, size int")
+
+
+def _text_key(text_col: str) -> list[Column]:
+    """Hash and length of a text, null as empty; among rows that repeat a doc_id they tell the texts apart."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.length(text).alias("size")]
 
 
 def cuts(width: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
@@ -239,24 +247,44 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component without any doc_id has a null component_id. Other columns of docs
     play no part. No rows in, no rows out.
     """
+    made = _components(docs, id_col, text_col, budget)
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, budget: int) -> DataFrame:
+    """(fp, doc_id, h, size, root, least) of every row: its component's least fingerprint and smallest doc_id.
+
+    A component or a fingerprint may have most of the rows; join_hot leaves those where they are.
+    """
     made = materialize(fingerprints(docs, id_col, text_col), "fp")
-    classes = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "classes")
     roots = connected_components(links(classes.select("fp"), budget), "simhash")
     linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = linked.join(classes, linked.node == classes.fp).select("fp", "root", "least")
-    least = members.groupBy("root").agg(F.min("least").alias("component"))
-    component = members.join(least, "root").select("fp", "component")
-    classes = classes.join(component, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return made.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    members = materialize(linked.join(classes, linked.node == classes.fp).select("fp", "root", "least"), "members")
+    least = members.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    component = join_hot(members.select("fp", "root"), least, ["root"], "n", members.count())
+    classes = classes.join(component, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("least"), "rows")
+    return join_hot(made, materialize(classes, "classes"), ["fp"], "rows", made.count())
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BITS) -> DataFrame:
-    """docs with one row of each near-duplicate component, that of the smallest doc_id.
+    """docs with one row of each near-duplicate component: that of the smallest doc_id, then of the least hash of the text.
 
-    Rows that repeat a doc_id count as one; one of them stays. Rows without a
-    doc_id can't be told apart and are all kept. Columns stay as they are.
+    A row is known by its doc_id and text, so rows that repeat a doc_id with
+    unlike texts each count for their own component; rows equal in both are one,
+    whichever of them stays. Null ids come after all others; null texts are
+    empty. Columns stay as they are. No rows in, no rows out.
     """
-    parts = simhash_components(docs, id_col, text_col, budget)
-    stay = parts.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    joined = docs.join(stay, docs[id_col].cast("long") == stay["__stay"], "left_semi").dropDuplicates([id_col])
-    return joined.unionByName(docs.where(docs[id_col].isNull()))
+    key = ["none", "id", "h", "size"]
+    known = lambda doc_id: [doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id")]
+    parts = materialize(_components(docs, id_col, text_col, budget).select("root", *known(F.col("doc_id")), "h", "size"), "parts")
+    stay = materialize(parts.groupBy("root").agg(F.min(F.struct(*key)).alias("first")).select("first.*"), "stay")
+    # fewer than HOT rows can be repeated in over a HOT-th of all rows; those need no shuffle of their texts
+    hot = materialize(parts.groupBy(*key).count().where(F.col("count") * HOT > parts.count()).where("count > 1").select(*key), "hot")
+    own = dict(zip(key, ("__none", "__id", "__h", "__size"), strict=True))
+    rows = docs.select("*", *(c.alias(n) for c, n in zip([*known(F.col(id_col).cast("long")), *_text_key(text_col)], own.values(), strict=True)))
+    same = lambda other: reduce(Column.__and__, (F.col(own[n]) == other[n] for n in key))
+    often = stay.join(F.broadcast(hot), key, "left_semi")
+    near = rows.join(F.broadcast(often), same(often), "left_semi")
+    far = rows.join(F.broadcast(hot), same(hot), "left_anti").join(stay, same(stay), "left_semi")
+    return near.dropDuplicates(list(own.values())).unionByName(far.dropDuplicates(list(own.values()))).select(*docs.columns)
