@@ -1,7 +1,7 @@
 """Supervised subword embeddings: a document is the mean of learned word and character n-gram vectors.
 
-Words, pairs of adjacent words and byte n-grams within words (with their
-bounds) are hashed to rows of one table of vectors. Their mean goes through a
+Words, pairs of adjacent words and n-grams of characters within words (with
+their bounds) are hashed to rows of one table of vectors. Their mean goes through a
 linear layer and softmax over two labels; table and layer are trained by
 stochastic gradient descent in numpy, document by document. As all is linear up
 to the softmax, scoring needs one number a row: its vector's part of the margin.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import filtered_rows, materialize, scored_rows
-from .textkit import SPACE, as_binary, finish, prefix_sums, runs, span_hash, words
+from .textkit import SPACE, Part, as_binary, finish, prefix_sums, runs, span_hash, words
 
 BITS = 16
 ROWS = 3 << BITS
@@ -34,34 +34,48 @@ _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[SPACE] = 0x20
 
 
-def rows_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document number and table row of every word, word pair and n-gram of the documents.
+def rows_of(buf: np.ndarray, offs: np.ndarray, before: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """Document number and table row of every word, word pair and character n-gram of the documents, and the last word's hash.
 
-    Of a text that comes in parts, the pair of words across a cut is no feature.
+    Of a text that comes in parts, before is the hash of the last word ahead;
+    the part then follows a blank. Features are the same however it is cut.
     """
+    if before is not None:
+        buf, offs = np.concatenate(([0x20], buf)).astype(np.uint8), np.append(0, offs[1:] + 1)
     start, end, doc = words(buf, offs)
     shift = np.uint64(64 - BITS)
-    h = span_hash(prefix_sums(buf), start, end)
+    pre = prefix_sums(_FOLDED[buf])
+    h = span_hash(pre, start, end)
     out_doc, out_row = [doc], [(h >> shift).astype(np.int64)]
+    if before is not None and before != 0:
+        h, doc = np.append(before, h).astype(np.uint64), np.append(0, doc)
     pair = doc[1:] == doc[:-1]
     both = h[1:] * np.uint64(3) + h[:-1]
     both[h[1:] == h[:-1]] = 0  # a word said twice is one feature, whatever the word
     out_doc.append(doc[1:][pair])
     out_row.append((finish(both[pair]) >> shift).astype(np.int64) + (1 << BITS))
-    b = _FOLDED[buf].astype(np.uint64)
-    blank = np.concatenate(([0], np.cumsum(SPACE[buf])))
-    owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    at = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))  # where characters begin
+    m = len(at) - 1
+    blank = np.concatenate(([0], np.cumsum(SPACE[buf[at[:m]]])))
+    owner = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(at[:m], offs)))
     for n in GRAMS:
-        if len(b) < n:
+        if m < n:
             continue
-        code = np.full(len(b) - n + 1, n, np.uint64)
-        for k in range(n):
-            code = (code << np.uint64(8)) | b[k : len(b) - n + 1 + k]
         # blanks only at the n-gram's ends, and all of it in one document
-        ok = (blank[n - 1 : len(b)] == blank[1 : len(b) - n + 2]) & (owner[: len(b) - n + 1] == owner[n - 1 :])
-        out_doc.append(owner[: len(ok)][ok])
-        out_row.append((finish(code[ok]) >> shift).astype(np.int64) + (2 << BITS))
-    return np.concatenate(out_doc), np.concatenate(out_row)
+        ok = np.flatnonzero((blank[n - 1 : m] == blank[1 : m - n + 2]) & (owner[: m - n + 1] == owner[n - 1 :]))
+        code = span_hash(pre, at[ok], at[ok + n]) + np.uint64(n)
+        out_doc.append(owner[ok])
+        out_row.append((finish(code) >> shift).astype(np.int64) + (2 << BITS))
+    return np.concatenate(out_doc), np.concatenate(out_row), h[-1] if len(h) else before
+
+
+def features(parts: Iterator[Part]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """rows_of each part; a text's later parts know the word before them."""
+    before = None
+    for buf, offs, ended in parts:
+        doc, row, last = rows_of(buf, offs, before)
+        before = None if ended else (np.uint64(0) if last is None else last)  # zero: no word yet
+        yield doc, row
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +83,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, parts in runs(as_binary(batch.column(2)), 1 << 18):
             key, n = np.zeros(0, np.int64), np.zeros(0)
-            for buf, offs, _ in parts:
-                doc, row = rows_of(buf, offs)
+            for doc, row in features(parts):
                 new, times = np.unique(doc * ROWS + row, return_counts=True)
                 key, at = np.unique(np.concatenate([key, new]), return_inverse=True)
                 n = np.bincount(at, np.concatenate([n, times]), len(key))
@@ -159,8 +172,7 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
         margin, bias = shared.value
         for a, b, parts in runs(as_binary(texts), 1 << 18):
             n, z = np.zeros(b - a), np.zeros(b - a)
-            for buf, offs, _ in parts:
-                doc, row = rows_of(buf, offs)
+            for doc, row in features(parts):
                 n += np.bincount(doc, minlength=b - a)
                 z += np.bincount(doc, margin[row], b - a)
             yield a, b, [pa.array(1 / (1 + np.exp(-z / np.maximum(n, 1) - bias)))]
@@ -168,20 +180,29 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float]):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = SAMPLE, most: int = SAMPLE_BYTES
+) -> DataFrame:
     """(doc_id, score, predicted) of every row of docs.
 
-    may, a condition on doc_id, says which labelled rows are learned from.
-    Null, empty and blank texts get the score of the bias alone. Without labels
+    may, a condition on doc_id, says which labelled rows are learned from: those
+    of the least hashes of the id, at most so many rows, and most bytes of
+    features. Null, empty and blank texts get the score of the bias alone; long
+    texts are read in parts, which changes nothing. Without labels
     of both kinds every row gets their smoothed share. Rows are scored one by
     one: equal texts get equal scores, ids may be null or repeat. No rows in,
     no rows out.
     """
-    scored = scored_rows(docs, scorer(docs, fit(docs, labels, may, id_col, text_col)), ["score"], id_col, text_col)
+    scored = scored_rows(docs, scorer(docs, fit(docs, labels, may, id_col, text_col, rows=rows, most=most)), ["score"], id_col, text_col)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that quality_scores predicts 1 for, with docs' columns as they are."""
-    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+def keep_good(
+    docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = SAMPLE, most: int = SAMPLE_BYTES
+) -> DataFrame:
+    """The rows of docs that quality_scores predicts 1 for, with docs' columns as they are.
+
+    Nulls, empties, repeats and an empty table fare as there; no column's name or value but the text's plays a part.
+    """
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col, rows=rows, most=most))
     return filtered_rows(docs, run, lambda p: p[-1].to_numpy() >= threshold, text_col)
