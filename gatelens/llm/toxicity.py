@@ -115,43 +115,64 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-class Chain:
-    """A marker's column by its hash, and one weight vector a category over markers, earlier categories and the bias."""
+class Markers:
+    """Every hashed feature over the z bar as a column, chosen from the labelled rows that learn names, and the categories' labels after them."""
 
-    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+    def __init__(self, y: np.ndarray, doc: np.ndarray, row: np.ndarray, learn: np.ndarray):
         size = 1 << BITS
-        y = np.array([label for label, _ in sets], np.float32)
-        with_, without = (np.bincount(np.concatenate([r for v, r in sets if v == k] or [np.zeros(0, np.uint32)]), minlength=size) for k in (1, 0))
-        n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+        of = learn[doc]
+        with_, without = (np.bincount(row[of & (y[doc] == k)], minlength=size) for k in (1, 0))
+        n1, n0 = max(y[learn].sum(), 1), max((1 - y[learn]).sum(), 1)
         p = (with_ + without) / (n1 + n0)
         z = (with_ / n1 - without / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
         order = np.argsort(-np.abs(z), kind="stable")
         order = order[(np.abs(z[order]) >= LEAST_Z) & ((with_ + without)[order] >= 3)]
-        self.column = np.full(size, -1, np.int32)
+        self.column, self.width = np.full(size, -1, np.int32), len(order)
         self.column[order] = np.arange(len(order))
         strongest = np.zeros(len(order), bool)
         strongest[np.flatnonzero(z[order] > 0)[:STRONGEST]] = True
-        key = self.hits(np.repeat(np.arange(len(sets)), [len(r) for _, r in sets]), np.concatenate([np.zeros(0, np.uint32), *(r for _, r in sets)]))
-        row, column = key >> 32, key & 0xFFFFFFFF
-        overt = (np.bincount(row, strongest[column], len(sets)) > 0).astype(np.float32)
-        labels = {"overt": y * overt, "veiled": y * (1 - overt), "toxic": y}
-        fold = np.arange(len(sets)) % FOLDS
-        self.weights, earlier = [], np.zeros((len(sets), 0))
+        key = hits(self.column, doc, row)
+        self.row, self.at = key >> 32, key & 0xFFFFFFFF
+        overt = (np.bincount(self.row, strongest[self.at], len(y)) > 0).astype(np.float32)
+        self.labels = {"overt": y * overt, "veiled": y * (1 - overt), "toxic": y}
+
+    def inputs(self, earlier: np.ndarray) -> Rows:
+        return Rows(self.row, self.at, self.width, earlier)
+
+
+def hits(column: np.ndarray, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Each document's markers once, a number for document and marker."""
+    c = column[row]
+    hit = c >= 0
+    return np.unique((doc[hit] << 32) | c[hit])
+
+
+class Chain:
+    """A marker's column by its hash, and one weight vector a category over markers, earlier categories and the bias.
+
+    Out-of-fold probabilities come from markers, category labels and weights that the fold's own rows had no part in.
+    """
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]], folds: int = FOLDS):
+        y = np.array([label for label, _ in sets], np.float32)
+        doc = np.repeat(np.arange(len(sets)), [len(r) for _, r in sets])
+        row = np.concatenate([np.zeros(0, np.uint32), *(r for _, r in sets)])
+        fold = np.arange(len(sets)) % folds
+        every = Markers(y, doc, row, np.ones(len(sets), bool))
+        parts = [(fold == f, Markers(y, doc, row, fold != f)) for f in range(folds) if (fold != f).any()]
+        self.column, self.weights, earlier = every.column, [], np.zeros((len(sets), 0))
         for category in CATEGORIES:
-            t, inputs = labels[category], Rows(row, column, len(order), earlier)
-            self.weights.append(logistic(inputs, t))
+            self.weights.append(logistic(every.inputs(earlier), every.labels[category]))
             outside = np.zeros(len(sets))
-            for f in range(FOLDS):
-                if (fold != f).any():
-                    w = logistic(inputs.where(fold != f), t[fold != f])
-                    outside[fold == f] = sigmoid(inputs.where(fold == f).times(w))
+            for held, markers in parts:
+                inputs = markers.inputs(earlier)
+                w = logistic(inputs.where(~held), markers.labels[category][~held])
+                outside[held] = sigmoid(inputs.where(held).times(w))
             earlier = np.concatenate([earlier, outside[:, None]], axis=1)
+        self.outside = earlier
 
     def hits(self, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Each document's markers once, a number for document and marker."""
-        c = self.column[row]
-        hit = c >= 0
-        return np.unique((doc[hit] << 32) | c[hit])
+        return hits(self.column, doc, row)
 
     def probabilities(self, key: np.ndarray, n: int) -> np.ndarray:
         """From hits: one row a document, one column a category."""
@@ -184,21 +205,29 @@ def scorer(docs: DataFrame, chain: Chain):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = SAMPLE, most: int = SAMPLE_BYTES
+) -> DataFrame:
     """(doc_id, overt, veiled, score, predicted) of every row of docs; score is the chain's last category, toxic.
 
-    may, a condition on doc_id, says which labelled rows are learned from.
-    Null, empty and blank texts have no markers and get the biases'
+    may, a condition on doc_id, says which labelled rows are learned from: those
+    of the least hashes of the id, at most so many rows, and most bytes of
+    features. Null, empty and blank texts have no markers and get the biases'
     probabilities. Without toxic labels nothing is predicted toxic. Rows are
     scored one by one; ids may be null or repeat, other columns play no part. No
     rows in, no rows out.
     """
-    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col, rows=rows, most=most))
     scored = scored_rows(docs, run, [*CATEGORIES[:-1], "score"], id_col, text_col)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that toxicity doesn't predict toxic, with docs' columns as they are."""
-    run = scorer(docs, fit(docs, labels, may, id_col, text_col))
+def keep_clean(
+    docs: DataFrame, labels: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, rows: int = SAMPLE, most: int = SAMPLE_BYTES
+) -> DataFrame:
+    """The rows of docs that toxicity doesn't predict toxic, with docs' columns as they are.
+
+    Nulls, empties, repeats and an empty table fare as there; no column's name or value but the text's plays a part.
+    """
+    run = scorer(docs, fit(docs, labels, may, id_col, text_col, rows=rows, most=most))
     return filtered_rows(docs, run, lambda p: p[-1].to_numpy() < threshold, text_col)
