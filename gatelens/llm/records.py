@@ -22,12 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, shuffle_width
 from .textkit import as_binary, slices
 from .wordids import word_encoder
 
 END = 2
 MAGIC = b"GLTOKIX1"
+ROWS_PER_FILE = 50_000
+#: Bytes of a frame besides its token ids.
+FRAME = 26
 
 
 def masked(data: bytes) -> int:
@@ -95,7 +98,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     fs, folder = at(path)
     fs.create_dir(folder, recursive=True)
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = shuffle_width(docs, docs.count(), ROWS_PER_FILE)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", "tie"]
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(width, *order).sortWithinPartitions(*order)
@@ -103,33 +106,62 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return sorted((r.asDict() for r in made), key=lambda r: r["file"])
 
 
-def read_records(spark: SparkSession, path: str, files: list[dict]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, from the files alone."""
+def _index(fs: pafs.FileSystem, where: str) -> np.ndarray:
+    """Offset and token count of each record of a file, from its index."""
+    with fs.open_input_stream(where) as f:
+        data = f.read()
+    if data[:8] != MAGIC or len(data) != 16 + 16 * struct.unpack("<Q", data[8:16])[0]:
+        raise ValueError(f"damaged index {where}")
+    return np.frombuffer(data, "<u8", offset=16).reshape(-1, 2).astype(np.int64)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every record, from the record files and their indexes alone.
+
+    One job reads the indexes, which say how many tokens lie ahead of each
+    file; the driver holds one number a file. Another one reads the records, and
+    a record that isn't as its index says is an error.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = at(path)
+        for batch in batches:
+            n = [int(_index(fs, f"{folder}/{name}.idx")[:, 1].sum()) for name in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["file", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = at(path)
         for batch in batches:
             for one in batch.to_pylist():
-                start, got = one["start"], []
-                where = f"{folder}/part-{one['file']:06d}.rec"
-                with fs.open_input_stream(where, buffer_size=1 << 20) as f:
-                    while (record := unframe(f.read, where)) is not None:
-                        doc_id, ids = record
-                        got.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                        start += len(ids)
+                got, where, done = [], f"{folder}/{one['file']}", 0
+                index = _index(fs, f"{where}.idx")
+                starts = one["start"] + np.cumsum(index[:, 1]) - index[:, 1]
+                with fs.open_input_stream(f"{where}.rec", buffer_size=1 << 20) as f:
+                    for (offset, n), start in zip(index.tolist(), starts.tolist(), strict=True):
+                        record = unframe(f.read, f"{where}.rec")
+                        if record is None or offset != done or len(record[1]) != n:
+                            raise ValueError(f"records and index differ in {where}")
+                        done += FRAME + record[1].nbytes
+                        got.append((record[0], start, n, zlib.crc32(record[1].astype("<u4").tobytes())))
                         if len(got) == 10_000:
                             yield batch_of(got)
                             got = []
+                    if f.read(1):
+                        raise ValueError(f"records without index in {where}")
                 yield batch_of(got)
 
     def batch_of(got: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*got, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    starts = accumulate((f["tokens"] for f in files), initial=0)
-    rows = [(f["file"], s) for f, s in zip(files, starts, strict=False)]
-    listed = spark.sparkContext.parallelize(rows, max(1, len(rows)))
-    return spark.createDataFrame(listed, "file long, start long").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    fs, folder = at(path)
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    names = sorted(f.base_name[:-4] for f in found if f.base_name.endswith(".rec") and not f.base_name.startswith("."))
+    each = lambda rows, schema: spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), schema)
+    counts = dict(sorted(map(tuple, each([(n,) for n in names], "file string").mapInArrow(tokens, "file string, tokens long").collect())))
+    starts = accumulate(counts.values(), initial=0)
+    listed = each(list(zip(counts, starts, strict=False)), "file string, start long")
+    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def pick_record(path: str, file: int, record: int) -> tuple[int | None, np.ndarray]:
@@ -152,4 +184,5 @@ def token_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     An empty document is its end id alone. No rows in, no rows out.
     """
     path = fresh_path(docs.sparkSession, "records")
-    return read_records(docs.sparkSession, path, write_records(docs, path, id_col, text_col, end))
+    write_records(docs, path, id_col, text_col, end)
+    return read_records(docs.sparkSession, path)
