@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,6 @@ from .wordids import word_encoder
 
 CAPACITY = 2048
 END = 0
-SALTS = 64
 
 
 def place(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -85,10 +85,10 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, i
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt[, ids]) of every document's tokens."""
+    """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]) of every document's tokens; nth: how many of that length its task gave before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, count = word_encoder(), 0
+        coder, task, count = word_encoder(), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, column = batch.column(0).cast(pa.int64()), as_binary(batch.column(1))
             for a, b, *_ in slices(column):
@@ -103,12 +103,16 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
                         crc.append(zlib.crc32(part))
                         if with_ids:
                             blobs.append(part)
-                salt = (count + np.arange(len(owner))) % SALTS
-                count += len(owner)
-                cols = [ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int32())]
+                sizes = np.array(length, np.int64)
+                order = np.argsort(sizes, kind="stable")
+                first = np.searchsorted(sizes[order], sizes[order])
+                nth = np.empty(len(sizes), np.int64)
+                nth[order] = np.arange(len(sizes)) - first + count[sizes[order]]
+                count += np.bincount(sizes, minlength=capacity + 1)
+                cols = [ids.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(owner), task, np.int32)), pa.array(nth)]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(blobs, pa.binary())] * with_ids, names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int" + ", ids binary" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
 
@@ -122,21 +126,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     offset 0 without gaps. Equal documents and rows that repeat a doc_id are
     packed once each; a null doc_id stays null. Other columns play no part. No
     rows in, no rows out. The driver holds one count a length and a plan of a
-    few rows a length, both bounded by the capacity.
+    few rows a length, both bounded by the capacity. Which of the equally long
+    pieces goes where follows the tasks that read them; how many sequences there
+    are doesn't.
     """
     spark = docs.sparkSession
     made = materialize(pieces(docs, id_col, text_col, capacity, end, with_ids), "pieces")
-    counted = made.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
-    counts: dict[int, int] = {}
-    before = []
-    for r in sorted(counted, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = before[-1][2] + r["count"]
+    # a piece's rank among those of its length: of earlier tasks, then of its own; no task's pieces of one length are many
+    counted = materialize(made.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
+    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     plan = spark.createDataFrame(place(counts, capacity), "length long, rank_from long, rank_to long, first long, per long, base long")
-    before = spark.createDataFrame(before, "length long, salt int, before long")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = made.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = made.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     hit = (ranked["length"] == plan["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     at = F.col("rank") - F.col("rank_from")
     return ranked.join(F.broadcast(plan), hit).select(
