@@ -3,7 +3,8 @@
 Rules decide first. For the other urls, paths are reduced to templates: runs of
 digits are wildcards at once; then, level by level below each host, segments
 with little support become a wildcard, and sibling branches whose labelled
-shares don't differ significantly are merged. A template is rejected by its
+shares don't differ significantly are merged. Both go by counts and labels of
+the branches alone, however large their host is. A template is rejected by its
 share of bad labels, smoothed by the share of the same template over all hosts,
 which in turn is smoothed by the share overall. Labels are what the rules
 decided, or any column of 1 (bad), 0 (good) and null.
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path); a rule's name is host and path together.
@@ -24,10 +25,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: The segments that the SQL knows; the operator goes on to the last one.
 DEPTH = 3
 SUPPORT = 2
-SHARE = 100
 Z2 = 4
 PRIOR = 4
-SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -58,6 +57,27 @@ def _differ(b1: Column, n1: Column, b2: Column, n2: Column) -> Column:
     return F.coalesce(d * d > Z2 * p * (1 - p) * (1 / F.nullif(n1, F.lit(0)) + 1 / F.nullif(n2, F.lit(0))), F.lit(False))
 
 
+def _branches(some: DataFrame) -> DataFrame:
+    """(host, template, share, segs, name) of siblings with labels.
+
+    Siblings of equal shares are one group at once, so that a window holds a
+    parent's different shares, not its segments. In the order of shares, a group
+    that doesn't differ from the one before goes to its branch. A branch of
+    several segments is named by the first, the last and their number.
+    """
+    parent = ["host", "template"]
+    groups = some.groupBy(*parent, "share").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("segs"), F.min("seg").alias("first"), F.max("seg").alias("last")
+    )
+    order = Window.partitionBy(*parent).orderBy("share")
+    lag = lambda c: F.lag(c).over(order)
+    apart = lag("labelled").isNull() | _differ(F.col("bad"), F.col("labelled"), lag("bad"), lag("labelled"))
+    groups = groups.withColumn("branch", F.sum(apart.cast("int")).over(order))
+    whole = Window.partitionBy(*parent, "branch")
+    first, last, n = F.min("first").over(whole), F.max("last").over(whole), F.sum("segs").over(whole)
+    return groups.select(*parent, "share", "segs", F.when(n == 1, first).otherwise(F.concat(first, F.lit(".."), last, F.lit("|"), n.cast("string"))).alias("name"))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, n, labelled, bad) -> the same with the shape's template; a level more for as long as any shape has one."""
     df = materialize(shapes.withColumn("template", F.lit("")), "templates")
@@ -68,17 +88,16 @@ def templates(shapes: DataFrame) -> DataFrame:
         if df.isEmpty():
             return reduce(DataFrame.unionByName, done)
         df = df.withColumn("seg", F.get("shape", F.lit(d)))
-        child = df.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        total = child.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        # at most SHARE segments a parent have that much support, which bounds the windows below
-        known = child.where(F.col("n") >= SUPPORT).join(total, ["host", "template"]).where(F.col("n") * SHARE >= F.col("total"))
-        order = Window.partitionBy("host", "template").orderBy(F.col("bad") / F.nullif("labelled", F.lit(0)), "seg")
-        apart = (F.col("labelled") == 0) | F.coalesce(F.lag("labelled").over(order) == 0, F.lit(True)) | _differ(F.col("bad"), F.col("labelled"), F.lag("bad").over(order), F.lag("labelled").over(order))
-        known = known.withColumn("branch", F.sum(apart.cast("int")).over(order))
-        names = known.groupBy("host", "template", "branch").agg(F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("name"))
-        known = known.join(names, ["host", "template", "branch"]).select("host", "template", "seg", "name")
-        df = df.join(known, ["host", "template", "seg"], "left")
-        grown = F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))
+        child = df.groupBy("host", "template", "seg").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("shapes"))
+        child = materialize(child.withColumn("share", F.when(F.col("n") >= SUPPORT, F.col("bad") / F.nullif("labelled", F.lit(0)))), "children")
+        # without labels there is nothing to compare: such a segment is a branch of its own
+        alone = child.where("share is null").withColumn("name", F.when(F.col("n") >= SUPPORT, F.col("seg")).otherwise("*"))
+        some = child.where("share is not null")
+        branches = materialize(_branches(some), "branches")
+        some = join_hot(some, branches, ["host", "template", "share"], "segs", some.count())
+        known = alone.unionByName(some).select("host", "template", "seg", "name", "shapes")
+        df = join_hot(df, materialize(known, "known"), ["host", "template", "seg"], "shapes", df.count())
+        grown = F.concat("template", F.lit("/"), "name")
         df = materialize(df.withColumn("template", grown).drop("seg", "name"), "templates")
         d += 1
 
@@ -103,20 +122,21 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         df = df.withColumn("given", F.when(F.col("verdict") == "block", 1).when(F.col("verdict") == "allow", 0))
     df = df.withColumn("shape", shape_of(F.col("path")))
     counts = df.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("given").alias("labelled"), F.coalesce(F.sum("given"), F.lit(0)).cast("long").alias("bad"))
-    tree = templates(counts)
+    tree = materialize(templates(counts), "tree")
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     alike = leaf.groupBy("template").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     overall = leaf.agg(F.sum("labelled").alias("sum_labelled"), F.sum("bad").alias("sum_bad"))
     share = (F.col("sum_bad") + 1) / (F.col("sum_labelled") + 2)
     alike = alike.crossJoin(F.broadcast(overall)).withColumn("like", (F.col("all_bad") + PRIOR * share) / (F.col("all_labelled") + PRIOR))  # overall: one row
     impure = (F.col("bad") + PRIOR * F.col("like")) / (F.col("labelled") + PRIOR)
-    judged = leaf.join(alike, "template").withColumn("said", F.when(impure > 0.5, "block").otherwise("allow"))
-    judged = tree.select("host", "shape", "template").join(judged.select("host", "template", "said"), ["host", "template"])
-    # a host may have most of the rows: its few templates are copied to every salt, its rows are dealt to the salts
-    judged = judged.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    judged = leaf.join(alike, "template").withColumn("said", F.when(impure > 0.5, "block").otherwise("allow")).select("host", "template", "said")
+    leaves = tree.groupBy("host", "template").agg(F.count("*").alias("shapes"))
+    judged = judged.join(leaves, ["host", "template"])
+    judged = join_hot(tree.select("host", "shape", "template", "n"), materialize(judged, "judged"), ["host", "template"], "shapes", tree.count())
     decided = df.where("verdict is not null").select("page_id", "host", "path", "rule", "verdict", F.lit(None).cast("string").alias("template"))
-    rest = df.where("verdict is null").drop("verdict").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
-    rest = rest.join(judged, ["host", "shape", "salt"]).select("page_id", "host", "path", "rule", F.col("said").alias("verdict"), "template")
+    rest = df.where("verdict is null").select("page_id", "host", "path", "rule", "shape")
+    rest = join_hot(rest, materialize(judged, "judged"), ["host", "shape"], "n", pages.count())
+    rest = rest.select("page_id", "host", "path", "rule", F.col("said").alias("verdict"), "template")
     return decided.unionByName(rest)
 
 
@@ -134,12 +154,14 @@ def sql(rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) ->
         a = f"t{d}"
         out += [
             f"c{d} as (select host, template, shape[{d + 1}] as seg, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from {a} where len(shape) > {d} group by all)",
-            f"k{d} as (select c.*, bad / nullif(labelled, 0) as p from c{d} c join (select host, template, sum(n) as total from c{d} group by all) using (host, template) where n >= {SUPPORT} and n * {SHARE} >= total)",
-            f"l{d} as (select *, lag(bad) over w as b2, lag(labelled) over w as n2 from k{d} window w as (partition by host, template order by p nulls first, seg))",
+            f"k{d} as (select *, case when n >= {SUPPORT} then bad / nullif(labelled, 0) end as p from c{d})",
+            f"q{d} as (select host, template, p, sum(labelled) as labelled, sum(bad) as bad, count(*) as segs, min(seg) as a, max(seg) as z from k{d} where p is not null group by host, template, p)",
+            f"l{d} as (select *, lag(bad) over w as b2, lag(labelled) over w as n2 from q{d} window w as (partition by host, template order by p))",
             f"m{d} as (select *, (bad + b2) / nullif(labelled + n2, 0) as q, bad / nullif(labelled, 0) - b2 / nullif(n2, 0) as x from l{d})",
-            f"b{d} as (select *, sum((labelled = 0 or coalesce(n2 = 0, true) or coalesce(x * x > {Z2} * q * (1 - q) * (1 / nullif(labelled, 0) + 1 / nullif(n2, 0)), false))::int) over (partition by host, template order by p nulls first, seg) as branch from m{d})",
-            f"g{d} as (select host, template, seg, string_agg(seg, '|') over (partition by host, template, branch order by seg rows between unbounded preceding and unbounded following) as name from b{d})",
-            f"t{d + 1} as (select a.host, a.shape, a.n, a.labelled, a.bad, case when len(a.shape) > {d} then a.template || '/' || coalesce(g.name, '*') else a.template end as template from {a} a left join g{d} g on g.host = a.host and g.template = a.template and g.seg = a.shape[{d + 1}])",
+            f"b{d} as (select *, sum((n2 is null or coalesce(x * x > {Z2} * q * (1 - q) * (1 / nullif(labelled, 0) + 1 / nullif(n2, 0)), false))::int) over (partition by host, template order by p) as branch from m{d})",
+            f"g{d} as (select host, template, p, min(a) over v as a, max(z) over v as z, sum(segs) over v as segs from b{d} window v as (partition by host, template, branch))",
+            f"s{d} as (select k.host, k.template, k.seg, case when n < {SUPPORT} then '*' when k.p is null or segs = 1 then seg else a || '..' || z || '|' || segs end as name from k{d} k left join g{d} g on k.host = g.host and k.template = g.template and k.p = g.p)",
+            f"t{d + 1} as (select a.host, a.shape, a.n, a.labelled, a.bad, case when len(a.shape) > {d} then a.template || '/' || g.name else a.template end as template from {a} a left join s{d} g on g.host = a.host and g.template = a.template and g.seg = a.shape[{d + 1}])",
         ]
     out += [
         f"leaf as (select host, template, sum(labelled) as labelled, sum(bad) as bad from t{depth + 1} group by all)",
