@@ -2,8 +2,8 @@
 
 A payload's cuts fall where a rolling gear hash of the last 32 bytes has given
 bits zero, so equal passages are cut alike wherever they stand. Chunks are known
-by their digests. Spark counts the digests; a Bloom filter of fixed size over
-those that occur more than once tells every task which of its chunks nobody
+by their digests. Spark counts the digests; a Bloom filter over those
+that occur more than once tells every task which of its chunks nobody
 else can have. These are stored beside their document without a shuffle; all
 others go through one by digest, and are stored once. A document is rebuilt
 from its ordered chunk list, and its bytes are verified against the digest of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import HOT, fresh_path, join_hot, materialize
 from .textkit import as_binary
 
 UNIT = 64
@@ -33,7 +33,8 @@ MAGIC = b"GL8S"
 HEAD = 16
 LEAST, MASK, MOST = 256, np.uint32((1 << 10) - 1), 8192
 DIGEST = 16
-BLOOM_BITS = 1 << 25
+#: Bits a digest, and the least and the most bits of the filter; beyond these it is fuller, and more chunks are shuffled.
+BLOOM_EACH, BLOOM_LEAST, BLOOM_MOST = 12, 1 << 20, 1 << 29
 BLOOM_HASHES = 3
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -84,10 +85,10 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=DIGEST).digest()
 
 
-def bloom_bits(digests: np.ndarray) -> np.ndarray:
-    """The filter's bits of each digest, a row each; digests are 16 bytes, two 64-bit numbers."""
+def bloom_bits(digests: np.ndarray, size: int) -> np.ndarray:
+    """Which of the filter's size bits each digest has, a row each; digests are 16 bytes, two 64-bit numbers."""
     a, b = digests[:, 0], digests[:, 1] | np.uint64(1)
-    return np.stack([(a + np.uint64(k) * b) % np.uint64(BLOOM_BITS) for k in range(BLOOM_HASHES)], axis=1).astype(np.int64)
+    return np.stack([(a + np.uint64(k) * b) % np.uint64(size) for k in range(BLOOM_HASHES)], axis=1).astype(np.int64)
 
 
 def _numbers(digests: list[bytes]) -> np.ndarray:
@@ -112,18 +113,19 @@ def manifest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_filter(digests: DataFrame) -> np.ndarray:
-    """A Bloom filter over (digest), as bytes; BLOOM_BITS bits whatever the rows."""
+    """A Bloom filter over (digest), in numbers of 64 bits; as large as the digests are many, up to BLOOM_MOST."""
+    size = min(max(BLOOM_LEAST, 1 << (BLOOM_EACH * digests.count()).bit_length()), BLOOM_MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                pos = np.unique(bloom_bits(_numbers(batch.column(0).to_pylist())))
+                pos = np.unique(bloom_bits(_numbers(batch.column(0).to_pylist()), size))
                 word, at = np.unique(pos >> 6, return_index=True)
                 bits = np.bitwise_or.reduceat(np.uint64(1) << (pos & 63).astype(np.uint64), at)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
     words = digests.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    out = np.zeros(size >> 6, np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -134,7 +136,7 @@ def write_store(docs: DataFrame, shared: np.ndarray, path: str, id_col: str, tex
     own rows: the stored form's digest and its chunks in order, null where
     shared. shared rows: a chunk once a task and its digest.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(shared)  # BLOOM_BITS bits
+    bits = docs.sparkSession.sparkContext.broadcast(shared)  # at most BLOOM_MOST bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["kind", "whole", "chunks", "digest", "bytes"], (pa.string(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary())
@@ -150,7 +152,7 @@ def write_store(docs: DataFrame, shared: np.ndarray, path: str, id_col: str, tex
                     size += len(data)
                     chunks = cut(data)
                     digests = [digest(c) for c in chunks]
-                    pos = bloom_bits(_numbers(digests))
+                    pos = bloom_bits(_numbers(digests), 64 * len(table))
                     hit = ((table[pos >> 6] >> (pos & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1).tolist()
                     if not all(hit):
                         rows.append(("own", hashlib.sha256(data).digest(), [None if s else c for c, s in zip(chunks, hit, strict=True)], None, None))
@@ -202,9 +204,11 @@ def read_features(rows: DataFrame) -> DataFrame:
     return rows.select("whole", "chunks").mapInArrow(run, f"whole binary, {FEATURES}")
 
 
-def read_store(spark: SparkSession, listed: DataFrame, path: str) -> DataFrame:
+def read_store(spark: SparkSession, listed: DataFrame, often: DataFrame, path: str) -> DataFrame:
     """(whole, features...) of every stored form in listed, read back from the store at path.
 
+    often: the fewer than HOT digests that over a HOT-th of all list entries have.
+
     Documents that share no chunk are read as they lie. For the others their
     lists (whole, chunks) fetch the shared chunks by digest.
     """
@@ -218,7 +222,9 @@ def read_store(spark: SparkSession, listed: DataFrame, path: str) -> DataFrame:
     mixed = own.where(some).select("whole", F.posexplode("chunks").alias("at", "bytes")).where("bytes is not null")
     lists = listed.join(own.where(~some).select("whole"), "whole", "left_anti")
     wanted = lists.select("whole", F.posexplode("chunks").alias("at", "digest"))
-    fetched = wanted.join(store, "digest").select("whole", "at", F.col("bytes").alias("packed"), F.lit(None).cast("binary").alias("bytes"))
+    near = wanted.join(F.broadcast(store.join(F.broadcast(often), "digest", "left_semi")), "digest")
+    far = wanted.join(F.broadcast(often), "digest", "left_anti").join(store, "digest")
+    fetched = near.unionByName(far).select("whole", "at", F.col("bytes").alias("packed"), F.lit(None).cast("binary").alias("bytes"))
     parts = fetched.unionByName(mixed.select("whole", "at", F.lit(None).cast("binary").alias("packed"), "bytes"))
     whole = parts.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("at", "packed", "bytes"))).alias("parts"))
 
@@ -242,11 +248,14 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = docs.sparkSession
     made = materialize(manifest(docs, id_col, text_col), "manifest")
-    lists = made.groupBy("whole").agg(F.min("chunks").alias("chunks"), F.count("*").alias("times"))
-    uses = lists.select("times", F.explode("chunks").alias("digest")).groupBy("digest").agg(F.sum("times").alias("times"))
-    shared = shared_filter(uses.where("times > 1").select("digest"))
+    lists = materialize(made.groupBy("whole").agg(F.min("chunks").alias("chunks"), F.count("*").alias("times")), "lists")
+    uses = lists.select("times", F.explode("chunks").alias("digest")).groupBy("digest").agg(F.sum("times").alias("times"), F.count("*").alias("uses"))
+    shared = materialize(uses.where("times > 1"), "shared")
+    entries = lists.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0))).first()[0]
+    often = shared.where(F.col("uses") * HOT > entries).select("digest")
     path = fresh_path(spark, "media")
-    write_store(docs, shared, path, id_col, text_col)
-    read = read_store(spark, lists.select("whole", "chunks"), path)
+    write_store(docs, shared_filter(shared.select("digest")), path, id_col, text_col)
+    read = materialize(read_store(spark, lists.select("whole", "chunks"), often, path), "features")
     names = [x.split()[0] for x in FEATURES.split(", ")]
-    return made.select("doc_id", "n_bytes", "whole").join(read, "whole").select("doc_id", "n_bytes", *names)
+    read = read.join(lists.select("whole", "times"), "whole")
+    return join_hot(made.select("doc_id", "n_bytes", "whole"), read, ["whole"], "times", made.count()).select("doc_id", "n_bytes", *names)
