@@ -152,6 +152,17 @@ def test_one_of_each_component_stays(docs):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 7, 8, 9, 10, 11, 12)] + [(True, None)]
 
 
+def test_rows_that_repeat_an_id_are_told_apart_by_their_texts(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, b), (7, b), (7, a), (7, a), (None, c), (None, c), (None, a), (None, "d")]
+    for hot in (1024, 2):  # also where equal rows count as hot
+        monkeypatch.setattr(simhash, "HOT", hot)
+        for seed in range(3):
+            random.Random(seed).shuffle(rows)
+            kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+            assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(3, b), (7, a), (0, c), (0, "d")])
+
+
 def test_long_texts_are_read_in_parts(spark, monkeypatch):
     """Whole results don't depend on where long texts are cut."""
     r = random.Random(8)
@@ -166,6 +177,11 @@ def test_long_texts_are_read_in_parts(spark, monkeypatch):
         monkeypatch.setattr(wordids, "PART", limit)
         coder = wordids.WordEncoder()
         assert [x.tolist() for x in coder.encode([t.encode() for t in texts], 7)] == [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        for read in (subwords.features, lambda parts: (toxicity.markers_of(b, o) for b, o, _ in parts)):
+            for a, b, parts in textkit.runs(whole, limit):
+                got = Counter(x for doc, row in read(parts) for x in zip(doc.tolist(), row.tolist(), strict=True))
+                doc, row = next(iter(read(iter([(*next(textkit.slices(whole[a:b], 1 << 30))[2:], True)]))))
+                assert got == Counter(zip(doc.tolist(), row.tolist(), strict=True))
         data = np.frombuffer(b"".join(t.encode() for t in texts), np.uint8)
         assert media.marks_of(data, limit) == media.marks_of(data)
         for a, b, parts in textkit.runs(whole, limit):
@@ -216,7 +232,7 @@ def test_a_changed_chunk_is_noticed(spark):
 
 
 def test_url_rules_and_sql(spark, oracle, rows, tmp_path):
-    shutil.copytree(SMALL, tmp_path / "t")
+    shutil.copytree(SMALL, tmp_path / "t", copy_function=shutil.copyfile)
     odd = [
         (1, "http://a.example.net/en/1", "blo"), (2, "https://Example.NET/en/x?y#z", None), (3, "http://net", None), (4, "http://net/", None),
         (5, "//no.scheme/x", None), (6, None, None), (7, "", None), (8, "http://x.example.com/de/1?q=/fr/", None), (9, "http://xexample.com/de/1", None),
@@ -402,7 +418,7 @@ def test_records(spark, docs, empty):
     tokenizer = wordids.word_encoder().tokenizer
     path = fresh_path(spark, "test")
     files = records.write_records(docs, path)
-    got = records.read_records(spark, path, files).collect()
+    got = records.read_records(spark, path).collect()
     want, start = [], 0
     for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0)):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -500,9 +516,12 @@ def test_rules_equal_brute_force(spark, docs, empty):
 
 def test_the_cascade_goes_by_rejections_per_cost_and_keeps_the_verdict(spark):
     df = spark.createDataFrame([(i, "word " * (i % 50) + "$" * (i % 7)) for i in range(200)], "doc_id long, text string")
-    order = rules.order_rules(rules.features(df, "text"), rules.RULES)
-    assert {x.name for x in order} == {x.name for x in rules.RULES}
     f = rules.features(df, "text")
+    slow = " + ".join(f"regexp_count(text, '(w|o|r|d|{k})*?x')" for k in range(12))
+    some = (rules.Rule("slow", f"{slow} > -1 and n_words < 40"), rules.Rule("fast", "n_words < 20"), rules.Rule("never", "n_words < 0"), rules.Rule("more", "n_words < 30"))
+    assert [x.name for x in rules.order_rules(f, some)] == ["more", "fast", "slow", "never"]
+    order = rules.order_rules(f, rules.BASE + rules.RULES)
+    assert {x.name for x in order} == {x.name for x in rules.BASE + rules.RULES}
     a, b = (f.select(rules.cascade(list(o)).alias("k")).where("k").count() for o in (order, order[::-1]))
     assert a == b
 
@@ -511,7 +530,7 @@ def test_the_cascade_goes_by_rejections_per_cost_and_keeps_the_verdict(spark):
 
 
 def test_byte_bpe(spark, docs, empty):
-    one = bytebpe.coder()[0].encode_ordinary
+    one = bytebpe.coder().library.encode_ordinary
     for options in ({}, {"chunk": 40, "overlap": 8, "spread": 100}):
         got = bytebpe.byte_bpe(docs, with_ids=True, **options).collect()
         want = Counter()
@@ -523,9 +542,9 @@ def test_byte_bpe(spark, docs, empty):
 
 
 def test_chunks_are_stitched_where_they_agree():
-    one = bytebpe.coder()[0].encode_ordinary
+    one = bytebpe.coder().library.encode_ordinary
     r = random.Random(1)
-    parts = ["a", "B", "é", "'s", "'", "re", "'r", "'ll", ",", "...", " ", "  ", "\n", "\n\n", "\t", " \n", "12", "中", "ing", " the", "\u0301", "  x"]
+    parts = ["\x1c", "\x1f", "\u0558", "\u208f", "\U00011de0", "\u0b72", "a", "B", "é", "'s", "'", "re", "'r", "'ll", ",", "...", " ", "  ", "\n", "\n\n", "\t", " \n", "12", "中", "ing", " the", "\u0301", "  x"]
     for _ in range(600):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 300)))
         ids = bytebpe.encode(text, r.randint(3, 60), r.randint(2, 12))
