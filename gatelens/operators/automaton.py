@@ -43,6 +43,7 @@ class Baseline:
         self.hist = Histograms(2 * GATES, config) if (self.floor_by, self.spread_by) != ("quantile_floor", "tail_spread") else None
         self.floor, self.spread = np.zeros(2 * GATES), np.ones(2 * GATES)
         self.ceiling, self.refreshed = 0.0, -math.inf
+        self.trusted = False  # whether floors are more than a first value
 
     @property
     def ready(self) -> bool:
@@ -62,7 +63,7 @@ class Baseline:
         if self.hist:
             self.hist.add(ts, energies)
             if self.floor_by == "recurring_floor" and self.hist.observed >= self.c.mode_min_s and ts - self.refreshed >= self.REFRESH:
-                self.floor, self.refreshed = self.hist.recurring(self.c.mode_min_s), ts
+                self.floor, self.refreshed, self.trusted = self.hist.recurring(self.c.mode_min_s), ts, True
 
     def _close(self) -> None:
         rows = np.array(self.rows)
@@ -72,9 +73,9 @@ class Baseline:
         self.ceiling = max(x[2] for x in self.levels)
         modes = self.hist.modes() if self.hist else None
         if self.floor_by == "quantile_floor":
-            self.floor = np.quantile([x[0] for x in self.levels], 0.25, axis=0)
-        elif self.floor_by == "histogram_floor":
-            self.floor = modes
+            self.floor, self.trusted = np.quantile([x[0] for x in self.levels], 0.25, axis=0), True
+        elif self.floor_by == "histogram_floor" and self.hist.observed >= self.c.mode_min_s:
+            self.floor, self.trusted = modes, True
         if self.spread_by == "tail_spread":
             self.spread = np.maximum(np.quantile([x[1] for x in self.levels], 0.25, axis=0), least)
         else:
@@ -82,131 +83,198 @@ class Baseline:
 
 
 class Retention:
-    """A signed fast-over-slow rise of each still channel, in units of its own noise, with a decaying peak and a latch."""
+    """A signed fast-over-slow rise of each still channel, in units of its own noise, with a decaying peak.
 
-    NOISE = 10.0
+    One latch over the gates asked for: it holds from the upper level on until
+    the peak falls under the lower one.
+    """
+
+    NOISE, FIRST, LEAST, LONGEST = 10.0, 0.3, 0.1, 2.0
 
     def __init__(self, config: Config | None = None):
         c = config or Config()
         self.on, self.off, self.taus = c.retention_on, c.retention_off, (c.tau_fast, c.tau_slow, c.tau_peak)
         self.fast = self.slow = None
-        self.noise, self.peak = np.zeros(GATES), np.zeros(GATES)
-        self.blocking = np.zeros(GATES, bool)
+        self.noise, self.peak = np.full(GATES, self.FIRST), np.zeros(GATES)
+        self.latched = False
         self.last: np.ndarray | None = None
 
     def observe(self, dt: float | None, still: np.ndarray) -> None:
         if self.fast is None:
             self.fast, self.slow, self.last = still.copy(), still.copy(), still
             return
-        step = 2.0 if dt is None else min(max(dt, 0.0), 2.0)
-        mix = lambda tau: 1.0 - math.exp(-step / tau)
+        step = self.LONGEST if dt is None else min(max(dt, 0.0), self.LONGEST)
+        mix = lambda tau: 1.0 - math.exp(-step / tau) if tau > 0 else 1.0
         self.noise += mix(self.NOISE) * (np.minimum(np.abs(still - self.last), 4 * self.noise + 0.5) - self.noise)
         self.fast += mix(self.taus[0]) * (still - self.fast)
         self.slow += mix(self.taus[1]) * (still - self.slow)
-        rise = (self.fast - self.slow) / np.maximum(self.noise, 0.1)
-        self.peak = np.maximum(self.peak * math.exp(-step / self.taus[2]), np.maximum(rise, 0.0))
+        rise = (self.fast - self.slow) / np.maximum(self.noise, self.LEAST)
+        self.peak = np.maximum(self.peak * (1.0 - mix(self.taus[2])), np.maximum(rise, 0.0))
         self.last = still
-        if self.off > 0:
-            self.blocking = np.where(self.peak >= self.on, True, np.where(self.peak < self.off, False, self.blocking))
+
+    def level(self, gates: set[int] | None = None) -> float:
+        """The highest peak over the gates, or over all."""
+        return float(self.peak[sorted(gates)].max() if gates else self.peak.max())
+
+    def holds(self, gates: set[int] | None = None) -> bool:
+        if self.off <= 0:
+            return False
+        level = self.level(gates)
+        self.latched = level >= self.on or (self.latched and level >= self.off)
+        return self.latched
 
 
 class Anchor:
-    """The still footprint that balanced motion left; anchored while the present one still projects on it."""
+    """The still footprint that motion left; anchored while the present one still projects on it.
+
+    Only motion that is strong beside the still channel of its own gate can
+    found a footprint; a living one also grows by other strong motion. admitted
+    says whether this frame alone could have founded one.
+    """
 
     GAP, KEEP, SHARE, FIRST = 0.55, 0.4, 1 / 3, 2
 
     def __init__(self, bar: float):
-        self.bar, self.template, self.last, self.score = bar, None, None, 0.0
+        self.bar, self.template, self.last, self.score, self.admitted = bar, None, None, 0.0, False
 
     def observe(self, ts: float, move: np.ndarray, still: np.ndarray, floor: np.ndarray, spread: np.ndarray) -> bool:
-        f = slice(self.FIRST, GATES)
-        if not (np.isfinite(floor).all() and np.isfinite(spread).all() and (spread[f] > 0).all()):
-            return self.template is not None
+        m, s, f, d = (x[self.FIRST :] for x in (move, still, floor, spread))
+        self.admitted = False
+        if not all(np.isfinite(x).all() for x in (m, s, f, d, ts)) or (d <= 0).any():
+            return False
         if self.last is not None and not 0 <= ts - self.last <= self.GAP:
             self.template = None
         self.last = ts
-        now = np.maximum((still[f] - floor[f]) / spread[f], 0.0)
-        m, s = move[f], still[f]
-        if ((m >= self.bar) & (m / np.maximum(m + s, 1) >= self.SHARE)).any():
-            new = now * m / max(m.max(), 1.0)
-            if new @ new > 0 and (self.template is None or new @ new > self.template @ self.template):
-                self.template = new
+        now = np.maximum(s - f, 0.0) / d
+        top = float(m.max())
+        new = now * (m / max(top, 1.0))
+        strong = top >= self.bar and float(new @ new) >= 1.0
+        balanced = bool(((m >= self.bar) & (m / np.maximum(m + s, 1.0) >= self.SHARE)).any())
+        self.admitted = strong and balanced
+        if self.admitted if self.template is None else strong and new @ new > self.template @ self.template:
+            self.template = new
         self.score = 0.0 if self.template is None else float(now @ self.template / (self.template @ self.template))
-        if self.template is not None and self.score < self.KEEP:
-            self.template = None
+        if self.score < self.KEEP:
+            self.template, self.score = None, 0.0
         return self.template is not None
 
 
 class Arming:
-    """Quiet for a while, then many near frames in a short time: someone crosses the near gates on the way out."""
+    """An owned room: quiet at the near gates for a while, then many near frames in a short time, as on the way out."""
 
     WITHIN = 20.0
 
     def __init__(self, config: Config | None = None):
         c = config or Config()
-        self.quiet_s, self.count = c.quiet_s, c.cross_n
+        self.quiet_s, self.count, self.grace_s, self.most = c.quiet_s, c.cross_n, c.grace_s, c.lead_gate_max
+        self.last_near: float | None = None
         self.reset()
 
     def reset(self) -> None:
-        self.armed, self.last_near, self.near = False, None, deque()
+        self.armed, self.quiet, self.near = False, False, deque()
+
+    def rebase(self) -> None:
+        self.last_near = None
+        self.near.clear()
 
-    def observe(self, ts: float, near: bool) -> bool:
-        if near:
-            if self.last_near is not None and ts - self.last_near >= self.quiet_s:
-                self.near.clear()
+    def see(self, ts: float, lead: int | None, owned: bool) -> None:
+        """A frame whose activity leads at that gate."""
+        if lead is not None and lead <= self.most:
             self.last_near = ts
-            self.near.append(ts)
-            while self.near and ts - self.near[0] > self.WITHIN:
-                self.near.popleft()
-            self.armed = self.armed or len(self.near) >= self.count
+            if owned:
+                self.near.append(ts)
+        while self.near and ts - self.near[0] > self.WITHIN:
+            self.near.popleft()
+
+    def step(self, ts: float) -> bool:
+        """A frame of an owned room."""
+        if not self.armed and self.quiet:
+            self.armed = len(self.near) >= self.count
+        elif not self.armed and (self.last_near is None or ts - self.last_near >= self.quiet_s):
+            self.quiet = True
+            self.near.clear()
         return self.armed
 
+    def recent(self, ts: float) -> bool:
+        return self.last_near is not None and ts - self.last_near <= self.grace_s
+
 
 class NearestGate:
-    """Release when the watched gate's trailing median has long been far under its plateau."""
+    """Release when the watched gate's trailing median has long been far under its plateau of this visit.
+
+    Medians are of raw still energy over all frames; plateaus decay and, like
+    the marks of gates that were ever lit, are a visit's own.
+    """
 
-    MEDIAN_S, HALF_LIFE = 5.0, 600.0
+    MEDIAN_S, HALF_LIFE, LIT = 5.0, 600.0, 3.0
 
     def __init__(self, hold_s: float, lost: float = 0.2):
         self.hold_s, self.lost = hold_s, lost
-        self.enter()
+        self.median, self.plateau, self.lit = np.zeros(GATES), np.zeros(GATES), np.zeros(GATES, bool)
+        self.recent: deque = deque()
+        self.since = self.last = None
 
-    def enter(self) -> None:
-        self.recent, self.plateau, self.since, self.last, self.lit = deque(), 0.0, None, None, False
+    def rebase(self) -> None:
+        self.recent.clear()
+        self.since = self.last = None
 
-    def observe(self, ts: float, level: float, admitted: bool) -> bool:
-        self.recent.append((ts, level))
-        while self.recent and self.recent[0][0] <= ts - self.MEDIAN_S:
+    def observe(self, ts: float, still: np.ndarray) -> None:
+        self.recent.append((ts, still))
+        while self.recent[0][0] <= ts - self.MEDIAN_S:
             self.recent.popleft()
-        median = float(np.median([x for _, x in self.recent])) if self.recent else 0.0
-        age = 0.0 if self.last is None else max(ts - self.last, 0.0)
-        self.plateau, self.last = max(self.plateau * 2.0 ** (-age / self.HALF_LIFE), median), ts
-        self.lit = self.lit or self.plateau > 0
-        low = self.lit and not admitted and self.plateau > 0 and median / self.plateau < self.lost
-        self.since = (self.since if self.since is not None else ts) if low else None
-        return self.since is not None and ts - self.since >= self.hold_s
+        self.median = np.median([x for _, x in self.recent], axis=0)
+
+    def enter(self, ts: float, floor: np.ndarray, spread: np.ndarray) -> None:
+        self.plateau, self.lit = self.median.copy(), self.median > floor + self.LIT * spread
+        self.since, self.last = None, ts
+
+    def releases(self, ts: float, floor: np.ndarray, spread: np.ndarray, watched: int | None, admitted: bool) -> bool:
+        decay = 1.0 if self.last is None else 2.0 ** (-(ts - self.last) / self.HALF_LIFE)
+        self.last = ts
+        self.plateau = np.maximum(self.plateau * decay, self.median)
+        self.lit |= self.median > floor + self.LIT * spread
+        dark = watched is not None and self.lit[watched] and not admitted and self.median[watched] / max(self.plateau[watched], 1e-9) < self.lost
+        if not dark:
+            self.since = None
+            return False
+        self.since = ts if self.since is None else self.since
+        return ts - self.since >= self.hold_s
 
 
 @dataclass
 class Episode:
+    """What gathers over one gate's activity, or (gate None) over the activity of any gate."""
+
     scope: str
     gate: int | None
     t0: float
     t1: float
+    lo: int
+    hi: int
+    seen: float
+    quiet: float | None = None
     peak: float = 0.0
-    lo: int = GATES
-    hi: int = -1
     active_s: float = 0.0
     still_s: float = 0.0
-    weight: float = 0.0
-    centre: float = 0.0
+    moment: float = 0.0
     first: float | None = None
     latest: float = 0.0
     entered: bool = False
     saw_active: bool = False
     lead: int | None = None
     reasons: set = field(default_factory=set)
-    gate_peaks: np.ndarray = field(default_factory=lambda: np.zeros(GATES))
+    raw: np.ndarray = field(default_factory=lambda: np.zeros(GATES))
+
+    def gather(self, step: float, peak: float, still: bool, active: bool, occupied: bool, verdict: str | None, lead: int | None) -> None:
+        self.active_s += step
+        self.still_s += step if still else 0.0
+        self.peak = max(self.peak, peak)
+        self.saw_active |= active
+        self.entered |= occupied
+        if verdict is not None:
+            self.reasons.add(verdict)
+        if lead is not None:
+            self.lead = lead if self.lead is None else min(self.lead, lead)
 
     def result(self) -> str:
         if self.entered:
@@ -219,15 +287,16 @@ class Episode:
         return "rejected_hysteresis"
 
     def row(self) -> dict:
-        span = max(self.t1 - self.t0, 0.0)
+        span = self.t1 - self.t0
+        if self.gate is not None:
+            centre, velocity = float(self.gate), 0.0
+        else:
+            centre = self.moment / self.active_s if self.active_s > 0 else self.latest
+            velocity = (self.latest - (self.latest if self.first is None else self.first)) / span if span > 0 else 0.0
         return {
-            "scope": self.scope, "gate": self.gate, "t0": self.t0, "t1": self.t1, "peak": self.peak,
-            "lo": self.lo if self.hi >= 0 else None, "hi": self.hi if self.hi >= 0 else None,
-            "centroid": self.centre / self.weight if self.weight else None,
-            "velocity": (self.latest - self.first) / span if self.first is not None and span > 0 else 0.0,
-            "still_frac": self.still_s / self.active_s if self.active_s else 0.0,
-            "active_frac": min(self.active_s / span, 1.0) if span > 0 else 1.0,
-            "result": self.result(), "leading_gate": self.lead,
+            "scope": self.scope, "gate": self.gate, "t0": self.t0, "t1": self.t1, "peak": self.peak, "lo": self.lo, "hi": self.hi,
+            "centroid": centre, "velocity": velocity, "still_frac": self.still_s / self.active_s if self.active_s > 0 else 0.0,
+            "active_frac": min(self.active_s / span, 1.0) if span > 0 else 1.0, "result": self.result(), "leading_gate": self.lead, "raw": self.raw,
         }
 
 
@@ -240,257 +309,273 @@ class Sensor:
         self.baseline = Baseline(config)
         self.retention, self.anchor, self.arming = Retention(config), Anchor(config.anchor_bar), Arming(config)
         self.nearest, self.change = NearestGate(config.hold_s, config.release_fraction), ChangepointRelease(config.hold_s, config.tick_s, config.changepoint_hazard_s)
-        self.in_room, self.bar, self.classes = InRoom(config.in_room_half_life_s), ArrivalBar(config.baseline_window_s), GateClasses(config)
+        self.in_room, self.bar = InRoom(config.in_room_half_life_s), ArrivalBar(config.baseline_window_s)
+        self.classes = GateClasses(config)
         self.support = np.zeros(GATES)
         self.mono: float | None = None
         self.ts: float | None = None
-        self.occupied, self.deadline, self.vacated = False, None, None
+        self.occupied, self.measured = False, False
+        self.deadline: float | None = None
+        self.freeze: float | None = None
         self.edge: int | None = None
+        self.watched: int | None = None
         self.candidate, self.arrivals = 0.0, 0
         self.owned: set[int] | None = None
-        self.near_at: float | None = None
         self.gates: dict[int, Episode] = {}
-        self.quiet_at: dict[int, float] = {}
         self.detection: Episode | None = None
         self.awaiting_quiet = False
-        self.was_ready = False
 
     # -- pieces of a step ------------------------------------------------------
 
-    def _runs(self, level: np.ndarray, barred: np.ndarray, lone: bool) -> tuple[float, tuple[int, ...]]:
-        best, gates, run = 0.0, (), []
+    def _credible(self, run: list[int], barred: np.ndarray) -> bool:
+        """Several gates, or one with a neighbour that has half the bar for some time; a barred one lends nothing."""
+        if len(run) > 1 or "lone_gate_suppression" not in self.on:
+            return True
+        beside = (run[0] - 1, run[0] + 1)
+        return any(0 <= g < GATES and not barred[g] and self.support[g] >= self.c.k / 2 for g in beside)
+
+    def _runs(self, level: np.ndarray, barred: np.ndarray) -> list[list[int]]:
+        """The credible runs of gates over the bar, the nearest first."""
+        runs, run = [], []
         for g in range(GATES + 1):
             if g < GATES and level[g] >= self.c.k and not barred[g]:
                 run.append(g)
-                continue
-            if run:
-                beside = [x for x in (run[0] - 1, run[-1] + 1) if 0 <= x < GATES and not barred[x]]
-                alone = len(run) == 1 and lone and not any(level[x] >= self.c.gate_on for x in beside)
-                score = float(level[run].sum()) / self.c.k
-                if not alone and score > best:
-                    best, gates = score, tuple(run)
-            run = []
+            elif run:
+                if self._credible(run, barred):
+                    runs.append(run)
+                run = []
+        return runs
+
+    def _score(self, peaks: np.ndarray, barred: np.ndarray) -> tuple[float, tuple[int, ...]]:
+        """The strongest run's peaks in units of the bar, and its gates; the nearest of equal ones."""
+        best, gates = 0.0, ()
+        for run in self._runs(peaks, barred):
+            score = sum(float(peaks[g]) for g in run) / self.c.k
+            if score > best:
+                best, gates = score, tuple(run)
         return best, gates
 
+    def _barred(self) -> np.ndarray:
+        if "gate_exclusion" not in self.on:
+            return np.zeros(GATES, bool)
+        barred = np.array([k == "bleed" for k in self.classes.kind]) if "dwell_class" in self.on else np.zeros(GATES, bool)
+        return barred | self._outside()
+
+    def _outside(self) -> np.ndarray:
+        """Gates beyond the cap that is set, or beyond the boundary that is learned."""
+        c, out = self.c, np.zeros(GATES, bool)
+        if "gate_exclusion" in self.on and c.max_gate is not None:
+            out |= GATE > c.max_gate
+        if "energy_ceiling" in self.on and c.ceiling_enabled and self.classes.boundary is not None:
+            out |= GATE > self.classes.boundary
+        return out
+
     def _verdict(self, anchored: bool) -> str | None:
-        checks = {
-            "energy_floor": self.c.energy_floor > 0 and self.candidate < self.c.energy_floor,
-            "arrival": self.baseline.ceiling > 0 and self.arrivals < self.c.arrival_min_frames,
-            "leading_edge": self.c.lead_gate_max >= 0 and (self.edge is None or self.edge > self.c.lead_gate_max),
+        c = self.c
+        rejects = {
+            "energy_floor": c.energy_floor > 0 and self.candidate < c.energy_floor,
+            "arrival": c.arrival_frac > 0 and len(self.baseline.levels) > 0 and self.arrivals < c.arrival_min_frames,
+            "leading_edge": c.lead_gate_max >= 0 and (self.edge is None or self.edge > c.lead_gate_max),
             "motion_anchor": not anchored,
         }
-        return next(("rejected_" + s for s in self.c.stages if checks.get(s)), None)
-
-    def _holds(self, score: float, ts: float) -> bool:
-        unowned = self.owned is None
-        held = "score_hold" in self.on and unowned and score >= self.c.exit_score
-        near = self.near_at is not None and ts - self.near_at <= self.c.grace_s
-        held |= "attributed_hold" in self.on and not unowned and score >= self.c.exit_score and near
-        held |= "retention_hold" in self.on and not unowned and not self.arming.armed and any(self.retention.blocking[g] for g in self.owned)
-        return bool(held)
-
-    def _enter_releases(self, ts: float, active: tuple[int, ...]) -> None:
-        self.nearest.enter()
-        self.change.enter(ts, active)
-
-    def _leave(self, ts: float) -> None:
-        self.occupied, self.deadline, self.vacated, self.owned = False, None, ts, None
+        return next(("rejected_" + s for s in c.stages if rejects.get(s)), None)
+
+    def _holds(self, score: float, mono: float) -> bool:
+        unowned, strong = self.owned is None, score >= self.c.exit_score
+        holds = {
+            "score_hold": unowned and strong,
+            "attributed_hold": not unowned and strong and self.arming.recent(mono),
+            "retention_hold": not unowned and not self.arming.armed and self.retention.holds(self.owned),
+        }
+        return any(holds[s] for s in holds if s in self.on)
+
+    def _enter_releases(self, mono: float) -> None:
+        floor, spread = self.baseline.floor[GATES:], self.baseline.spread[GATES:]
+        self.nearest.enter(mono, floor, spread)
+        self.change.enter(mono)
+
+    def _released(self, mono: float) -> bool:
+        """Every listed release is stepped, whatever another one says."""
+        floor, spread = self.baseline.floor[GATES:], self.baseline.spread[GATES:]
+        said = []
+        if "nearest_gate_release" in self.on:
+            said.append(self.nearest.releases(mono, floor, spread, self.watched, self.anchor.admitted))
+        if "changepoint_release" in self.on:
+            said.append(self.change.releases(mono))
+        return any(said)
+
+    def _restart_presence(self) -> None:
         self.arming.reset()
+        self.retention.latched = False
 
-    def _advance(self, ts: float, mono: float, score: float, full: float, active: tuple[int, ...], verdict: str | None, released: bool) -> None:
+    def _advance(self, mono: float, score: float, active: tuple[int, ...], verdict: str | None) -> None:
+        c = self.c
         if not self.occupied:
-            if active and score >= self.c.enter_score and verdict is None:
+            if score >= c.enter_score and verdict is None:
                 self.occupied, self.deadline = True, None
-                if "ownership" in self.on and self.edge is not None and self.edge <= self.c.lead_gate_max:
+                if "ownership" in self.on and c.lead_gate_max >= 0 and self.edge is not None and self.edge <= c.lead_gate_max:
                     self.owned = set(active)
-                self.arming.reset()
-                self._enter_releases(ts, active)
+                    self._restart_presence()
+                self._enter_releases(mono)
             return
-        if released:
-            return self._leave(ts)
         if self.owned is not None:
             self.owned |= set(active)
-        if full >= self.c.enter_score or self._holds(full, ts):
+            if "crossing_arming" in self.on:
+                self.arming.step(mono)
+        over = False
+        if self._holds(score, mono):
             self.deadline = None
         elif self.deadline is None:
-            self.deadline = mono + self.c.hold_s
-        elif mono >= self.deadline:
-            self._leave(ts)
-
-    def _episodes(self, ts: float, peaks: np.ndarray, still: np.ndarray, active: tuple[int, ...], verdict: str | None) -> list[dict]:
-        c, out, was = self.c, [], self.ts
-        if was is not None and ts - was > c.episode_stall_s:
+            self.deadline = mono + c.hold_s
+        else:
+            over = mono >= self.deadline
+        if over or self._released(mono):
+            self.occupied, self.deadline, self.owned, self.freeze = False, None, None, mono + c.freeze_hold_s
+            self._restart_presence()
+
+    def _episodes(self, ts: float, peaks: np.ndarray, rm: np.ndarray, rs: np.ndarray, move: np.ndarray, active: tuple[int, ...], verdict: str | None) -> list[dict]:
+        c, out, gap = self.c, [], self.c.episode_gap_s
+        if self.occupied:
+            self.awaiting_quiet = False
+        if self.ts is not None and ts - self.ts > c.episode_stall_s:
             out += self._close_all()
-        step = 0.0 if was is None else min(max(ts - was, 0.0), c.episode_gap_s)
+        raised = False
         for g in range(GATES):
-            e, s = self.gates.get(g), self.support[g]
-            if e is None and s >= c.gate_on:
-                e = self.gates[g] = Episode("gate", g, ts, ts, lo=g, hi=g)
+            e, level = self.gates.get(g), self.support[g]
             if e is None:
+                if level < c.gate_on:
+                    continue
+                e = self.gates[g] = Episode("gate", g, ts, ts, g, g, ts)
+                self._widen(ts, g)
+            step, stalled = min(max(ts - e.seen, 0.0), gap), ts - e.seen > gap
+            e.seen = ts
+            if level >= c.gate_off:
+                raised, e.quiet, e.t1 = True, None, ts
+                e.raw[g] = max(e.raw[g], move[g])
+                e.gather(step, float(peaks[g]), rs[g] > rm[g], g in active, self.occupied, verdict, self.edge)
+                self._widen(ts, g)
                 continue
-            if s >= c.gate_off:
-                e.t1 = ts
-                e.active_s += step
-                e.still_s += step if still[g] >= peaks[g] > 0 else 0.0
-                e.peak = max(e.peak, float(peaks[g]))
-                e.gate_peaks[g] = max(e.gate_peaks[g], float(peaks[g]))
-                e.entered |= self.occupied
-                e.saw_active |= g in active
-                if verdict:
-                    e.reasons.add(verdict)
-                if self.edge is not None:
-                    e.lead = self.edge if e.lead is None else min(e.lead, self.edge)
-            elif ts - e.t1 >= c.episode_gap_s:
+            e.quiet = ts if e.quiet is None else e.quiet
+            if stalled or ts - e.quiet >= gap:
                 out.append(self.gates.pop(g).row())
-        d = self.detection
+        if raised and self.detection is not None:
+            self._gather(self.detection, ts, gap, peaks, rm, rs, move, active, verdict)
         if not self.gates:
             self.awaiting_quiet = False
-            if d is not None:
-                out.append(d.row())
-                self.detection = None
-        elif d is None and not self.awaiting_quiet:
-            d = self.detection = Episode("detection", None, ts, ts)
-        if self.detection is not None:
-            d = self.detection
-            strong = [g for g in range(GATES) if self.support[g] >= c.gate_on]
-            if strong:
-                p = np.maximum(peaks[strong], 1e-9)
-                centre = float((p * strong).sum() / p.sum())
-                d.t1, d.lo, d.hi = ts, min(d.lo, strong[0]), max(d.hi, strong[-1])
-                d.first = centre if d.first is None else d.first
-                d.latest, d.peak = centre, max(d.peak, float(peaks.max()))
-                d.active_s += step
-                d.still_s += step * float(np.maximum(still[strong], 0).sum() / max(np.maximum(still[strong], 0).sum() + p.sum(), 1e-9))
-                d.weight += max(step, 1e-3)
-                d.centre += centre * max(step, 1e-3)
-            left = d.entered and not self.occupied
-            d.entered |= self.occupied
-            d.saw_active |= bool(active)
-            if verdict:
-                d.reasons.add(verdict)
-            if left:  # its occupancy is over; what is left of the gates is the way out
-                out.append(d.row())
-                self.detection, self.awaiting_quiet = None, True
+        d = self.detection
+        if d is not None and (not self.gates or (d.entered and not self.occupied)):
+            out.append(d.row())
+            # what is left of the gates after an occupancy is the way out, no activity of its own
+            self.detection, self.awaiting_quiet = None, bool(self.gates)
         return out
 
+    def _widen(self, ts: float, g: int) -> None:
+        d = self.detection
+        if d is None:
+            if not self.awaiting_quiet:
+                self.detection = Episode("detection", None, ts, ts, g, g, ts, latest=float(g))
+            return
+        d.lo, d.hi, d.t1 = min(d.lo, g), max(d.hi, g), max(d.t1, ts)
+
+    def _gather(self, d: Episode, ts: float, gap: float, peaks: np.ndarray, rm: np.ndarray, rs: np.ndarray, move: np.ndarray, active: tuple[int, ...], verdict: str | None) -> None:
+        step = min(max(ts - d.seen, 0.0), gap)
+        d.seen = ts
+        strong = self.support >= self.c.gate_on
+        d.raw = np.where(strong, np.maximum(d.raw, move), d.raw)
+        mass = np.where(strong, peaks, 0.0)
+        if mass.sum() > 0:
+            d.latest = float(mass @ GATE / mass.sum())
+            d.first = d.latest if d.first is None else d.first
+        d.moment += d.latest * step
+        still = np.maximum(rs, 0.0).sum() > np.maximum(rm, 0.0).sum()
+        d.gather(step, float(peaks.max()), bool(still), bool(active), self.occupied, verdict, self.edge)
+
     def _close_all(self) -> list[dict]:
-        out = [e.row() for e in self.gates.values()] + ([self.detection.row()] if self.detection else [])
+        out = [self.gates[g].row() for g in sorted(self.gates)] + ([self.detection.row()] if self.detection else [])
         self.gates, self.detection, self.awaiting_quiet = {}, None, False
         return out
 
+    def _learn(self, ts: float, move: np.ndarray, still: np.ndarray) -> None:
+        """The frame goes into all that is learned, whatever the detector says; it counts from the next frame on."""
+        b = self.baseline
+        b.add(ts, np.concatenate([move, still]))
+        if "in_room_gates" in self.on:
+            self.in_room.observe(ts, move, still, b.floor[GATES:], b.spread[GATES:], b.trusted)
+            self.watched = self.in_room.watched(ts)
+        if "arrival_bar" in self.on:
+            self.bar.observe(ts, move, b.floor[:GATES] + self.c.k * b.spread[:GATES] if b.ready else None)
+            self.anchor.bar = self.c.anchor_bar if self.bar.bar is None else self.bar.bar
+
     # -- the step --------------------------------------------------------------
 
     def step(self, ts: float, mono: float, move, still, device_occ: bool) -> tuple[dict, list[dict]]:
         """The row after this frame and the episodes that closed with it."""
         c = self.c
         move, still = np.asarray(move, float), np.asarray(still, float)
-        energies = np.concatenate([move, still])
-        dt = None if self.mono is None else mono - self.mono
+        dt, restarted = None if self.mono is None else mono - self.mono, False
         if dt is not None and dt < 0:  # the process restarted: what was timed by the old clock starts over
+            restarted = True
             self.deadline = None if self.deadline is None else mono + c.hold_s
-            self.arming.reset()
-            self._enter_releases(ts, tuple(self.change.models))
-            dt = None
-        alpha = 1.0 if dt is None or c.support_tau_s <= 0 else (1.0 - math.exp(-dt / c.support_tau_s) if dt > 0 else 0.0)
-        self.retention.observe(dt, still)
+            self.freeze = None if self.freeze is None else mono + c.freeze_hold_s
+            for part in (self.arming, self.nearest, self.change):
+                part.rebase()
+        alpha = 1.0 if dt is None or c.support_tau_s <= 0 else 1.0 - math.exp(-max(dt, 0.0) / c.support_tau_s)
+        if "retention" in self.on:
+            self.retention.observe(None if restarted else dt, still)
         self.mono = mono
         if not self.baseline.ready:
-            self.support += alpha * (0.0 - self.support)
-            self.baseline.add(ts, energies)
-            self.occupied = bool(device_occ)
-            self.ts = ts
-            return self._row(ts, 0.0, (), 0.5, None, None, False), []
-        residual = (energies - self.baseline.floor) / self.baseline.spread
+            self.support -= alpha * self.support
+            self.occupied, self.measured, self.deadline, self.freeze = bool(device_occ), False, None, None
+            self._learn(ts, move, still)
+            return self._row(ts, 0.0, (), 0.5, None, False, False), []
+        residual = (np.concatenate([move, still]) - self.baseline.floor) / self.baseline.spread
         rm, rs = residual[:GATES], residual[GATES:]
         peaks = np.maximum(0.0, np.maximum(rm, rs))
         self.support += alpha * (peaks - self.support)
-        barred = self.classes.barred("dwell_class" in self.on, "energy_ceiling" in self.on or c.ceiling_enabled) if "gate_exclusion" in self.on else np.zeros(GATES, bool)
-        if c.max_gate is not None:
-            barred = barred | (GATE > c.max_gate)
-        lone = "lone_gate_suppression" in self.on
-        full, _ = self._runs(self.support, np.zeros(GATES, bool), lone)
-        score, active = self._runs(self.support, np.zeros(GATES, bool) if self.occupied else barred, lone)
-        strong = rm >= c.k
-        half = np.concatenate([[False], rm >= c.gate_on, [False]])
-        lead = next((int(g) for g in np.flatnonzero(strong & (half[:-2] | half[2:]))), None)
-        if not (active or self.gates):
+        free, scored = np.zeros(GATES, bool), "run_score" in self.on
+        score, active = self._score(peaks, free if self.occupied else self._barred()) if scored else (0.0, ())
+        activity = bool(active or self.gates)
+        lead = next((run[0] for run in self._runs(rm, free)), None) if scored else None
+        if not activity:
             self.edge = None
-        elif lead is not None:
+        if lead is not None:
             self.edge = lead if self.edge is None else min(self.edge, lead)
-        if lead is not None and lead <= 1:
-            self.near_at = ts
-        if self.occupied or not active:
+        if self.occupied or not activity:
             self.candidate, self.arrivals = 0.0, 0
-        else:
+        if active:
             g = list(active)
             self.candidate = max(self.candidate, float((move + still)[g].max()))
             self.arrivals += int(move[g].max() >= c.arrival_frac * self.baseline.ceiling)
-        floor, spread = self.baseline.floor, self.baseline.spread
-        if "in_room_gates" in self.on:
-            self.in_room.observe(ts, move, still, floor[GATES:], spread[GATES:])
-        if "arrival_bar" in self.on:
-            self.anchor.bar = self.bar.observe(ts, move, floor[:GATES] + c.k * spread[:GATES], c.k) or c.anchor_bar
-        anchored = self.anchor.observe(ts, move, still, floor[GATES:], spread[GATES:])
-        self.arming.observe(ts, lead is not None and lead <= 1)
-        if not self.was_ready and self.occupied:
-            self._enter_releases(ts, active)
-        self.was_ready = True
-        released = False
-        if self.occupied:  # every release is stepped, whatever another one says
-            watched = self.in_room.watched(ts) if "nearest_gate_release" in self.on else None
-            if watched is not None:
-                released |= self.nearest.observe(ts, float(max(still[watched] - floor[GATES + watched], 0.0)), anchored)
-            if "changepoint_release" in self.on:
-                released |= self.change.observe(ts, still, spread[GATES:], anchored)
+        floor, spread = self.baseline.floor[GATES:], self.baseline.spread[GATES:]
+        anchored = "motion_anchor" in self.on and self.anchor.observe(mono, move, still, floor, spread)
+        if "nearest_gate_release" in self.on:
+            self.nearest.observe(mono, still)
+        if "changepoint_release" in self.on:
+            self.change.observe(mono, still, floor, spread, self.anchor.admitted, self.occupied)
+        if "crossing_arming" in self.on:
+            self.arming.see(mono, lead, self.owned is not None)
+        if not self.measured and self.occupied:  # a carried-over occupancy had no entry
+            self._enter_releases(mono)
+        self.measured = True
         verdict = self._verdict(anchored) if not self.occupied and active else None
-        self._advance(ts, mono, score, full, active, verdict, released)
-        closed = self._episodes(ts, peaks, rs, active, verdict)
+        self._advance(mono, score, active, verdict)
+        closed = self._episodes(ts, peaks, rm, rs, move, active, verdict)
         for e in closed:
             self.classes.closed(e)
-        self.classes.tick(ts, self.gates)
-        self.baseline.add(ts, energies)
+        self.classes.tick(ts, {g: e.t0 for g, e in self.gates.items()})
+        frozen = self.occupied or (self.freeze is not None and mono < self.freeze)
+        self._learn(ts, move, still)
         self.ts = ts
         slope = 4.0 / c.enter_score if c.enter_score > 0 else 4.0
         confidence = 1.0 / (1.0 + math.exp(-max(min(slope * (score - c.enter_score), 700.0), -700.0)))
-        return self._row(ts, score, active, confidence, verdict, lead, anchored), closed
+        return self._row(ts, score, active, confidence, verdict, anchored, frozen), closed
 
-    def _row(self, ts: float, score: float, active: tuple[int, ...], confidence: float, verdict: str | None, lead: int | None, anchored: bool) -> dict:
-        frozen = self.occupied or (self.vacated is not None and ts - self.vacated <= self.c.freeze_hold_s)
+    def _row(self, ts: float, score: float, active: tuple[int, ...], confidence: float, verdict: str | None, anchored: bool, frozen: bool) -> dict:
+        kinds = ["out" if o else k if "dwell_class" in self.on else "unknown" for k, o in zip(self.classes.kind, self._outside(), strict=True)]
         return {
             "ts": ts, "occupied": self.occupied, "confidence": confidence, "score": score, "active_gates": list(active),
-            "rejection": verdict, "leading_gate": lead, "anchored": anchored, "frozen": frozen,
-            "baseline_ready": self.baseline.ready, "gate_classes": "".join(LETTERS[k] for k in self.classes.kind), "boundary_gate": self.classes.boundary,
-            "retention_max": float(self.retention.peak.max()), "owned": sorted(self.owned) if self.owned else [],
+            "rejection": verdict, "leading_gate": self.edge if self.measured else None, "anchored": anchored, "frozen": frozen,
+            "baseline_ready": self.measured, "gate_classes": "".join(LETTERS[k] for k in kinds),
+            "boundary_gate": self.classes.boundary if "energy_ceiling" in self.on else None,
+            "retention_max": self.retention.level(self.owned) if "retention" in self.on else 0.0, "owned": sorted(self.owned) if self.owned else [],
         }
-
-
-class Changepoints:
-    """Bayesian online changepoints of one series: a Normal-Gamma model a run length, Student-t predictions."""
-
-    def __init__(self, hazard: float = 0.1 / 120, longest: int = 600, recent: int = 20, warm: int = 20):
-        self.hazard, self.longest, self.recent, self.warm = hazard, longest, recent, warm
-        self.p = np.ones(1)
-        self.mu, self.kappa, self.alpha, self.beta = np.zeros(1), np.full(1, 0.01), np.full(1, 1.0), np.full(1, 1.0)
-        self.seen, self.high = 0, False
-        half = np.arange(longest + 2) * 0.5 + 1.0
-        self.norm = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in half])
-
-    def observe(self, x: float) -> tuple[float, bool]:
-        """Probability of a short run, and whether it has just risen over one half."""
-        if not self.seen:
-            self.mu[:] = x
-        scale = self.beta * (self.kappa + 1) / (self.alpha * self.kappa)
-        df = 2 * self.alpha
-        run = np.round((self.alpha - 1.0) * 2).astype(int)
-        like = np.exp(self.norm[run] - 0.5 * np.log(df * math.pi * scale) - (df + 1) / 2 * np.log1p((x - self.mu) ** 2 / (df * scale)))
-        grown, new = self.p * like * (1 - self.hazard), float((self.p * like).sum() * self.hazard)
-        p = np.concatenate([[new], grown])[: self.longest]
-        self.p = p / max(p.sum(), 1e-300)
-        mu = (self.kappa * self.mu + x) / (self.kappa + 1)
-        beta = self.beta + self.kappa * (x - self.mu) ** 2 / (2 * (self.kappa + 1))
-        put = lambda first, rest: np.concatenate([[first], rest])[: self.longest]
-        self.mu, self.kappa, self.alpha, self.beta = put(x, mu), put(0.01, self.kappa + 1), put(1.0, self.alpha + 0.5), put(1.0, beta)
-        self.seen += 1
-        short = float(self.p[: self.recent].sum()) if self.seen > self.warm else 0.0
-        turned, self.high = short > 0.5 and not self.high, short > 0.5
-        return short, turned

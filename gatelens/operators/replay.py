@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelens.plans.config import Config
 
-from .automaton import Changepoints, Sensor
+from .automaton import Sensor
+from .learned import RunLengths
 
 STATE = (
     "sensor string, ts double, occupied boolean, confidence double, score double, active_gates array<int>, rejection string, "
@@ -110,9 +112,15 @@ def ema(df: DataFrame, value: str, tau_s: float, *keys: str) -> DataFrame:
     return fold(df, keys, dict, step, "id long, ema double")
 
 
-def changepoints(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(id, short, turned): the probability of a run of few rows, and its rises over one half."""
-    return fold(df, keys, Changepoints, lambda s, r: (r.id, *s.observe(float(getattr(r, value)))), "id long, short double, turned boolean")
+def changepoints(df: DataFrame, values: str, floor: list[float], spread: list[float], *keys: str) -> DataFrame:
+    """(id, short, ago): of an array column's joint changepoints, the probability of a run of few rows and, where it rises over one half, how many rows ago the run began."""
+    f, d = np.array(floor), np.array(spread)
+
+    def step(s: RunLengths, r) -> tuple:
+        ago = s.step(np.asarray(getattr(r, values), float), f, d)
+        return r.id, s.mass, -1 if ago is None else ago
+
+    return fold(df, keys, RunLengths, step, "id long, short double, ago long")
 
 
 def hold_grid(df: DataFrame, step_s: float, *keys: str) -> DataFrame:

@@ -26,9 +26,14 @@ def restore(data: bytes, config: Config) -> Sensor:
 
 def reconfigured(sensor: Sensor, config: Config) -> Sensor:
     """New settings from the next frame on. What is learned stays; a shorter window forgets its oldest buckets."""
-    sensor.c, sensor.on = config, set(config.stages)
-    sensor.anchor.bar = config.anchor_bar
+    sensor.c, sensor.on, sensor.classes.c = config, set(config.stages), config
+    sensor.anchor.bar = config.anchor_bar if sensor.bar.bar is None else sensor.bar.bar
     sensor.nearest.hold_s = sensor.change.hold_s = config.hold_s
+    sensor.nearest.lost = config.release_fraction
+    keep = sensor.retention
+    keep.on, keep.off, keep.taus = config.retention_on, config.retention_off, (config.tau_fast, config.tau_slow, config.tau_peak)
+    arming = sensor.arming
+    arming.quiet_s, arming.count, arming.grace_s, arming.most = config.quiet_s, config.cross_n, config.grace_s, config.lead_gate_max
     base = sensor.baseline
     base.c = replace(config)
     base.levels = type(base.levels)(base.levels, maxlen=config.window_buckets)

@@ -88,7 +88,7 @@ def rec23(spark, d):
         s.setdefault("r", Retention())
         s["r"].observe(None if "t" not in s else (r.ts - s["t"]) / 600.0, np.asarray(r.still, float))
         s["t"] = r.ts
-        return r.id, float(s["r"].peak.max()), bool(s["r"].blocking.any())
+        return r.id, s["r"].level(), s["r"].holds()
 
     return R.fold(frames(spark, d).select("sensor", "ts", "id", "still"), ("sensor",), dict, step, "id long, peak double, blocking boolean")
 
@@ -108,15 +108,19 @@ def rec13(spark, d):
 
 @query("arm1_crossing")
 def arm1(spark, d):
+    """A room that is owned throughout; an hour of events stands for a second."""
     def step(a: Arming, r) -> tuple:
-        return r.id, bool(a.observe(r.ts / 3600.0, r.gate <= 1))
+        a.see(r.ts / 3600.0, r.gate, True)
+        return r.id, a.step(r.ts / 3600.0), a.recent(r.ts / 3600.0)
 
-    return R.fold(samples(spark, d).select("sensor", "ts", "id", "gate"), ("sensor",), Arming, step, "id long, armed boolean")
+    return R.fold(samples(spark, d).select("sensor", "ts", "id", "gate"), ("sensor",), Arming, step, "id long, armed boolean, near boolean")
 
 
 @query("rec15_changepoints")
 def rec15(spark, d):
-    return R.changepoints(samples(spark, d).select("sensor", "gate", "ts", "id", "energy"), "energy", "sensor", "gate")
+    """Joint changepoints of each sensor's still gates from the third on."""
+    f = frames(spark, d).select("sensor", "ts", "id", F.slice("still", 3, 7).alias("still"))
+    return R.changepoints(f, "still", [30.0] * 7, [10.0] * 7, "sensor")
 
 
 @query("src7_wire_decode", SQL_FRAMES, sql="select sensor, ts, move, still, distance_cm, device_occ from f")

@@ -79,7 +79,7 @@ def win15(spark, d):
 def rec7(spark, d):
     def step(s: dict, r) -> tuple:
         bar = s.setdefault("b", L.ArrivalBar(30 * 1440.0))
-        got = bar.observe(r.ts / 60.0, np.asarray(r.move, float), np.full(9, 90.0), 3.0)
+        got = bar.observe(r.ts / 60.0, np.asarray(r.move, float), np.full(9, 90.0))
         return r.id, None if got is None else float(got), int(bar.counts.sum())
 
     return R.fold(frames(spark, d).select("sensor", "ts", "id", "move"), ("sensor",), dict, step, "id long, bar double, bursts long")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from gatelens.functions import arrays as A
 from gatelens.operators import buckets, decay, house, intervals, islands, learned, models, replay, research, snapshot
-from gatelens.operators.automaton import Anchor, Changepoints, Sensor
+from gatelens.operators.automaton import Sensor
 from gatelens.plans.config import Config, configured
 from gatelens.plans.stages import ALL_STAGES, Stage, chosen, order
 from gatelens.sources import recordings, sinks, wire
@@ -77,18 +77,6 @@ def test_boundary(spark):
     assert decay.boundary_gate(p, "level", 0.45, "sensor").first().boundary == 4
 
 
-def test_anchor():
-    floor, spread = np.full(9, 10.0), np.full(9, 2.0)
-    gates = lambda v: np.array([0, 0] + [v] * 7, float)
-    a = Anchor(40.0)
-    assert not a.observe(0.0, gates(39.9), gates(30), floor, spread)
-    assert a.observe(0.1, gates(60), gates(30), floor, spread) and abs(a.score - 1) < 1e-9
-    assert not a.observe(0.1 + 0.56, gates(0), gates(30), floor, spread)  # a gap
-    a.observe(1.0, gates(60), gates(30), floor, spread)
-    assert a.observe(1.1, gates(0), gates(30), floor, np.zeros(9))  # unusable input changes nothing
-    assert not a.observe(0.9, gates(0), gates(30), floor, spread)  # time went back
-
-
 def frames(n, raised=range(0), start=1.7e9):
     for i in range(n):
         noise = [5 + ((i * 7 + g * 13) % 5 - 2) * 0.5 for g in range(9)]
@@ -125,11 +113,6 @@ def test_clock_restart_restarts_the_hold():
     assert s.occupied and (s.deadline is None or s.deadline == 5.0 + CONFIG.hold_s)
 
 
-def test_changepoint_is_declared_once():
-    c = Changepoints()
-    assert [i for i in range(400) if c.observe((5 if i < 200 else 9) + ((i * 7) % 5) * 0.1)[1]] == [200]
-
-
 def test_replay_agrees_with_a_plain_loop(spark):
     rows = [("a", i, t, m, s, False) for i, (t, m, s) in enumerate(frames(400, range(300, 320)))]
     df = spark.createDataFrame(rows, "sensor string, id long, ts double, move array<double>, still array<double>, device_occ boolean").repartition(3)
@@ -230,14 +213,14 @@ def test_arrival_bar_needs_enough_bursts():
     for i in range(90):
         move = np.zeros(9)
         move[4] = (20, 50, 90)[i % 3]
-        bar.observe(i * 10.0, move, np.full(9, 10.0), 3.0)
-        got = bar.observe(i * 10.0 + 5.0, np.zeros(9), np.full(9, 10.0), 3.0)
+        bar.observe(i * 10.0, move, np.full(9, 10.0))
+        got = bar.observe(i * 10.0 + 5.0, np.zeros(9), np.full(9, 10.0))
     assert 50 < got <= 90
 
 
 def test_classes_follow_evidence():
-    g = learned.GateClasses(CONFIG)
-    e = lambda gate, t0, t1: {"scope": "gate", "gate": gate, "t0": t0, "t1": t1, "active_frac": 1.0, "peak": 50.0}
+    g = learned.GateClasses(configured(stages=ALL_STAGES))
+    e = lambda gate, t0, t1: {"scope": "gate", "gate": gate, "t0": t0, "t1": t1, "active_frac": 1.0, "raw": np.full(9, 50.0)}
     g.closed(e(3, 0.0, 100.0))
     for i in range(8):
         t = 1000.0 * (i + 1)
@@ -253,11 +236,10 @@ def test_boundary_is_confirmed_by_three_evaluations():
         for k in range(12):
             for gate in range(9):
                 t = day * 86_400.0 + k * 7000.0 + gate
-                g.closed({"scope": "gate", "gate": gate, "t0": t - 5, "t1": t, "active_frac": 1.0, "peak": 90.0 if gate <= 3 else 22.0})
-        g.tick((day + 1) * 86_400.0 - 1 + (day == 0), {})
-        g.evaluated = g.evaluated if day else 0.0
-        assert (g.boundary is None) == (day < 3)
-    assert g.boundary == 4
+                g.closed({"scope": "gate", "gate": gate, "t0": t - 5, "t1": t, "active_frac": 1.0, "raw": np.full(9, 90.0 if gate <= 3 else 22.0)})
+        g.tick((day + 1) * 86_400.0, {8: 0.0} if day < 3 else {})
+        assert (g.boundary is None) == (day < 3)  # on the third day a gate beyond it is open: it waits
+    assert g.boundary == 3
 
 
 @pytest.mark.parametrize("kind", research.ShapeHold.KINDS)
