@@ -45,8 +45,8 @@ def as_binary(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.cast(pa.large_binary()).fill_null(b"")
 
 
-def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of at most limit bytes, or of one row: first row, end row, bytes, row offsets."""
+def slices(column: pa.Array, limit: int = 1 << 19, most: int = 50_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of at most limit bytes, or of one row, and of at most so many rows: first row, end row, bytes, row offsets."""
     n = len(column)
     if not n:
         return
@@ -56,7 +56,7 @@ def slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, n
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1)
-        b = min(b, n, a + 50_000)
+        b = min(b, n, a + most)
         yield a, b, raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 
@@ -83,9 +83,9 @@ def blank_cuts(buf: np.ndarray, limit: int) -> list[int]:
 Part = tuple[np.ndarray, np.ndarray, bool]
 
 
-def runs(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, Iterator[Part]]]:
+def runs(column: pa.Array, limit: int = 1 << 19, most: int = 50_000) -> Iterator[tuple[int, int, Iterator[Part]]]:
     """As slices, but a row longer than limit comes alone and in parts cut at blanks, so that one text's size bounds nothing but itself."""
-    for a, b, buf, offs in slices(column, limit):
+    for a, b, buf, offs in slices(column, limit, most):
         if len(buf) <= 2 * limit:
             yield a, b, iter([(buf, offs, True)])
         else:
