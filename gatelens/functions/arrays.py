@@ -89,15 +89,16 @@ def allowed(excluded: Column | None) -> Column:
     return F.array(*(F.lit(False) for _ in INDEX)) if excluded is None else excluded
 
 
-def best_run(peak: Column, k: float, excluded: Column | None = None, neighbour: float | None = None) -> Column:
+def best_run(peak: Column, k: float, excluded: Column | None = None, neighbour: float | None = None, support: Column | None = None) -> Column:
     """Struct (score, lo, hi) of the strongest run of gates at or above k.
 
     A run's score is its peaks' sum over k; the nearest of equally strong runs
     wins. excluded gates break runs. With neighbour, a run of one gate counts
-    only if a gate beside it that isn't excluded has that much. Without a run the
-    score is zero and lo and hi are null.
+    only if a gate beside it that isn't excluded has that much support, a level
+    smoothed over time, or the peak itself where none is given. Without a run
+    the score is zero and lo and hi are null.
     """
-    barred = allowed(excluded)
+    barred, level = allowed(excluded), peak if support is None else support
     zero, none = F.lit(0.0), F.lit(None).cast("int")
     start = F.struct(zero.alias("sum"), F.lit(-1).alias("from"), zero.alias("score"), none.alias("lo"), none.alias("hi"))
 
@@ -106,7 +107,7 @@ def best_run(peak: Column, k: float, excluded: Column | None = None, neighbour:
         last = a["from"] == i - 1
         ok = a["sum"] / k > a["score"]
         if neighbour is not None:
-            beside = lambda j: F.coalesce((F.get(peak, j) >= neighbour) & ~F.get(barred, j), F.lit(False))
+            beside = lambda j: F.coalesce((F.get(level, j) >= neighbour) & ~F.get(barred, j), F.lit(False))
             ok = ok & (~last | beside(i - 2) | beside(i))
         won = (a["from"] >= 0) & ~inside & ok
         return F.struct(
@@ -121,12 +122,11 @@ def best_run(peak: Column, k: float, excluded: Column | None = None, neighbour:
     return F.aggregate(gates, start, step, lambda a: F.struct(a["score"], a["lo"], a["hi"]))
 
 
-def leading_gate(move_residual: Column, k: float) -> Column:
-    """The first gate of the first run of signed motion residuals at or above k that is longer than one gate or has a neighbour at half of k."""
-    strong = lambda i: F.get(move_residual, i) >= k
-    half = lambda i: F.coalesce(F.get(move_residual, i) >= k * 0.5, F.lit(False))
-    first = lambda i: strong(i) & ~F.coalesce(strong(i - 1), F.lit(False))
-    return F.array_min(F.filter(index(), lambda i: first(i) & (half(i - 1) | half(i + 1))))
+def leading_gate(move_residual: Column, k: float, support: Column) -> Column:
+    """The first gate of the first run of signed motion residuals at or above k that is longer than one gate or has a neighbour whose support is half of k."""
+    strong = lambda i: F.coalesce(F.get(move_residual, i) >= k, F.lit(False))
+    half = lambda i: F.coalesce(F.get(support, i) >= k * 0.5, F.lit(False))
+    return F.array_min(F.filter(index(), lambda i: strong(i) & ~strong(i - 1) & (strong(i + 1) | half(i - 1) | half(i + 1))))
 
 
 def balanced(move: Column, still: Column, bar: float, share: float = 1 / 3, first: int = 2) -> Column:

@@ -22,6 +22,14 @@ GATE = np.arange(GATES)
 LETTERS = {"in_room": "I", "portal": "P", "bleed": "B", "unknown": "U", "out": "O"}
 
 
+def quantile(rows: np.ndarray, q: float) -> np.ndarray:
+    """Each column's quantile, linear between the two nearest values."""
+    ordered = np.sort(rows, axis=0)
+    at = q * (len(rows) - 1)
+    low, high = ordered[int(at)], ordered[min(int(at) + 1, len(rows) - 1)]
+    return low + (high - low) * (at - int(at))
+
+
 class Baseline:
     """Floor, spread and ceiling of each gate and channel, by the listed stages.
 
@@ -67,17 +75,17 @@ class Baseline:
 
     def _close(self) -> None:
         rows = np.array(self.rows)
-        q = np.quantile(rows, (0.5, 0.9), axis=0)
-        self.levels.append((q[0], np.maximum(q[1] - q[0], 0.0), float(np.quantile(rows[:, :GATES].max(axis=1), 0.9))))
+        middle = quantile(rows, 0.5)
+        self.levels.append((middle, np.maximum(quantile(rows, 0.9) - middle, 0.0), float(quantile(rows[:, :GATES].max(axis=1), 0.9))))
         least = max(self.c.min_mad, 1e-6)
         self.ceiling = max(x[2] for x in self.levels)
         modes = self.hist.modes() if self.hist else None
         if self.floor_by == "quantile_floor":
-            self.floor, self.trusted = np.quantile([x[0] for x in self.levels], 0.25, axis=0), True
+            self.floor, self.trusted = quantile(np.array([x[0] for x in self.levels]), 0.25), True
         elif self.floor_by == "histogram_floor" and self.hist.observed >= self.c.mode_min_s:
             self.floor, self.trusted = modes, True
         if self.spread_by == "tail_spread":
-            self.spread = np.maximum(np.quantile([x[1] for x in self.levels], 0.25, axis=0), least)
+            self.spread = np.maximum(quantile(np.array([x[1] for x in self.levels]), 0.25), least)
         else:
             self.spread = self.hist.spreads(modes, least, int(self.c.mode_band))
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, sources: DataFrame, most: int = 8) -> DataFrame:
-    """(node, hops): nodes reached from the sources (node) over edges (a, b) in at most so many hops.
+def reachable(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, hops): nodes reached from the sources (node) over edges (a, b), in at most so many hops where most is given.
 
-    Breadth first by joins; nodes are rooms or sensors, so the frontier is small.
+    Breadth first by joins until nothing new is reached; nodes are rooms or
+    sensors, a house's few, so that rounds are few too.
     """
     seen = sources.select("node", F.lit(0).alias("hops")).distinct()
-    frontier = seen
-    for k in range(1, most + 1):
+    frontier, k = seen, 0
+    while k != most:
+        k += 1
         step = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("hops"))
+        if most is None and frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.groupBy("node").agg(F.min("hops").alias("hops"))
 
@@ -31,12 +35,27 @@ def coupled_belief(belief: DataFrame, handoffs: DataFrame) -> DataFrame:
     return b.select("room", (kept + (1 - kept) * got).alias("belief"))
 
 
-def continuity(tracks: DataFrame, wait_s: float) -> DataFrame:
-    """(chain, sensor, track, t0, t1): tracks of any sensors in one chain while the next begins at most wait_s after all before end."""
-    t = tracks.withColumn("house", F.lit(1))
-    w = Window.partitionBy("house").orderBy("t0", "sensor", "track")  # tracks of one house
-    t = t.withColumn("reach", F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return t.withColumn("chain", F.sum(F.coalesce(F.col("t0") > F.col("reach") + wait_s, F.lit(True)).cast("int")).over(w)).select("chain", "sensor", "track", "t0", "t1")
+def continuity(tracks: DataFrame, wait_s: float, *keys: str, slice_s: float = 86_400.0) -> DataFrame:
+    """(keys, chain, sensor, track, t0, t1): tracks of any sensors in one chain while the next begins at most wait_s after all before end.
+
+    Chains are found within slices of time, after the latest end and the number
+    of chains of all earlier slices; only one row a slice passes through a window
+    over a whole key.
+    """
+    by = ("t0", "sensor", "track")
+    t = tracks.withColumn("slice", F.floor(F.col("t0") / slice_s))
+    inner = Window.partitionBy(*keys, "slice").orderBy(*by)
+    outer = Window.partitionBy(*(keys or (F.lit(1),))).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(df: DataFrame, value: Column, over, name: str) -> DataFrame:
+        each = df.groupBy(*keys, "slice").agg(value.alias("v")).withColumn(name, over(F.col("v")).over(outer)).drop("v")
+        return df.join(each, [*keys, "slice"])
+
+    t = carried(t, F.max("t1"), F.max, "before")
+    reach = F.greatest("before", F.max("t1").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
+    t = t.withColumn("new", F.coalesce(F.col("t0") > reach + wait_s, F.lit(True)).cast("int"))
+    t = carried(t, F.sum("new"), F.sum, "chains")
+    return t.select(*keys, (F.coalesce("chains", F.lit(0)) + F.sum("new").over(inner)).alias("chain"), "sensor", "track", "t0", "t1")
 
 
 def boosted_trees(df: DataFrame, features: list[str], label: str, depth: int = 3, rounds: int = 10):

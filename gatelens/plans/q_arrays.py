@@ -27,6 +27,19 @@ def peaked(spark, d):
     return f.withColumn("act", A.active(F.col("peak"), 3.0))
 
 
+#: Every gate's level over the last three frames, in units of the bar's; whole numbers are added, so that engines agree.
+SUPPORT = (
+    "sm as (select *, list_transform(range(1, 10), lambda i: greatest(move[i], still[i], 50) - 50) as over_ from q)",
+    "su as (select *, [" + ", ".join(f"sum(over_[{i}]) over w / 30.0::double" for i in range(1, 10)) + "] as sup from sm window w as (partition by sensor order by ts, id rows between 2 preceding and current row))",
+)
+
+
+def supported(spark, d):
+    w = I.order_by("sensor").rowsBetween(-2, 0)
+    over = lambda i: F.greatest(F.get("move", i), F.get("still", i), F.lit(50)) - 50
+    return peaked(spark, d).withColumn("sup", F.array(*(F.sum(over(F.lit(i))).over(w) / F.lit(30.0) for i in range(9))))
+
+
 @query("prj2_peaks", SQL_FRAMES, P, sql="select id, round(list_sum(rm), 6) as move_sum, round(list_sum(rs), 6) as still_sum, round(list_sum(peak), 6) as peak_sum, len(act)::int as active from q")
 def prj2(spark, d):
     return peaked(spark, d).select("id", r6(A.total(F.col("rm")), "move_sum"), r6(A.total(F.col("rs")), "still_sum"), r6(A.total(F.col("peak")), "peak_sum"), F.size("act").alias("active"))
@@ -109,27 +122,36 @@ def scr1m(spark, d):
     return f.select("id", r6(F.col("run.score"), "score"), "run.lo", "run.hi")
 
 
-@query("flt3_lone_gates", SQL_FRAMES, P, RUN.format(bar="false", lone="lo < hi or exists (select 1 from u where u.id = ru.id and abs(u.g - ru.lo) = 1 and u.v >= 1.5)"), sql=RUN_OUT)
+@query("flt3_lone_gates", SQL_FRAMES, P, *SUPPORT, RUN.format(bar="false", lone="lo < hi or exists (select 1 from su where su.id = ru.id and (lo > 0 and sup[lo] >= 1.5 or lo < 8 and sup[lo + 2] >= 1.5))"), sql=RUN_OUT)
 def flt3(spark, d):
-    f = peaked(spark, d).withColumn("run", A.best_run(F.col("peak"), 3.0, neighbour=1.5))
+    f = supported(spark, d).withColumn("run", A.best_run(F.col("peak"), 3.0, neighbour=1.5, support=F.col("sup")))
     return f.select("id", r6(F.col("run.score"), "score"), "run.lo", "run.hi")
 
 
-LEAD = "ld as (select id, ts, sensor, list_min(list_filter(range(0, 9), lambda i: rm[i + 1] >= 3 and coalesce(i = 0 or rm[i] < 3, true) and (coalesce(i > 0 and rm[i] >= 1.5, false) or coalesce(rm[i + 2] >= 1.5, false)))) as lead from r)"
+LEAD = "ld as (select *, list_min(list_filter(range(0, 9), lambda i: rm[i + 1] >= 3 and (i = 0 or rm[i] < 3) and (coalesce(rm[i + 2] >= 3, false) or (i > 0 and sup[i] >= 1.5) or coalesce(sup[i + 2] >= 1.5, false)))) as lead, len(act) > 0 or list_max(sup) >= 1.5 as on_ from su)"
 
 
-@query("scr2_leading_gate", SQL_FRAMES, P, LEAD, sql="select id, lead::int as lead from ld")
+@query("scr2_leading_gate", SQL_FRAMES, P, *SUPPORT, LEAD, sql="select id, lead::int as lead from ld")
 def scr2(spark, d):
-    return peaked(spark, d).select("id", A.leading_gate(F.col("rm"), 3.0).alias("lead"))
+    return supported(spark, d).select("id", A.leading_gate(F.col("rm"), 3.0, F.col("sup")).alias("lead"))
+
+
+def activity(spark, d):
+    """Frames with the leading gate, and a number that changes where activity, an active gate or one with support, begins or ends."""
+    f = supported(spark, d).withColumn("lead", A.leading_gate(F.col("rm"), 3.0, F.col("sup")))
+    f = f.withColumn("on", (F.size("act") > 0) | (F.array_max("sup") >= 1.5))
+    return I.islands(f, F.col("on") != F.lag("on").over(I.order_by("sensor")), "sensor", name="run")
+
+
+ACTIVITY = "a1 as (select *, count(*) filter (where coalesce(br, true)) over (partition by sensor order by ts, id) as run from (select *, on_ <> lag(on_) over (partition by sensor order by ts, id) as br from ld))"
+SO_FAR = "over (partition by sensor, run order by ts, id rows unbounded preceding)"
 
 
-@query("scr3_sticky_edge", SQL_FRAMES, P, LEAD, "a0 as (select *, lead is not null as on_, lead is not null <> lag(lead is not null) over (partition by sensor order by ts, id) as br from ld)", "a1 as (select *, count(*) filter (where coalesce(br, true)) over (partition by sensor order by ts, id) as run from a0)", sql="select id, case when on_ then min(lead) over (partition by sensor, run order by ts, id rows unbounded preceding) end::int as edge from a1")
+@query("scr3_sticky_edge", SQL_FRAMES, P, *SUPPORT, LEAD, ACTIVITY, sql=f"select id, case when on_ then min(lead) {SO_FAR} end::int as edge from a1")
 def scr3_ent3(spark, d):
     """The nearest leading gate since activity began; it is forgotten when activity ends."""
-    f = peaked(spark, d).select("id", "sensor", "ts", A.leading_gate(F.col("rm"), 3.0).alias("lead")).withColumn("on", F.col("lead").isNotNull())
-    f = I.islands(f, F.col("on") != F.lag("on").over(I.order_by("sensor")), "sensor", name="run")
     w = I.order_by("sensor", "run").rowsBetween(Window.unboundedPreceding, 0)
-    return f.select("id", F.when(F.col("on"), F.min("lead").over(w)).alias("edge"))
+    return activity(spark, d).select("id", F.when(F.col("on"), F.min("lead").over(w)).alias("edge"))
 
 
 @query("flt5_balance", SQL_FRAMES, sql="select id, len(list_filter(range(2, 9), lambda i: move[i + 1] >= 40 and move[i + 1] / greatest(move[i + 1] + still[i + 1], 1)::double >= 1 / 3.0)) > 0 as balanced from f")
@@ -203,22 +225,31 @@ def snk11(spark, d):
     return of(F.array_max("move") >= 98, "occupied").unionByName(of(F.array_max("still") <= 60, "boundary")).unionByName(of(F.col("device_occ") & (F.col("distance_cm") > 650), "device"))
 
 
-@query("ent1_energy_floor", SQL_FRAMES, P, "x as (select id, sensor, ts, list_max(list_transform(range(1, 10), lambda i: move[i] + still[i])) as sum_, list_max(move) >= 90 as cand from f)", "x1 as (select *, count(*) filter (where coalesce(br, true)) over (partition by sensor order by ts, id) as run from (select *, cand <> lag(cand) over (partition by sensor order by ts, id) as br from x))", sql="select id, max(sum_) over (partition by sensor, run order by ts, id rows unbounded preceding) >= 150 as passes from x1 where cand")
+@query(
+    "ent1_energy_floor", SQL_FRAMES, P, *SUPPORT, LEAD, ACTIVITY, "c as (select *, coalesce(list_max(list_transform(act, lambda i: move[i + 1] + still[i + 1])), 0) as both_ from a1)",
+    sql=f"select id, max(both_) {SO_FAR} >= 150 as passes from c where on_",
+)
 def ent1(spark, d):
-    """Within a candidate, whether the greatest energy of both channels has reached the floor so far."""
-    f = frames(spark, d).select("id", "sensor", "ts", F.array_max(F.zip_with("move", "still", lambda a, b: a + b)).alias("sum"), (F.array_max("move") >= 90).alias("cand"))
-    f = I.islands(f, F.col("cand") != F.lag("cand").over(I.order_by("sensor")), "sensor", name="run")
+    """While activity goes on, whether the greatest energy of both channels at an active gate has reached the floor so far."""
+    both = F.array_max(F.transform("act", lambda i: F.get("move", i) + F.get("still", i)))
     w = I.order_by("sensor", "run").rowsBetween(Window.unboundedPreceding, 0)
-    return f.withColumn("passes", F.max("sum").over(w) >= 150).where("cand").select("id", "passes")
+    f = activity(spark, d).withColumn("both", F.coalesce(both, F.lit(0)))
+    return f.withColumn("passes", F.max("both").over(w) >= 150).where("on").select("id", "passes")
 
 
-@query("ent2_arrival", SQL_FRAMES, "x as (select id, sensor, ts, list_max(move) as top, list_max(move) >= 85 as cand, max(list_max(move)) over (partition by sensor order by ts, id rows between 50 preceding and 1 preceding) as ceil from f)", "x1 as (select *, count(*) filter (where coalesce(br, true)) over (partition by sensor order by ts, id) as run from (select *, cand <> lag(cand) over (partition by sensor order by ts, id) as br from x))", sql="select id, (count(*) filter (where top >= 0.95 * ceil) over (partition by sensor, run order by ts, id rows unbounded preceding)) >= 2 as passes from x1 where cand")
+@query(
+    "ent2_arrival", SQL_FRAMES, P, *SUPPORT, LEAD, ACTIVITY,
+    "c as (select *, coalesce(list_max(list_transform(act, lambda i: move[i + 1])), 0) as top, max(list_max(move)) over (partition by sensor order by ts, id rows between 50 preceding and 1 preceding) as ceil from a1)",
+    sql=f"select id, ceil is null or (count(*) filter (where top >= 0.95 * ceil) {SO_FAR}) >= 1 as passes from c where on_",
+)
 def ent2(spark, d):
+    """While activity goes on, whether motion at an active gate has come near the ceiling so far; without a ceiling everything passes."""
     w0 = I.order_by("sensor").rowsBetween(-50, -1)
-    f = frames(spark, d).select("id", "sensor", "ts", F.array_max("move").alias("top")).withColumns({"cand": F.col("top") >= 85, "ceil": F.max("top").over(w0)})
-    f = I.islands(f, F.col("cand") != F.lag("cand").over(I.order_by("sensor")), "sensor", name="run")
+    top = F.coalesce(F.array_max(F.transform("act", lambda i: F.get("move", i))), F.lit(0))
+    f = activity(spark, d).withColumns({"top": top, "ceil": F.max(F.array_max("move")).over(w0)})
     w = I.order_by("sensor", "run").rowsBetween(Window.unboundedPreceding, 0)
-    return f.withColumn("passes", F.count_if(F.col("top") >= 0.95 * F.col("ceil")).over(w) >= 2).where("cand").select("id", "passes")
+    seen = F.count_if(F.col("top") >= 0.95 * F.col("ceil")).over(w) >= 1
+    return f.withColumn("passes", F.col("ceil").isNull() | seen).where("on").select("id", "passes")
 
 
 @query("occ2_passthrough", SQL_FRAMES, "b as (select *, dense_rank() over (partition by sensor order by floor(ts / 3600)) - 1 as done from f)", sql="select id, case when done < 5 then device_occ else list_max(move) >= 85 end as occupied, case when done < 5 then 0.5 else round(1 / (1 + exp(-0.1 * (list_max(move) - 85))), 6) end as confidence from b")

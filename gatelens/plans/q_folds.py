@@ -13,11 +13,14 @@ from gatelens.operators.automaton import Anchor, Arming, Retention
 from gatelens.sources import sinks, wire
 from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, frames, samples
 
+from . import sql_folds as Q
 from .registry import query, r6
 from .stages import ALL_STAGES, plan, sweep
 
 #: The events are minutes apart where a radar's frames are tenths of a second: time constants grow alike.
-SCALED = {"k": 3.0, "bucket_s": 3600.0, "baseline_window_s": 86_400.0, "support_tau_s": 1200.0, "hold_s": 3600.0, "episode_stall_s": 14_400.0, "tick_s": 600.0, "lead_gate_max": -1}
+SCALED = {"k": 7.0, "bucket_s": 3600.0, "baseline_window_s": 86_400.0, "support_tau_s": 1200.0, "hold_s": 3600.0, "episode_stall_s": 14_400.0, "tick_s": 600.0, "lead_gate_max": -1}
+#: A row a frame of the detector with these settings, in SQL.
+DETECTOR = Q.detector((30.0,), SCALED["k"])
 SIMPLE = ("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression", "energy_floor", "score_hold")
 
 
@@ -37,7 +40,7 @@ def rec16(spark, d):
     return g.groupBy("id").agg(F.count("*").alias("ticks"), F.min("tick").alias("tick"))
 
 
-@query("occ1_detector_states")
+@query("occ1_detector_states", *DETECTOR, sql="select sensor, ts, occupied, case when ready then round(1 / (1 + exp(-(4 / 3.0) * (score - 3))), 6) else 0.5 end as confidence, round(score, 6) as score, active as active_gates, frozen, rejection from o")
 def occ1(spark, d):
     return plan(frames(spark, d), SIMPLE, **SCALED).select("sensor", "ts", "occupied", r6(F.col("confidence"), "confidence"), r6(F.col("score"), "score"), "active_gates", "frozen", "rejection")
 
@@ -47,9 +50,9 @@ def epi5(spark, d):
     return plan(frames(spark, d), SIMPLE, "episodes", **SCALED)
 
 
-@query("snk5_detector_transitions")
+@query("snk5_detector_transitions", *DETECTOR, sql="select sensor, ts, occupied, round(score, 6) as score from (select *, lag(occupied, 1, false) over (partition by sensor order by n) as was from o) where occupied <> was")
 def snk5(spark, d):
-    return plan(frames(spark, d), SIMPLE, "transitions", **SCALED).select("sensor", "ts", "occupied", "score")
+    return plan(frames(spark, d), SIMPLE, "transitions", **SCALED).select("sensor", "ts", "occupied", r6(F.col("score"), "score"))
 
 
 @query("pln_all_stages")
@@ -68,19 +71,20 @@ def releases(spark, d):
     return plan(frames(spark, d), stages, "transitions", **SCALED).select("sensor", "ts", "occupied")
 
 
-@query("pln6_sweep")
+@query("pln6_sweep", *Q.detector((0.0, 30.0, 150.0), SCALED["k"]), sql="select least as energy_floor, sensor, count(*) filter (where occupied) as entries from (select *, lag(occupied, 1, false) over (partition by sensor, least order by n) as was from o) where occupied <> was group by all")
 def pln6(spark, d):
     grid = [{"stages": SIMPLE, **SCALED, "energy_floor": e} for e in (0.0, 30.0, 150.0)]
     s = sweep(frames(spark, d), grid)
-    return s.groupBy("settings", "sensor").agg(F.count_if("occupied").alias("entries"))
+    least = F.regexp_extract("settings", r"'energy_floor', ([0-9.]+)", 1).cast("double")
+    return s.groupBy(least.alias("energy_floor"), "sensor").agg(F.count_if("occupied").alias("entries"))
 
 
-@query("snk4_state_lines")
+@query("snk4_state_lines", *DETECTOR, sql="select concat_ws(',', round(ts::decimal(20, 6), 3)::varchar, printf('%.4f', score), printf('%.4f', case when ready then 1 / (1 + exp(-(4 / 3.0) * (score - 3))) else 0.5 end), occupied::int::varchar, coalesce(list_aggregate(active, 'string_agg', '|'), '')) as value from o")
 def snk4(spark, d):
     return sinks.state_lines(plan(frames(spark, d), SIMPLE, **SCALED))
 
 
-@query("rec2_3_retention")
+@query("rec2_3_retention", *Q.RETENTION[0], sql=Q.RETENTION[1])
 def rec23(spark, d):
     import numpy as np
 
@@ -88,12 +92,12 @@ def rec23(spark, d):
         s.setdefault("r", Retention())
         s["r"].observe(None if "t" not in s else (r.ts - s["t"]) / 600.0, np.asarray(r.still, float))
         s["t"] = r.ts
-        return r.id, s["r"].level(), s["r"].holds()
+        return r.id, round(s["r"].level(), 6), s["r"].holds()
 
     return R.fold(frames(spark, d).select("sensor", "ts", "id", "still"), ("sensor",), dict, step, "id long, peak double, blocking boolean")
 
 
-@query("rec13_motion_anchor")
+@query("rec13_motion_anchor", *Q.ANCHOR[0], sql=Q.ANCHOR[1])
 def rec13(spark, d):
     import numpy as np
 
@@ -101,12 +105,12 @@ def rec13(spark, d):
 
     def step(a: Anchor, r) -> tuple:
         got = a.observe(r.ts / 86_400.0, np.asarray(r.move, float), np.asarray(r.still, float), floor, spread)
-        return r.id, bool(got), float(a.score)
+        return r.id, bool(got), round(a.score, 6)
 
     return R.fold(frames(spark, d).select("sensor", "ts", "id", "move", "still"), ("sensor",), lambda: Anchor(40.0), step, "id long, anchored boolean, score double")
 
 
-@query("arm1_crossing")
+@query("arm1_crossing", *Q.ARMING[0], sql=Q.ARMING[1])
 def arm1(spark, d):
     """A room that is owned throughout; an hour of events stands for a second."""
     def step(a: Arming, r) -> tuple:
@@ -212,7 +216,7 @@ def agg42(spark, d):
     return b.groupBy("sensor", "ep").agg(F.min(F.when(F.col("since") <= 600, F.col("gate"))).alias("lead_10m"), F.min(F.when(F.col("since") <= 3600, F.col("gate"))).alias("lead_1h"), kind.alias("kind"))
 
 
-@query("jon15_matched_pairs")
+@query("jon15_matched_pairs", *Q.PAIRS[0], sql=Q.PAIRS[1])
 def jon15(spark, d):
     """One-to-one pairs of strong rows of both channels a sensor and gate."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,12 +244,12 @@ def marches(spark, d):
     return c.groupBy("sensor", "track").applyInPandas(run, "sensor string, kind string, start long, end long, displacement double")
 
 
-@query("spc1_room_belief")
+@query("spc1_room_belief", *Q.BELIEF[0], sql=Q.BELIEF[1])
 def spc1(spark, d):
     def step(s: dict, r) -> tuple:
         s["p"] = M.belief(s.get("p", 0.0), r.ts - s.get("t", r.ts), r.energy / 100.0, 0.3, 7200.0)
         s["t"] = r.ts
-        return r.id, s["p"]
+        return r.id, round(s["p"], 6)
 
     return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy"), ("sensor",), dict, step, "id long, belief double")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from gatelens.operators import intervals as V
@@ -145,14 +145,17 @@ def tracks(spark, d):
     return e.groupBy("sensor", "track").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.min("gate").alias("lo"), F.max("gate").alias("hi"))
 
 
+#: The sensors of one house hand over to each other; the given tables are of one house.
+HOUSE = "home"
 HAND = "ho as (select a.sensor as s1, b.sensor as s2, a.ep as a, b.ep as b, b.t0 - a.t1 as wait from tr a join tr b on a.sensor <> b.sensor and b.t0 - a.t1 between 0 and 120)"
 
 
-def handoffs(spark, d):
-    t = tracks(spark, d)
-    a = t.select(F.col("sensor").alias("s1"), F.col("track").alias("a"), F.col("t1").alias("start"), (F.col("t1") + 120).alias("end"))
-    b = t.select(F.col("sensor").alias("s2"), F.col("track").alias("b"), F.col("t0").alias("ts"))
-    return V.points_in(b, a, BIN).where("s1 <> s2").select("s1", "s2", "a", "b", (F.col("ts") - F.col("start")).alias("wait"))
+def handoffs(spark, d, house=HOUSE):
+    """Tracks of other sensors of the same house that begin soon after one ends; house is a name, or an expression on the tracks."""
+    t = tracks(spark, d).withColumn("house", house if isinstance(house, Column) else F.lit(house))
+    a = t.select("house", F.col("sensor").alias("s1"), F.col("track").alias("a"), F.col("t1").alias("start"), (F.col("t1") + 120).alias("end"))
+    b = t.select("house", F.col("sensor").alias("s2"), F.col("track").alias("b"), F.col("t0").alias("ts"))
+    return V.points_in(b, a, BIN, "house").where("s1 <> s2").select("s1", "s2", "a", "b", (F.col("ts") - F.col("start")).alias("wait"))
 
 
 @query("jon10_handoffs", SQL_SAMPLES, EP, TR, HAND, sql="select s1, s2, a, b, round(wait, 3) as wait from ho")
@@ -160,24 +163,36 @@ def jon10(spark, d):
     return handoffs(spark, d).withColumn("wait", F.round("wait", 3))
 
 
-@query("jon11_adjacency_lift", SQL_SAMPLES, EP, TR, HAND, "n as (select sensor, count(*) as n from tr group by sensor), sp as (select max(t1) - min(t0) as span from tr), h as (select s1, s2, count(*) as h from ho group by all)", sql="select s1, s2, h, round(h / (n1.n * n2.n * 120 / span), 6) as lift from h join n n1 on n1.sensor = s1 join n n2 on n2.sensor = s2, sp where h >= 25")
+@query("jon11_adjacency_lift", SQL_SAMPLES, EP, TR, HAND, "n as (select sensor, count(*) as n from tr group by sensor), sp as (select max(t1) - min(t0) as span from tr), h as (select s1, s2, count(*) as h from ho group by all)", sql="select s1, s2, h, round(h / (n1.n * n2.n * 120 / span), 6) as lift, h >= 25 and h >= 3 * (n1.n * n2.n * 120 / span) as adjacent from h join n n1 on n1.sensor = s1 join n n2 on n2.sensor = s2, sp")
 def jon11(spark, d):
-    """Handoffs of a pair of sensors against those that independent tracks would make."""
+    """Handoffs of a pair of sensors against those that independent tracks would make; adjacent: 25 of them and three times as many."""
     t = tracks(spark, d)
     n = t.groupBy("sensor").agg(F.count("*").alias("n"))
     span = t.agg((F.max("t1") - F.min("t0")).alias("span"))
-    h = handoffs(spark, d).groupBy("s1", "s2").agg(F.count("*").alias("h")).where("h >= 25")
+    h = handoffs(spark, d).groupBy("s1", "s2").agg(F.count("*").alias("h"))
     h = h.join(n.select(F.col("sensor").alias("s1"), F.col("n").alias("n1")), "s1").join(n.select(F.col("sensor").alias("s2"), F.col("n").alias("n2")), "s2")
-    h = h.crossJoin(F.broadcast(span))  # span: one row
-    return h.select("s1", "s2", "h", r6(F.col("h") / (F.col("n1") * F.col("n2") * 120 / F.col("span")), "lift"))
+    h = h.crossJoin(F.broadcast(span)).withColumn("e", F.col("n1") * F.col("n2") * 120 / F.col("span"))  # span: one row
+    return h.select("s1", "s2", "h", r6(F.col("h") / F.col("e"), "lift"), ((F.col("h") >= 25) & (F.col("h") >= 3 * F.col("e"))).alias("adjacent"))
 
 
-@query("jon12_ghost_pairs", SQL_SAMPLES, EP, sql="select a.sensor as s1, a.gate as g1, b.sensor as s2, b.gate as g2, count(*) as n from ep a join ep b on a.sensor < b.sensor and a.t0 < b.t1 and b.t0 < a.t1 group by all having count(*) >= 3")
-def jon12(spark, d):
-    e = gate_episodes(spark, d)
-    a = e.select(F.col("sensor").alias("s1"), F.col("gate").alias("g1"), F.col("t0").alias("l_start"), F.col("t1").alias("l_end"))
-    b = e.select(F.col("sensor").alias("s2"), F.col("gate").alias("g2"), F.col("t0").alias("r_start"), F.col("t1").alias("r_end"))
-    return V.overlap_pairs(a, b, BIN).where("s1 < s2").groupBy("s1", "g1", "s2", "g2").agg(F.count("*").alias("n")).where("n >= 3")
+@query(
+    "jon12_ghost_pairs", SQL_SAMPLES, EP, "n as (select sensor, gate, count(*) as n, sum(t1 - t0) as len from ep group by all), sp as (select max(t1) - min(t0) as span from ep)",
+    "j as (select a.sensor as s1, a.gate as g1, b.sensor as s2, b.gate as g2, count(*) as n from ep a join ep b on a.sensor < b.sensor and a.t0 < b.t1 and b.t0 < a.t1 group by all having count(*) >= 3)",
+    "l as (select j.*, j.n / ((a.len * b.n + b.len * a.n) / span) as lift from j join n a on a.sensor = s1 and a.gate = g1 join n b on b.sensor = s2 and b.gate = g2, sp)",
+    sql="select s1, g1, s2, g2, n, round(lift, 6) as lift, n >= 25 and lift >= 3 as ghost from l",
+)
+def jon12(spark, d, house=HOUSE):
+    """Gates of two sensors that are active together, against chance: episodes of given lengths thrown anywhere; ghost: 25 times and three times as often."""
+    e = gate_episodes(spark, d).withColumn("house", house if isinstance(house, Column) else F.lit(house))
+    a = e.select("house", F.col("sensor").alias("s1"), F.col("gate").alias("g1"), F.col("t0").alias("l_start"), F.col("t1").alias("l_end"))
+    b = e.select("house", F.col("sensor").alias("s2"), F.col("gate").alias("g2"), F.col("t0").alias("r_start"), F.col("t1").alias("r_end"))
+    j = V.overlap_pairs(a, b, BIN, "house").where("s1 < s2").groupBy("s1", "g1", "s2", "g2").agg(F.count("*").alias("n")).where("n >= 3")
+    n = e.groupBy("sensor", "gate").agg(F.count("*").alias("k"), F.sum(F.col("t1") - F.col("t0")).alias("len"))
+    for i in "12":
+        j = j.join(n.select(F.col("sensor").alias(f"s{i}"), F.col("gate").alias(f"g{i}"), F.col("k").alias(f"k{i}"), F.col("len").alias(f"len{i}")), [f"s{i}", f"g{i}"])
+    j = j.crossJoin(F.broadcast(e.agg((F.max("t1") - F.min("t0")).alias("span"))))  # one row
+    lift = F.col("n") / ((F.col("len1") * F.col("k2") + F.col("len2") * F.col("k1")) / F.col("span"))
+    return j.select("s1", "g1", "s2", "g2", "n", r6(lift, "lift"), ((F.col("n") >= 25) & (lift >= 3)).alias("ghost"))
 
 
 @query("jon13_near_within", SQL_SAMPLES, EP, "nr as (select sensor, ts from s where gate <= 1 and energy >= 40)", sql="select ep.sensor, ep.gate, ep.ep, case when exists (select 1 from nr where nr.sensor = ep.sensor and nr.ts between t0 - 900 and t1 + 900) then 'owned' else 'orphan' end as kind from ep")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatelens.operators import house as H
@@ -15,7 +16,8 @@ from gatelens.operators import replay as R
 from gatelens.operators import research as X
 from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, SQL_SPANS, frames, samples, spans
 
-from .q_intervals import handoffs, tracks
+from . import sql_folds as Q
+from .q_intervals import EP, HAND, HOUSE, TR, handoffs, tracks
 from .registry import query, r6
 
 FLOOR, SPREAD = np.full(9, 30.0), np.full(9, 10.0)
@@ -52,16 +54,16 @@ def ratio(signed: bool, reset_s: float):
         def step(s: dict, r) -> tuple:
             f = s.setdefault("f", X.Ratio(signed, reset_s))
             dt, s["t"] = r.ts - s.get("t", r.ts), r.ts
-            return r.id, f.step(r.ts, dt / 600.0, float(r.energy), r.gate >= 7)
+            return r.id, round(f.step(r.ts, dt / 600.0, float(r.energy), r.gate >= 7), 6)
 
         return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy", "gate"), ("sensor",), dict, step, "id long, ratio double")
 
     return run
 
 
-query("rec17_reset_ratio")(ratio(True, 3600.0))
-query("rec18_unsigned_ratio")(ratio(False, 0.0))
-query("rec29_fast_slow_pair")(ratio(True, 0.0))
+for name, signed, reset_s in (("rec17_reset_ratio", True, 3600.0), ("rec18_unsigned_ratio", False, 0.0), ("rec29_fast_slow_pair", True, 0.0)):
+    ctes, select = Q.ratio(signed, reset_s)
+    query(name, *ctes, sql=select)(ratio(signed, reset_s))
 
 
 @query("win15_coupled_changes")
@@ -115,16 +117,25 @@ def agg30(spark, d):
     return f.groupBy("sensor", "day").applyInPandas(run, "sensor string, day long, n long, outside long")
 
 
-@query("win22_suppressed_peaks")
+@query("win22_suppressed_peaks", *Q.PEAKS[0], sql=Q.PEAKS[1])
 def win22(spark, d):
-    """Local peaks of a sensor, strongest first, none within two hours of a stronger one; groups are cut where candidates lie that far apart."""
+    """Local peaks of a sensor's centred rolling maximum, moved to the raw maximum near by, strongest first, none within two hours of a stronger one.
+
+    Groups are cut where candidates lie that far apart.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
         keep = M.suppressed_peaks(pdf.ts.to_numpy(), pdf.energy.to_numpy(float), 7200.0)
         return pdf.iloc[keep][["id", "sensor", "energy"]]
 
+    by_time = Window.partitionBy("sensor").orderBy(I.micros())
+    near = by_time.rangeBetween(-450_000_000, 450_000_000)
+    s = samples(spark, d).withColumns({"top": F.max("energy").over(by_time.rangeBetween(-900_000_000, 900_000_000)), "raw": F.max(F.struct("energy", (-F.col("ts")).alias("t"), (-F.col("id")).alias("i"))).over(near)})
     w = I.order_by("sensor")
-    s = samples(spark, d).withColumns({"p": F.lag("energy").over(w), "n": F.lead("energy").over(w)})
-    s = I.islands(s.where("energy > p and energy >= n and energy >= 18"), I.gap_from(7200.0, "sensor"), "sensor", name="group")
+    s = s.withColumns({"p": F.lag("top").over(w), "n": F.lead("top").over(w), "g1": F.col("ts") - F.lag("ts").over(w), "g2": F.lead("ts").over(w) - F.col("ts")})
+    s = s.where("top > p and top >= n and top >= 18 and g1 <= 3600 and g2 <= 3600")
+    s = s.select("sensor", (-F.col("raw.i")).alias("id"), (-F.col("raw.t")).alias("ts"), F.col("raw.energy").alias("energy")).distinct()
+    s = I.islands(s, I.gap_from(7200.0, "sensor"), "sensor", name="group")
     return s.groupBy("sensor", "group").applyInPandas(run, "id long, sensor string, energy int")
 
 
@@ -159,24 +170,35 @@ def snk8(spark, d):
     return f.join(n, "sensor", "left").select("sensor", "frames", "first_hex", F.coalesce("spans", F.lit(0)).alias("spans"))
 
 
-@query("spc2_coupled_belief")
+@query(
+    "spc2_coupled_belief", SQL_SAMPLES, EP, TR, HAND, "b as (select sensor, avg(energy) / 100 as p from s group by sensor), h as (select s1, s2, count(*) / 1000.0 as w from ho group by all), o as (select s1 as sensor, sum(w) as gone from h group by s1), i as (select s2 as sensor, sum(w) as got from h group by s2)",
+    "k as (select sensor, p * (1 - least(coalesce(gone, 0), 1)) as kept, least(coalesce(got, 0), 1) as got from b left join o using (sensor) left join i using (sensor))",
+    sql="select sensor as room, round(kept + (1 - kept) * got, 6) as belief from k",
+)
 def spc2(spark, d):
     b = samples(spark, d).groupBy(F.col("sensor").alias("room")).agg((F.avg("energy") / 100).alias("belief"))
     h = handoffs(spark, d).groupBy("s1", "s2").agg((F.count("*") / 1000).alias("weight"))
-    return H.coupled_belief(b, h)
+    return H.coupled_belief(b, h).select("room", r6(F.col("belief"), "belief"))
 
 
-@query("spc5_reach")
+@query(
+    "spc5_reach", "recursive " + SQL_SAMPLES, EP, TR, HAND, "h as materialized (select s1, s2 from ho group by all having count(*) >= 25)", "n as (select count(distinct sensor) as n from s)",
+    "r as (select distinct sensor as node, 0 as hops from s where sensor = 'click' union select s2, hops + 1 from r join h on s1 = node, n where hops < n)",
+    sql="select node, min(hops)::int as hops from r group by node",
+)
 def spc5(spark, d):
     """Sensors that are reached from one over pairs with enough handoffs."""
     h = handoffs(spark, d).groupBy(F.col("s1").alias("a"), F.col("s2").alias("b")).agg(F.count("*").alias("h")).where("h >= 25")
     first = samples(spark, d).where("sensor = 'click'").select(F.col("sensor").alias("node")).distinct()
-    return H.reachable(h, first, 4)
+    return H.reachable(h, first)
 
 
-@query("spc13_continuity", SQL_SAMPLES, sql=None)
+@query(
+    "spc13_continuity", SQL_SAMPLES, EP, TR, "t as (select *, max(t1) over (order by t0, sensor, ep rows between unbounded preceding and 1 preceding) as reach from tr)",
+    sql="select 'home' as house, count(*) filter (where coalesce(t0 > reach + 600, true)) over (order by t0, sensor, ep) as chain, sensor, ep as track, t0, t1 from t",
+)
 def spc13(spark, d):
-    return H.continuity(tracks(spark, d), 600.0)
+    return H.continuity(tracks(spark, d).withColumn("house", F.lit(HOUSE)), 600.0, "house")
 
 
 @query("spc12_episode_classifier")
@@ -189,7 +211,7 @@ def spc12(spark, d):
     return model.transform(e).select("sensor", "gate", "ep", "label", "prediction")
 
 
-@query("cls10_deferred_boundary")
+@query("cls10_deferred_boundary", *Q.BOUNDARY[0], sql=Q.BOUNDARY[1])
 def cls10(spark, d):
     """A boundary that waits once while an episode beyond it is open, from each day's farthest quiet gate."""
     def step(s: dict, r) -> tuple:
