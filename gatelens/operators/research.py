@@ -1,7 +1,7 @@
 """Holds and estimators from offline research, as steps for ordered folds. None is a default.
 
-Every hold keeps a reference footprint of the still channel that balanced
-motion left, and holds while the present footprint is enough like it.
+All look at the still channel of the watched gates, from the third on. A gap
+between frames, or time that goes back, makes them forget what they refer to.
 """
 
 from __future__ import annotations
@@ -13,98 +13,318 @@ import numpy as np
 
 from gatelens.plans.config import GATES
 
+from .automaton import Anchor
+
 FIRST = 2
+GAP = 0.55
+#: Seconds before a frame that count as before an entry.
+BEFORE = (0.5, 2.5)
+SHARE = 0.2
 
 
-def balanced(move: np.ndarray, still: np.ndarray, bar: float, share: float = 1 / 3) -> np.ndarray:
+def balanced(move: np.ndarray, still: np.ndarray, bar: float = 40.0, share: float = 1 / 3) -> np.ndarray:
     """Gates from the first watched one on whose motion reaches the bar and is enough of the whole."""
     m, s = move[FIRST:], still[FIRST:]
     return (m >= bar) & (m / np.maximum(m + s, 1) >= share)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / max(float(np.linalg.norm(x)), 1e-9)
+def kurtosis(x: np.ndarray) -> float | None:
+    """The fourth standardised moment; None of a flat profile."""
+    d = x - x.mean()
+    var = float((d**2).mean())
+    return float((d**4).mean()) / var**2 if math.sqrt(var) > 1e-9 else None
 
 
-def kurtosis(x: np.ndarray) -> float:
-    d = x - x.mean()
-    return float((d**4).mean() / max((d**2).mean() ** 2, 1e-9))
+def standard(x: np.ndarray) -> np.ndarray:
+    """Mean zero and variance one; zeros of a flat profile."""
+    sd = float(x.std())
+    return (x - x.mean()) / sd if sd > 1e-9 else np.zeros(len(x))
 
 
-class ShapeHold:
-    """One of several tests of the present footprint against the reference.
+class Footprint:
+    """The first form of the anchored footprint: an excess over a slow mean, which stands still while a footprint lives.
 
-    projection: least-squares share of the reference kept, with on and off levels.
-    band: residual sum within the reference's gate band, one gate wider, against the reference's.
-    change: excess over the footprint before the entry against that at the entry.
-    continuity: a low percentile of that excess over some time.
-    cosine: the angle to the settled footprint, and at least some of its size.
-    kurtosis: whether the footprint is as flat as a person's.
-    bank: the best correlation with any of the last few references.
-    contrast: nearer to a banked change than to the empty footprint.
+    projection: the least-squares share of the footprint that is left, with one
+    level to come on and another to stay; a footprint that is lost is forgotten.
+    shape and amplitude: the angle to the footprint, or the excess' size against
+    it, and some size at least; the footprint stays until a gap.
     """
 
-    KINDS = ("projection", "band", "change", "continuity", "cosine", "kurtosis", "bank", "contrast")
-
-    def __init__(self, kind: str, floor: np.ndarray, spread: np.ndarray, bar: float = 40.0, level: float = 0.4, off: float | None = None, need: int = 1, gates: int = 1, bank: int = 4):
-        if kind not in self.KINDS:
-            raise ValueError(f"no hold named {kind!r}")
-        self.kind, self.floor, self.spread = kind, floor[FIRST:], spread[FIRST:]
-        self.bar, self.on_level, self.off_level = bar, level, level if off is None else off
-        self.need, self.gates, self.holding = need, gates, False
-        self.ref: np.ndarray | None = None
-        self.before: deque = deque(maxlen=30)
-        self.empty = np.zeros(GATES - FIRST)
-        self.bank: deque = deque(maxlen=bank)
-        self.recent: deque = deque(maxlen=30)
-        self.run = 0
-
-    def frames_needed(self, peak: float) -> int:
-        """Strong motion is believed at once, weaker motion after some frames in a row; need caps it."""
-        return min(self.need, 1 if peak >= 80 else 2 if peak >= 60 else 3)
-
-    def step(self, move: np.ndarray, still: np.ndarray) -> tuple[bool, float]:
-        """Whether it holds after this frame, and the test's value."""
-        now = np.maximum((still[FIRST:] - self.floor) / self.spread, 0.0)
-        hit = balanced(move, still, self.bar)
-        self.run = self.run + 1 if hit.sum() >= self.gates else 0
-        if self.run and self.run >= self.frames_needed(float(move[FIRST:].max())) and now @ now > 0:
-            if self.ref is None or now @ now > self.ref @ self.ref:
-                if self.ref is None:
-                    self.empty = np.median(self.before, axis=0) if self.before else np.zeros_like(now)
-                self.ref = now
-                self.bank.append(now - self.empty)
-        value = self._value(now) if self.ref is not None else 0.0
-        self.holding = self.ref is not None and value >= (self.off_level if self.holding else self.on_level)
-        if self.ref is not None and not self.holding:
-            self.ref = None
-            self.recent.clear()
+    FORMS = ("projection", "shape", "amplitude")
+
+    def __init__(self, form: str = "projection", on: float = 0.4, off: float = 0.4, tau: float = 15.0, bar: float = 40.0, guard: float = 1.0):
+        if form not in self.FORMS:
+            raise ValueError(f"no footprint form named {form!r}")
+        self.form, self.on, self.off, self.tau, self.bar, self.guard = form, on, off, tau, bar, guard
+        self.ground = self.ref = self.last = None
+        self.active = False
+
+    def step(self, ts: float, move: np.ndarray, still: np.ndarray) -> tuple[bool, float]:
+        m, s = move[FIRST:], still[FIRST:]
+        dt = 0.0 if self.last is None else max(0.0, ts - self.last)
+        self.last = ts
+        if self.ground is None or dt > GAP:
+            self.ground, self.ref = s.copy(), None
+        excess = np.maximum(s - self.ground, 0.0)
+        new = excess * (m / max(float(m.max()), 1.0))
+        if m.max() >= self.bar and new @ new >= 1.0 and (self.ref is None or new @ new > self.ref @ self.ref):
+            self.ref = new
+        value, was, self.active = 0.0, self.active, False
+        if self.ref is not None:
+            size, whole = float(np.linalg.norm(excess)), float(np.linalg.norm(self.ref))
+            if self.form == "projection":
+                value = float(excess @ self.ref / (self.ref @ self.ref))
+                self.active = value >= (self.off if was else self.on)
+                self.ref = self.ref if self.active else None
+            else:
+                shape = float(excess @ self.ref) / (size * whole) if size > 0 else 0.0
+                value = shape if self.form == "shape" else size / whole
+                self.active = size >= self.guard and value >= self.on
         if self.ref is None:
-            self.before.append(now)
-        return self.holding, float(value)
-
-    def _value(self, now: np.ndarray) -> float:
-        ref = self.ref
-        if self.kind == "projection":
-            return now @ ref / (ref @ ref)
-        if self.kind == "band":
-            band = ref >= 0.2 * ref.max()
-            band = band | np.append(band[1:], False) | np.append(False, band[:-1])
-            return now[band].sum() / max(ref.sum(), 1e-9)
-        if self.kind in ("change", "continuity"):
-            gain = np.maximum(now - self.empty, 0.0).sum() / max(np.maximum(ref - self.empty, 0.0).sum(), 1e-9)
-            if self.kind == "change":
-                return gain
-            self.recent.append(gain)
-            return float(np.quantile(self.recent, 0.25))
-        if self.kind == "cosine":
-            big = np.linalg.norm(now) >= 0.2 * np.linalg.norm(ref)
-            return float(unit(now) @ unit(ref)) if big else 0.0
-        if self.kind == "kurtosis":
-            return 1.0 if now.any() and kurtosis(now) <= 4.0 else 0.0
-        change = now - self.empty
-        match = max(float(unit(change - change.mean()) @ unit(b - b.mean())) for b in self.bank)
-        return match if self.kind == "bank" else match - float(unit(now) @ unit(self.empty)) * 0.5
+            self.ground = self.ground + (1 - math.exp(-dt / self.tau)) * (s - self.ground)
+        return self.active, value
+
+
+class GuardedAnchor(Anchor):
+    """An anchor whose first footprint needs more than strong balanced motion.
+
+    confirmed: frames in a row at the bar, fewer the stronger the motion is.
+    gates: that many different balanced gates within some time.
+    """
+
+    STRONG = ((80.0, 1), (60.0, 2), (40.0, 3))
+
+    def __init__(self, bar: float = 40.0, confirmed: bool = False, gates: int = 1, within: float = 0.3):
+        super().__init__(bar)
+        self.confirmed, self.need, self.within = confirmed, gates, within
+        self.run, self.seen = 0, deque()
+
+    def observe(self, ts: float, move: np.ndarray, still: np.ndarray, floor: np.ndarray, spread: np.ndarray) -> bool:
+        steady = self.last is None or 0 <= ts - self.last <= self.GAP
+        living = self.template is not None and steady
+        top = float(move[FIRST:].max())
+        self.run = 0 if living or top < self.STRONG[-1][0] else (self.run + 1 if steady else 1)
+        self.seen.append((ts, balanced(move, still)))
+        while self.seen[0][0] < ts - self.within:
+            self.seen.popleft()
+        may = not self.confirmed or any(top >= bar and self.run >= n for bar, n in self.STRONG)
+        may &= self.need < 2 or int(np.any([x for _, x in self.seen], axis=0).sum()) >= self.need
+        bar = self.bar
+        self.bar = bar if living or may else math.inf
+        got = super().observe(ts, move, still, floor, spread)
+        self.bar = bar
+        self.run = 0 if got else self.run
+        return got
+
+
+class Hold:
+    """Something that goes on holding after the anchor has let it begin; step gives whether it holds, and a value."""
+
+    def __init__(self, floor: np.ndarray, spread: np.ndarray, anchor: Anchor | None = None):
+        self.floor, self.spread, self.anchor = floor, spread, anchor or Anchor(40.0)
+        self.last: float | None = None
+        self.recent: deque = deque()
+        self.forget()
+
+    def forget(self) -> None:
+        """What a gap makes it lose."""
+
+    def step(self, ts: float, move: np.ndarray, still: np.ndarray) -> tuple[bool, float]:
+        anchored = self.anchor.observe(ts, move, still, self.floor, self.spread)
+        if self.last is not None and not 0 <= ts - self.last <= GAP:
+            self.forget()
+        self.last = ts
+        return self.update(ts, still[FIRST:], anchored, bool(balanced(move, still).any()))
+
+    def update(self, ts: float, now: np.ndarray, anchored: bool, moving: bool) -> tuple[bool, float]:
+        return anchored, self.anchor.score
+
+    def kept(self, ts: float, seconds: float) -> None:
+        while self.recent and self.recent[0][0] < ts - seconds:
+            self.recent.popleft()
+
+    def before(self, ts: float) -> np.ndarray | None:
+        """The median of the frames just before, or None."""
+        found = [x for t, x in self.recent if BEFORE[0] <= ts - t <= BEFORE[1]]
+        return np.median(found, axis=0) if found else None
+
+
+class BandHold(Hold):
+    """Residuals within the anchor's band of gates, widened by a gate, keep a share of their sum at the beginning."""
+
+    HALO, KEEP = 1, 0.4
+
+    def forget(self) -> None:
+        self.band = None
+
+    def update(self, ts, now, anchored, moving):
+        residual = np.maximum((now - self.floor[FIRST:]) / self.spread[FIRST:], 0.0)
+        if self.band is not None:
+            share = float(residual[self.band].sum()) / self.whole
+            if share >= self.KEEP:
+                return True, share
+            self.band = None
+        if not (anchored and moving):
+            return False, 0.0
+        band = self.anchor.template >= SHARE * self.anchor.template.max()
+        for _ in range(self.HALO):
+            band = band | np.append(False, band[:-1]) | np.append(band[1:], False)
+        whole = float(residual[band].sum())
+        if whole <= 0:
+            return False, 0.0
+        self.band, self.whole = band, whole
+        return True, 1.0
+
+
+class ChangeHold(Hold):
+    """The raw excess over the time before the entry keeps a share of what it was at the entry."""
+
+    KEEP = 0.4
+
+    def forget(self) -> None:
+        self.recent.clear()
+        self.band = None
+
+    def update(self, ts, now, anchored, moving):
+        self.kept(ts, 3.0)
+        base, share = self.before(ts), 0.0
+        if self.band is not None:
+            share = float(np.maximum(now - self.base, 0.0)[self.band].sum()) / self.whole
+            if share >= self.KEEP:
+                self.recent.append((ts, now))
+                return True, share
+            self.band = None
+        if anchored and moving and base is not None:
+            gain = np.maximum(now - base, 0.0)
+            if gain.max() > 0:
+                self.base, self.band = base, gain >= SHARE * gain.max()
+                self.whole, share = float(gain[self.band].sum()), 1.0
+        self.recent.append((ts, now))
+        return self.band is not None, share
+
+
+class ContinuityHold(Hold):
+    """A low percentile, over some seconds, of each gate's excess over the time before the entry, against that at the entry."""
+
+    KEEP, WINDOW, LOW = 0.4, 3.0, 0.2
+
+    def forget(self) -> None:
+        self.recent.clear()
+        self.band = None
+
+    def update(self, ts, now, anchored, moving):
+        self.kept(ts, max(self.WINDOW, 3.0))
+        base = self.before(ts)
+        self.recent.append((ts, now))
+        if self.band is not None:
+            if ts - self.began < self.WINDOW:
+                return True, 0.0
+            rows = np.array([x for t, x in self.recent if ts - t <= self.WINDOW])
+            low = np.quantile(np.maximum(rows - self.base, 0.0), self.LOW, axis=0)
+            share = float(np.minimum(low[self.band], self.gain[self.band]).sum() / self.gain[self.band].sum())
+            return share >= self.KEEP, share
+        if not (anchored and moving) or base is None:
+            return False, 0.0
+        gain = np.maximum(now - base, 0.0)
+        if gain.max() <= 0:
+            return False, 0.0
+        self.base, self.gain, self.band, self.began = base, gain, gain >= SHARE * gain.max(), ts
+        return True, 0.0
+
+
+class SettledHold(Hold):
+    """After a while, the angle to the footprint that settled between half a minute and a minute, and some of its size.
+
+    Until there is such a footprint the anchor decides.
+    """
+
+    FROM, UNTIL, ROWS, LEAST = 30.0, 60.0, 100, 1.0
+
+    def __init__(self, floor, spread, angle: float = 0.9, size: float = 0.2, rows: int | None = None):
+        self.angle, self.size, self.rows = angle, size, self.ROWS if rows is None else rows
+        super().__init__(floor, spread)
+
+    def forget(self) -> None:
+        self.began, self.base, self.training, self.settled = None, None, [], None
+
+    def update(self, ts, now, anchored, moving):
+        self.kept(ts, 3.0)
+        base = self.before(ts)
+        self.recent.append((ts, now))
+        if self.began is None:
+            if anchored and base is not None:
+                self.began, self.base = ts, base
+            return anchored, 0.0
+        age, gain = ts - self.began, np.maximum(now - self.base, 0.0)
+        if self.FROM <= age < self.UNTIL:
+            self.training.append(gain)
+        if age >= self.UNTIL and self.settled is None and len(self.training) >= self.rows:
+            middle = np.median(self.training, axis=0)
+            self.settled = middle if np.linalg.norm(middle) >= self.LEAST else None
+            self.training = []
+        if age < self.UNTIL or self.settled is None:
+            return anchored, 0.0
+        size, whole = float(np.linalg.norm(gain)), float(np.linalg.norm(self.settled))
+        cosine = float(gain @ self.settled) / max(size * whole, 1e-9)
+        return cosine >= self.angle and size >= self.size * whole, cosine
+
+
+class KurtosisHold(Hold):
+    """Beside the anchor, a profile as flat as a person's: its kurtosis, or its median over a window that is full, is low."""
+
+    def __init__(self, floor, spread, most: float = 4.0, window: float = 0.0):
+        self.most, self.window = most, window
+        super().__init__(floor, spread)
+
+    def update(self, ts, now, anchored, moving):
+        k = kurtosis(now)
+        if k is None:
+            return anchored, 0.0
+        self.recent.append((ts, k))
+        self.kept(ts, self.window)
+        if self.window and ts - self.recent[0][0] < 0.9 * self.window:
+            return anchored, k
+        middle = float(np.median([x for _, x in self.recent]))
+        return anchored or middle <= self.most, middle
+
+
+class ShapeBank(Hold):
+    """Profiles some seconds after each change of the footprint are kept; a window is reviewed by its best likeness to any of them.
+
+    Likeness is Pearson's correlation, of each profile of the window with the
+    most alike prototype; the window's median must reach the level. With
+    contrast, the prototype is the change from before the motion to after it,
+    and likeness is how much of that change the profile shows.
+    """
+
+    DELAY, LEAST = 2.0, 0.05
+
+    def __init__(self, floor, spread, level: float, size: int = 64, window: float = 30.0, contrast: bool = False):
+        self.level, self.window, self.contrast = level, window, contrast
+        self.bank: deque = deque(maxlen=size)
+        self.pending: deque = deque()
+        self.template: np.ndarray | None = None
+        super().__init__(floor, spread)
+
+    def update(self, ts, now, anchored, moving):
+        self.recent.append((ts, standard(now)))
+        self.kept(ts, self.window + (3.0 if self.contrast else 1.0))
+        new = self.anchor.template
+        if moving and new is not None and (self.template is None or not np.array_equal(new, self.template)):
+            before = [x for t, x in self.recent if 0.3 <= ts - t <= BEFORE[1]]
+            if not self.contrast or len(before) >= 3:
+                self.pending.append((ts + self.DELAY, np.median(before, axis=0) if self.contrast else None))
+        self.template = new
+        while self.pending and self.pending[0][0] <= ts:
+            base = self.pending.popleft()[1]
+            change = self.recent[-1][1] - (0.0 if base is None else base)
+            if not self.contrast or change @ change >= self.LEAST:
+                self.bank.append((0.0 if base is None else base, change, float(change @ change) if self.contrast else float(len(change))))
+        rows = np.array([x for t, x in self.recent if ts - t <= self.window])
+        if not len(self.bank):
+            return False, 0.0
+        value = float(np.median(np.max([(rows - base) @ change / size for base, change, size in self.bank], axis=0)))
+        return value >= self.level, value
 
 
 class Ratio:
@@ -130,17 +350,48 @@ class Ratio:
 
 
 class CoupledChanges:
-    """Exponentially weighted correlation of two levels' first differences; zero while either hardly changes."""
-
-    def __init__(self, tau: float):
-        self.tau = tau
-        self.last: tuple[float, float] | None = None
-        self.xx = self.yy = self.xy = 0.0
-
-    def step(self, dt: float, x: float, y: float) -> float:
-        if self.last is not None:
-            dx, dy = x - self.last[0], y - self.last[1]
-            keep = math.exp(-max(dt, 0.0) / self.tau)
-            self.xx, self.yy, self.xy = (keep * v + (1 - keep) * d for v, d in ((self.xx, dx * dx), (self.yy, dy * dy), (self.xy, dx * dy)))
-        self.last = (x, y)
-        return self.xy / math.sqrt(self.xx * self.yy) if min(self.xx, self.yy) > 1e-6 else 0.0
+    """Correlation of motion's and the still channel's steps on a regular grid, weighted to the present, the median over gates.
+
+    Frames are interpolated onto the grid; a gap leaves its points out. A gate
+    counts if both its steps vary enough. There is no value before the horizon
+    has passed, nor where too few points lie in it.
+    """
+
+    LEAST = 10
+
+    def __init__(self, grid: float = 0.1, horizon: float = 5.0, tau: float = 2.0, vary: tuple[float, float] = (0.5, 0.5)):
+        self.grid, self.points, self.tau, self.vary = grid, round(horizon / grid), tau, vary
+        self.steps: deque = deque(maxlen=self.points + 1)  # of grid points: number, steps of both channels or None
+        self.next, self.start, self.last, self.point = 0, None, None, None
+
+    def step(self, ts: float, move: np.ndarray, still: np.ndarray) -> float | None:
+        """The value at the last grid point up to this frame."""
+        now = np.concatenate([move[FIRST:], still[FIRST:]])
+        if self.start is None:
+            self.start, self.last = ts, (ts, now)
+        (t0, x0), self.last = self.last, (ts, now)
+        while self.start + self.next * self.grid <= ts + 1e-9:
+            q, point = self.start + self.next * self.grid, None
+            if ts > t0 and ts - t0 <= GAP:
+                point = x0 + (now - x0) * ((q - t0) / (ts - t0))
+            elif ts == t0 == q:
+                point = now
+            self.steps.append(None if point is None or self.point is None else point - self.point)
+            self.point = point
+            self.next += 1
+        return self.value()
+
+    def value(self) -> float | None:
+        if self.next <= self.points or not self.steps or self.steps[-1] is None:
+            return None
+        ages = np.array([k for k, x in enumerate(reversed(self.steps)) if x is not None])
+        if len(ages) < self.LEAST:
+            return None
+        x = np.array([s for s in reversed(self.steps) if s is not None])
+        w = np.exp(-ages * self.grid / self.tau)
+        w /= w.sum()
+        x = x - w @ x
+        var, n = w @ (x * x), GATES - FIRST
+        a, b = np.sqrt(var[:n]), np.sqrt(var[n:])
+        ok = (a >= self.vary[0]) & (b >= self.vary[1])
+        return float(np.median((w @ (x[:, :n] * x[:, n:]))[ok] / (a * b)[ok])) if ok.any() else None

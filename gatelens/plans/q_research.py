@@ -23,30 +23,37 @@ from .registry import query, r6
 FLOOR, SPREAD = np.full(9, 30.0), np.full(9, 10.0)
 
 
-def hold(kind: str, **options):
+#: A day of events stands for a second of frames.
+DAY = 86_400.0
+
+
+def hold(make):
     def run(spark, d):
-        def step(h: X.ShapeHold, r) -> tuple:
-            return r.id, *map(lambda v: v, h.step(np.asarray(r.move, float), np.asarray(r.still, float)))
+        def step(h, r) -> tuple:
+            holds, value = h.step(r.ts / DAY, np.asarray(r.move, float), np.asarray(r.still, float))
+            return r.id, bool(holds), round(float(value), 6)
 
         rows = frames(spark, d).select("sensor", "ts", "id", "move", "still")
-        return R.fold(rows, ("sensor",), lambda: X.ShapeHold(kind, FLOOR, SPREAD, **options), step, "id long, holding boolean, value double")
+        return R.fold(rows, ("sensor",), make, step, "id long, holding boolean, value double")
 
     return run
 
 
-for name, kind, options in (
-    ("rec20_footprint_hysteresis", "projection", {"level": 0.6, "off": 0.4}),
-    ("rec21_strength_confirmation", "projection", {"need": 3}),
-    ("rec22_gate_band_hold", "band", {}),
-    ("rec23_entry_change_hold", "change", {}),
-    ("rec24_continuity_hold", "continuity", {}),
-    ("rec25_settled_shape_hold", "cosine", {"level": 0.9}),
-    ("rec26_kurtosis_hold", "kurtosis", {}),
-    ("win13_prototype_bank", "bank", {"level": 0.5}),
-    ("rec27_contrastive_bank", "contrast", {"level": 0.2}),
-    ("rec28_two_gate_anchor", "projection", {"gates": 2}),
+for name, make in (
+    ("rec20_footprint_hysteresis", lambda: X.Footprint("projection", 0.6, 0.4)),
+    ("rec20_footprint_shape", lambda: X.Footprint("shape", 0.75)),
+    ("rec20_footprint_amplitude", lambda: X.Footprint("amplitude", 0.4)),
+    ("rec21_strength_confirmation", lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(confirmed=True))),
+    ("rec22_gate_band_hold", lambda: X.BandHold(FLOOR, SPREAD)),
+    ("rec23_entry_change_hold", lambda: X.ChangeHold(FLOOR, SPREAD)),
+    ("rec24_continuity_hold", lambda: X.ContinuityHold(FLOOR, SPREAD)),
+    ("rec25_settled_shape_hold", lambda: X.SettledHold(FLOOR, SPREAD, rows=3)),
+    ("rec26_kurtosis_hold", lambda: X.KurtosisHold(FLOOR, SPREAD, 1.8, 1.0)),
+    ("win13_prototype_bank", lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4)),
+    ("rec27_contrastive_bank", lambda: X.ShapeBank(FLOOR, SPREAD, 0.2, 4, 20.0, True)),
+    ("rec28_two_gate_anchor", lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(gates=2))),
 ):
-    query(name)(hold(kind, **options))
+    query(name)(hold(make))
 
 
 def ratio(signed: bool, reset_s: float):
@@ -68,13 +75,13 @@ for name, signed, reset_s in (("rec17_reset_ratio", True, 3600.0), ("rec18_unsig
 
 @query("win15_coupled_changes")
 def win15(spark, d):
-    """Exponentially weighted correlation of neighbouring gates' changes; the median over pairs."""
-    def step(s: dict, r) -> tuple:
-        pairs = s.setdefault("p", [X.CoupledChanges(7200.0) for _ in range(6)])
-        dt, s["t"] = r.ts - s.get("t", r.ts), r.ts
-        return r.id, float(np.median([p.step(dt, r.move[g + 2], r.move[g + 3]) for g, p in enumerate(pairs)]))
+    """Correlation of both channels' steps, weighted to the present; the median over gates. The grid is of an hour, the horizon of two days."""
+    def step(c: X.CoupledChanges, r) -> tuple:
+        got = c.step(r.ts / DAY, np.asarray(r.move, float), np.asarray(r.still, float))
+        return r.id, None if got is None else round(got, 6)
 
-    return R.fold(frames(spark, d).select("sensor", "ts", "id", "move"), ("sensor",), dict, step, "id long, coupling double")
+    rows = frames(spark, d).select("sensor", "ts", "id", "move", "still")
+    return R.fold(rows, ("sensor",), lambda: X.CoupledChanges(1 / 24, 2.0, 1.0), step, "id long, coupling double")
 
 
 @query("rec7_arrival_bar")
@@ -129,11 +136,11 @@ def win22(spark, d):
         return pdf.iloc[keep][["id", "sensor", "energy"]]
 
     by_time = Window.partitionBy("sensor").orderBy(I.micros())
-    near = by_time.rangeBetween(-450_000_000, 450_000_000)
+    near = by_time.rangeBetween(-900_000_000, 900_000_000)
     s = samples(spark, d).withColumns({"top": F.max("energy").over(by_time.rangeBetween(-900_000_000, 900_000_000)), "raw": F.max(F.struct("energy", (-F.col("ts")).alias("t"), (-F.col("id")).alias("i"))).over(near)})
     w = I.order_by("sensor")
     s = s.withColumns({"p": F.lag("top").over(w), "n": F.lead("top").over(w), "g1": F.col("ts") - F.lag("ts").over(w), "g2": F.lead("ts").over(w) - F.col("ts")})
-    s = s.where("top > p and top >= n and top >= 18 and g1 <= 3600 and g2 <= 3600")
+    s = s.where("top >= p and top >= n and top >= 18 and g1 <= 3600 and g2 <= 3600")
     s = s.select("sensor", (-F.col("raw.i")).alias("id"), (-F.col("raw.t")).alias("ts"), F.col("raw.energy").alias("energy")).distinct()
     s = I.islands(s, I.gap_from(7200.0, "sensor"), "sensor", name="group")
     return s.groupBy("sensor", "group").applyInPandas(run, "id long, sensor string, energy int")

@@ -115,9 +115,9 @@ PAIRS = _pairs()
 PEAKS = (
     (
         R + SQL_SAMPLES,
-        "m0 as (select *, max(energy) over (partition by sensor order by ts range between 900 preceding and 900 following) as top, max({'e': energy, 't': -ts, 'i': -id}) over (partition by sensor order by ts range between 450 preceding and 450 following) as raw from s)",
+        "m0 as (select *, max(energy) over (partition by sensor order by ts range between 900 preceding and 900 following) as top, max({'e': energy, 't': -ts, 'i': -id}) over (partition by sensor order by ts range between 900 preceding and 900 following) as raw from s)",
         "m1 as (select *, lag(top) over w as p, lead(top) over w as nx, ts - lag(ts) over w as g1, lead(ts) over w - ts as g2 from m0 window w as (partition by sensor order by ts, id))",
-        "k as (select distinct -raw.i as id, sensor, -raw.t as ts, raw.e as energy from m1 where top > p and top >= nx and top >= 18 and g1 <= 3600 and g2 <= 3600)",
+        "k as (select distinct -raw.i as id, sensor, -raw.t as ts, raw.e as energy from m1 where top >= p and top >= nx and top >= 18 and g1 <= 3600 and g2 <= 3600)",
         "o as materialized (select *, row_number() over (partition by sensor order by energy desc, ts, id) as n from k)",
         step("r", "select sensor, n, id, energy, [ts] as taken, true as stays from o where n = 1", "select sensor, n, id, energy, case when stays then list_append(taken, ts) else taken end, stays from (select o.sensor, o.n, o.id, o.energy, o.ts, r.taken, len(list_filter(r.taken, lambda t: abs(t - o.ts) < 7200)) = 0 as stays from r join o on o.sensor = r.sensor and o.n = r.n + 1)"),
     ),

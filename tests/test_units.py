@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from gatelens.functions import arrays as A
-from gatelens.operators import buckets, decay, house, intervals, islands, learned, models, replay, research, snapshot
+from gatelens.operators import buckets, decay, house, intervals, islands, learned, models, replay, snapshot
 from gatelens.operators.automaton import Sensor
 from gatelens.plans.config import Config, configured
 from gatelens.plans.stages import ALL_STAGES, Stage, chosen, order
@@ -242,19 +242,6 @@ def test_boundary_is_confirmed_by_three_evaluations():
     assert g.boundary == 3
 
 
-@pytest.mark.parametrize("kind", research.ShapeHold.KINDS)
-def test_holds_begin_with_motion(kind):
-    h = research.ShapeHold(kind, np.full(9, 10.0), np.full(9, 2.0), level=0.2)
-    quiet, seated = np.full(9, 10.0), np.array([10, 10, 12, 40, 60, 40, 12, 10, 10.0])
-    assert h.step(np.zeros(9), quiet) == (False, 0.0)
-    assert h.step(np.where(seated > 30, 70.0, 0.0), seated)[0]
-    assert h.step(np.zeros(9), seated)[0]
-    if kind != "continuity":
-        assert not h.step(np.zeros(9), quiet)[0]
-    with pytest.raises(ValueError, match="nothing"):
-        research.ShapeHold("nothing", np.zeros(9), np.ones(9))
-
-
 def test_reach(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
     got = house.reachable(edges, spark.createDataFrame([("a",)], "node string"))
