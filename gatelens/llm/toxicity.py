@@ -118,10 +118,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class Markers:
     """Every hashed feature over the z bar as a column, chosen from the labelled rows that learn names, and the categories' labels after them."""
 
-    def __init__(self, y: np.ndarray, doc: np.ndarray, row: np.ndarray, learn: np.ndarray):
+    def __init__(self, y: np.ndarray, sets: list[np.ndarray], learn: np.ndarray):
         size = 1 << BITS
-        of = learn[doc]
-        with_, without = (np.bincount(row[of & (y[doc] == k)], minlength=size) for k in (1, 0))
+        with_, without = (_counted([sets[k] for k in np.flatnonzero(learn & (y == label))]) for label in (1, 0))
         n1, n0 = max(y[learn].sum(), 1), max((1 - y[learn]).sum(), 1)
         p = (with_ + without) / (n1 + n0)
         z = (with_ / n1 - without / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
@@ -131,8 +130,8 @@ class Markers:
         self.column[order] = np.arange(len(order))
         strongest = np.zeros(len(order), bool)
         strongest[np.flatnonzero(z[order] > 0)[:STRONGEST]] = True
-        key = hits(self.column, doc, row)
-        self.row, self.at = key >> 32, key & 0xFFFFFFFF
+        found = [c[c >= 0] for c in (self.column[x] for x in sets)]
+        self.row, self.at = np.repeat(np.arange(len(sets)), [len(c) for c in found]), np.concatenate([np.zeros(0, np.int32), *found])
         overt = (np.bincount(self.row, strongest[self.at], len(y)) > 0).astype(np.float32)
         self.labels = {"overt": y * overt, "veiled": y * (1 - overt), "toxic": y}
 
@@ -140,6 +139,14 @@ class Markers:
         return Rows(self.row, self.at, self.width, earlier)
 
 
+def _counted(sets: list[np.ndarray], part: int = 1000) -> np.ndarray:
+    """In how many of the sets each hashed feature is."""
+    total = np.zeros(1 << BITS, np.int64)
+    for a in range(0, len(sets), part):
+        total += np.bincount(np.concatenate(sets[a : a + part]), minlength=1 << BITS)
+    return total
+
+
 def hits(column: np.ndarray, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Each document's markers once, a number for document and marker."""
     c = column[row]
@@ -148,18 +155,17 @@ def hits(column: np.ndarray, doc: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 class Chain:
-    """A marker's column by its hash, and one weight vector a category over markers, earlier categories and the bias.
+    """From (label, hashed features, each once) of each document: a marker's column by its hash, and one weight vector a category over markers, earlier categories and the bias.
 
     Out-of-fold probabilities come from markers, category labels and weights that the fold's own rows had no part in.
     """
 
     def __init__(self, sets: list[tuple[int, np.ndarray]], folds: int = FOLDS):
         y = np.array([label for label, _ in sets], np.float32)
-        doc = np.repeat(np.arange(len(sets)), [len(r) for _, r in sets])
-        row = np.concatenate([np.zeros(0, np.uint32), *(r for _, r in sets)])
+        rows = [np.asarray(r) for _, r in sets]
         fold = np.arange(len(sets)) % folds
-        every = Markers(y, doc, row, np.ones(len(sets), bool))
-        parts = [(fold == f, Markers(y, doc, row, fold != f)) for f in range(folds) if (fold != f).any()]
+        every = Markers(y, rows, np.ones(len(sets), bool))
+        parts = [(fold == f, Markers(y, rows, fold != f)) for f in range(folds) if (fold != f).any()]
         self.column, self.weights, earlier = every.column, [], np.zeros((len(sets), 0))
         for category in CATEGORIES:
             self.weights.append(logistic(every.inputs(earlier), every.labels[category]))
