@@ -23,8 +23,8 @@ WORD_END = "</w>"
 PUNCTUATION = punctuation.encode()
 PART = 1 << 21
 #: Of the cache's younger half; the older one was as large when it was younger.
-CACHE_WORDS = 600_000
-CACHE_BYTES = 24 << 20
+CACHE_WORDS = 400_000
+CACHE_BYTES = 16 << 20
 
 
 def latin(word: bytes) -> bool:
