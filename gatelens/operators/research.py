@@ -238,10 +238,10 @@ class SettledHold(Hold):
     Until there is such a footprint the anchor decides.
     """
 
-    FROM, UNTIL, ROWS, LEAST = 30.0, 60.0, 100, 1.0
+    LEAST = 1.0
 
-    def __init__(self, floor, spread, angle: float = 0.9, size: float = 0.2, rows: int | None = None):
-        self.angle, self.size, self.rows = angle, size, self.ROWS if rows is None else rows
+    def __init__(self, floor, spread, angle: float = 0.9, size: float = 0.2, rows: int = 100, settling: tuple[float, float] = (30.0, 60.0)):
+        self.angle, self.size, self.rows, self.settling = angle, size, rows, settling
         super().__init__(floor, spread)
 
     def forget(self) -> None:
@@ -256,13 +256,13 @@ class SettledHold(Hold):
                 self.began, self.base = ts, base
             return anchored, 0.0
         age, gain = ts - self.began, np.maximum(now - self.base, 0.0)
-        if self.FROM <= age < self.UNTIL:
+        if self.settling[0] <= age < self.settling[1]:
             self.training.append(gain)
-        if age >= self.UNTIL and self.settled is None and len(self.training) >= self.rows:
+        if age >= self.settling[1] and self.settled is None and len(self.training) >= self.rows:
             middle = np.median(self.training, axis=0)
             self.settled = middle if np.linalg.norm(middle) >= self.LEAST else None
             self.training = []
-        if age < self.UNTIL or self.settled is None:
+        if age < self.settling[1] or self.settled is None:
             return anchored, 0.0
         size, whole = float(np.linalg.norm(gain)), float(np.linalg.norm(self.settled))
         cosine = float(gain @ self.settled) / max(size * whole, 1e-9)

@@ -92,9 +92,9 @@ def rec23(spark, d):
         s.setdefault("r", Retention())
         s["r"].observe(None if "t" not in s else (r.ts - s["t"]) / 600.0, np.asarray(r.still, float))
         s["t"] = r.ts
-        return r.id, round(s["r"].level(), 6), s["r"].holds()
+        return r.id, s["r"].level(), s["r"].holds()
 
-    return R.fold(frames(spark, d).select("sensor", "ts", "id", "still"), ("sensor",), dict, step, "id long, peak double, blocking boolean")
+    return R.fold(frames(spark, d).select("sensor", "ts", "id", "still"), ("sensor",), dict, step, "id long, peak double, blocking boolean").withColumn("peak", r6(F.col("peak"), "peak"))
 
 
 @query("rec13_motion_anchor", *Q.ANCHOR[0], sql=Q.ANCHOR[1])
@@ -105,9 +105,9 @@ def rec13(spark, d):
 
     def step(a: Anchor, r) -> tuple:
         got = a.observe(r.ts / 86_400.0, np.asarray(r.move, float), np.asarray(r.still, float), floor, spread)
-        return r.id, bool(got), round(a.score, 6)
+        return r.id, bool(got), float(a.score)
 
-    return R.fold(frames(spark, d).select("sensor", "ts", "id", "move", "still"), ("sensor",), lambda: Anchor(40.0), step, "id long, anchored boolean, score double")
+    return R.fold(frames(spark, d).select("sensor", "ts", "id", "move", "still"), ("sensor",), lambda: Anchor(40.0), step, "id long, anchored boolean, score double").withColumn("score", r6(F.col("score"), "score"))
 
 
 @query("arm1_crossing", *Q.ARMING[0], sql=Q.ARMING[1])
@@ -249,9 +249,9 @@ def spc1(spark, d):
     def step(s: dict, r) -> tuple:
         s["p"] = M.belief(s.get("p", 0.0), r.ts - s.get("t", r.ts), r.energy / 100.0, 0.3, 7200.0)
         s["t"] = r.ts
-        return r.id, round(s["p"], 6)
+        return r.id, s["p"]
 
-    return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy"), ("sensor",), dict, step, "id long, belief double")
+    return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy"), ("sensor",), dict, step, "id long, belief double").withColumn("belief", r6(F.col("belief"), "belief"))
 
 
 @query("spc6_7_evidence", SQL_SAMPLES, "w as (select id, sensor, ts, chan, gate, energy, max(energy) over (partition by sensor order by ts range between 3600 preceding and current row) - min(energy) over (partition by sensor order by ts range between 3600 preceding and current row) as rise from s)", sql="select id, case when chan = 0 and gate <= 1 and energy >= 80 then 'door' when chan = 1 and energy >= 80 then 'bed' when rise <= 10 then 'co2_flat' when rise >= 60 then 'co2_rise' else 'none' end as evidence from w")

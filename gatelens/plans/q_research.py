@@ -31,29 +31,29 @@ def hold(make):
     def run(spark, d):
         def step(h, r) -> tuple:
             holds, value = h.step(r.ts / DAY, np.asarray(r.move, float), np.asarray(r.still, float))
-            return r.id, bool(holds), round(float(value), 6)
+            return r.id, bool(holds), float(value)
 
         rows = frames(spark, d).select("sensor", "ts", "id", "move", "still")
-        return R.fold(rows, ("sensor",), make, step, "id long, holding boolean, value double")
+        return R.fold(rows, ("sensor",), make, step, "id long, holding boolean, value double").withColumn("value", r6(F.col("value"), "value"))
 
     return run
 
 
-for name, make in (
-    ("rec20_footprint_hysteresis", lambda: X.Footprint("projection", 0.6, 0.4)),
-    ("rec20_footprint_shape", lambda: X.Footprint("shape", 0.75)),
-    ("rec20_footprint_amplitude", lambda: X.Footprint("amplitude", 0.4)),
-    ("rec21_strength_confirmation", lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(confirmed=True))),
-    ("rec22_gate_band_hold", lambda: X.BandHold(FLOOR, SPREAD)),
-    ("rec23_entry_change_hold", lambda: X.ChangeHold(FLOOR, SPREAD)),
-    ("rec24_continuity_hold", lambda: X.ContinuityHold(FLOOR, SPREAD)),
-    ("rec25_settled_shape_hold", lambda: X.SettledHold(FLOOR, SPREAD, rows=3)),
-    ("rec26_kurtosis_hold", lambda: X.KurtosisHold(FLOOR, SPREAD, 1.8, 1.0)),
-    ("win13_prototype_bank", lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4)),
-    ("rec27_contrastive_bank", lambda: X.ShapeBank(FLOOR, SPREAD, 0.2, 4, 20.0, True)),
-    ("rec28_two_gate_anchor", lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(gates=2))),
+for name, (ctes, select), make in (
+    ("rec20_footprint_hysteresis", Q.footprint("projection", 0.6, 0.4), lambda: X.Footprint("projection", 0.6, 0.4)),
+    ("rec20_footprint_shape", Q.footprint("shape", 0.75, 0.75), lambda: X.Footprint("shape", 0.75)),
+    ("rec20_footprint_amplitude", Q.footprint("amplitude", 0.4, 0.4), lambda: X.Footprint("amplitude", 0.4)),
+    ("rec21_strength_confirmation", Q.guarded(True), lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(confirmed=True))),
+    ("rec22_gate_band_hold", Q.BAND, lambda: X.BandHold(FLOOR, SPREAD)),
+    ("rec23_entry_change_hold", Q.CHANGE, lambda: X.ChangeHold(FLOOR, SPREAD)),
+    ("rec24_continuity_hold", Q.CONTINUITY, lambda: X.ContinuityHold(FLOOR, SPREAD)),
+    ("rec25_settled_shape_hold", Q.settled(3.0, 6.0, 3), lambda: X.SettledHold(FLOOR, SPREAD, rows=3, settling=(3.0, 6.0))),
+    ("rec26_kurtosis_hold", Q.FLAT, lambda: X.KurtosisHold(FLOOR, SPREAD, 1.8, 1.0)),
+    ("win13_prototype_bank", Q.bank(False, 0.5, 4, 1.0), lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4, 1.0)),
+    ("rec27_contrastive_bank", Q.bank(True, 0.2, 4, 3.0), lambda: X.ShapeBank(FLOOR, SPREAD, 0.2, 4, 3.0, True)),
+    ("rec28_two_gate_anchor", Q.guarded(False), lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(gates=2))),
 ):
-    query(name)(hold(make))
+    query(name, *ctes, sql=select)(hold(make))
 
 
 def ratio(signed: bool, reset_s: float):
@@ -61,9 +61,9 @@ def ratio(signed: bool, reset_s: float):
         def step(s: dict, r) -> tuple:
             f = s.setdefault("f", X.Ratio(signed, reset_s))
             dt, s["t"] = r.ts - s.get("t", r.ts), r.ts
-            return r.id, round(f.step(r.ts, dt / 600.0, float(r.energy), r.gate >= 7), 6)
+            return r.id, f.step(r.ts, dt / 600.0, float(r.energy), r.gate >= 7)
 
-        return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy", "gate"), ("sensor",), dict, step, "id long, ratio double")
+        return R.fold(samples(spark, d).select("sensor", "ts", "id", "energy", "gate"), ("sensor",), dict, step, "id long, ratio double").withColumn("ratio", r6(F.col("ratio"), "ratio"))
 
     return run
 

@@ -198,3 +198,189 @@ def detector(floors: tuple[float, ...] = (30.0,), k: float = 3.0) -> tuple[str,
         ),
         "o as (select *, occ as occupied, ready and (occ or coalesce(ts < until, false)) as frozen from r)",
     )
+
+
+# -- research holds: floors of 30, spreads of 10, and a day of events for a second of frames ----------
+
+SEVEN = "(select unnest(range(1, 8)) as g)"
+#: Frames with the seven watched gates as lists, their residuals, balanced gates and the runs of frames without a gap.
+WATCHED = (
+    "y0 as materialized (select *, ts / 86400.0 as t, move[3:9] as m7, still[3:9] as s7, list_transform(range(1, 8), lambda i: greatest(still[i + 2] - 30, 0) / 10.0) as now, list_max(move[3:9])::double as top, list_filter(range(1, 8), lambda i: move[i + 2] >= 40 and move[i + 2] / greatest(move[i + 2] + still[i + 2], 1)::double >= 1 / 3.0) as bal, row_number() over (partition by sensor order by ts, id) as n from f)",
+    "y1 as materialized (select *, coalesce(t - lag(t) over (partition by sensor order by n), 0) as gap from y0)",
+    "y as materialized (select *, count(*) filter (where gap > 0.55) over (partition by sensor order by n) as seg, list_transform(range(1, 8), lambda i: now[i] * (m7[i] / greatest(top, 1))) as made from y1)",
+)
+NORM = "list_sum(list_transform({0}, lambda v: v * v))".format
+DOT = "list_sum(list_transform(range(1, 8), lambda i: {0}[i] * {1}[i]))".format
+FOUND = "y.top >= 40 and list_sum(list_transform(y.made, lambda v: v * v)) >= 1"
+
+
+def anchored(may: str = "true", run: bool = False) -> tuple[str, ...]:
+    """Table an: y with the template after each frame (null where it isn't anchored) and the score; may: what a first footprint needs besides."""
+    def shown(source: str) -> str:
+        score = f"coalesce({DOT('now', 'tmpl')} / {NORM('tmpl')}, 0)"
+        return f"select sensor, n, case when score >= 0.4 then tmpl end as template, case when score >= 0.4 then score else 0 end as score, case when score >= 0.4 then 0 else run end as run from (select *, {score} as score from {source})"
+
+    living = "(r.template is not null and y.gap <= 0.55)"
+    counted = f"case when {living} or y.top < 40 then 0 when y.gap > 0.55 then 1 else r.run + 1 end" if run else "0"
+    founded = f"case when {FOUND} and len(y.bal) > 0 and ({may}) then y.made end"
+    first = shown(f"(select sensor, n, now, {founded} as tmpl, run from (select *, (top >= 40)::int as run from y where n = 1) as y)")
+    grown = f"case when living then (case when {FOUND} and {NORM('y.made')} > {NORM('old')} then y.made else old end) else {founded} end"
+    inner = f"(select y.sensor, y.n, y.now, {grown} as tmpl, run from (select y as y, r.template as old, {living} as living, {counted} as run from r join y on y.sensor = r.sensor and y.n = r.n + 1) as k(y, old, living, run))"
+    return step("a", first, shown(inner).replace("from r join", "from a as r join")), "an as materialized (select y.*, a.template, a.score from y join a using (sensor, n))"
+
+
+CONFIRMED = "y.top >= 80 and run >= 1 or y.top >= 60 and run >= 2 or y.top >= 40 and run >= 3"
+CORROBORATED = (
+    "w as (select sensor, n, len(list_distinct(flatten(list(bal) over (partition by sensor order by t range between 0.3 preceding and current row)))) as gates from y1)",
+    "y as materialized (select y1.*, 0 as seg, list_transform(range(1, 8), lambda i: now[i] * (m7[i] / greatest(top, 1))) as made, w.gates from y1 join w using (sensor, n))",
+)
+SHOWN = "select id, template is not null as holding, round(score, 6) as value from an"
+
+
+def guarded(confirmed: bool) -> tuple[tuple[str, ...], str]:
+    if confirmed:
+        return (R + SQL_FRAMES, *WATCHED, *anchored(CONFIRMED, True)), SHOWN
+    return (R + SQL_FRAMES, *WATCHED[:2], *CORROBORATED, *anchored("y.gates >= 2")), SHOWN
+
+
+def _fold(name_first: str, then: str) -> tuple[str, ...]:
+    return (step("r", name_first, then),)
+
+
+X = "from r join x on x.sensor = r.sensor and x.n = r.n + 1"
+
+
+def footprint(form: str, on: float, off: float) -> tuple[tuple[str, ...], str]:
+    """The first form: the ground is a slow mean that stands still while there is a footprint."""
+    excess = "list_transform(range(1, 8), lambda i: greatest(s7[i] - ground[i], 0))"
+    made = "list_transform(range(1, 8), lambda i: ex[i] * (m7[i] / greatest(top, 1)))"
+
+    def rest(source: str) -> str:
+        grown = f"case when top >= 40 and {NORM('made')} >= 1 and (ref is null or {NORM('made')} > {NORM('ref')}) then made else ref end"
+        value = {"projection": f"{DOT('ex', 'ref2')} / {NORM('ref2')}", "shape": f"case when {NORM('ex')} > 0 then {DOT('ex', 'ref2')} / (sqrt({NORM('ex')}) * sqrt({NORM('ref2')})) else 0 end", "amplitude": f"sqrt({NORM('ex')}) / sqrt({NORM('ref2')})"}[form]
+        active = f"value >= case when was then {off} else {on} end" if form == "projection" else f"sqrt({NORM('ex')}) >= 1 and value >= {on}"
+        kept = "case when active then ref2 end" if form == "projection" else "ref2"
+        ground = "list_transform(range(1, 8), lambda i: ground[i] + (1 - exp(-gap / 15.0)) * (s7[i] - ground[i]))"
+        return (
+            f"select sensor, n, id, case when ref3 is null then {ground} else ground end as ground, ref3 as ref, active, value from (select *, {kept} as ref3 from "
+            f"(select *, ref2 is not null and ({active}) as active from (select *, coalesce({value}, 0) as value from (select *, {grown} as ref2 from (select *, {made} as made from (select *, {excess} as ex from {source}))))))"
+        )
+
+    first = rest("(select sensor, n, id, s7, m7, top, gap, list_transform(s7, lambda v: v::double) as ground, null::double[] as ref, false as was from x where n = 1)")
+    then = rest(f"(select x.sensor, x.n, x.id, x.s7, x.m7, x.top, x.gap, case when x.gap > 0.55 then list_transform(x.s7, lambda v: v::double) else r.ground end as ground, case when x.gap <= 0.55 then r.ref end as ref, r.active as was {X})")
+    return (R + SQL_FRAMES, *WATCHED, "x as materialized (select * from y)", step("r", first, then)), "select id, active as holding, round(value, 6) as value from r"
+
+
+MASKED = "coalesce(list_sum(list_transform(range(1, 8), lambda i: case when {1}[i] then {0}[i] else 0 end)), 0)".format
+STRONGEST = "list_transform({0}, lambda v: v >= 0.2 * list_max({0}))".format
+
+
+def _band() -> tuple[tuple[str, ...], str]:
+    wide = "list_transform(range(1, 8), lambda i: core[i] or coalesce(i > 1 and core[i - 1], false) or coalesce(core[i + 1], false))"
+    x = f"x as materialized (select *, case when template is not null and len(bal) > 0 then {wide} end as fresh from (select *, {STRONGEST('template')} as core from an))"
+
+    def rest(source: str) -> str:
+        stays = "band is not null and share >= 0.4"
+        begins = f"not ({stays}) and fresh is not null and {MASKED('now', 'fresh')} > 0"
+        return f"select sensor, n, id, case when {stays} then band when {begins} then fresh end as band, case when {stays} then whole when {begins} then {MASKED('now', 'fresh')} end as whole, case when {stays} then share when {begins} then 1 else 0 end::double as value from (select *, {MASKED('now', 'band')} / whole as share from {source})"
+
+    first = rest("(select *, null::boolean[] as band, null::double as whole from x where n = 1)")
+    then = rest(f"(select x.*, case when x.gap <= 0.55 then r.band end as band, r.whole {X})")
+    return (R + SQL_FRAMES, *WATCHED, *anchored(), x, step("r", first, then)), "select id, band is not null as holding, round(value, 6) as value from r"
+
+
+BAND = _band()
+#: The median of the frames half to two and a half seconds before, without a gap since.
+BEFORE = (
+    "b0 as (select an.sensor, an.n, g, quantile_cont(s7[g], 0.5) over (partition by an.sensor, seg, g order by t range between 2.5 preceding and 0.5 preceding) as base from an, " + SEVEN + ")",
+    "b1 as (select sensor, n, list(base order by g) as base from b0 where base is not null group by all)",
+    "x as materialized (select an.*, b1.base as base0 from an left join b1 using (sensor, n))",
+)
+GAIN = "list_transform(range(1, 8), lambda i: greatest(s7[i] - {0}[i], 0))".format
+
+
+def _change() -> tuple[tuple[str, ...], str]:
+    def rest(source: str) -> str:
+        stays = "band is not null and share >= 0.4"
+        begins = f"not ({stays}) and template is not null and len(bal) > 0 and base0 is not null and list_max({GAIN('base0')}) > 0"
+        shown = f"case when {stays} then share when {begins} then 1 else coalesce(share, 0) end"
+        return f"select sensor, n, id, case when {stays} then band when {begins} then {STRONGEST(GAIN('base0'))} end as band, case when {stays} then base when {begins} then base0 end as base, case when {stays} then whole when {begins} then {MASKED(GAIN('base0'), STRONGEST(GAIN('base0')))} end as whole, {shown}::double as value from (select *, {MASKED(GAIN('base'), 'band')} / whole as share from {source})"
+
+    first = rest("(select *, null::boolean[] as band, null::double[] as base, null::double as whole from x where n = 1)")
+    then = rest(f"(select x.*, case when x.gap <= 0.55 then r.band end as band, r.base, case when x.gap <= 0.55 then r.whole end as whole {X})")
+    return (R + SQL_FRAMES, *WATCHED, *anchored(), *BEFORE, step("r", first, then)), "select id, band is not null as holding, round(value, 6) as value from r"
+
+
+CHANGE = _change()
+
+
+def _continuity() -> tuple[tuple[str, ...], str]:
+    window = "v as materialized (select x.*, list(s7) over (partition by sensor, seg order by t range between 3 preceding and current row) as rows_ from x)"
+    low = "list_transform(range(1, 8), lambda i: " + quantile("list_transform(rows_, lambda s: greatest(s[i] - base[i], 0)::double)", 0.2) + ")"
+
+    def rest(source: str) -> str:
+        begins = f"band is null and template is not null and len(bal) > 0 and base0 is not null and list_max({GAIN('base0')}) > 0"
+        share = f"{MASKED('list_transform(range(1, 8), lambda i: least(low[i], gain[i]))', 'band')} / {MASKED('gain', 'band')}"
+        return (
+            f"select sensor, n, id, case when {begins} then {STRONGEST(GAIN('base0'))} else band end as band, case when {begins} then base0 else base end as base, case when {begins} then {GAIN('base0')} else gain end as gain, case when {begins} then t else began end as began, "
+            f"case when {begins} then true when band is null then false when t - began < 3 then true else share >= 0.4 end as holding, case when band is null or t - began < 3 then 0 else share end::double as value from (select *, {share} as share from (select *, {low} as low from {source}))"
+        )
+
+    first = rest("(select *, null::boolean[] as band, null::double[] as base, null::double[] as gain, null::double as began from v where n = 1)")
+    then = rest(f"(select x.*, case when x.gap <= 0.55 then r.band end as band, r.base, r.gain, r.began {X.replace('join x', 'join v as x')})")
+    return (R + SQL_FRAMES, *WATCHED, *anchored(), *BEFORE, window, step("r", first, then)), "select id, holding, round(value, 6) as value from r"
+
+
+CONTINUITY = _continuity()
+
+
+def settled(begin: float, end: float, rows: int) -> tuple[tuple[str, ...], str]:
+    middle = "list_transform(range(1, 8), lambda i: " + quantile("list_transform(training, lambda s: s[i]::double)", 0.5) + ")"
+
+    def rest(source: str) -> str:
+        gained = f"select *, {GAIN('base')} as gain, t - began as age from {source}"
+        trained = f"select * replace (case when age >= {begin} and age < {end} then list_append(training, gain) else training end as training) from ({gained})"
+        due = f"age >= {end} and shape is null and len(training) >= {rows}"
+        taken = f"select * exclude (shape, training), case when {due} then (case when sqrt({NORM(middle)}) >= 1 then {middle} end) else shape end as shape, case when {due} then [] else training end as training from ({trained})"
+        cosine = f"{DOT('gain', 'shape')} / greatest(sqrt({NORM('gain')}) * sqrt({NORM('shape')}), 1e-9)"
+        ripe = f"began is not null and age >= {end} and shape is not null"
+        begins = "began is null and template is not null and base0 is not null"
+        return (
+            f"select sensor, n, id, case when {begins} then t else began end as began, case when {begins} then base0 else base end as base, training, shape, "
+            f"case when {ripe} then {cosine} >= 0.9 and sqrt({NORM('gain')}) >= 0.2 * sqrt({NORM('shape')}) else template is not null end as holding, case when {ripe} then {cosine} else 0 end::double as value from ({taken})"
+        )
+
+    first = rest("(select *, null::double as began, null::double[] as base, []::double[][] as training, null::double[] as shape from x where n = 1)")
+    then = rest(f"(select x.*, case when x.gap <= 0.55 then r.began end as began, case when x.gap <= 0.55 then r.base end as base, case when x.gap <= 0.55 then r.training else [] end as training, case when x.gap <= 0.55 then r.shape end as shape {X})")
+    before = tuple(c.replace("partition by an.sensor, seg, g", "partition by an.sensor, g") for c in BEFORE)  # the history outlives a gap
+    return (R + SQL_FRAMES, *WATCHED, *anchored(), *before, step("r", first, then)), "select id, holding, round(value, 6) as value from r"
+
+
+CENTRED = "list_transform(s7, lambda v: v - list_avg(s7))"
+FLAT = (
+    (
+        R + SQL_FRAMES, *WATCHED, *anchored(),
+        f"k0 as (select *, list_avg(list_transform({CENTRED}, lambda v: v * v)) as var, list_avg(list_transform({CENTRED}, lambda v: v * v * v * v)) as fourth from an)",
+        "k1 as (select *, case when sqrt(var) > 1e-9 then fourth / (var * var) end as k from k0)",
+        "k2 as (select *, list(k) over w as ks, min(t) over w as first_ from k1 where k is not null window w as (partition by sensor order by t range between 1 preceding and current row))",
+    ),
+    "select an.id, case when k2.k is null or an.t - first_ < 0.9 then an.template is not null else an.template is not null or list_median(ks) <= 1.8 end as holding, round(case when k2.k is null then 0 when an.t - first_ < 0.9 then k2.k else list_median(ks) end, 6) as value from an left join k2 using (sensor, n)",
+)
+
+
+def bank(contrast: bool, level: float, size: int, window: float) -> tuple[tuple[str, ...], str]:
+    """Which prototypes there are doesn't depend on the reviews, so joins do; only the anchor is a recursion."""
+    shape = f"p as materialized (select *, case when sqrt(var) > 1e-9 then list_transform(s7, lambda v: (v - list_avg(s7)) / sqrt(var)) else [0, 0, 0, 0, 0, 0, 0]::double[] end as prof, lag(template) over (partition by sensor order by n) as old from (select *, list_avg(list_transform({CENTRED}, lambda v: v * v)) as var from an))"
+    before = (
+        "e0 as (select p.sensor, p.n, g, median(prof[g]) over w as base, count(*) over w as k from p, " + SEVEN + " window w as (partition by p.sensor, g order by t range between 2.5 preceding and 0.3 preceding))",
+        "e1 as (select sensor, n, list(base order by g) as base from e0 where k >= 3 group by all)",
+    )
+    changed = "c as (select p.sensor, p.n, p.t, " + ("e1.base from p join e1 using (sensor, n)" if contrast else "[0, 0, 0, 0, 0, 0, 0]::double[] as base from p") + " where template is not null and len(bal) > 0 and template is distinct from old)"
+    entered = "d as (select c.sensor, c.n as born, c.base, min(p.n) as n from c join p on p.sensor = c.sensor and p.n > c.n and p.t >= c.t + 2 group by all)"
+    made = f"q0 as (select d.sensor, d.born, d.n, d.base, list_transform(range(1, 8), lambda i: p.prof[i] - d.base[i]) as change from d join p using (sensor, n))"
+    kept = f"q as materialized (select *, row_number() over (partition by sensor order by born) as k from q0 where {NORM('change') if contrast else '1'} >= 0.05)"
+    known = "h as materialized (select p.sensor, p.n, p.t, max(q.k) as k from p join q on q.sensor = p.sensor and q.n <= p.n group by all)"
+    like = "list_sum(list_transform(range(1, 8), lambda i: (p.prof[i] - q.base[i]) * q.change[i])) / " + (NORM("q.change") if contrast else "7")
+    best = f"m as (select h.sensor, h.n, p.n as row_, max({like}) as likeness from h join p on p.sensor = h.sensor and p.n <= h.n and h.t - p.t <= {window} join q on q.sensor = h.sensor and q.k between h.k - {size - 1} and h.k group by all)"
+    ctes = (shape, *(before if contrast else ()), changed, entered, made, kept, known, best, "v as (select sensor, n, median(likeness) as value from m group by all)")
+    return (R + SQL_FRAMES, *WATCHED, *anchored(), *ctes), f"select id, coalesce(value >= {level}, false) as holding, round(coalesce(value, 0), 6) as value from an left join v using (sensor, n)"
