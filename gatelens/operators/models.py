@@ -133,6 +133,16 @@ def turning_points(x: np.ndarray, least: float = 0.9) -> list[int]:
     return [*out, top] if top != out[-1] else out
 
 
+def legs(cells: np.ndarray, path: np.ndarray, turns: list[int], net: float = 1.8, least: int = 2, slow: float = 0.075, fast: float = 1.5) -> list[tuple[int, int, float]]:
+    """Start, end and displacement of the stretches between turns that go far enough, last long enough and are neither too slow nor too fast, in gates a cell."""
+    out = []
+    for a, b in zip(turns, turns[1:], strict=False):
+        move, length = float(path[b] - path[a]), int(cells[b] - cells[a])
+        if abs(move) >= net and length >= least and slow <= abs(move) / length <= fast:
+            out.append((int(cells[a]), int(cells[b]), move))
+    return out
+
+
 def marches(cells: np.ndarray, path: np.ndarray, net: float = 1.8, least: int = 2, most: int = 120) -> list[tuple[int, int, float]]:
     """Non-overlapping stretches from left to right with the most displacement times monotonicity: start, end, displacement."""
     out, i = [], 0

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelens.plans.config import Config
@@ -95,21 +95,30 @@ def fold(df: DataFrame, keys: tuple[str, ...], make: Callable, step: Callable, s
     return ordered(df, *keys, by=by).mapInPandas(run, schema)
 
 
-def ema(df: DataFrame, value: str, tau_s: float, *keys: str) -> DataFrame:
-    """(id, ema): s += (1 - exp(-dt / tau)) * (value - s); the first value as it is, repeated times change nothing."""
-    import math
+def ema(df: DataFrame, value: str, tau_s: float, *keys: str, block: float = 500.0) -> DataFrame:
+    """(id, ema): s += (1 - exp(-dt / tau)) * (value - s); the first value as it is, repeated times change nothing.
 
-    def step(s: dict, r) -> tuple:
-        v = float(getattr(r, value))
-        if not s:
-            s |= {"s": v, "t": r.ts}
-        dt = r.ts - s["t"]
-        if dt > 0:
-            s["s"] += (1.0 - math.exp(-dt / tau_s)) * (v - s["s"])
-        s["t"] = r.ts
-        return r.id, s["s"]
-
-    return fold(df, keys, dict, step, "id long, ema double")
+    It is linear, so no fold: a row adds the step from the value before, which
+    has decayed by exp(-age / tau) later on. Sums of steps times exp(ts / tau)
+    are windows; they are kept within blocks of so many time constants, so that
+    no factor grows without bound, and a block begins with the sum that the ones
+    before it leave.
+    """
+    w = Window.partitionBy(*keys).orderBy("ts", "id")
+    x = F.col(value).cast("double")
+    age = (F.col("ts") - F.min("ts").over(Window.partitionBy(*keys))) / tau_s
+    rows = df.select(*keys, "ts", "id", x.alias("x"), age.alias("age"))
+    rows = rows.withColumns({"block": F.floor(F.col("age") / block), "was": F.lag("ts").over(w), "n": F.row_number().over(w)})
+    # a row of a repeated time gives nothing; any other one pulls towards its value over the time since the row before
+    pull = F.when(F.col("n") == 1, F.col("x")).when(F.col("ts") > F.col("was"), (1 - F.exp(-(F.col("ts") - F.col("was")) / tau_s)) * F.col("x")).otherwise(0.0)
+    part = F.col("age") - F.col("block") * block
+    rows = rows.withColumn("grown", pull * F.exp(part)).withColumn("part", part)
+    ends = rows.groupBy(*keys, "block").agg((F.sum("grown") * F.exp(-F.lit(block))).alias("left"))
+    # what two blocks ago left has decayed to nothing by the end of the last one
+    carried = ends.select(*keys, (F.col("block") + 1).alias("block"), "left")
+    sums = F.sum("grown").over(Window.partitionBy(*keys, "block").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("sum", sums).join(carried, [*keys, "block"], "left")
+    return rows.select("id", ((F.col("sum") + F.coalesce("left", F.lit(0.0))) * F.exp(-F.col("part"))).alias("ema"))
 
 
 def changepoints(df: DataFrame, values: str, floor: list[float], spread: list[float], *keys: str) -> DataFrame:
@@ -125,8 +134,6 @@ def changepoints(df: DataFrame, values: str, floor: list[float], spread: list[fl
 
 def hold_grid(df: DataFrame, step_s: float, *keys: str) -> DataFrame:
     """(keys, tick, ...): each row held on a regular grid until the next one, from the key's first row on."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy("ts", "id")
     first = F.min("ts").over(Window.partitionBy(*keys))
     # ticks lie strictly before the next row

@@ -229,13 +229,15 @@ def jon15(spark, d):
 
 @query("rec19_30_marches")
 def marches(spark, d):
-    """Zig-zag turns and marches along each sensor's path of hourly cells; a gap of over three cells breaks a track."""
+    """Zig-zag turns, the legs between them and marches along each sensor's path of hourly cells; a gap of over three cells breaks a track."""
     import numpy as np
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
         path, cells = pdf.mid.to_numpy(float), pdf.cell.to_numpy()
-        rows = [(pdf.sensor.iloc[0], "turn", int(cells[k]), int(cells[k]), 0.0) for k in M.turning_points(path)]
+        turns = M.turning_points(path)
+        rows = [(pdf.sensor.iloc[0], "turn", int(cells[k]), int(cells[k]), 0.0) for k in turns]
+        rows += [(pdf.sensor.iloc[0], "leg", a, b, m) for a, b, m in M.legs(cells, path, turns)]
         rows += [(pdf.sensor.iloc[0], "march", a, b, m) for a, b, m in M.marches(cells, np.asarray(path))]
         return pd.DataFrame(rows, columns=["sensor", "kind", "start", "end", "displacement"])
 

@@ -49,7 +49,7 @@ for name, (ctes, select), make in (
     ("rec24_continuity_hold", Q.CONTINUITY, lambda: X.ContinuityHold(FLOOR, SPREAD)),
     ("rec25_settled_shape_hold", Q.settled(3.0, 6.0, 3), lambda: X.SettledHold(FLOOR, SPREAD, rows=3, settling=(3.0, 6.0))),
     ("rec26_kurtosis_hold", Q.FLAT, lambda: X.KurtosisHold(FLOOR, SPREAD, 1.8, 1.0)),
-    ("win13_prototype_bank", Q.bank(False, 0.5, 4, 1.0), lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4, 1.0)),
+    ("win13_prototype_bank", Q.bank(False, 0.5, 4, 3.0), lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4, 3.0)),
     ("rec27_contrastive_bank", Q.bank(True, 0.2, 4, 3.0), lambda: X.ShapeBank(FLOOR, SPREAD, 0.2, 4, 3.0, True)),
     ("rec28_two_gate_anchor", Q.guarded(False), lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(gates=2))),
 ):

@@ -376,11 +376,12 @@ def bank(contrast: bool, level: float, size: int, window: float) -> tuple[tuple[
         "e1 as (select sensor, n, list(base order by g) as base from e0 where k >= 3 group by all)",
     )
     changed = "c as (select p.sensor, p.n, p.t, " + ("e1.base from p join e1 using (sensor, n)" if contrast else "[0, 0, 0, 0, 0, 0, 0]::double[] as base from p") + " where template is not null and len(bal) > 0 and template is distinct from old)"
-    entered = "d as (select c.sensor, c.n as born, c.base, min(p.n) as n from c join p on p.sensor = c.sensor and p.n > c.n and p.t >= c.t + 2 group by all)"
+    entered = "d as materialized (select c.sensor, c.n as born, c.base, p.n as n from (select *, t + 2 as due from c) as c asof join (select sensor, t, n from p) as p on p.sensor = c.sensor and c.due <= p.t)"
     made = f"q0 as (select d.sensor, d.born, d.n, d.base, list_transform(range(1, 8), lambda i: p.prof[i] - d.base[i]) as change from d join p using (sensor, n))"
     kept = f"q as materialized (select *, row_number() over (partition by sensor order by born) as k from q0 where {NORM('change') if contrast else '1'} >= 0.05)"
     known = "h as materialized (select p.sensor, p.n, p.t, max(q.k) as k from p join q on q.sensor = p.sensor and q.n <= p.n group by all)"
-    like = "list_sum(list_transform(range(1, 8), lambda i: (p.prof[i] - q.base[i]) * q.change[i])) / " + (NORM("q.change") if contrast else "7")
-    best = f"m as (select h.sensor, h.n, p.n as row_, max({like}) as likeness from h join p on p.sensor = h.sensor and p.n <= h.n and h.t - p.t <= {window} join q on q.sensor = h.sensor and q.k between h.k - {size - 1} and h.k group by all)"
-    ctes = (shape, *(before if contrast else ()), changed, entered, made, kept, known, best, "v as (select sensor, n, median(likeness) as value from m group by all)")
+    banked = f"b as materialized (select h.sensor, h.n, h.t, list({{'c': q.change, 'b': q.base}}) as bank from h join q on q.sensor = h.sensor and q.k between h.k - {size - 1} and h.k group by all)"
+    like = "list_sum(list_transform(range(1, 8), lambda i: (p.prof[i] - z.b[i]) * z.c[i])) / " + (NORM("z.c") if contrast else "7")
+    best = f"m as (select b.sensor, b.n, list_max(list_transform(bank, lambda z: {like})) as likeness from b join p on p.sensor = b.sensor and p.t <= b.t and p.t >= b.t - {window})"
+    ctes = (shape, *(before if contrast else ()), changed, entered, made, kept, known, banked, best, "v as (select sensor, n, median(likeness) as value from m group by all)")
     return (R + SQL_FRAMES, *WATCHED, *anchored(), *ctes), f"select id, coalesce(value >= {level}, false) as holding, round(coalesce(value, 0), 6) as value from an left join v using (sensor, n)"
