@@ -136,6 +136,14 @@ def scr2(spark, d):
     return supported(spark, d).select("id", A.leading_gate(F.col("rm"), 3.0, F.col("sup")).alias("lead"))
 
 
+@query("scr4_raw_and_suppressed_leads", SQL_FRAMES, P, *SUPPORT, LEAD, sql="select id, list_min(list_filter(range(0, 9), lambda i: rm[i + 1] >= 3))::int as raw, lead::int as suppressed, coalesce(lead > list_min(list_filter(range(0, 9), lambda i: rm[i + 1] >= 3)), false) as moved from ld")
+def scr4(spark, d):
+    """The nearest gate over the bar, as it is and without lone gates, and whether that makes it a farther one."""
+    raw = F.array_min(F.filter(A.index(), lambda i: F.get("rm", i) >= 3.0))
+    f = supported(spark, d).select("id", raw.alias("raw"), A.leading_gate(F.col("rm"), 3.0, F.col("sup")).alias("suppressed"))
+    return f.withColumn("moved", F.coalesce(F.col("suppressed") > F.col("raw"), F.lit(False)))
+
+
 def activity(spark, d):
     """Frames with the leading gate, and a number that changes where activity, an active gate or one with support, begins or ends."""
     f = supported(spark, d).withColumn("lead", A.leading_gate(F.col("rm"), 3.0, F.col("sup")))

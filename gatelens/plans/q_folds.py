@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 from gatelens.operators import islands as I
 from gatelens.operators import models as M
 from gatelens.operators import replay as R
-from gatelens.operators.automaton import Anchor, Arming, Retention
+from gatelens.operators import snapshot as S
+from gatelens.operators.automaton import Anchor, Arming, Retention, Sensor
 from gatelens.sources import sinks, wire
 from gatelens.sources.tables import SQL_FRAMES, SQL_SAMPLES, frames, samples
 
 from . import sql_folds as Q
+from .config import Config, configured
 from .registry import query, r6
-from .stages import ALL_STAGES, plan, sweep
+from .stages import ALL_STAGES, chosen, order, plan, sweep
 
 #: The events are minutes apart where a radar's frames are tenths of a second: time constants grow alike.
 SCALED = {"k": 7.0, "bucket_s": 3600.0, "baseline_window_s": 86_400.0, "support_tau_s": 1200.0, "hold_s": 3600.0, "episode_stall_s": 14_400.0, "tick_s": 600.0, "lead_gate_max": -1}
 #: A row a frame of the detector with these settings, in SQL.
 DETECTOR = Q.detector((30.0,), SCALED["k"])
 SIMPLE = ("quantile_floor", "tail_spread", "run_score", "lone_gate_suppression", "energy_floor", "score_hold")
+SETTINGS = configured(stages=SIMPLE, **SCALED)
 
 
 @query(
@@ -55,6 +58,103 @@ def snk5(spark, d):
     return plan(frames(spark, d), SIMPLE, "transitions", **SCALED).select("sensor", "ts", "occupied", r6(F.col("score"), "score"))
 
 
+#: The middle of the tables' month.
+MIDDLE = 1_705_363_200.0
+STATES = "select sensor, ts, occupied, round(score, 6) as score from o"
+
+
+def stepped(spark, d, between):
+    """The detector where something happens to a sensor's state between two frames: between(sensor, last time, this time) gives the state to go on with."""
+    def run(batches):
+        name, sensor, was = None, None, None
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.sensor != name:
+                    name, sensor, was = r.sensor, Sensor(SETTINGS), None
+                sensor, was = between(sensor, was, r.ts), r.ts
+                state = sensor.step(r.ts, r.ts, r.move, r.still, r.device_occ)[0]
+                out.append((name, r.ts, state["occupied"], state["score"]))
+            yield pd.DataFrame(out, columns=["sensor", "ts", "occupied", "score"])
+
+    rows = R.ordered(frames(spark, d).select("sensor", "ts", "id", "move", "still", "device_occ"), "sensor")
+    return rows.mapInPandas(run, "sensor string, ts double, occupied boolean, score double").withColumn("score", r6(F.col("score"), "score"))
+
+
+@query("snk12_restored_states", *DETECTOR, sql=STATES)
+def snk12(spark, d):
+    """Saved as bytes and restored between all frames: nothing that is learned gets lost."""
+    return stepped(spark, d, lambda s, was, now: S.restore(S.save(s), s.c))
+
+
+@query("pln7_reconfigured_states", *Q.detector((30.0,), SCALED["k"], later=(MIDDLE, 150.0)), sql=STATES)
+def pln7(spark, d):
+    """Another energy floor from the middle on, with everything learned as it was."""
+    return stepped(spark, d, lambda s, was, now: S.reconfigured(s, configured(s.c, energy_floor=150.0)) if now >= MIDDLE and s.c.energy_floor != 150.0 else s)
+
+
+@query("pln9_reset_states", *Q.detector((30.0,), SCALED["k"], source=f"(select * replace (sensor || (ts >= {MIDDLE})::varchar as sensor) from f) as f"), sql="select regexp_replace(sensor, '(true|false)$', '') as sensor, ts, occupied, round(score, 6) as score from o")
+def pln9(spark, d):
+    """All learning forgotten in the middle: from there on as a new sensor."""
+    return stepped(spark, d, lambda s, was, now: Sensor(s.c) if was is not None and was < MIDDLE <= now else s)
+
+
+#: Stage lists and what the planner makes of them, worked out by hand.
+LISTS = (
+    ("tail_spread", "run_score", "lone_gate_suppression", "quantile_floor"),
+    ("score_hold", "ownership", "run_score", "mode_spread", "recurring_floor"),
+    ("quantile_floor", "tail_spread", "retention_hold"),
+    ("run_score", "quantile_floor"),
+    ("quantile_floor", "tail_spread", "nonsense"),
+    ("histogram_floor", "quantile_floor", "mode_spread", "tail_spread", "arrival", "move_ceiling"),
+)
+PLANNED = (
+    "tail_spread,lone_gate_suppression,run_score,quantile_floor", "ownership,score_hold,run_score,recurring_floor,mode_spread", "refused: retention", "refused: spread",
+    "refused: nonsense", "histogram_floor,quantile_floor,mode_spread,tail_spread,move_ceiling,arrival",
+)
+
+
+@query("pln1_5_planned_stages", sql="select * from (values " + ", ".join(f"({k}, '{p}', {f})" for k, (p, f) in enumerate(zip(PLANNED, ("'quantile_floor'", "'recurring_floor'", "'quantile_floor'", "'quantile_floor'", "'quantile_floor'", "'histogram_floor'"), strict=True))) + ") as t(list, planned, floor)")
+def pln15(spark, d):
+    """Stages in an order that gives each one what it needs, lists that are refused with what is wrong, and the floor that counts, the first listed."""
+    def planned(names: tuple[str, ...]) -> str:
+        try:
+            return ",".join(s.name for s in order(names))
+        except ValueError as e:
+            return "refused: " + str(e).split("'")[-2]
+
+    rows = [(k, planned(names), chosen(names, "floor")) for k, names in enumerate(LISTS)]
+    return spark.createDataFrame(rows, "list int, planned string, floor string")
+
+
+@query("pln8_accepted_settings", SQL_SAMPLES, "v as (select distinct energy from s)", sql="select energy, energy / 8.0 between 1 and 10 as k, energy / 4.0 between 0.5 and 20 as enter_score, energy - 10 between -1 and 8 as lead_gate_max from v")
+def pln8(spark, d):
+    """Which values of three settings are accepted."""
+    def accepted(**setting) -> bool:
+        try:
+            return bool(configured(**setting))
+        except ValueError:
+            return False
+
+    def run(batches):
+        for b in batches:
+            rows = [(int(e), accepted(k=e / 8), accepted(enter_score=e / 4), accepted(lead_gate_max=int(e) - 10)) for e in b["energy"]]
+            yield pd.DataFrame(rows, columns=["energy", "k", "enter_score", "lead_gate_max"])
+
+    return samples(spark, d).select("energy").distinct().mapInPandas(run, "energy int, k boolean, enter_score boolean, lead_gate_max boolean")
+
+
+@query("prj13_derived_settings", SQL_SAMPLES, "v as (select distinct energy from s where energy > 0)", sql="select energy, energy / 8.0 * 0.5 as gate_on, energy / 8.0 * 0.25 as gate_off, greatest(1, round_even(3600.0 / energy, 0))::int as window_buckets, energy * 86400.0 as stats_half_life_s from v")
+def prj13(spark, d):
+    """Thresholds that follow from settings."""
+    def run(batches):
+        for b in batches:
+            of = [(int(e), Config(k=e / 8, baseline_window_s=3600.0, bucket_s=float(e), stats_half_life_days=float(e))) for e in b["energy"]]
+            yield pd.DataFrame([(e, c.gate_on, c.gate_off, c.window_buckets, c.stats_half_life_s) for e, c in of], columns=["energy", "gate_on", "gate_off", "window_buckets", "stats_half_life_s"])
+
+    return samples(spark, d).where("energy > 0").select("energy").distinct().mapInPandas(run, "energy int, gate_on double, gate_off double, window_buckets int, stats_half_life_s double")
+
+
 @query("pln_all_stages")
 def pln_all(spark, d):
     return plan(frames(spark, d), ALL_STAGES, **SCALED).select("sensor", "ts", "occupied", "owned", "retention_max", "anchored")

@@ -149,12 +149,14 @@ def quantile(values: str, q: float) -> str:
     return f"list_transform([list_sort({values})], lambda l: {low} + ({high} - {low}) * ({at} - floor({at})))[1]"
 
 
-def detector(floors: tuple[float, ...] = (30.0,), k: float = 3.0) -> tuple[str, ...]:
+def detector(floors: tuple[float, ...] = (30.0,), k: float = 3.0, source: str = "f", later: tuple[float, float] | None = None) -> tuple[str, ...]:
     """(sensor, least, n, ts, ready, score, active, occupied, rejection, frozen) as table o: a row a frame and energy floor (least).
 
     Other settings are those of the registered plans: buckets of an hour
-    in a window of a day, five of them at least.
+    in a window of a day, five of them at least. later: a time from which on
+    another energy floor holds.
     """
+    floor = "least" if later is None else f"(case when ts >= {later[0]} then {later[1]} else least end)"
     hold, stall, freeze = 3600.0, 14_400.0, 60.0
     gate = "x.sup[i]"
     was = "(r.open[i] and not x.stalled)"
@@ -165,7 +167,7 @@ def detector(floors: tuple[float, ...] = (30.0,), k: float = 3.0) -> tuple[str,
     fresh = "case when r.occ or not (len(x.active) > 0 or list_bool_or(r.open)) then 0 else r.cand end"
     cand = f"case when len(x.active) > 0 then greatest({fresh}, x.comb) else {fresh} end"
     named = f"w as (select x.*, r.least, r.occ as was, r.deadline as due, r.until as thaw, {opened} as opened, {quieted} as quieted, {cand} as cand {NEXT})"
-    judged = "j as (select *, case when not was and len(active) > 0 and least > 0 and cand < least then 'rejected_energy_floor' end as rejection from w)"
+    judged = f"j as (select *, case when not was and len(active) > 0 and {floor} > 0 and cand < {floor} then 'rejected_energy_floor' end as rejection from w)"
     held = f"h as (select *, was and score < 1.5 and due is not null and ts >= due as ends from j)"
     after = f"case when was then not ends else score >= 3 and rejection is null end"
     due = f"case when not was or ends or score >= 1.5 then null else coalesce(due, ts + {hold}) end"
@@ -175,7 +177,7 @@ def detector(floors: tuple[float, ...] = (30.0,), k: float = 3.0) -> tuple[str,
     nulls = "[null, null, null, null, null, null, null, null, null]::double[]"
     return (
         R + SQL_FRAMES,
-        "a as materialized (select *, floor(ts / 3600)::bigint as b, row_number() over (partition by sensor order by ts, id) as n, lag(ts) over (partition by sensor order by ts, id) as before, lag(floor(ts / 3600)::bigint) over (partition by sensor order by ts, id) as pb from f)",
+        "a as materialized (select *, floor(ts / 3600)::bigint as b, row_number() over (partition by sensor order by ts, id) as n, lag(ts) over (partition by sensor order by ts, id) as before, lag(floor(ts / 3600)::bigint) over (partition by sensor order by ts, id) as pb from " + source + ")",
         "e1 as (select sensor, b, ch, list_concat(move, still)[ch] as v from a, (select unnest(range(1, 19)) as ch))",
         "e2 as (select sensor, b, ch, list(v::double) as vs from e1 group by all)",
         f"bl as (select sensor, b, ch, {quantile('vs', 0.5)} as m, greatest({quantile('vs', 0.9)} - {quantile('vs', 0.5)}, 0) as t from e2)",
