@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from gatelens.plans.config import GATES, Config
+from gatelens.plans.stage_order import order
 
 from .learned import ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom
 
@@ -308,12 +309,17 @@ class Episode:
         }
 
 
+def filters(config: Config) -> list[str]:
+    """The entry filters in the order that they are asked in."""
+    return [s.name for s in order(config.stages) if s.role == "entry_filter"]
+
+
 class Sensor:
     """All state of one sensor; step() takes a frame and returns what it shows then."""
 
     def __init__(self, config: Config):
         self.c = config
-        self.on = set(config.stages)
+        self.on, self.filters = set(config.stages), filters(config)
         self.baseline = Baseline(config)
         self.retention, self.anchor, self.arming = Retention(config), Anchor(config.anchor_bar), Arming(config)
         self.nearest, self.change = NearestGate(config.hold_s, config.release_fraction), ChangepointRelease(config.hold_s, config.tick_s, config.changepoint_hazard_s)
@@ -386,7 +392,7 @@ class Sensor:
             "leading_edge": c.lead_gate_max >= 0 and (self.edge is None or self.edge > c.lead_gate_max),
             "motion_anchor": not anchored,
         }
-        return next(("rejected_" + s for s in c.stages if rejects.get(s)), None)
+        return next(("rejected_" + s for s in self.filters if rejects[s]), None)
 
     def _holds(self, score: float, mono: float) -> bool:
         unowned, strong = self.owned is None, score >= self.c.exit_score

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from gatelens.plans.config import Config
 
-from .automaton import Sensor
+from .automaton import Sensor, filters
 
 VERSION = 1
 
@@ -26,7 +26,7 @@ def restore(data: bytes, config: Config) -> Sensor:
 
 def reconfigured(sensor: Sensor, config: Config) -> Sensor:
     """New settings from the next frame on. What is learned stays; a shorter window forgets its oldest buckets."""
-    sensor.c, sensor.on, sensor.classes.c = config, set(config.stages), config
+    sensor.c, sensor.on, sensor.classes.c, sensor.filters = config, set(config.stages), config, filters(config)
     sensor.anchor.bar = config.anchor_bar if sensor.bar.bar is None else sensor.bar.bar
     sensor.nearest.hold_s = sensor.change.hold_s = config.hold_s
     sensor.nearest.lost = config.release_fraction

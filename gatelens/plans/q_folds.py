@@ -109,7 +109,7 @@ LISTS = (
     ("histogram_floor", "quantile_floor", "mode_spread", "tail_spread", "arrival", "move_ceiling"),
 )
 PLANNED = (
-    "tail_spread,lone_gate_suppression,run_score,quantile_floor", "ownership,score_hold,run_score,recurring_floor,mode_spread", "refused: retention", "refused: spread",
+    "tail_spread,lone_gate_suppression,quantile_floor,run_score", "ownership,run_score,recurring_floor,score_hold,mode_spread", "refused: retention", "refused: spread",
     "refused: nonsense", "histogram_floor,quantile_floor,mode_spread,tail_spread,move_ceiling,arrival",
 )
 
