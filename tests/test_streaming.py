@@ -3,7 +3,7 @@
 import shutil
 
 from conftest import SMALL
-from gatelens.operators import buckets, replay
+from gatelens.operators import buckets, islands, replay
 from gatelens.plans.config import Config
 from gatelens.sources.tables import frames, samples
 from gatelens.streaming import flows
@@ -63,7 +63,11 @@ def test_throttle(spark, tmp_path):
 def test_bursts_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     shutil.copy(f"{SMALL}/events.parquet", tmp_path / "in" / "a.parquet")
-    assert run(flows.bursts(flows.read_events(spark, str(tmp_path / "in"))), tmp_path).count() > 0
+    got = run(flows.bursts(flows.read_events(spark, str(tmp_path / "in"))), tmp_path)
+    got = {(r.sensor, round(r.session_window.start.timestamp(), 3), round(r.session_window.end.timestamp() - 1800, 3), r.peak, r.n) for r in got.collect()}
+    sessions = islands.bursts(samples(spark, SMALL), 1800.0, "energy", "sensor").collect()
+    known = max(r.end for r in sessions) - 600  # where the watermark stands at the end
+    assert got == {(r.sensor, round(r.start, 3), round(r.end, 3), r.peak, r.n) for r in sessions if r.end + 1800 <= known} and len(got) > 500
 
 
 def test_pieces_of_frames_wait_for_the_rest(spark, tmp_path):
