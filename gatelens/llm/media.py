@@ -259,3 +259,19 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     names = [x.split()[0] for x in FEATURES.split(", ")]
     read = read.join(lists.select("whole", "times"), "whole")
     return join_hot(made.select("doc_id", "n_bytes", "whole"), read, ["whole"], "times", made.count()).select("doc_id", "n_bytes", *names)
+
+
+#: The same in DuckDB's SQL: padding, stored form and features from the bytes' hexadecimal digits, CRC-32 byte by byte.
+SQL = """
+with recursive t as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+p as (select r, doc_id, octet_length(b) as n, b || unhex(repeat('00', (case when octet_length(b) = 0 then 64 else (64 - octet_length(b) % 64) % 64 end)::int)) as pay from t),
+m as (select *, unhex('474C3853' || '08000000' || list_aggregate(list_transform(range(0, 8), lambda i: lpad(format('{:X}', (n >> (8 * i)) & 255), 2, '0')), 'string_agg', '')) || pay as media from p),
+e as (select range as c, 0 as k, range as x from range(0, 256) union all select c, k + 1, xor(x >> 1, 3988292384 * (x & 1)) from e where k < 8),
+tab as (select list(x order by c) as tab from e where k = 8),
+v as (select *, list_transform(regexp_extract_all(hex(pay), '..'), lambda y: 16 * (instr('0123456789ABCDEF', y[1]) - 1) + instr('0123456789ABCDEF', y[2]) - 1) as v from m),
+z as (select v.*, xor(list_reduce(list_concat([4294967295], list_transform(v[len(v) - 63:], lambda y: y::bigint)), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) as crc from v, tab)
+select doc_id, n as n_bytes, octet_length(pay) as payload_bytes, sha256(pay) as payload_sha256, crc as tail_crc32, octet_length(media) as media_bytes, sha256(media) as media_sha256,
+ 'samples=' || len(v) || ';sum=' || list_sum(v)::bigint || ';energy=' || list_sum(list_transform(v, lambda y: y::bigint * y))::bigint
+ || ';crossings=' || len(list_filter(range(1, len(v)), lambda i: (v[i] >= 128) <> (v[i + 1] >= 128))) || ';peak=' || list_max(v) as feature
+from z
+"""
