@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import media as media_chunks
-from . import rules, urls
+from . import rules, simhash, urls
 from .bytebpe import byte_bpe
 from .common import id_fold, table
 from .maxent import lm_scores
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_media": media_chunks.SQL, "op3_urls": urls.sql(), "op9_rules": rules.SQL}
+    return {"op1_simhash": simhash.sql(), "op2_media": media_chunks.SQL, "op3_urls": urls.sql(), "op9_rules": rules.SQL}

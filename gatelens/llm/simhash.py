@@ -288,3 +288,49 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     near = rows.join(F.broadcast(often), same(often), "left_semi")
     far = rows.join(F.broadcast(hot), same(hot), "left_anti").join(stay, same(stay), "left_semi")
     return near.dropDuplicates(list(own.values())).unionByName(far.dropDuplicates(list(own.values()))).select(*docs.columns)
+
+
+def sql(size: int = SHINGLE, seed: int = SEED, budget: int = BITS) -> str:
+    """simhash_components(documents) in DuckDB's SQL, for small tables: XXH64 a lane a step for all shingles together, then every pair of fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{x}::uhugeint" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole = "18446744073709551616::uhugeint"
+    times = lambda a, b: f"(({a}) * {b} % {whole})"
+    plus = lambda *a: f"(({' + '.join(a)}) % {whole})"
+    turned = lambda x, r: f"list_transform([{x}], lambda x_: x_ * {1 << r}::uhugeint % {whole} + x_ // {1 << (64 - r)}::uhugeint)[1]"
+    lane = lambda pos, n: "(" + " + ".join(f"v[{pos} + {k + 1}]::uhugeint * {1 << (8 * k)}::uhugeint" for k in range(n)) + ")"
+    mixed = lambda acc, x: times(turned(plus(acc, times(x, p2)), 31), p1)
+    zero = "0::uhugeint"
+    starts = [f"({seed}::uhugeint + {p1} + {p2}) % {whole}", f"{seed}::uhugeint + {p2}", f"{seed}::uhugeint", f"({seed}::uhugeint + {whole} - {p1}) % {whole}"]
+    merged = lambda h, acc: plus(times(f"xor({h}, {mixed(zero, acc)})", p1), p4)
+    after = lambda c, x: f"{c} as (select * replace ({x} as h) from {{0}})"
+    bits = ", ".join(f"(2 * sum((h // {1 << b}::uhugeint % 2)::int) > count(*))::int as b{b}" for b in range(64))
+    of = lambda low: " + ".join(f"b{low + k} * {1 << k}::bigint" for k in range(32))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    chain, source = [], "l0"
+    for k in range(1, 5):
+        chain.append(after(f"l{k}", merged("h", f"s{k}")).format(source))
+        source = f"l{k}"
+    ctes = [
+        f"t as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') as w from documents)",
+        f"g as (select r, unnest(list_transform(range(0, greatest(len(w) - {size}, 0) + 1), lambda i: list_aggregate(w[i + 1:i + {size}], 'string_agg', ' '))) as g from t where len(w) > 0)",
+        "d as materialized (select g, row_number() over () as id, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda y: 16 * (instr('0123456789ABCDEF', y[1]) - 1) + instr('0123456789ABCDEF', y[2]) - 1) as v from (select distinct g from g))",
+        # stripes of 32 bytes, four lanes at once
+        "st as (select id, v, 0 as pos, " + ", ".join(f"{x} as s{k + 1}" for k, x in enumerate(starts)) + " from d where len(v) >= 32 union all select id, v, pos + 32, "
+        + ", ".join(mixed(f"s{k + 1}", lane(f"pos + {8 * k}", 8)) for k in range(4)) + " from st where pos + 32 <= len(v))",
+        "l0 as (select id, v, pos, s1, s2, s3, s4, " + plus(*(turned(f"s{k}", r) for k, r in ((1, 1), (2, 7), (3, 12), (4, 18)))) + " as h from st where pos + 32 > len(v))",
+        *chain,
+        # what is left, by eights, one four and ones
+        f"rest as (select id, v, pos, {plus('h', 'len(v)::uhugeint')} as h from l4 union all select id, v, 0, {plus(f'{seed}::uhugeint', p5, 'len(v)::uhugeint')} from d where len(v) < 32 union all "
+        f"select id, v, case when pos + 8 <= len(v) then pos + 8 when pos + 4 <= len(v) then pos + 4 else pos + 1 end, case when pos + 8 <= len(v) then {plus(times(turned(f'xor(h, {mixed(zero, lane('pos', 8))})', 27), p1), p4)} "
+        f"when pos + 4 <= len(v) then {plus(times(turned(f'xor(h, {times(lane('pos', 4), p1)})', 23), p2), p3)} else {times(turned(f'xor(h, {times(lane('pos', 1), p5)})', 11), p1)} end from rest where pos < len(v))",
+        f"a1 as (select id, {times(f'xor(h, h // {1 << 33}::uhugeint)', p2)} as h from rest where pos >= len(v))",
+        f"a2 as (select id, {times(f'xor(h, h // {1 << 29}::uhugeint)', p3)} as h from a1)",
+        f"hashed as materialized (select d.g, xor(h, h // {1 << 32}::uhugeint) as h from a2 join d using (id))",
+        f"bits as (select r, {bits} from g join hashed using (g) group by r)",
+        f"fp as materialized (select t.r, doc_id, coalesce({of(32)}, 0) as hi, coalesce({of(0)}, 0) as lo from t left join bits using (r))",
+        "f as materialized (select hi, lo, min(doc_id) as least from fp group by all)",
+        f"e as materialized (select a.hi as h1, a.lo as l1, b.hi as h2, b.lo as l2, b.least from f a join f b on bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= {budget})",
+        "c as (select h1, l1, h2, l2, least from e union select c.h1, c.l1, e.h2, e.l2, e.least from c join e on c.h2 = e.h1 and c.l2 = e.l1)",
+        "m as (select h1 as hi, l1 as lo, min(least) as component_id from c group by all)",
+    ]
+    return f"with recursive {', '.join(ctes)} select doc_id, format('{{:08x}}', hi) || format('{{:08x}}', lo) as fingerprint, component_id from fp join m using (hi, lo)"
