@@ -18,22 +18,32 @@ def learnable():
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Rows are judged one by one by their texts: null and empty ones get the bias'
+    score, ids may be null or repeat, all columns come back as they are, and no
+    rows in give no rows out. Without labels of both kinds every row has the
+    labels' share as its score.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"), learnable())
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity chain doesn't reject."""
+    """Documents that the toxicity chain doesn't reject; rows, ids, columns and empty tables fare as in the stage before. Without toxic labels all stay."""
     return keep_clean(docs, table(spark, sf_dir, "labels"), learnable())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One document of each SimHash component stays: the smallest id's, of equal ids the least hash of the text; equal rows are one.
+
+    Null ids come last and are told apart by their texts; null and empty texts
+    are one component. Columns come back as they are.
+    """
     return keep_one(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, with their places in sequences."""
+    """The pieces of all documents left, with their places in sequences; a null or empty text is one token, every row is packed."""
     return pack(docs)
 
 
@@ -46,7 +56,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each one's rows are written as Parquet and read again.
 
-    A stage's input and its operators' own tables are deleted once its rows are written.
+    A stage's input and its operators' own tables are deleted once its rows are
+    written. Empty tables give no rows; columns besides doc_id and text may have
+    any name and are handed on up to the last stage.
     """
     docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
