@@ -95,10 +95,17 @@ def templates(shapes: DataFrame) -> DataFrame:
         some = child.where("share is not null")
         branches = materialize(_branches(some), "branches")
         some = join_hot(some, branches, ["host", "template", "share"], "segs", some.count())
-        known = alone.unionByName(some).select("host", "template", "seg", "name", "shapes")
+        known = materialize(alone.unionByName(some).select("host", "template", "seg", "name", "shapes"), "known")
+        nodes = known.groupBy("host", "template", "name").agg(F.sum("shapes").alias("left"), F.count("*").alias("segs"))
+        known = join_hot(known, nodes, ["host", "template", "name"], "segs", known.count())
         df = join_hot(df, materialize(known, "known"), ["host", "template", "seg"], "shapes", df.count())
-        grown = F.concat("template", F.lit("/"), "name")
-        df = materialize(df.withColumn("template", grown).drop("seg", "name"), "templates")
+        df = df.withColumn("template", F.concat("template", F.lit("/"), "name"))
+        # a node of one shape has one branch a level to the end, so long paths that nothing shares end here
+        rest = F.slice("shape", d + 2, F.greatest(F.size("shape") - (d + 1), F.lit(0)))
+        to_end = F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), F.when(F.col("n") >= SUPPORT, x).otherwise("*"))), "")
+        df = materialize(df.withColumn("template", F.when(F.col("left") == 1, F.concat("template", to_end)).otherwise(F.col("template"))).drop("seg", "name"), "templates")
+        done.append(df.where("left = 1").drop("left"))
+        df = df.where("left > 1").drop("left")
         d += 1
 
 

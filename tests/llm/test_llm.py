@@ -790,6 +790,47 @@ def test_out_of_fold_probabilities_know_nothing_of_their_fold():
     assert not np.allclose(whole.outside[1 :: toxicity.FOLDS, 0], turned.outside[1 :: toxicity.FOLDS, 0])
 
 
+def test_paths_that_nothing_shares_end_at_once(spark, monkeypatch):
+    """The same templates as by going through every level, by brute force over the shapes."""
+    r = random.Random(9)
+    rows = [(i, "http://" + r.choice(["a.com", "b.org"]) + "".join("/" + r.choice(["x", "y", "zz", str(r.randint(1, 3))]) for _ in range(r.randint(0, 5))), r.choice([0, 1, None])) for i in range(160)]
+    got = {x.page_id: x.template for x in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string, bad int"), rules=(), bad=F.col("bad")).collect()}
+    shapes = {i: (u.split("/")[2], ["*" if x.isdigit() else x for x in u.split("/")[3:]]) for i, u, _ in rows}
+    template = dict.fromkeys(shapes, "")
+    for d in range(5):
+        nodes = {}
+        for i, (host, shape) in shapes.items():
+            if len(shape) > d:
+                nodes.setdefault((host, template[i]), {}).setdefault(shape[d], []).append(i)
+        for (_, before), children in nodes.items():
+            some = {}
+            for seg, ids in children.items():
+                labels = [b for i, _, b in rows if i in set(ids) and b is not None]
+                if len(ids) < 2 or not labels:
+                    for i in ids:
+                        template[i] = before + "/" + (seg if len(ids) >= 2 else "*")
+                else:
+                    some.setdefault(sum(labels) / len(labels), []).append((seg, ids, sum(labels), len(labels)))
+            branch, last = [], None
+            for share in sorted(some):
+                bad, n = sum(x[2] for x in some[share]), sum(x[3] for x in some[share])
+                if last:
+                    p, diff = (bad + last[0]) / (n + last[1]), bad / n - last[0] / last[1]
+                    if diff * diff > 4 * p * (1 - p) * (1 / n + 1 / last[1]):
+                        branch.append([])
+                else:
+                    branch.append([])
+                branch[-1] += some[share]
+                last = bad, n
+            for group in branch:
+                segs = sorted(x[0] for x in group)
+                name = segs[0] if len(segs) == 1 else f"{segs[0]}..{segs[-1]}|{len(segs)}"
+                for _, ids, _, _ in group:
+                    for i in ids:
+                        template[i] = before + "/" + name
+    assert got == template
+
+
 def test_very_long_urls_and_texts(spark):
     path = "/".join(f"seg{k}x" for k in range(300))
     rows = [(1, f"http://a.com/{path}?q"), (2, "http://a.com/" + "y" * 200_000), (3, "http://a.com/" + "y" * 200_000)]
