@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +96,14 @@ def shuffle_width(df: DataFrame, rows: int, rows_per_task: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task))
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system; Python workers of other stages live beside this one for a while."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if release is not None:
+        release(0)
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """left joined with right, which has a row a key and in the column weight the number of left's rows with that key.
 
