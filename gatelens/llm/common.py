@@ -129,6 +129,7 @@ def scored_rows(docs: DataFrame, score: Scorer, names: list[str], id_col: str, t
             ids = batch.column(0).cast(pa.int64())
             for a, b, found in score(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([ids[a:b], *found], ["doc_id", *names])
+        trim()
 
     schema = ", ".join(["doc_id long", *(f"{n} double" for n in names)])
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
@@ -142,5 +143,6 @@ def filtered_rows(docs: DataFrame, score: Scorer, keep: Callable[[list[pa.Array]
         for batch in batches:
             for a, b, found in score(batch.column(at).cast(pa.string())):
                 yield batch.slice(a, b - a).filter(pa.array(keep(found)))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
