@@ -593,12 +593,22 @@ def test_rules_equal_brute_force(spark, docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
-def test_the_cascade_goes_by_rejections_per_cost_and_keeps_the_verdict(spark):
+def test_the_cascade_goes_by_rejections_per_cost_and_keeps_the_verdict(spark, monkeypatch):
     df = spark.createDataFrame([(i, "word " * (i % 50) + "$" * (i % 7)) for i in range(200)], "doc_id long, text string")
     f = rules.features(df, "text")
-    slow = " + ".join(f"regexp_count(text, '(w|o|r|d|{k})*?x')" for k in range(12))
-    some = (rules.Rule("slow", f"{slow} > -1 and n_words < 40"), rules.Rule("fast", "n_words < 20"), rules.Rule("never", "n_words < 0"), rules.Rule("more", "n_words < 30"))
+    # what is measured: rejections are exact, and a rule that searches long texts forty times costs more than one that compares a number
+    searches = " + ".join(f"regexp_count(text, '(w|o|r|d|{k})+x')" for k in range(40))
+    some = (rules.Rule("slow", f"{searches} > -1 and n_words < 40"), rules.Rule("fast", "n_words < 20"), rules.Rule("never", "n_words < 0"), rules.Rule("more", "n_words < 30"))
+    long = rules.features(df.selectExpr("doc_id", "repeat(text, 20) as text"), "text")
+    measured = rules.costs(long, some)
+    assert measured["slow"][0] > 2 * measured["fast"][0] and measured["never"][1] == 0
+    n = [i % 50 + (i % 7 > 0) for i in range(200)]
+    share = lambda least: sum(x < least for x in n) / 200
+    assert {k: v[1] for k, v in rules.costs(f, some, 1).items()} == {"slow": share(40), "fast": share(20), "never": 0.0, "more": share(30)}
+    # what is made of it
+    monkeypatch.setattr(rules, "costs", lambda *_: {"slow": (1e-4, 0.8), "fast": (1e-6, 0.4), "never": (1e-6, 0.0), "more": (1e-6, 0.6)})
     assert [x.name for x in rules.order_rules(f, some)] == ["more", "fast", "slow", "never"]
+    monkeypatch.undo()
     order = rules.order_rules(f, rules.BASE + rules.RULES)
     assert {x.name for x in order} == {x.name for x in rules.BASE + rules.RULES}
     a, b = (f.select(rules.cascade(list(o)).alias("k")).where("k").count() for o in (order, order[::-1]))
