@@ -32,8 +32,14 @@ def names(schema: str) -> list[str]:
 
 
 def ordered(df: DataFrame, *keys: str, by: tuple[str, ...] = ("ts", "id")) -> DataFrame:
-    """All rows of a key in one partition, in order: the only shuffle of a fold."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *by)
+    """All rows of a key in one partition, in order: the only shuffle of a fold.
+
+    The number of partitions is given: few bytes are much work here, so small
+    ones are not to be put together.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys, *by)
 
 
 def typed(rows: list[dict], schema: str) -> pd.DataFrame:
@@ -95,6 +101,28 @@ def fold(df: DataFrame, keys: tuple[str, ...], make: Callable, step: Callable, s
     return ordered(df, *keys, by=by).mapInPandas(run, schema)
 
 
+def fold_times(df: DataFrame, keys: tuple[str, ...], make: Callable, steps: Callable, schema: str) -> DataFrame:
+    """A fold where a key's rows of equal ts are taken together: steps(state, rows) gives a tuple of columns a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state, held = None, None, []
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                key = tuple(getattr(r, k) for k in keys)
+                if held and (key != name or r.ts != held[0].ts):
+                    out += steps(state, held)
+                    held = []
+                if key != name:
+                    name, state = key, make()
+                held.append(r)
+            yield pd.DataFrame(out, columns=names(schema))
+        if held:
+            yield pd.DataFrame(steps(state, held), columns=names(schema))
+
+    return ordered(df, *keys).mapInPandas(run, schema)
+
+
 def ema(df: DataFrame, value: str, tau_s: float, *keys: str, block: float = 500.0) -> DataFrame:
     """(id, ema): s += (1 - exp(-dt / tau)) * (value - s); the first value as it is, repeated times change nothing.
 

@@ -7,6 +7,7 @@ between frames, or time that goes back, makes them forget what they refer to.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections import deque
 
 import numpy as np
@@ -41,6 +42,99 @@ def standard(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / sd if sd > 1e-9 else np.zeros(len(x))
 
 
+class Profiles:
+    """How often each distinct profile occurs. What is asked costs by the distinct ones, however many frames there are."""
+
+    EMPTY = 64  # so many places may be empty, or half of all, before they are given up
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.values, self.counts = np.empty((0, 0)), np.zeros(0, np.int64)
+        self.n = self.empty = 0
+        self.order: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def add(self, key: bytes, value: np.ndarray) -> None:
+        """Once more the profile of that key; equal keys have equal values."""
+        at = self.places.get(key)
+        if at is None:
+            if self.empty > max(self.EMPTY, len(self.places) // 2):
+                self._give_up()
+            at = self.places[key] = len(self.places)
+            if at == len(self.counts):
+                self.values = np.concatenate([self.values.reshape(at, len(value)), np.zeros((at + 8, len(value)))])
+                self.counts = np.concatenate([self.counts, np.zeros(at + 8, np.int64)])
+            self.values[at], self.order = value, None
+        elif not self.counts[at]:
+            self.empty -= 1
+        self.counts[at] += 1
+        self.n += 1
+
+    def remove(self, key: bytes) -> None:
+        at = self.places[key]
+        self.counts[at] -= 1
+        self.n -= 1
+        self.empty += not self.counts[at]
+
+    def _give_up(self) -> None:
+        keep = np.flatnonzero(self.counts[: len(self.places)])
+        held = set(keep.tolist())
+        self.places = {k: i for i, k in enumerate(k for k, at in self.places.items() if at in held)}
+        self.values, self.counts, self.empty, self.order = self.values[keep], self.counts[keep], 0, None
+
+    def ranks(self, *ks: int) -> list[np.ndarray]:
+        """Each column's values of these ranks, from zero on."""
+        d = len(self.places)
+        if self.order is None:
+            self.order = np.argsort(self.values[:d], axis=0)
+            self.sorted = np.take_along_axis(self.values[:d], self.order, axis=0)
+        cum, columns = np.cumsum(self.counts[self.order], axis=0), np.arange(self.values.shape[1])
+        return [self.sorted[(cum <= k).sum(axis=0), columns] for k in ks]
+
+    def median(self) -> np.ndarray:
+        low, high = self.ranks((self.n - 1) // 2, self.n // 2)
+        return (low + high) / 2
+
+
+class Window:
+    """The frames from some time before the present to a later one, as counts of their distinct profiles."""
+
+    def __init__(self, begin: float, end: float = 0.0):
+        self.begin, self.end, self.profiles = begin, end, Profiles()
+        self.clear()
+
+    def clear(self) -> None:
+        self.waiting: deque = deque()
+        self.inside: deque = deque()
+        self.now = -math.inf
+        self.profiles.clear()
+
+    def add(self, ts: float, key: bytes, value: np.ndarray) -> None:
+        self.waiting.append((ts, key, value))
+        if len(self.waiting) > 1 and ts < self.waiting[-2][0]:
+            self.waiting = deque(sorted(self.waiting, key=lambda x: x[0]))
+
+    def move(self, ts: float) -> Profiles:
+        """What lies in the window at that time."""
+        if ts < self.now:  # time goes back: what was in it may not be there yet
+            self.waiting = deque(sorted([*self.inside, *self.waiting], key=lambda x: x[0]))
+            self.inside.clear()
+            self.profiles.clear()
+        self.now = ts
+        while self.waiting and self.waiting[0][0] <= ts - self.end:
+            frame = self.waiting.popleft()
+            self.inside.append(frame)
+            self.profiles.add(*frame[1:])
+        while self.inside and self.inside[0][0] < ts - self.begin:
+            self.profiles.remove(self.inside.popleft()[1])
+        return self.profiles
+
+
 class Footprint:
     """The first form of the anchored footprint: an excess over a slow mean, which stands still while a footprint lives.
 
@@ -97,18 +191,33 @@ class GuardedAnchor(Anchor):
     def __init__(self, bar: float = 40.0, confirmed: bool = False, gates: int = 1, within: float = 0.3):
         super().__init__(bar)
         self.confirmed, self.need, self.within = confirmed, gates, within
-        self.run, self.seen = 0, deque()
+        self.run, self.seen, self.lit, self.ahead = 0, deque(), np.zeros(GATES - FIRST, int), 0
+
+    def meet(self, ts: float, frames: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """All frames of one time, before each is observed: they corroborate each other."""
+        self.ahead = len(frames)
+        for move, still in frames:
+            self._see(ts, move, still)
+
+    def _see(self, ts: float, move: np.ndarray, still: np.ndarray) -> None:
+        if self.need < 2:
+            return
+        self.seen.append((ts, balanced(move, still)))
+        self.lit += self.seen[-1][1]
+        while self.seen[0][0] < ts - self.within:
+            self.lit -= self.seen.popleft()[1]
 
     def observe(self, ts: float, move: np.ndarray, still: np.ndarray, floor: np.ndarray, spread: np.ndarray) -> bool:
+        if self.ahead:
+            self.ahead -= 1
+        else:
+            self._see(ts, move, still)
         steady = self.last is None or 0 <= ts - self.last <= self.GAP
         living = self.template is not None and steady
         top = float(move[FIRST:].max())
         self.run = 0 if living or top < self.STRONG[-1][0] else (self.run + 1 if steady else 1)
-        self.seen.append((ts, balanced(move, still)))
-        while self.seen[0][0] < ts - self.within:
-            self.seen.popleft()
         may = not self.confirmed or any(top >= bar and self.run >= n for bar, n in self.STRONG)
-        may &= self.need < 2 or int(np.any([x for _, x in self.seen], axis=0).sum()) >= self.need
+        may &= self.need < 2 or np.count_nonzero(self.lit) >= self.need
         bar = self.bar
         self.bar = bar if living or may else math.inf
         got = super().observe(ts, move, still, floor, spread)
@@ -118,35 +227,49 @@ class GuardedAnchor(Anchor):
 
 
 class Hold:
-    """Something that goes on holding after the anchor has let it begin; step gives whether it holds, and a value."""
+    """Something that goes on holding after the anchor has let it begin; step gives whether it holds, and a value.
+
+    Windows of time are counted as frames come and go, not gone over anew. All
+    frames of one time are in them before any of these is judged.
+    """
 
     def __init__(self, floor: np.ndarray, spread: np.ndarray, anchor: Anchor | None = None):
         self.floor, self.spread, self.anchor = floor, spread, anchor or Anchor(40.0)
         self.last: float | None = None
-        self.recent: deque = deque()
+        self.entry = Window(BEFORE[1], BEFORE[0])
         self.forget()
 
     def forget(self) -> None:
         """What a gap makes it lose."""
 
     def step(self, ts: float, move: np.ndarray, still: np.ndarray) -> tuple[bool, float]:
-        anchored = self.anchor.observe(ts, move, still, self.floor, self.spread)
+        return self.steps(ts, [(move, still)])[0]
+
+    def steps(self, ts: float, frames: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[bool, float]]:
+        """The results of all frames of one time."""
         if self.last is not None and not 0 <= ts - self.last <= GAP:
             self.forget()
         self.last = ts
-        return self.update(ts, still[FIRST:], anchored, bool(balanced(move, still).any()))
+        if isinstance(self.anchor, GuardedAnchor):
+            self.anchor.meet(ts, frames)
+        for _, still in frames:
+            self.arrive(ts, still[FIRST:])
+        out = []
+        for move, still in frames:
+            anchored = self.anchor.observe(ts, move, still, self.floor, self.spread)
+            out.append(self.update(ts, still[FIRST:], anchored, bool(balanced(move, still).any())))
+        return out
+
+    def arrive(self, ts: float, now: np.ndarray) -> None:
+        """A frame enters what windows there are."""
 
     def update(self, ts: float, now: np.ndarray, anchored: bool, moving: bool) -> tuple[bool, float]:
         return anchored, self.anchor.score
 
-    def kept(self, ts: float, seconds: float) -> None:
-        while self.recent and self.recent[0][0] < ts - seconds:
-            self.recent.popleft()
-
     def before(self, ts: float) -> np.ndarray | None:
         """The median of the frames just before, or None."""
-        found = [x for t, x in self.recent if BEFORE[0] <= ts - t <= BEFORE[1]]
-        return np.median(found, axis=0) if found else None
+        found = self.entry.move(ts)
+        return found.median() if found.n else None
 
 
 class BandHold(Hold):
@@ -182,24 +305,25 @@ class ChangeHold(Hold):
     KEEP = 0.4
 
     def forget(self) -> None:
-        self.recent.clear()
+        self.entry.clear()
         self.band = None
 
+    def arrive(self, ts, now):
+        self.entry.add(ts, now.tobytes(), now)
+        self.entry.move(ts)
+
     def update(self, ts, now, anchored, moving):
-        self.kept(ts, 3.0)
-        base, share = self.before(ts), 0.0
+        share = 0.0
         if self.band is not None:
             share = float(np.maximum(now - self.base, 0.0)[self.band].sum()) / self.whole
             if share >= self.KEEP:
-                self.recent.append((ts, now))
                 return True, share
             self.band = None
-        if anchored and moving and base is not None:
+        if anchored and moving and (base := self.before(ts)) is not None:
             gain = np.maximum(now - base, 0.0)
             if gain.max() > 0:
                 self.base, self.band = base, gain >= SHARE * gain.max()
                 self.whole, share = float(gain[self.band].sum()), 1.0
-        self.recent.append((ts, now))
         return self.band is not None, share
 
 
@@ -208,22 +332,35 @@ class ContinuityHold(Hold):
 
     KEEP, WINDOW, LOW = 0.4, 3.0, 0.2
 
+    def __init__(self, floor, spread, anchor: Anchor | None = None):
+        self.lately = Window(self.WINDOW)
+        super().__init__(floor, spread, anchor)
+
     def forget(self) -> None:
-        self.recent.clear()
+        self.entry.clear()
+        self.lately.clear()
         self.band = None
 
+    def arrive(self, ts, now):
+        for window in (self.entry, self.lately):
+            window.add(ts, now.tobytes(), now)
+            window.move(ts)
+
+    def low(self, ts: float) -> np.ndarray:
+        """The percentile, linear between two frames' excesses; these are in the order of the energies."""
+        found = self.lately.move(ts)
+        at = self.LOW * (found.n - 1)
+        a, b = (np.maximum(x - self.base, 0.0) for x in found.ranks(int(at), min(int(at) + 1, found.n - 1)))
+        part = at - int(at)
+        return a + (b - a) * part if part < 0.5 else b - (b - a) * (1 - part)
+
     def update(self, ts, now, anchored, moving):
-        self.kept(ts, max(self.WINDOW, 3.0))
-        base = self.before(ts)
-        self.recent.append((ts, now))
         if self.band is not None:
             if ts - self.began < self.WINDOW:
                 return True, 0.0
-            rows = np.array([x for t, x in self.recent if ts - t <= self.WINDOW])
-            low = np.quantile(np.maximum(rows - self.base, 0.0), self.LOW, axis=0)
-            share = float(np.minimum(low[self.band], self.gain[self.band]).sum() / self.gain[self.band].sum())
+            share = float(np.minimum(self.low(ts)[self.band], self.gain[self.band]).sum() / self.gain[self.band].sum())
             return share >= self.KEEP, share
-        if not (anchored and moving) or base is None:
+        if not (anchored and moving) or (base := self.before(ts)) is None:
             return False, 0.0
         gain = np.maximum(now - base, 0.0)
         if gain.max() <= 0:
@@ -245,23 +382,24 @@ class SettledHold(Hold):
         super().__init__(floor, spread)
 
     def forget(self) -> None:
-        self.began, self.base, self.training, self.settled = None, None, [], None
+        self.began, self.base, self.training, self.settled = None, None, Profiles(), None
+
+    def arrive(self, ts, now):
+        self.entry.add(ts, now.tobytes(), now)
+        self.entry.move(ts)
 
     def update(self, ts, now, anchored, moving):
-        self.kept(ts, 3.0)
-        base = self.before(ts)
-        self.recent.append((ts, now))
         if self.began is None:
-            if anchored and base is not None:
+            if anchored and (base := self.before(ts)) is not None:
                 self.began, self.base = ts, base
             return anchored, 0.0
         age, gain = ts - self.began, np.maximum(now - self.base, 0.0)
         if self.settling[0] <= age < self.settling[1]:
-            self.training.append(gain)
-        if age >= self.settling[1] and self.settled is None and len(self.training) >= self.rows:
-            middle = np.median(self.training, axis=0)
+            self.training.add(now.tobytes(), gain)
+        if age >= self.settling[1] and self.settled is None and self.training.n >= self.rows:
+            middle = self.training.median()
             self.settled = middle if np.linalg.norm(middle) >= self.LEAST else None
-            self.training = []
+            self.training.clear()
         if age < self.settling[1] or self.settled is None:
             return anchored, 0.0
         size, whole = float(np.linalg.norm(gain)), float(np.linalg.norm(self.settled))
@@ -274,17 +412,26 @@ class KurtosisHold(Hold):
 
     def __init__(self, floor, spread, most: float = 4.0, window: float = 0.0):
         self.most, self.window = most, window
+        self.recent: deque = deque()
+        self.ordered: list[float] = []
         super().__init__(floor, spread)
 
+    def arrive(self, ts, now):
+        k = kurtosis(now)
+        if k is not None:
+            self.recent.append((ts, k))
+            insort(self.ordered, k)
+        while self.recent and self.recent[0][0] < ts - self.window:
+            del self.ordered[bisect_left(self.ordered, self.recent.popleft()[1])]
+
     def update(self, ts, now, anchored, moving):
         k = kurtosis(now)
         if k is None:
             return anchored, 0.0
-        self.recent.append((ts, k))
-        self.kept(ts, self.window)
         if self.window and ts - self.recent[0][0] < 0.9 * self.window:
             return anchored, k
-        middle = float(np.median([x for _, x in self.recent]))
+        n = len(self.ordered)
+        middle = (self.ordered[(n - 1) // 2] + self.ordered[n // 2]) / 2
         return anchored or middle <= self.most, middle
 
 
@@ -300,32 +447,52 @@ class ShapeBank(Hold):
     DELAY, LEAST = 2.0, 0.05
 
     def __init__(self, floor, spread, level: float, size: int = 64, window: float = 30.0, contrast: bool = False):
-        self.level, self.window, self.contrast = level, window, contrast
+        self.level, self.contrast = level, contrast
         self.bank: deque = deque(maxlen=size)
         self.pending: deque = deque()
         self.template: np.ndarray | None = None
+        self.review, self.earlier = Window(window), Window(BEFORE[1], 0.3)
+        self.known: Profiles | None = None
+        self.order: np.ndarray | None = None
         super().__init__(floor, spread)
 
+    def arrive(self, ts, now):
+        key, profile = now.tobytes(), standard(now)
+        for window in (self.review, self.earlier) if self.contrast else (self.review,):
+            window.add(ts, key, profile)
+            window.move(ts)
+
     def update(self, ts, now, anchored, moving):
-        self.recent.append((ts, standard(now)))
-        self.kept(ts, self.window + (3.0 if self.contrast else 1.0))
         new = self.anchor.template
-        if moving and new is not None and (self.template is None or not np.array_equal(new, self.template)):
-            before = [x for t, x in self.recent if 0.3 <= ts - t <= BEFORE[1]]
-            if not self.contrast or len(before) >= 3:
-                self.pending.append((ts + self.DELAY, np.median(before, axis=0) if self.contrast else None))
+        if moving and new is not None and (self.template is None or new is not self.template and not np.array_equal(new, self.template)):
+            before = self.earlier.move(ts) if self.contrast else None
+            if before is None or before.n >= 3:
+                self.pending.append((ts + self.DELAY, before and before.median()))
         self.template = new
         while self.pending and self.pending[0][0] <= ts:
             base = self.pending.popleft()[1]
-            change = self.recent[-1][1] - (0.0 if base is None else base)
+            change = standard(now) - (0.0 if base is None else base)
             if not self.contrast or change @ change >= self.LEAST:
                 self.bank.append((0.0 if base is None else base, change, float(change @ change) if self.contrast else float(len(change))))
-        rows = np.array([x for t, x in self.recent if ts - t <= self.window])
+                self.order = None
         if not len(self.bank):
             return False, 0.0
-        value = float(np.median(np.max([(rows - base) @ change / size for base, change, size in self.bank], axis=0)))
+        value = self._median(self.review.move(ts))
         return value >= self.level, value
 
+    def _median(self, frames: Profiles) -> float:
+        """The median over the window's frames of each one's best likeness, which distinct profiles and the bank decide."""
+        if self.order is None or self.known is not frames.order or frames.order is None:
+            if frames.order is None:
+                frames.ranks()
+            rows = frames.values[: len(frames)]
+            best = np.max([(rows - base) @ change / size for base, change, size in self.bank], axis=0)
+            self.order, self.known = np.argsort(best), frames.order
+            self.best = best[self.order]
+        cum = np.cumsum(frames.counts[self.order])
+        low, high = self.best[np.searchsorted(cum, [(frames.n - 1) // 2, frames.n // 2], side="right")]
+        return float((low + high) / 2)
+
 
 class Ratio:
     """Slow and fast means of a level over its frame-to-frame noise: signed, unsigned, or set back where the far side is crossed."""

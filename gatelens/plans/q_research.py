@@ -33,8 +33,13 @@ def hold(make):
             holds, value = h.step(r.ts / DAY, np.asarray(r.move, float), np.asarray(r.still, float))
             return r.id, bool(holds), float(value)
 
-        rows = frames(spark, d).select("sensor", "ts", "id", "move", "still")
-        return R.fold(rows, ("sensor",), make, step, "id long, holding boolean, value double").withColumn("value", r6(F.col("value"), "value"))
+        def steps(h, rows) -> list[tuple]:
+            got = h.steps(rows[0].ts / DAY, [(np.asarray(r.move, float), np.asarray(r.still, float)) for r in rows])
+            return [(r.id, bool(holds), float(value)) for r, (holds, value) in zip(rows, got, strict=True)]
+
+        rows, schema = frames(spark, d).select("sensor", "ts", "id", "move", "still"), "id long, holding boolean, value double"
+        held = R.fold_times(rows, ("sensor",), make, steps, schema) if isinstance(make(), X.Hold) else R.fold(rows, ("sensor",), make, step, schema)
+        return held.withColumn("value", r6(F.col("value"), "value"))
 
     return run
 

@@ -193,3 +193,95 @@ def test_coupling_equals_a_plain_loop():
         assert (got is None) == (want is None) and (got is None or got == pytest.approx(want, abs=1e-9)), k
         values += got is not None
     assert values > 40
+
+
+# -- long windows: many frames in each, held against loops over all of them ---------------------------
+
+
+def crowded(n, step, seed=5):
+    """Frames of few distinct profiles, some of equal times; one gap."""
+    r, ts, out = random.Random(seed), 0.0, []
+    for k in range(n):
+        ts += 1.0 if k == n // 2 else r.choice((0.0, step, step))
+        c = r.randrange(101)
+        out.append((ts, np.array([(c * 7 + 13 * i) % 101 for i in range(9)], float), np.array([(3 * c + 11 * i) % 101 for i in range(9)], float)))
+    return out
+
+
+def grouped(h, stream):
+    """A hold's results where frames of equal times come together."""
+    out, k = [], 0
+    while k < len(stream):
+        same = [x for x in stream[k : k + 50] if x[0] == stream[k][0]]
+        out += h.steps(same[0][0], [x[1:] for x in same])
+        k += len(same)
+    return out
+
+
+HOLDS = {
+    "rec23": lambda: X.ChangeHold(FLOOR, SPREAD),
+    "rec24": lambda: X.ContinuityHold(FLOOR, SPREAD),
+    "rec25": lambda: X.SettledHold(FLOOR, SPREAD, rows=3, settling=(3.0, 6.0)),
+    "win13": lambda: X.ShapeBank(FLOOR, SPREAD, 0.5, 4, 3.0),
+    "rec27": lambda: X.ShapeBank(FLOOR, SPREAD, 0.2, 4, 3.0, True),
+    "rec26": lambda: X.KurtosisHold(FLOOR, SPREAD, 1.8, 1.0),
+    "rec28": lambda: X.Hold(FLOOR, SPREAD, X.GuardedAnchor(gates=2)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOLDS))
+def test_a_frame_costs_no_more_where_windows_hold_more(name):
+    """Function calls and places of distinct profiles, not seconds: the same for ten times the frames a second."""
+    import cProfile
+    import pstats
+
+    def cost(n, step):
+        h, stream, p = HOLDS[name](), crowded(n, step), cProfile.Profile()
+        stream = [(t - 1.0 if k >= n // 2 else t, *x) for k, (t, *x) in enumerate(stream)]
+        grouped(h, stream[: n - 300])
+        p.enable()
+        grouped(h, stream[n - 300 :])
+        p.disable()
+        return pstats.Stats(p).total_calls, h
+
+    few, _ = cost(1500, 0.01)
+    many, h = cost(15000, 0.001)
+    assert many < 1.5 * few
+    for w in (h.entry, getattr(h, "lately", h.entry), getattr(h, "review", h.entry)):
+        assert len(w.profiles) <= 101 + X.Profiles.EMPTY and (w.profiles.n == 0 or w.profiles.n == len(w.inside))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_equal_loops_over_their_frames(seed):
+    r, w, frames, ts = random.Random(seed), X.Window(2.5, 0.5), [], 0.0
+    for k in range(600):
+        ts = ts - 0.7 if k == 400 else ts + r.choice((0.0, 0.01, 0.05))
+        x = np.array([r.randrange(5 if seed else 90) for _ in range(3)], float)
+        frames.append((ts, x))
+        w.add(ts, x.tobytes(), x)
+        got, want = w.move(ts), [x for t, x in frames if ts - 2.5 <= t <= ts - 0.5]
+        if k < 400:
+            assert got.n == len(want) and (not want or (got.median() == np.median(want, axis=0)).all())
+    assert got.n and ts > 2.5
+
+
+def test_continuity_percentile_equals_a_loop():
+    h, stream = X.ContinuityHold(FLOOR, SPREAD), crowded(900, 0.01)
+    results, seen = grouped(h, stream), 0
+    for k in (500, 700, 899):
+        h = X.ContinuityHold(FLOOR, SPREAD)
+        grouped(h, stream[: k + 1])
+        if h.band is not None:
+            since = stream[450][0] if k >= 450 else 0.0
+            rows = np.array([s[2:] for t, _, s in stream[: k + 1] if max(since, stream[k][0] - 3.0) <= t])
+            assert h.low(stream[k][0]) == pytest.approx(np.quantile(np.maximum(rows - h.base, 0.0), 0.2, axis=0))
+            seen += 1
+    assert seen and len(results) == len(stream)
+
+
+def test_two_gates_counts_equal_a_loop():
+    g, stream = X.GuardedAnchor(gates=2), crowded(400, 0.01)
+    for k, (ts, m, s) in enumerate(stream):
+        g.observe(ts, m, s, FLOOR, SPREAD)
+        lit = np.sum([X.balanced(a, b) for t, a, b in stream[: k + 1] if t >= ts - 0.3], axis=0)
+        assert (g.lit == lit).all()
