@@ -20,6 +20,21 @@ def test_query(spark, oracle, rows, name):
     assert rows(catalog.QUERIES[name](spark, SMALL)) == oracle(catalog.SQL[name])
 
 
+@pytest.fixture(scope="module")
+def tied(tmp_path_factory):
+    """The events three times over with other keys: every time of a sensor has three frames."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("tied")
+    duckdb.sql(f"copy (select event_id + k * 10000000 as event_id, user_id + k * 1000003 as user_id, e.* exclude (event_id, user_id) from '{SMALL}/events.parquet' e, range(3) t(k)) to '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["rec23_entry_change_hold", "rec24_continuity_hold"])
+def test_frames_of_one_time(spark, oracle, rows, tied, name):
+    assert rows(catalog.QUERIES[name](spark, tied)) == oracle(catalog.SQL[name], tied)
+
+
 @pytest.fixture(scope="module")
 def by_sensor(spark):
     """The frames, by sensor and in order."""
