@@ -16,9 +16,11 @@ import numpy as np
 from gatelens.plans.config import GATES, Config
 from gatelens.plans.stage_order import order
 
-from .learned import ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom
+from .learned import LEVELS, ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom
 
 GATE = np.arange(GATES)
+#: What a bucket counts: both channels of each gate, and the highest motion.
+COUNTED = np.arange(2 * GATES + 1)
 #: The letter of each gate class.
 LETTERS = {"in_room": "I", "portal": "P", "bleed": "B", "unknown": "U", "out": "O"}
 
@@ -36,7 +38,9 @@ class Baseline:
 
     Floors: the lower quartile of the last closed buckets' medians, the most
     frequent energy, or the lowest recurring one. Spreads: the lower quartile of
-    the buckets' upper tails, or the distance from the mode.
+    the buckets' upper tails, or the distance from the mode. The open bucket
+    counts whole energies, so that its size doesn't hang on its frames; rows of
+    any others are kept.
     """
 
     REFRESH = 5.0
@@ -47,8 +51,8 @@ class Baseline:
         self.floor_by = first("quantile_floor", "histogram_floor", "recurring_floor")
         self.spread_by = first("tail_spread", "mode_spread")
         self.open: int | None = None
-        self.rows: list[np.ndarray] = []
-        self.levels: deque = deque(maxlen=config.window_buckets)
+        self._clear()
+        self.levels = np.zeros((0, 4 * GATES + 1))  # a row a closed bucket: middles, tails, the ceiling
         self.hist = Histograms(2 * GATES, config) if (self.floor_by, self.spread_by) != ("quantile_floor", "tail_spread") else None
         self.floor, self.spread = np.zeros(2 * GATES), np.ones(2 * GATES)
         self.ceiling, self.refreshed = 0.0, -math.inf
@@ -66,27 +70,40 @@ class Baseline:
                 self.hist.close(keep)
             if keep:
                 self._close()
-            self.rows = []
+            self._clear()
         self.open = at
-        self.rows.append(energies)
+        self._count(energies)
         if self.hist:
             self.hist.add(ts, energies)
             if self.floor_by == "recurring_floor" and self.hist.observed >= self.c.mode_min_s and ts - self.refreshed >= self.REFRESH:
                 self.floor, self.refreshed, self.trusted = self.hist.recurring(self.c.mode_min_s), ts, True
 
+    def _clear(self) -> None:
+        self.counts, self.others = np.zeros((len(COUNTED), LEVELS), np.int32), []
+
+    def _count(self, energies: np.ndarray) -> None:
+        row = np.append(energies, energies[:GATES].max())
+        whole = np.clip(np.nan_to_num(row), 0, LEVELS - 1).astype(int)
+        if (whole == row).all():
+            self.counts[COUNTED, whole] += 1
+        else:
+            self.others.append(row)
+
     def _close(self) -> None:
-        rows = np.array(self.rows)
-        middle = quantile(rows, 0.5)
-        self.levels.append((middle, np.maximum(quantile(rows, 0.9) - middle, 0.0), float(quantile(rows[:, :GATES].max(axis=1), 0.9))))
+        rows = np.stack([np.repeat(np.arange(LEVELS, dtype=float), n) for n in self.counts], axis=1)
+        rows = np.concatenate([rows, *(x[None] for x in self.others)])
+        middle, high = quantile(rows, 0.5), quantile(rows, 0.9)
+        closed = np.concatenate([middle[:-1], np.maximum(high - middle, 0.0)[:-1], high[-1:]])
+        self.levels = np.concatenate([self.levels, closed[None]])[-self.c.window_buckets :]
         least = max(self.c.min_mad, 1e-6)
-        self.ceiling = max(x[2] for x in self.levels)
+        self.ceiling = float(self.levels[:, -1].max())
         modes = self.hist.modes() if self.hist else None
         if self.floor_by == "quantile_floor":
-            self.floor, self.trusted = quantile(np.array([x[0] for x in self.levels]), 0.25), True
+            self.floor, self.trusted = quantile(self.levels[:, : 2 * GATES], 0.25), True
         elif self.floor_by == "histogram_floor" and self.hist.observed >= self.c.mode_min_s:
             self.floor, self.trusted = modes, True
         if self.spread_by == "tail_spread":
-            self.spread = np.maximum(quantile(np.array([x[1] for x in self.levels]), 0.25), least)
+            self.spread = np.maximum(quantile(self.levels[:, 2 * GATES : -1], 0.25), least)
         else:
             self.spread = self.hist.spreads(modes, least, int(self.c.mode_band))
 

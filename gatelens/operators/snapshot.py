@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
+import io
 import pickle
 from dataclasses import replace
+from functools import lru_cache
+
+import numpy as np
 
 from gatelens.plans.config import Config
 
 from .automaton import Sensor, filters
 
-VERSION = 1
+VERSION = 2
+
+
+@lru_cache(64)
+def settings_bytes(config: Config) -> bytes:
+    return pickle.dumps(config)
+
+
+@lru_cache(64)
+def settings(data: bytes) -> Config:
+    return pickle.loads(data)
+
+
+def array(data: bytes, kind: str, shape: tuple[int, ...]) -> np.ndarray:
+    return np.frombuffer(bytearray(data), kind).reshape(shape)
+
+
+def array_bytes(a: np.ndarray) -> tuple:
+    """Small arrays in fewer steps than their own form takes."""
+    return array, (a.tobytes(), a.dtype.str, a.shape)
 
 
 def save(sensor: Sensor) -> bytes:
-    return pickle.dumps({"version": VERSION, "bucket_s": sensor.c.bucket_s, "window_s": sensor.c.baseline_window_s, "sensor": sensor})
+    """All of the state; settings, which seldom change, are turned into bytes once."""
+    out = io.BytesIO()
+    pickler = pickle.Pickler(out, pickle.HIGHEST_PROTOCOL)
+    pickler.dispatch_table = {Config: lambda c: (settings, (settings_bytes(c),)), np.ndarray: array_bytes}
+    pickler.dump({"version": VERSION, "bucket_s": sensor.c.bucket_s, "window_s": sensor.c.baseline_window_s, "sensor": sensor})
+    return out.getvalue()
 
 
 def restore(data: bytes, config: Config) -> Sensor:
@@ -21,7 +49,8 @@ def restore(data: bytes, config: Config) -> Sensor:
     held = pickle.loads(data)
     if held["version"] != VERSION or (held["bucket_s"], held["window_s"]) != (config.bucket_s, config.baseline_window_s):
         return Sensor(config)
-    return reconfigured(held["sensor"], config)
+    sensor = held["sensor"]
+    return sensor if sensor.c == config else reconfigured(sensor, config)
 
 
 def reconfigured(sensor: Sensor, config: Config) -> Sensor:
@@ -36,5 +65,5 @@ def reconfigured(sensor: Sensor, config: Config) -> Sensor:
     arming.quiet_s, arming.count, arming.grace_s, arming.most = config.quiet_s, config.cross_n, config.grace_s, config.lead_gate_max
     base = sensor.baseline
     base.c = replace(config)
-    base.levels = type(base.levels)(base.levels, maxlen=config.window_buckets)
+    base.levels = base.levels[-config.window_buckets :]
     return sensor

@@ -30,7 +30,7 @@ def tied(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["rec23_entry_change_hold", "rec24_continuity_hold", "rec25_settled_shape_hold", "rec26_kurtosis_hold", "rec28_two_gate_anchor"])
+@pytest.mark.parametrize("name", ["rec23_entry_change_hold", "rec24_continuity_hold", "rec25_settled_shape_hold", "rec26_kurtosis_hold", "rec28_two_gate_anchor", "snk12_restored_states"])
 def test_frames_of_one_time(spark, oracle, rows, tied, name):
     assert rows(catalog.QUERIES[name](spark, tied)) == oracle(catalog.SQL[name], tied)
 

@@ -187,6 +187,31 @@ def test_models():
     assert models.turning_points(np.array([0.0, 2, 4, 2, 0, 3])) == [0, 2, 4, 5]
 
 
+def test_saved_state_does_not_grow_with_the_open_bucket():
+    from gatelens.operators.automaton import Sensor
+
+    sizes, rng = [], np.random.default_rng(1)
+    for n in (50, 500):
+        s = Sensor(CONFIG)
+        for k in range(n):
+            s.step(k * CONFIG.bucket_s / 1000, k * CONFIG.bucket_s / 1000, rng.integers(0, 101, 9), rng.integers(0, 101, 9), False)
+        sizes.append(len(snapshot.save(s)))
+    assert sizes[1] < sizes[0] + 200
+
+
+def test_open_bucket_keeps_energies_that_are_not_whole():
+    from gatelens.operators.automaton import GATES, Baseline, quantile
+
+    rng, b = np.random.default_rng(2), Baseline(CONFIG)
+    rows = np.concatenate([rng.integers(0, 101, (40, 2 * GATES)).astype(float), rng.uniform(-5, 140, (25, 2 * GATES))])
+    for r in rows:
+        b.add(0.0, r)
+    b.add(CONFIG.bucket_s, rows[0])
+    middle = quantile(rows, 0.5)
+    assert (b.levels[0][: 2 * GATES] == middle).all() and (b.levels[0][2 * GATES : -1] == np.maximum(quantile(rows, 0.9) - middle, 0)).all()
+    assert b.ceiling == quantile(rows[:, :GATES].max(axis=1)[:, None], 0.9)[0]
+
+
 def test_snapshot_goes_on_where_it_was():
     whole, first = Sensor(CONFIG), Sensor(CONFIG)
     want = [whole.step(t, t, m, s, False)[0] for t, m, s in frames(400, range(300, 320))]
