@@ -8,6 +8,7 @@ times are the frames' own.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -16,11 +17,12 @@ import numpy as np
 from gatelens.plans.config import GATES, Config
 from gatelens.plans.stage_order import order
 
-from .learned import LEVELS, ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom
+from .learned import LEVELS, ArrivalBar, ChangepointRelease, GateClasses, Histograms, InRoom, Kept
 
 GATE = np.arange(GATES)
-#: What a bucket counts: both channels of each gate, and the highest motion.
-COUNTED = np.arange(2 * GATES + 1)
+#: What a bucket counts, both channels of each gate and the highest motion, as the places of their first level.
+COUNTED = range(0, (2 * GATES + 1) * LEVELS, LEVELS)
+WHOLE = {float(k): k for k in range(LEVELS)}
 #: The letter of each gate class.
 LETTERS = {"in_room": "I", "portal": "P", "bleed": "B", "unknown": "U", "out": "O"}
 
@@ -79,18 +81,21 @@ class Baseline:
                 self.floor, self.refreshed, self.trusted = self.hist.recurring(self.c.mode_min_s), ts, True
 
     def _clear(self) -> None:
-        self.counts, self.others = np.zeros((len(COUNTED), LEVELS), np.int32), []
+        self.counts, self.others = array("i", bytes(4 * len(COUNTED) * LEVELS)), []
 
     def _count(self, energies: np.ndarray) -> None:
-        row = np.append(energies, energies[:GATES].max())
-        whole = np.clip(np.nan_to_num(row), 0, LEVELS - 1).astype(int)
-        if (whole == row).all():
-            self.counts[COUNTED, whole] += 1
-        else:
-            self.others.append(row)
+        row = energies.tolist()
+        at = [WHOLE.get(x) for x in row]
+        if None in at:
+            self.others.append(np.append(energies, energies[:GATES].max()))
+            return
+        at.append(max(at[:GATES]))
+        for first, level in zip(COUNTED, at, strict=True):
+            self.counts[first + level] += 1
 
     def _close(self) -> None:
-        rows = np.stack([np.repeat(np.arange(LEVELS, dtype=float), n) for n in self.counts], axis=1)
+        counts = np.frombuffer(self.counts, np.int32).reshape(len(COUNTED), LEVELS)
+        rows = np.stack([np.repeat(np.arange(LEVELS, dtype=float), n) for n in counts], axis=1)
         rows = np.concatenate([rows, *(x[None] for x in self.others)])
         middle, high = quantile(rows, 0.5), quantile(rows, 0.9)
         closed = np.concatenate([middle[:-1], np.maximum(high - middle, 0.0)[:-1], high[-1:]])
@@ -331,9 +336,11 @@ def filters(config: Config) -> list[str]:
     return [s.name for s in order(config.stages) if s.role == "entry_filter"]
 
 
-class Sensor:
+class Sensor(Kept):
     """All state of one sensor; step() takes a frame and returns what it shows then."""
 
+    PARTS = ("retention", "anchor", "arming", "nearest", "change", "in_room", "bar")
+
     def __init__(self, config: Config):
         self.c = config
         self.on, self.filters = set(config.stages), filters(config)

@@ -16,9 +16,17 @@ from .automaton import Sensor, filters
 VERSION = 2
 
 
-@lru_cache(64)
+#: Settings of late, by identity, with their bytes.
+SETTINGS: dict[int, tuple[Config, bytes]] = {}
+
+
 def settings_bytes(config: Config) -> bytes:
-    return pickle.dumps(config)
+    held = SETTINGS.get(id(config))
+    if held is None:
+        if len(SETTINGS) >= 64:
+            SETTINGS.clear()
+        held = SETTINGS[id(config)] = config, pickle.dumps(config)
+    return held[1]
 
 
 @lru_cache(64)
@@ -50,7 +58,7 @@ def restore(data: bytes, config: Config) -> Sensor:
     if held["version"] != VERSION or (held["bucket_s"], held["window_s"]) != (config.bucket_s, config.baseline_window_s):
         return Sensor(config)
     sensor = held["sensor"]
-    return sensor if sensor.c == config else reconfigured(sensor, config)
+    return sensor if sensor.c is config or sensor.c == config else reconfigured(sensor, config)
 
 
 def reconfigured(sensor: Sensor, config: Config) -> Sensor:

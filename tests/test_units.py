@@ -188,8 +188,6 @@ def test_models():
 
 
 def test_saved_state_does_not_grow_with_the_open_bucket():
-    from gatelens.operators.automaton import Sensor
-
     sizes, rng = [], np.random.default_rng(1)
     for n in (50, 500):
         s = Sensor(CONFIG)
@@ -199,6 +197,19 @@ def test_saved_state_does_not_grow_with_the_open_bucket():
     assert sizes[1] < sizes[0] + 200
 
 
+def test_parts_that_were_not_used_are_saved_as_they_came():
+    s = Sensor(CONFIG)
+    s.nearest.median[:], s.arming.quiet, s.bar.age = 7.0, True, 3.5
+    for _ in range(3):
+        s = snapshot.restore(snapshot.save(s), CONFIG)
+    assert set(s.kept) == set(Sensor.PARTS) and "nearest" not in vars(s)
+    assert (s.nearest.median == 7.0).all() and s.arming.quiet and s.bar.age == 3.5 and "nearest" in vars(s)
+    s.nearest.median[0] = 8.0
+    assert snapshot.restore(snapshot.save(s), CONFIG).nearest.median[0] == 8.0
+    with pytest.raises(AttributeError, match="nothing"):
+        _ = s.nothing
+
+
 def test_open_bucket_keeps_energies_that_are_not_whole():
     from gatelens.operators.automaton import GATES, Baseline, quantile
 
