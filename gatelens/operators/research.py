@@ -414,10 +414,12 @@ class KurtosisHold(Hold):
         self.most, self.window = most, window
         self.recent: deque = deque()
         self.ordered: list[float] = []
+        self.arrived: deque = deque()  # of the frames that are still to be judged
         super().__init__(floor, spread)
 
     def arrive(self, ts, now):
         k = kurtosis(now)
+        self.arrived.append(k)
         if k is not None:
             self.recent.append((ts, k))
             insort(self.ordered, k)
@@ -425,7 +427,7 @@ class KurtosisHold(Hold):
             del self.ordered[bisect_left(self.ordered, self.recent.popleft()[1])]
 
     def update(self, ts, now, anchored, moving):
-        k = kurtosis(now)
+        k = self.arrived.popleft()
         if k is None:
             return anchored, 0.0
         if self.window and ts - self.recent[0][0] < 0.9 * self.window:
