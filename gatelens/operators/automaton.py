@@ -189,6 +189,33 @@ class Anchor:
             self.template, self.score = None, 0.0
         return self.template is not None
 
+    def observe_many(self, ts: np.ndarray, move: np.ndarray, still: np.ndarray, floor: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None]]:
+        """observe of every frame in turn: what each gives, and the footprint after it. Only what hangs on the frame before goes frame by frame."""
+        m, s, f, d = (x[..., self.FIRST :] for x in (move, still, floor, spread))
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            fine = np.isfinite(ts) & np.isfinite(m).all(axis=1) & np.isfinite(s).all(axis=1) & bool(np.isfinite(f).all() and np.isfinite(d).all() and (d > 0).all())
+            now, top = np.maximum(s - f, 0.0) / d, m.max(axis=1)
+            new = now * (m / np.maximum(top, 1.0)[:, None])
+            size = np.vecdot(new, new)
+            strong = (top >= self.bar) & (size >= 1.0)
+            admitted = strong & ((m >= self.bar) & (m / np.maximum(m + s, 1.0) >= self.SHARE)).any(axis=1)
+        held, templates, whole = [], [], None if self.template is None else self.template @ self.template
+        template, last, score, may = self.template, self.last, self.score, self.admitted
+        for at, ok, may, big, z, x, y in zip(ts.tolist(), fine.tolist(), admitted.tolist(), strong.tolist(), size.tolist(), now, new, strict=True):  # noqa: B007
+            if ok:
+                if last is not None and not 0 <= at - last <= self.GAP:
+                    template = None
+                last = at
+                if may if template is None else big and z > whole:
+                    template, whole = y.copy(), z
+                score = 0.0 if template is None else float(x @ template / whole)
+                if score < self.KEEP:
+                    template, score = None, 0.0
+            held.append(ok and template is not None)
+            templates.append(template)
+        self.template, self.last, self.score, self.admitted = template, last, score, may and ok if held else may
+        return np.array(held, bool), templates
+
 
 class Arming:
     """An owned room: quiet at the near gates for a while, then many near frames in a short time, as on the way out."""

@@ -6,9 +6,11 @@ Only the sensors' states are held, however long a stream is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +125,49 @@ def fold_times(df: DataFrame, keys: tuple[str, ...], make: Callable, steps: Call
     return ordered(df, *keys).mapInPandas(run, schema)
 
 
+def fold_blocks(df: DataFrame, keys: tuple[str, ...], make: Callable, many: Callable, schema: str) -> DataFrame:
+    """A fold over blocks of a key's rows, where those of equal ts lie in one block: many(state, table) gives arrays, a column each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state, held = None, None, []
+
+        def give(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = many(state, pa.Table.from_batches(rows).combine_chunks())
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in columns], names=names(schema))
+
+        for batch in batches:
+            rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            cuts = [k for k, (x, y) in enumerate(pairwise(rows), 1) if x != y]
+            for a, b in pairwise([0, *cuts, len(rows)]):
+                if not b:
+                    continue
+                if rows[a] != name:
+                    if held:
+                        yield give(held)
+                    name, state, held = rows[a], make(), []
+                ts = batch.column("ts").slice(a, b - a).to_numpy(zero_copy_only=False)
+                other = np.flatnonzero(ts != ts[-1])
+                cut = min(int(other[-1]) + 1, b - a - 1) if len(other) else 0  # rows of the last time may go on
+                if held and (cut or held[-1].column("ts")[-1].as_py() != ts[0]):
+                    if cut:
+                        held.append(batch.slice(a, cut))
+                    yield give(held)
+                    held = []
+                elif cut:
+                    yield give([batch.slice(a, cut)])
+                held.append(batch.slice(a + cut, b - a - cut))
+        if held:
+            yield give(held)
+
+    return ordered(df, *keys).mapInArrow(run, schema)
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A row of numbers a list, all of one length; what is null is no number."""
+    flat = column.combine_chunks().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
 def ema(df: DataFrame, value: str, tau_s: float, *keys: str, block: float = 500.0) -> DataFrame:
     """(id, ema): s += (1 - exp(-dt / tau)) * (value - s); the first value as it is, repeated times change nothing.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections import deque
+from itertools import pairwise
 
 import numpy as np
 
@@ -25,7 +26,7 @@ SHARE = 0.2
 
 def balanced(move: np.ndarray, still: np.ndarray, bar: float = 40.0, share: float = 1 / 3) -> np.ndarray:
     """Gates from the first watched one on whose motion reaches the bar and is enough of the whole."""
-    m, s = move[FIRST:], still[FIRST:]
+    m, s = move[..., FIRST:], still[..., FIRST:]
     return (m >= bar) & (m / np.maximum(m + s, 1) >= share)
 
 
@@ -59,8 +60,8 @@ class Profiles:
     def __len__(self) -> int:
         return len(self.places)
 
-    def add(self, key: bytes, value: np.ndarray) -> None:
-        """Once more the profile of that key; equal keys have equal values."""
+    def add(self, key: bytes, value: np.ndarray, times: int = 1) -> None:
+        """Once more, or so many times, the profile of that key; equal keys have equal values."""
         at = self.places.get(key)
         if at is None:
             if self.empty > max(self.EMPTY, len(self.places) // 2):
@@ -72,8 +73,8 @@ class Profiles:
             self.values[at], self.order = value, None
         elif not self.counts[at]:
             self.empty -= 1
-        self.counts[at] += 1
-        self.n += 1
+        self.counts[at] += times
+        self.n += times
 
     def remove(self, key: bytes) -> None:
         at = self.places[key]
@@ -135,6 +136,27 @@ class Window:
         return self.profiles
 
 
+class Crowd:
+    """The frames of the last seconds as numbers of their distinct profiles, for windows that many frames ask for at once."""
+
+    def __init__(self, seconds: float):
+        self.seconds, self.ts, self.codes, self.rows = seconds, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, GATES - FIRST))
+
+    def add(self, ts: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Takes frames in order of time, none before those it has, and gives their numbers; what no window of theirs reaches is left out."""
+        keep = int(np.searchsorted(self.ts, ts[0] - self.seconds))
+        used, old = np.unique(self.codes[keep:], return_inverse=True)
+        every = np.concatenate([self.rows[used], now])
+        _, first, numbers = np.unique(every.view(f"V{every.itemsize * every.shape[1]}")[:, 0], return_index=True, return_inverse=True)
+        self.rows, self.ts = every[first], np.concatenate([self.ts[keep:], ts])
+        self.codes = np.concatenate([numbers[old], numbers[len(used) :]])
+        return self.codes[len(old) :]
+
+    def span(self, at: np.ndarray, begin: float, end: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """The first frame of each time's window, and the one after its last."""
+        return np.searchsorted(self.ts, at - begin), np.searchsorted(self.ts, at - end, side="right")
+
+
 class Footprint:
     """The first form of the anchored footprint: an excess over a slow mean, which stands still while a footprint lives.
 
@@ -230,9 +252,12 @@ class Hold:
     """Something that goes on holding after the anchor has let it begin; step gives whether it holds, and a value.
 
     Windows of time are counted as frames come and go, not gone over anew. All
-    frames of one time are in them before any of these is judged.
+    frames of one time are in them before any of these is judged. A hold that
+    has a crowd can take many times at once, until a frame comes by itself.
     """
 
+    crowd: Crowd | None = None
+
     def __init__(self, floor: np.ndarray, spread: np.ndarray, anchor: Anchor | None = None):
         self.floor, self.spread, self.anchor = floor, spread, anchor or Anchor(40.0)
         self.last: float | None = None
@@ -247,6 +272,8 @@ class Hold:
 
     def steps(self, ts: float, frames: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[bool, float]]:
         """The results of all frames of one time."""
+        if self.crowd is not None:
+            self.scatter()
         if self.last is not None and not 0 <= ts - self.last <= GAP:
             self.forget()
         self.last = ts
@@ -260,6 +287,29 @@ class Hold:
             out.append(self.update(ts, still[FIRST:], anchored, bool(balanced(move, still).any())))
         return out
 
+    def many(self, ts: np.ndarray, move: np.ndarray, still: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """steps of every time in turn; a time's frames all come in one call."""
+        if not len(ts):
+            return np.zeros(0, bool), np.zeros(0)
+        if self.crowd is not None and type(self.anchor) is Anchor and np.isfinite(ts).all() and (np.diff(ts, prepend=ts[0] if self.last is None else self.last) >= 0).all():
+            anchored, templates = self.anchor.observe_many(ts, move, still, self.floor, self.spread)
+            got = self.update_many(ts, self.crowd.add(ts, still[:, FIRST:]), anchored, templates, balanced(move, still).any(axis=1))
+            self.last = float(ts[-1])
+            return got
+        cuts = [0, *(np.flatnonzero(ts[1:] != ts[:-1]) + 1).tolist(), len(ts)]
+        out = [x for a, b in pairwise(cuts) for x in self.steps(float(ts[a]), list(zip(move[a:b], still[a:b], strict=True)))]
+        return np.array([h for h, _ in out], bool), np.array([v for _, v in out], float)
+
+    def update_many(self, ts: np.ndarray, codes: np.ndarray, anchored: np.ndarray, templates: list, moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What update gives of each frame; codes are their profiles' numbers in the crowd."""
+        raise NotImplementedError
+
+    def scatter(self) -> None:
+        """Puts the crowd's frames into the windows that go frame by frame."""
+        crowd, self.crowd = self.crowd, None
+        for ts, code in zip(crowd.ts.tolist(), crowd.codes.tolist(), strict=True):
+            self.arrive(ts, crowd.rows[code])
+
     def arrive(self, ts: float, now: np.ndarray) -> None:
         """A frame enters what windows there are."""
 
@@ -379,6 +429,7 @@ class SettledHold(Hold):
 
     def __init__(self, floor, spread, angle: float = 0.9, size: float = 0.2, rows: int = 100, settling: tuple[float, float] = (30.0, 60.0)):
         self.angle, self.size, self.rows, self.settling = angle, size, rows, settling
+        self.crowd = Crowd(BEFORE[1])
         super().__init__(floor, spread)
 
     def forget(self) -> None:
@@ -396,16 +447,49 @@ class SettledHold(Hold):
         age, gain = ts - self.began, np.maximum(now - self.base, 0.0)
         if self.settling[0] <= age < self.settling[1]:
             self.training.add(now.tobytes(), gain)
-        if age >= self.settling[1] and self.settled is None and self.training.n >= self.rows:
-            middle = self.training.median()
-            self.settled = middle if np.linalg.norm(middle) >= self.LEAST else None
-            self.training.clear()
+        if age >= self.settling[1]:
+            self.settle()
         if age < self.settling[1] or self.settled is None:
             return anchored, 0.0
         size, whole = float(np.linalg.norm(gain)), float(np.linalg.norm(self.settled))
         cosine = float(gain @ self.settled) / max(size * whole, 1e-9)
         return cosine >= self.angle and size >= self.size * whole, cosine
 
+    def settle(self) -> None:
+        if self.settled is None and self.training.n >= self.rows:
+            middle = self.training.median()
+            self.settled = middle if np.linalg.norm(middle) >= self.LEAST else None
+            self.training.clear()
+
+    def update_many(self, ts, codes, anchored, templates, moving):
+        value, holding = np.zeros(len(ts)), anchored.copy()
+        gaps = set(np.flatnonzero(np.diff(ts, prepend=ts[0] if self.last is None else self.last) > GAP).tolist())
+        for a, b in pairwise(sorted({0, *gaps, len(ts)})):
+            if a in gaps:
+                self.forget()
+            if self.began is None:
+                low, high = self.crowd.span(ts[a:b], *BEFORE[::-1])
+                begins = np.flatnonzero(anchored[a:b] & (high > low))
+                if not len(begins):
+                    continue
+                k = begins[0]
+                before = np.sort(self.crowd.rows[self.crowd.codes[low[k] : high[k]]], axis=0)
+                self.began, self.base = float(ts[a + k]), (before[(len(before) - 1) // 2] + before[len(before) // 2]) / 2
+                a += k + 1
+            used, of = np.unique(codes[a:b], return_inverse=True)
+            age, gain = ts[a:b] - self.began, np.maximum(self.crowd.rows[used] - self.base, 0.0)
+            learns, ripe = (self.settling[0] <= age) & (age < self.settling[1]), age >= self.settling[1]
+            for k, times in zip(*np.unique(of[learns], return_counts=True), strict=True):
+                self.training.add(self.crowd.rows[used[k]].tobytes(), gain[k], int(times))
+            if ripe.any():
+                self.settle()
+            if self.settled is not None:
+                size, whole = np.sqrt(np.vecdot(gain, gain)), float(np.linalg.norm(self.settled))
+                cosine = np.vecdot(gain, self.settled) / np.maximum(size * whole, 1e-9)
+                holds = (cosine >= self.angle) & (size >= self.size * whole)
+                holding[a:b][ripe], value[a:b][ripe] = holds[of[ripe]], cosine[of[ripe]]
+        return holding, value
+
 
 class KurtosisHold(Hold):
     """Beside the anchor, a profile as flat as a person's: its kurtosis, or its median over a window that is full, is low."""
@@ -454,7 +538,7 @@ class ShapeBank(Hold):
         self.pending: deque = deque()
         self.template: np.ndarray | None = None
         self.review, self.earlier = Window(window), Window(BEFORE[1], 0.3)
-        self.known: Profiles | None = None
+        self.known: np.ndarray | None = None
         self.order: np.ndarray | None = None
         super().__init__(floor, spread)
 

@@ -37,8 +37,14 @@ def hold(make):
             got = h.steps(rows[0].ts / DAY, [(np.asarray(r.move, float), np.asarray(r.still, float)) for r in rows])
             return [(r.id, bool(holds), float(value)) for r, (holds, value) in zip(rows, got, strict=True)]
 
-        rows, schema = frames(spark, d).select("sensor", "ts", "id", "move", "still"), "id long, holding boolean, value double"
-        held = R.fold_times(rows, ("sensor",), make, steps, schema) if isinstance(make(), X.Hold) else R.fold(rows, ("sensor",), make, step, schema)
+        def many(h, t) -> tuple:
+            return t["id"].combine_chunks(), *h.many(t["ts"].to_numpy() / DAY, R.matrix(t["move"]), R.matrix(t["still"]))
+
+        rows, schema, h = frames(spark, d).select("sensor", "ts", "id", "move", "still"), "id long, holding boolean, value double", make()
+        if isinstance(h, X.Hold) and h.crowd is not None:
+            held = R.fold_blocks(rows, ("sensor",), make, many, schema)
+        else:
+            held = R.fold_times(rows, ("sensor",), make, steps, schema) if isinstance(h, X.Hold) else R.fold(rows, ("sensor",), make, step, schema)
         return held.withColumn("value", r6(F.col("value"), "value"))
 
     return run

@@ -285,3 +285,85 @@ def test_two_gates_counts_equal_a_loop():
         g.observe(ts, m, s, FLOOR, SPREAD)
         lit = np.sum([X.balanced(a, b) for t, a, b in stream[: k + 1] if t >= ts - 0.3], axis=0)
         assert (g.lit == lit).all()
+
+
+# -- many times at once: the same as frame by frame ---------------------------------------------------
+
+BLOCKS = ("rec25",)
+
+
+def blocks(h, stream, size):
+    """A hold's results where it takes blocks of about that many frames; a time's frames are in one block."""
+    out, a = [], 0
+    while a < len(stream):
+        b = min(a + size, len(stream))
+        while b < len(stream) and stream[b][0] == stream[b - 1][0]:
+            b += 1
+        holding, value = h.many(*(np.array(x) for x in zip(*stream[a:b], strict=True)))
+        out += zip(holding.tolist(), value.tolist(), strict=True)
+        a = b
+    return out
+
+
+def assert_same(got, want):
+    assert len(got) == len(want) and [h for h, _ in got] == [h for h, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("size", (1, 37, 400, 5000))
+@pytest.mark.parametrize("name", BLOCKS)
+def test_blocks_equal_frames(name, size):
+    for stream in (crowded(2500, 0.01), crowded(900, 0.2, 7)):
+        one, many = HOLDS[name](), HOLDS[name]()
+        want = grouped(one, stream)
+        assert_same(blocks(many, stream, size), want)
+        assert any(h for h, _ in want) and any(v for _, v in want) and many.crowd is not None
+        assert len(many.crowd.ts) <= size + 3 * 200 + 50
+
+
+@pytest.mark.parametrize("name", BLOCKS)
+def test_blocks_equal_frames_of_unlike_profiles_and_with_odd_ones(name):
+    r = np.random.default_rng(3)
+    stream = [(0.02 * (k // 2) + (k > 500) * 0.8, r.integers(0, 101, 9) * 1.0, r.uniform(0, 100, 9)) for k in range(1200)]
+    assert_same(blocks(HOLDS[name](), stream, 300), grouped(HOLDS[name](), stream))
+    odd = [(t, m * np.nan if k % 7 == 0 else m, s * np.nan if k % 11 == 0 else s) for k, (t, m, s) in enumerate(stream)]
+    assert_same(blocks(HOLDS[name](), odd, 300), grouped(HOLDS[name](), odd))
+    back = stream[:700] + [(t - 3.0, m, s) for t, m, s in stream[700:]]  # goes on frame by frame
+    many = HOLDS[name]()
+    assert_same(blocks(many, back, 300), grouped(HOLDS[name](), back))
+    assert many.crowd is None
+
+
+@pytest.mark.parametrize("name", BLOCKS)
+def test_a_frame_of_a_block_costs_few_calls(name):
+    import cProfile
+    import pstats
+
+    h, stream, p = HOLDS[name](), [(0.001 * k, m, s) for k, (_, m, s) in enumerate(crowded(8000, 0.01))], cProfile.Profile()
+    blocks(h, stream[:4000], 4000)
+    p.enable()
+    h.many(*(np.array(x) for x in zip(*stream[4000:], strict=True)))
+    p.disable()
+    assert pstats.Stats(p).total_calls < 15 * 4000  # frame by frame: over 100 a frame
+
+
+def test_fold_blocks_cuts_between_times(spark):
+    from gatelens.operators import replay as R
+
+    rows = [(k, s, float(k // n), [k, None]) for s, n in (("a", 7), ("b", 1), (None, 10**6)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, sensor string, ts double, x array<int>").repartition(4)
+
+    def many(state, t):
+        x, ts = R.matrix(t["x"]), t["ts"].to_numpy()
+        before = state.get("last", -1.0)
+        state["last"] = float(ts[-1])
+        assert ts[0] > before and x.shape == (len(ts), 2) and np.isnan(x[:, 1]).all()
+        return t["id"].combine_chunks(), x[:, 0], np.where(ts > 3, np.nan, state.setdefault("n", 0) + np.arange(len(ts)))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = R.fold_blocks(df, ("sensor",), dict, many, "id long, x double, n double").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.id for r in got) == sorted(k for k, *_ in rows) and all(r.x == r.id for r in got) and {r.n for r in got if r.id > 59} == set()
+    assert any(r.n is None for r in got)
