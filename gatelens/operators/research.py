@@ -43,6 +43,13 @@ def standard(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / sd if sd > 1e-9 else np.zeros(len(x))
 
 
+def standards(rows: np.ndarray) -> np.ndarray:
+    """standard of every row."""
+    sd = rows.std(axis=1, keepdims=True)
+    varies = sd > 1e-9
+    return np.where(varies, (rows - rows.mean(axis=1, keepdims=True)) / np.where(varies, sd, 1.0), 0.0)
+
+
 class Profiles:
     """How often each distinct profile occurs. What is asked costs by the distinct ones, however many frames there are."""
 
@@ -139,6 +146,8 @@ class Window:
 class Crowd:
     """The frames of the last seconds as numbers of their distinct profiles, for windows that many frames ask for at once."""
 
+    CELLS = 1 << 20  # so many counts are held at a time
+
     def __init__(self, seconds: float):
         self.seconds, self.ts, self.codes, self.rows = seconds, np.zeros(0), np.zeros(0, np.int64), np.zeros((0, GATES - FIRST))
 
@@ -156,6 +165,27 @@ class Crowd:
         """The first frame of each time's window, and the one after its last."""
         return np.searchsorted(self.ts, at - begin), np.searchsorted(self.ts, at - end, side="right")
 
+    def parts(self, n: int) -> list[tuple[int, int]]:
+        """n windows in parts whose counts can be held."""
+        size = max(1, self.CELLS // len(self.rows))
+        return [(a, min(a + size, n)) for a in range(0, n, size)]
+
+    def counts(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How often each distinct profile occurs in each window; these come in order."""
+        shape = len(low), len(self.rows)
+        frames = np.arange(low[0], high[-1])
+        codes, come, go = self.codes[frames], np.searchsorted(high, frames, side="right"), np.searchsorted(low, frames, side="right")
+        left = go < len(low)
+        change = np.bincount(come * shape[1] + codes, minlength=shape[0] * shape[1]) - np.bincount(go[left] * shape[1] + codes[left], minlength=shape[0] * shape[1])
+        return np.cumsum(change.reshape(shape), axis=0)
+
+
+def middles(values: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The median of each row's n values, which are in order and occur so often."""
+    cum, rows = np.cumsum(counts, axis=1), np.arange(len(values))
+    low, high = (values[rows, (cum <= k[:, None]).sum(axis=1)] for k in ((n - 1) // 2, n // 2))
+    return (low + high) / 2
+
 
 class Footprint:
     """The first form of the anchored footprint: an excess over a slow mean, which stands still while a footprint lives.
@@ -540,6 +570,7 @@ class ShapeBank(Hold):
         self.review, self.earlier = Window(window), Window(BEFORE[1], 0.3)
         self.known: np.ndarray | None = None
         self.order: np.ndarray | None = None
+        self.crowd = None if contrast else Crowd(window)
         super().__init__(floor, spread)
 
     def arrive(self, ts, now):
@@ -566,6 +597,59 @@ class ShapeBank(Hold):
         value = self._median(self.review.move(ts))
         return value >= self.level, value
 
+    def update_many(self, ts, codes, anchored, templates, moving):
+        profiles, known = standards(self.crowd.rows), len(self.bank)
+        self.pending.extend((t + self.DELAY, None) for t in ts[self._changes(templates, moving)].tolist())
+        due = []
+        while self.pending and self.pending[0][0] <= ts[-1]:
+            due.append(self.pending.popleft())
+        entered = np.searchsorted(ts, [t for t, _ in due])
+        shape = profiles[codes[entered]]
+        base = np.array([b for _, b in due]).reshape(shape.shape) if self.contrast else np.zeros_like(shape)
+        change = shape - base
+        size = np.vecdot(change, change) if self.contrast else np.full(len(due), float(profiles.shape[1]))
+        taken = size >= self.LEAST if self.contrast else np.ones(len(due), bool)
+        was, most = [(b + np.zeros(shape.shape[1]), c, n) for b, c, n in self.bank], self.bank.maxlen
+        base, change, size = (np.concatenate([np.array([x[i] for x in was]).reshape(known, *new.shape[1:]), new[taken]]) for i, new in enumerate((base, change, size)))
+        self.bank.extend(zip(base[known:][-most:], change[known:][-most:], size[known:][-most:].tolist(), strict=True))
+        self.order = None
+        if not len(size):
+            return np.zeros(len(ts), bool), np.zeros(len(ts))
+        reach = known + np.searchsorted(entered[taken], np.arange(len(ts)), side="right")
+        value = np.where(reach > 0, self._medians(ts, profiles, (base, change, size), reach), 0.0)
+        return (reach > 0) & (value >= self.level), value
+
+    def _changes(self, templates: list, moving: np.ndarray) -> list[int]:
+        """The moving frames that have another footprint than the frame before."""
+        found, was = [], self.template
+        for k, (new, moves) in enumerate(zip(templates, moving.tolist(), strict=True)):
+            if moves and new is not None and new is not was:
+                found.append((k, new, np.full(len(new), np.nan) if was is None else was))
+            was = new
+        self.template = was
+        if not found:
+            return []
+        other = (np.array([new for _, new, _ in found]) != np.array([was for _, _, was in found])).any(axis=1)
+        return [k for (k, *_), differs in zip(found, other.tolist(), strict=True) if differs]
+
+    def _medians(self, ts: np.ndarray, profiles: np.ndarray, bank: tuple[np.ndarray, ...], reach: np.ndarray) -> np.ndarray:
+        """_median at each of these times, where so many of the bank's profiles had come; bank has their bases, changes and sizes."""
+        new = np.append(True, (ts[1:] != ts[:-1]) | (reach[1:] != reach[:-1]))
+        low, high = self.crowd.span(ts[new], self.review.begin)
+        (base, change, size), out = bank, np.empty(len(low))
+        level = np.vecdot(base, change)[:, None]
+        for a, b in self.crowd.parts(len(low)):
+            banks, of = np.unique(reach[new][a:b], return_inverse=True)
+            best = np.full((len(banks), len(profiles)), -np.inf)
+            for back in range(1, min(self.bank.maxlen, len(size)) + 1):
+                k = np.maximum(banks - back, 0)
+                like = (change[k] @ profiles.T - level[k]) / size[k, None]
+                best = np.where((banks >= back)[:, None], np.maximum(best, like), best)
+            order = np.argsort(best, axis=1)
+            best, counts = np.take_along_axis(best, order, axis=1), self.crowd.counts(low[a:b], high[a:b])
+            out[a:b] = middles(best[of], np.take_along_axis(counts, order[of], axis=1), (high - low)[a:b])
+        return out[np.cumsum(new) - 1]
+
     def _median(self, frames: Profiles) -> float:
         """The median over the window's frames of each one's best likeness, which distinct profiles and the bank decide."""
         if self.order is None or self.known is not frames.order or frames.order is None:

@@ -289,7 +289,7 @@ def test_two_gates_counts_equal_a_loop():
 
 # -- many times at once: the same as frame by frame ---------------------------------------------------
 
-BLOCKS = ("rec25",)
+BLOCKS = ("rec25", "win13")
 
 
 def blocks(h, stream, size):
@@ -322,9 +322,10 @@ def test_blocks_equal_frames(name, size):
 
 
 @pytest.mark.parametrize("name", BLOCKS)
-def test_blocks_equal_frames_of_unlike_profiles_and_with_odd_ones(name):
+def test_blocks_equal_frames_of_unlike_profiles_and_with_odd_ones(name, monkeypatch):
     r = np.random.default_rng(3)
     stream = [(0.02 * (k // 2) + (k > 500) * 0.8, r.integers(0, 101, 9) * 1.0, r.uniform(0, 100, 9)) for k in range(1200)]
+    monkeypatch.setattr(X.Crowd, "CELLS", 3000)  # a few windows at a time
     assert_same(blocks(HOLDS[name](), stream, 300), grouped(HOLDS[name](), stream))
     odd = [(t, m * np.nan if k % 7 == 0 else m, s * np.nan if k % 11 == 0 else s) for k, (t, m, s) in enumerate(stream)]
     assert_same(blocks(HOLDS[name](), odd, 300), grouped(HOLDS[name](), odd))
