@@ -179,6 +179,15 @@ class Crowd:
         change = np.bincount(come * shape[1] + codes, minlength=shape[0] * shape[1]) - np.bincount(go[left] * shape[1] + codes[left], minlength=shape[0] * shape[1])
         return np.cumsum(change.reshape(shape), axis=0)
 
+    def medians(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of each window, which has frames, each column's median; values has a row a distinct profile."""
+        out, order = np.empty((len(low), values.shape[1])), np.argsort(values, axis=0)
+        for a, b in self.parts(len(low)):
+            counts, n = self.counts(low[a:b], high[a:b]), (high - low)[a:b]
+            for c in range(values.shape[1]):
+                out[a:b, c] = middles(np.broadcast_to(values[order[:, c], c], counts.shape), counts[:, order[:, c]], n)
+        return out
+
 
 def middles(values: np.ndarray, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The median of each row's n values, which are in order and occur so often."""
@@ -570,7 +579,7 @@ class ShapeBank(Hold):
         self.review, self.earlier = Window(window), Window(BEFORE[1], 0.3)
         self.known: np.ndarray | None = None
         self.order: np.ndarray | None = None
-        self.crowd = None if contrast else Crowd(window)
+        self.crowd = Crowd(max(window, BEFORE[1]))
         super().__init__(floor, spread)
 
     def arrive(self, ts, now):
@@ -599,7 +608,12 @@ class ShapeBank(Hold):
 
     def update_many(self, ts, codes, anchored, templates, moving):
         profiles, known = standards(self.crowd.rows), len(self.bank)
-        self.pending.extend((t + self.DELAY, None) for t in ts[self._changes(templates, moving)].tolist())
+        at, bases = ts[self._changes(templates, moving)], None
+        if self.contrast:
+            low, high = self.crowd.span(at, BEFORE[1], 0.3)
+            enough = high - low >= 3
+            at, bases = at[enough], self.crowd.medians(profiles, low[enough], high[enough])
+        self.pending.extend(zip((at + self.DELAY).tolist(), [None] * len(at) if bases is None else bases, strict=True))
         due = []
         while self.pending and self.pending[0][0] <= ts[-1]:
             due.append(self.pending.popleft())

@@ -289,7 +289,7 @@ def test_two_gates_counts_equal_a_loop():
 
 # -- many times at once: the same as frame by frame ---------------------------------------------------
 
-BLOCKS = ("rec25", "win13")
+BLOCKS = ("rec25", "rec27", "win13")
 
 
 def blocks(h, stream, size):
