@@ -1,22 +1,29 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class, word before). Classes
-are a few of the most frequent words, each its own, and for all others the
-words' endings, hashed. The classes' softmax has hashed features of the context:
-the word before (n-gram), the two words before together (n-gram) and the word
-before the last one (skip). It is trained in rounds over all training documents:
-tasks compute gradient updates from the round's shared weights, and the updates
-are averaged by how often each feature occurred.
-
-Within a class the features are pairs of a word and the one before, hashed to 32
-bits below their context and class. Words start from their smoothed share of the
-class and get the weight log(1 + n / (mu * share)), where n is the pair's
-training count and mu grows with the context's; the normaliser is then
-(N + mu) / mu in closed form. There are as many pairs as the corpus has; no
-table of them is sent anywhere. All tokens of a context and class meet in one
-task instead, which counts the pairs, scores its tokens and sends each
-document's sum back. Very frequent contexts are dealt by pair; how often each of
-their classes occurs is counted while the softmax is trained.
+P(word | context) = P(class | context) * P(word | class, context). Classes are a
+few of the most frequent words, each its own, and for all others the words'
+endings, hashed. The classes' softmax has hashed features of the context: the
+word before (n-gram), the two words before together (n-gram) and the word before
+the last one (skip). It is trained in rounds over all training documents: tasks
+compute gradient updates from the round's shared weights, and the updates are
+averaged by how often each feature occurred.
+
+Within a class there is a softmax over its words, from their smoothed shares of
+the class. It has pairs of a word and the one before as features, hashed to 32
+bits below their context and class, as many as the corpus has; and hashed skip
+and two-word features, whose weights go by the word's group, a few bits of its
+hash. A normaliser so needs a sum a group: of those words that were seen in the
+context, with their weights, and of the others' shares.
+
+Tokens of a context and class meet in one task. The skips' weights are trained
+there in rounds of gradient updates, which are averaged as those of the classes
+are. A pair's weight starts from log(1 + n / (mu * share)), where n is the
+pair's training count and mu grows with the context's: the best one without
+skips, for mu more tokens dealt by share. Gradient steps bring it to what is best
+with skips. No table of pairs is sent anywhere; the task counts them, takes the
+steps, scores its tokens and sends each document's sum back. Very frequent
+contexts are dealt by pair; their counts by class and group are taken while the
+classes' softmax is trained, their pairs' gradients are summed in the rounds.
 """
 
 from __future__ import annotations
@@ -24,11 +31,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +58,15 @@ START = np.uint64(0x2545F4914F6CDD1D)
 FLUSH = 300_000
 #: Of a context that occurred N times, mu is MU * N ** POWER.
 MU, POWER = 2.0, 0.9
+#: Within a class, words are told apart by the leading bits of their hashes where a feature's weights are hashed.
+GROUP_BITS = 4
+GROUPS = 1 << GROUP_BITS
+#: Hashed rows a class of either feature that goes by the word before the last one; rounds over them, and steps of the pairs' weights a pass.
+SKIPS = 1 << 11
+WITHIN = 1
+STEPS = 1
+#: Tokens whose weights are looked up at once, and shards that a task learns from.
+CHUNK, SHARDS = 1 << 14, 8
 #: Tokens and documents of a block, whose tokens go out and whose sums come back together, and tokens a task that answers.
 BLOCK, BLOCK_DOCS, ANSWERED = 1 << 20, 1 << 15, 1_000_000
 
@@ -104,6 +121,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
+def group_of(h: np.ndarray) -> np.ndarray:
+    """The group that each word is of within its class."""
+    return (h >> np.uint64(64 - GROUP_BITS)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """The corpus' totals, classes, frequent words and frequent contexts."""
@@ -116,6 +138,7 @@ class Vocabulary:
     class_total: np.ndarray
     class_size: np.ndarray  # of each class the sum of its words' counts, each more by one, and one for unknown words
     class_rest: np.ndarray  # the mean of that over words that aren't frequent, unknown ones among them
+    group_share: np.ndarray  # of each class the shares of its words by group; unknown ones are dealt evenly
     frequent: Places
     level: np.ndarray  # of each frequent word its number in levels
     levels: np.ndarray  # counts, each more by one
@@ -182,17 +205,19 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         least = r["m"]
     learned, rare = F.col("n") > 0, F.col("m") < least
     sums = (("n", F.sum("n")), ("size", F.sum(F.when(learned, F.col("n") + 1))), ("rest", F.sum(F.when(learned & rare, F.col("n") + 1))), ("words", F.count_if(learned & rare)))
-    by_class = counts.groupBy(kind.alias("k")).agg(*(F.coalesce(x, none).alias(k) for k, x in sums)).collect()
-    class_total, class_size, class_rest = np.zeros(CLASSES), np.ones(CLASSES), np.ones(CLASSES)
-    for r in by_class:
-        class_total[r["k"]], class_size[r["k"]], class_rest[r["k"]] = r["n"], r["size"] + 1, (r["rest"] + 1) / (r["words"] + 1)
+    by_group = counts.groupBy(kind.alias("k"), F.shiftrightunsigned("word", 64 - GROUP_BITS).alias("g")).agg(*(F.coalesce(x, none).alias(k) for k, x in sums)).collect()
+    n, size, rest, words_of = np.zeros((4, CLASSES, GROUPS))
+    for r in by_group:
+        n[r["k"], r["g"]], size[r["k"], r["g"]], rest[r["k"], r["g"]], words_of[r["k"], r["g"]] = r["n"], r["size"], r["rest"], r["words"]
+    class_total, class_size, class_rest = n.sum(axis=1), size.sum(axis=1) + 1, (rest.sum(axis=1) + 1) / (words_of.sum(axis=1) + 1)
+    group_share = (size - rest + (words_of + 1 / GROUPS) * class_rest[:, None]) / class_size[:, None]
     got = counts.where(F.col("m") >= least).select("word", "n").toArrow()
     word, n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
     order = np.argsort(word)
     levels, level = np.unique(n[order] + 1, return_inverse=True)
     hot = counts.where(F.col("m") * HOT > total["m"]).select("word").toArrow().column("word").to_numpy().view(np.uint64)  # fewer than HOT
     hot = np.unique(np.append(hot, START))
-    return Vocabulary(total["n"], total["v"], total["m"], np.array(known, np.uint64), np.array([own[w] for w in known], np.int64), class_total, class_size, class_rest, Places(word[order]), level, levels.astype(float), Places(hot))
+    return Vocabulary(total["n"], total["v"], total["m"], np.array(known, np.uint64), np.array([own[w] for w in known], np.int64), class_total, class_size, class_rest, group_share, Places(word[order]), level, levels.astype(float), Places(hot))
 
 
 def contexts(doc: np.ndarray, h: np.ndarray, before: tuple[np.uint64, np.uint64] = (START, START)) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
@@ -242,13 +267,13 @@ def initial(v: Vocabulary) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """One record: the task's change of the weights times each row's tokens, these tokens, and how often each hot context has each class."""
+    """One record: the task's change of the weights times each row's tokens, these tokens, and how often each hot context has each class and group."""
     first, table = table, table.copy()
-    power, seen, hot = np.full(table.shape, 1.0, np.float32), np.zeros(ROWS), np.zeros(len(v.hot.table) * CLASSES)
+    power, seen, hot = np.full(table.shape, 1.0, np.float32), np.zeros(ROWS), np.zeros(len(v.hot.table) * CLASSES * GROUPS)
     for batch in batches:
         for _, h, kind, one, features in (x for *_, parts in runs(as_binary(batch.column(0))) for x in _read(parts)):
             y, at = v.classes(h, kind), v.hot.of(one)
-            hot += np.bincount((at * CLASSES + y)[at >= 0], minlength=len(hot))
+            hot += np.bincount(((at * CLASSES + y) * GROUPS + group_of(h))[at >= 0], minlength=len(hot))
             for a in range(0, len(y), BATCH):
                 rows = tuple(f[a : a + BATCH] for f in features)
                 g = np.exp(log_softmax(table, rows))
@@ -256,18 +281,23 @@ def _train(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary)
                 seen[0] += len(g)
                 _step(table, power, np.zeros(1, np.int64), g.sum(axis=0)[None])
                 for k, r in enumerate(rows):
-                    low = (r - 1 - k * BUCKETS).astype(np.uint16)
-                    order = np.argsort(low, kind="stable")
-                    hit, cut, n = np.unique(low[order], return_index=True, return_counts=True)
-                    hit = hit.astype(np.int64) + 1 + k * BUCKETS
-                    seen[hit] += n
-                    _step(table, power, hit, np.add.reduceat(g.take(order, axis=0, mode="clip"), cut, axis=0))
+                    _descend(table, power, seen, r, 1 + k * BUCKETS, g)
     change = (table - first) * seen[:, None]
     yield pa.RecordBatch.from_pydict({"change": [change.astype(np.float32).tobytes()], "seen": [seen.tobytes()], "hot": [hot.tobytes()]})
     del change, table, power
     trim()
 
 
+def _descend(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, base: int, g: np.ndarray) -> None:
+    """A step along the tokens' gradients g, summed by row; rows: from base on, fewer than 2^16."""
+    low = (rows - base).astype(np.uint16)
+    order = np.argsort(low, kind="stable")
+    hit, cut, n = np.unique(low[order], return_index=True, return_counts=True)
+    hit = hit.astype(np.int64) + base
+    seen[hit] += n
+    _step(table, power, hit, np.add.reduceat(g.take(order, axis=0, mode="clip"), cut, axis=0))
+
+
 def _step(table: np.ndarray, power: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     power[rows] += g * g
     table[rows] -= RATE * g / np.sqrt(power[rows])
@@ -278,21 +308,25 @@ def _add(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarr
 
 
 def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """texts: (text), all of which each round goes over. The weights, and a row a hot context with each class' count.
+    """texts: (text), all of which each round goes over. The weights, and for each hot context and class a row with each group's count.
 
     Updates meet in a tree of sums, one table comes to the driver.
     """
-    sc, table, hot = texts.sparkSession.sparkContext, initial(v), np.zeros((len(v.hot.table), CLASSES))
+    sc, table, hot = texts.sparkSession.sparkContext, initial(v), np.zeros((len(v.hot.table) * CLASSES, GROUPS))
     if not v.total:
         return table, hot
     for _ in range(rounds):
         shared = sc.broadcast((table, v))
         made = texts.mapInArrow(lambda x, s=shared: _train(x, *s.value), "change binary, seen binary, hot binary")
         triples = made.rdd.map(lambda r: (np.frombuffer(r[0], np.float32).reshape(ROWS, CLASSES), np.frombuffer(r[1]), np.frombuffer(r[2])))
-        # each level of the tree brings at most about eight tables together
-        change, seen, hot = triples.treeReduce(_add, depth=max(2, math.ceil(math.log(max(triples.getNumPartitions(), 2), 8))))
+        change, seen, hot = triples.treeReduce(_add, depth=depth(triples))
         table = table + (change / np.maximum(seen, 1)[:, None]).astype(np.float32)
-    return table, hot.reshape(-1, CLASSES)
+    return table, hot.reshape(-1, GROUPS)
+
+
+def depth(tables: RDD) -> int:
+    """Each level of a tree of sums brings at most about eight tables together."""
+    return max(2, math.ceil(math.log(max(tables.getNumPartitions(), 2), 8)))
 
 
 # -- scoring: blocks of documents send their tokens out by context, and get their sums back ------------
@@ -323,7 +357,7 @@ def unpacked(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-PAIR_TYPES, WORD_TYPES, SUM_TYPES, COUNT_TYPES = ("<u8", "<u4", "<u4", "<u2"), ("<u8", "<u2"), ("<u2", "<f4"), ("<u2", "<u4", "<f8")
+PAIR_TYPES, WORD_TYPES, SUM_TYPES, COUNT_TYPES = ("<u8", "<u4", "<u4", "<u2", "<u2"), ("<u8", "<u2"), ("<u2", "<f4"), ("<u2", "<u4", "<f8")
 DOC_TYPES = ("<i8", "<i8", "<i8", "<i8", "<f8", "<f8")
 
 Message = tuple[int, int, int, bytes]
@@ -336,11 +370,11 @@ class Block:
         self.name, self.shards, self.hot = name, shards, hot
         self.docs, self.pairs, self.words, self.size, self.held, self.n = [], [], [], 0, 0, 0
 
-    def add(self, doc: np.ndarray, one: np.ndarray, y: np.ndarray, h: np.ndarray, level: np.ndarray) -> None:
-        """doc: the documents' places in the block, marked where they are learned from."""
+    def add(self, doc: np.ndarray, one: np.ndarray, skip: np.ndarray, y: np.ndarray, h: np.ndarray, level: np.ndarray) -> None:
+        """doc: the documents' places in the block, marked where they are learned from; skip: the hashed words before the last ones, needed in classes of endings."""
         group = (finish(one) & ~np.uint64(15)) | y.astype(np.uint64)
-        word = (finish(h + np.uint64(11)) >> np.uint64(32)).astype(np.uint32)
-        self.pairs.append((group, word, (level + 1).astype(np.uint32), doc, self.hot.of(one) >= 0))
+        word = (finish(h + np.uint64(11)) >> np.uint64(32) << np.uint64(GROUP_BITS)).astype(np.uint32) | group_of(h).astype(np.uint32)
+        self.pairs.append((group, word, (level + 1).astype(np.uint32), np.where(y < OWN, 0, skip & (SKIPS - 1)).astype(np.uint16), doc, self.hot.of(one) >= 0))
         rare = level < 0
         self.words.append((h[rare], doc[rare]))
         self.size += len(h)
@@ -349,9 +383,9 @@ class Block:
     def send(self) -> Iterator[Message]:
         """What is held: a message a shard for tokens by context, and one for rare words."""
         if self.held:
-            group, word, level, doc, often = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
+            group, word, level, skip, doc, often = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
             mixed = np.where(often, finish(group ^ (word.astype(np.uint64) << np.uint64(20))), finish(group))
-            yield from self._dealt(PAIRS, mixed, group, word, level, doc)
+            yield from self._dealt(PAIRS, mixed, group, word, level, skip, doc)
             h, doc = (np.concatenate(x) for x in zip(*self.words, strict=True))
             yield from self._dealt(WORDS, finish(h), h, doc)
         self.pairs, self.words, self.held = [], [], 0
@@ -415,7 +449,7 @@ def _ask(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary, sh
                     size += np.bincount(doc, minlength=b - a)
                     known += np.bincount(doc[often], v.levels[level[often]] > 1, b - a)
                     total += np.bincount(doc[often], log_level[level[often]], b - a)
-                    block.add((doc + block.n).astype(np.uint16) | np.where(learn[a + doc], LEARN, np.uint16(0)), one, y, h, level)
+                    block.add((doc + block.n).astype(np.uint16) | np.where(learn[a + doc], LEARN, np.uint16(0)), one, features[1] - 1 - BUCKETS, y, h, level)
                     if block.held >= BLOCK:  # amid a long text too
                         yield from block.send()
                 none = ids[a:b].is_null().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -427,19 +461,190 @@ def _ask(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary, sh
     trim()
 
 
-def pair_scores(group: np.ndarray, word: np.ndarray, level: np.ndarray, learn: np.ndarray, v: Vocabulary, hot: np.ndarray) -> np.ndarray:
-    """log10 P(word | class, word before) of tokens, all of whose groups' tokens are here, or, of hot contexts, all of whose pairs' tokens."""
+@dataclass
+class Tally:
+    """Tokens by context and class, and what is counted of them; all of a context's and class' tokens are here, or, of hot contexts, all of a pair's."""
+
+    group: np.ndarray  # of the distinct contexts and classes
+    at: np.ndarray  # each token's among them
+    place: np.ndarray  # the row of each hot one among the hot ones, else -1
+    mu: np.ndarray
+    times: np.ndarray
+    n: np.ndarray  # of each token its pair's training count
+    share: np.ndarray
+    learn: np.ndarray
+
+
+def tally(group: np.ndarray, word: np.ndarray, level: np.ndarray, learn: np.ndarray, v: Vocabulary, hot: np.ndarray) -> Tally:
     distinct, at = np.unique(group, return_inverse=True)
     times = np.bincount(at, learn, len(distinct))
     keys = ((finish(v.hot.table) & ~np.uint64(15))[:, None] | np.arange(CLASSES, dtype=np.uint64)).ravel()
     order = np.argsort(keys)
     known = Places(keys[order]).of(distinct)
-    times[known >= 0] = hot.ravel()[order][known[known >= 0]]
+    place = np.where(known >= 0, order[known], -1)
+    times[known >= 0] = hot.sum(axis=1)[place[known >= 0]]
     pair, which = np.unique(finish(group ^ (word.astype(np.uint64) * np.uint64(0x100000001))), return_inverse=True)
     n = np.bincount(which, learn, len(pair))[which]
     share = v.shares((group & np.uint64(15)).astype(np.int64), level)
-    mu = (MU * np.maximum(times, 1) ** POWER)[at]
-    return np.log10((n + mu * share) / (times[at] + mu))
+    return Tally(distinct, at, place, MU * np.maximum(times, 1) ** POWER, times, n, share, learn)
+
+
+@dataclass
+class Within:
+    """What is trained within classes: rows of weights by group for the skip and the two words before, and the pairs' weights of hot contexts."""
+
+    table: np.ndarray
+    seen: np.ndarray  # of each hot context and class, by group, the share of words that were seen there
+    scale: np.ndarray  # and what was added to these words' weights
+
+
+def unlearned(v: Vocabulary) -> Within:
+    hot = np.zeros((len(v.hot.table) * CLASSES, GROUPS))
+    return Within(np.zeros((2 * ENDINGS * SKIPS, GROUPS), np.float32), hot, hot)
+
+
+def masses(n: np.ndarray, seen: np.ndarray, scale: np.ndarray, share: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """A context's sums, by group, of exp(weights) times share and mu: seen words with theirs, all others with none."""
+    return np.exp(scale) * (n + mu[:, None] * seen) + mu[:, None] * np.maximum(share - seen, 0)
+
+
+def stepped(scale: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """A gradient step of the pairs' weights; expected: by group, a seen word's expected count over its own, before its weight's change.
+
+    A pair's gradient is its count, with mu's part, less its expected count. Each
+    step is divided by that count, so a context's seen words of a group move alike
+    and one number holds for them.
+    """
+    return scale + np.clip(1 - np.exp(scale) * expected, -1, 1)
+
+
+class Chunk:
+    """Tokens of some contexts and classes, in their order, and the sums that normalise them."""
+
+    def __init__(self, t: Tally, tokens: np.ndarray, word: np.ndarray, skip: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within):
+        self.tokens, self.learn = tokens, t.learn[tokens]
+        ids, self.at = np.unique(t.at[tokens], return_inverse=True)
+        self.place, self.mu = t.place[ids], t.mu[ids]
+        y = (t.group[ids] & np.uint64(15)).astype(np.int64)
+        self.group = (word[tokens] & np.uint32(GROUPS - 1)).astype(np.int64)
+        cell, shape = self.at * GROUPS + self.group, (len(ids), GROUPS)
+        n, share = t.n[tokens], t.share[tokens]
+        n_of = np.bincount(cell, self.learn, len(ids) * GROUPS).reshape(shape)
+        self.here = np.bincount(cell, np.where(self.learn, share / np.maximum(n, 1), 0), len(ids) * GROUPS).reshape(shape)
+        seen, self.scale, self.hot = self.here.copy(), np.zeros(shape, np.float32), self.place >= 0
+        for x, known in ((n_of, hot), (seen, w.seen), (self.scale, w.scale)):
+            x[self.hot] = known[self.place[self.hot]]
+        zero, share = np.zeros((1, 1)), v.group_share[y]
+        self.rest = masses(zero, seen, zero - np.inf, share, self.mu).astype(np.float32)
+        self.own = masses(n_of, seen, zero, seen, self.mu).astype(np.float32)
+        # rows of the word before the last one, and of that and the last one together
+        base, far = (y - OWN)[self.at] * SKIPS, skip[tokens].astype(np.int64)
+        both = finish(t.group[ids][self.at] ^ (far.astype(np.uint64) << np.uint64(20)))
+        self.rows = base + far, base + (both & np.uint64(SKIPS - 1)).astype(np.int64) + ENDINGS * SKIPS
+        self.pieces = [slice(a, a + CHUNK) for a in range(0, len(tokens), CHUNK)]
+
+    def factors(self, table: np.ndarray, part: slice) -> np.ndarray:
+        """exp of the hashed features' weights, a token a row and a group a column."""
+        z = table.take(self.rows[0][part], axis=0) + table.take(self.rows[1][part], axis=0)
+        return np.exp(np.clip(z, -30, 30, out=z), out=z)
+
+    def mass(self) -> np.ndarray:
+        """Of each context its groups' sums of exp(weights) times share and mu, by the pairs' weights alone."""
+        return np.exp(self.scale) * self.own + self.rest
+
+    def by_context(self, part: slice, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of tokens' rows by context, and which contexts these are."""
+        cut = np.flatnonzero(np.diff(self.at[part], prepend=-1))
+        return self.at[part][cut], np.add.reduceat(x, cut, axis=0)
+
+    def settle(self, table: np.ndarray) -> None:
+        """Gradient steps of the pairs' weights from where they are the best without skips; those of hot contexts are trained in rounds."""
+        for _ in range(0 if self.hot.all() else STEPS):
+            mass = self.mass()
+            expected = np.repeat((self.mu / mass.sum(axis=1)).astype(np.float32)[:, None], GROUPS, axis=1)
+            for part in self.pieces:
+                f = self.factors(table, part)
+                f *= (self.learn[part] / np.einsum("ij,ij->i", f, mass[self.at[part]]))[:, None]
+                which, sums = self.by_context(part, f)
+                expected[which] += sums
+            self.scale[~self.hot] = stepped(self.scale, expected)[~self.hot]
+
+
+def _chunks(t: Tally, word: np.ndarray, skip: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within) -> Iterator[Chunk]:
+    """All tokens but those of classes of a single word, whole contexts at once, hot ones last."""
+    order = np.argsort(t.at, kind="stable")
+    order = order[(t.group[t.at[order]] & np.uint64(15)) >= OWN]
+    often = t.place[t.at[order]] >= 0
+    order = np.concatenate([order[~often], order[often]])
+    cuts = np.append(np.flatnonzero(np.diff(t.at[order], prepend=-1)), len(order))
+    a = 0
+    while a < len(order):
+        b = int(cuts[max(np.searchsorted(cuts, a + CHUNK, side="right") - 1, np.searchsorted(cuts, a, side="right"))])
+        yield Chunk(t, order[a:b], word, skip, v, hot, w)
+        a = b
+
+
+def _learn(messages: Iterator[Message], w: Within, v: Vocabulary, hot: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """One record: the task's change of the table times each row's tokens, these tokens, and of hot contexts what was seen and expected here."""
+    table, power, count = w.table.copy(), np.full(w.table.shape, 1.0, np.float32), np.zeros(len(w.table))
+    seen, expected = np.zeros((2, *w.seen.shape), np.float32)
+    for _, of in groupby(messages, key=lambda m: m[0]):
+        blobs = [unpacked(m[3], *PAIR_TYPES) for m in of if m[2] == PAIRS]
+        if not blobs:
+            continue
+        group, word, level, skip, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
+        del blobs
+        keep = (doc & LEARN) > 0
+        group, word, level, skip = group[keep], word[keep], level[keep], skip[keep]
+        t = tally(group, word, level.astype(np.int64) - 1, np.ones(len(group), bool), v, hot)
+        for c in _chunks(t, word, skip, v, hot, w):
+            seen[c.place[c.hot]] += c.here[c.hot]
+            c.settle(table)
+            mass = c.mass()
+            for part in c.pieces:
+                f = c.factors(table, part)
+                g = f * mass[c.at[part]]
+                z = g.sum(axis=1)[:, None]
+                if c.hot.any():
+                    which, sums = c.by_context(part, f / z)
+                    expected[c.place[which[c.hot[which]]]] += sums[c.hot[which]]
+                g /= z
+                g[np.arange(len(g)), c.group[part]] -= 1
+                for k, rows in enumerate(c.rows):
+                    _descend(table, power, count, rows[part], k * ENDINGS * SKIPS, g)
+    yield ((table - w.table) * count[:, None]).astype(np.float32), count, seen, expected
+    trim()
+
+
+def train_within(asked: RDD, v: Vocabulary, hot: np.ndarray, rounds: int) -> Within:
+    """Rounds of distributed updates of the weights within classes, each over all training tokens; asked: messages, a shard a partition."""
+    sc, w = asked.context, unlearned(v)
+    tasks = max(sc.defaultParallelism, asked.getNumPartitions() // SHARDS)
+    for _ in range(rounds if v.total else 0):
+        shared = sc.broadcast((w, v, hot))
+        made = asked.coalesce(tasks).mapPartitions(lambda x, s=shared: _learn(x, *s.value))
+        change, count, seen, expected = made.treeReduce(_add, depth=depth(made))
+        n, y = hot.sum(axis=1), np.tile(np.arange(CLASSES), len(v.hot.table))
+        mu = MU * np.maximum(n, 1) ** POWER
+        none = mu / masses(hot, seen, w.scale, v.group_share[y], mu).sum(axis=1)
+        w = Within(w.table + (change / np.maximum(count, 1)[:, None]).astype(np.float32), seen, np.where((y >= OWN)[:, None], stepped(w.scale, expected + none[:, None]), 0))
+    return w
+
+
+def pair_scores(group: np.ndarray, word: np.ndarray, level: np.ndarray, skip: np.ndarray, learn: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within | None) -> np.ndarray:
+    """log10 P(word | class, words before) of tokens; without trained weights, by the pairs' alone."""
+    t = tally(group, word, level, learn, v, hot)
+    mu = t.mu[t.at]
+    out = np.log10((t.n + mu * t.share) / (t.times[t.at] + mu))
+    for c in _chunks(t, word, skip, v, hot, w) if w is not None else ():
+        c.settle(w.table)
+        mass = c.mass()
+        for part in c.pieces:
+            k, at, g = c.tokens[part], c.at[part], c.group[part]
+            f = c.factors(w.table, part)
+            own = (t.n[k] + mu[k] * t.share[k]) * np.where(t.n[k] > 0, np.exp(c.scale[at, g]), 1) * f[np.arange(len(f)), g]
+            out[k] = np.log10(own / np.einsum("ij,ij->i", f, mass[at]))
+    return out
 
 
 def _by_blob(blob: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -449,39 +654,34 @@ def _by_blob(blob: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> tuple[np
     return (key & 0xFFFF).astype(np.uint16), cuts, [np.bincount(at, x, len(key)) for x in values]
 
 
-def _answer(batches: Iterator[pa.RecordBatch], v: Vocabulary, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Messages -> the documents' messages as they are, and of each block the sums of its tokens' scores and rare words' counts."""
+def _answer(messages: Iterator[Message], v: Vocabulary, hot: np.ndarray, w: Within | None) -> Iterator[tuple[int, int, bytes]]:
+    """Messages -> (block, kind, data): the documents' as they are, and of each block the sums of its tokens' scores and rare words' counts."""
     held: dict[int, list[tuple[int, list[np.ndarray]]]] = {PAIRS: [], WORDS: []}
-
-    def messages() -> Iterator[Message]:
-        for batch in batches:
-            for shard, block, kind, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == DOCS:
-                    yield shard, block, kind, data
-                else:
-                    held[kind].append((block, unpacked(data, *(PAIR_TYPES if kind == PAIRS else WORD_TYPES))))
-        for kind in (PAIRS, WORDS):
-            blobs, held[kind] = held[kind], []
-            if not blobs:
-                continue
-            names, columns = [b for b, _ in blobs], [np.concatenate(x) for x in zip(*(c for _, c in blobs), strict=True)]
-            blob = np.repeat(np.arange(len(blobs)), [len(c[0]) for _, c in blobs])
-            del blobs
-            learn, doc = (columns[-1] & LEARN) > 0, columns[-1] & ~LEARN
-            if kind == PAIRS:
-                values = [pair_scores(columns[0], columns[1], columns[2].astype(np.int64) - 1, learn, v, hot)]
-            else:
-                word, at = np.unique(columns[0], return_inverse=True)
-                n = np.bincount(at, learn, len(word))[at]
-                values = [n > 0, np.log10(n + 1)]
-            del columns, learn
-            doc, cuts, sums = _by_blob(blob, doc, *values)
-            del blob, values
-            types = SUM_TYPES if kind == PAIRS else COUNT_TYPES
-            for name, a, b in zip(names, cuts, cuts[1:], strict=False):
-                yield 0, name, PAIR_SUMS if kind == PAIRS else WORD_SUMS, packed(doc[a:b], *(x[a:b].astype(t) for x, t in zip(sums, types[1:], strict=True)))
-
-    yield from _batches(messages())
+    for _, block, kind, data in messages:
+        if kind == DOCS:
+            yield block, kind, data
+        else:
+            held[kind].append((block, unpacked(data, *(PAIR_TYPES if kind == PAIRS else WORD_TYPES))))
+    for kind in (PAIRS, WORDS):
+        blobs, held[kind] = held[kind], []
+        if not blobs:
+            continue
+        names, columns = [b for b, _ in blobs], [np.concatenate(x) for x in zip(*(c for _, c in blobs), strict=True)]
+        blob = np.repeat(np.arange(len(blobs)), [len(c[0]) for _, c in blobs])
+        del blobs
+        learn, doc = (columns[-1] & LEARN) > 0, columns[-1] & ~LEARN
+        if kind == PAIRS:
+            values = [pair_scores(columns[0], columns[1], columns[2].astype(np.int64) - 1, columns[3], learn, v, hot, w)]
+        else:
+            word, at = np.unique(columns[0], return_inverse=True)
+            n = np.bincount(at, learn, len(word))[at]
+            values = [n > 0, np.log10(n + 1)]
+        del columns, learn
+        doc, cuts, sums = _by_blob(blob, doc, *values)
+        del blob, values
+        types = SUM_TYPES if kind == PAIRS else COUNT_TYPES
+        for name, a, b in zip(names, cuts, cuts[1:], strict=False):
+            yield name, PAIR_SUMS if kind == PAIRS else WORD_SUMS, packed(doc[a:b], *(x[a:b].astype(t) for x, t in zip(sums, types[1:], strict=True)))
     trim()
 
 
@@ -517,7 +717,7 @@ def _merge(batches: Iterator[pa.RecordBatch], norm: float) -> Iterator[pa.Record
         yield out()
 
 
-def lm_scores(docs: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, may: Column, id_col: str = "doc_id", text_col: str = "text", within: int = 0) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     may, a condition on doc_id, says which documents are learned from; all of
@@ -525,7 +725,8 @@ def lm_scores(docs: DataFrame, may: Column, id_col: str = "doc_id", text_col: st
     null, empty or blank text is the end token alone. Without training documents
     the base gives probability one and the model equal classes. Rows that repeat
     a doc_id are scored each; a null doc_id stays null; other columns play no
-    part. A long text is read in parts, its tokens are sent a block at a time.
+    part. within: rounds of training within classes; without any, the pairs'
+    weights stay where they start and skips have none. A long text is read in parts, its tokens are sent a block at a time.
     docs must give its rows in the same order if read again, as tables do. No
     rows in, no rows out.
     """
@@ -536,9 +737,12 @@ def lm_scores(docs: DataFrame, may: Column, id_col: str = "doc_id", text_col: st
     v = vocabulary(counts)
     table, hot = train(rows.where("learn").select("text"), v)
     width = shuffle_width(docs, v.all_tokens, ANSWERED)
-    shared = docs.sparkSession.sparkContext.broadcast((table, v, hot))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((table, v))
     norm = float(np.log10(v.total + v.distinct + 1))
-    asked = rows.mapInArrow(lambda x: _ask(x, *shared.value[:2], width), MESSAGE).repartitionById(width, F.col("shard").cast("int"))
-    answered = asked.mapInArrow(lambda x: _answer(x, *shared.value[1:]), MESSAGE).select("block", "kind", "data")
+    # an RDD, as its shuffle is then read by every round and by the answers, and written once
+    asked = rows.mapInArrow(lambda x: _ask(x, *shared.value, width), MESSAGE).repartitionById(width, F.col("shard").cast("int")).rdd.map(tuple)
+    trained = spark.sparkContext.broadcast((v, hot, train_within(asked, v, hot, within) if within else None))
+    answered = spark.createDataFrame(asked.mapPartitions(lambda x: _answer(x, *trained.value)), "block long, kind int, data binary", verifySchema=False)
     scored = answered.repartition(width, "block").sortWithinPartitions("block", "kind").mapInArrow(lambda x: _merge(x, norm), SCORED)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

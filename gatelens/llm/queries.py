@@ -11,7 +11,7 @@ from . import media as media_chunks
 from . import rules, simhash, urls
 from .bytebpe import byte_bpe
 from .common import id_fold, table
-from .maxent import lm_scores
+from .maxent import WITHIN, lm_scores
 from .media import media
 from .packing import pack
 from .records import token_records
@@ -59,7 +59,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_fold(F.col("doc_id"), 7) == 2
-    scored = lm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    scored = lm_scores(table(spark, sf_dir, "documents"), ~held_out, within=WITHIN)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

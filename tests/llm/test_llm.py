@@ -532,6 +532,165 @@ def test_lm_score_by_brute_force(spark, monkeypatch):
     assert_lm_rows(lm_rows(df, may), want, 5)
 
 
+def kept_lm(monkeypatch, df, may, within):
+    """Rows, and the vocabulary, counts of hot contexts and weights that they come from."""
+    kept = {}
+    with monkeypatch.context() as m:
+        for name in ("vocabulary", "train", "train_within"):
+            m.setattr(maxent, name, lambda *a, k=name, f=getattr(maxent, name): kept.setdefault(k, f(*a)))
+        got = maxent.lm_scores(df, may, within=within).collect()
+    return got, kept["vocabulary"], *kept["train"], kept["train_within"]
+
+
+def lm_tokens(t, v):
+    """Word, class, word before, rows within the class and classes' log probabilities of each of a text's tokens."""
+    (_, _, parts), = textkit.runs(pa.array([(t or "").encode()], pa.large_binary()))
+    (_, h, kind, one, features), = maxent._read(parts)
+    y = v.classes(h, kind)
+    skip = (features[1] - 1 - maxent.BUCKETS) % maxent.SKIPS
+    group = (textkit.finish(one) & ~np.uint64(15)) | y.astype(np.uint64)
+    both = (textkit.finish(group ^ (skip.astype(np.uint64) << np.uint64(20))) % np.uint64(maxent.SKIPS)).astype(int)
+    return h, y, one, skip, both, features
+
+
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_lm_trained_within_classes_by_brute_force(spark, monkeypatch, hot):
+    """Scores word by word from the trained weights; a context's words, an unknown one of each group among them, sum to one."""
+    rows = [*small_corpus(4), (900, "zz yy"), (901, ""), (902, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(maxent, "HOT", hot)
+    got, v, table, counts, w = kept_lm(monkeypatch, df, id_fold(F.col("doc_id"), 7) != 2, 3)
+    assert np.abs(w.table).max() > 0.1 and np.abs(w.scale).max() > 0.01 and (len(v.hot.table) == 1 if hot == 1 else len(v.hot.table) >= v.distinct)
+    of = {i: lm_tokens(t, v) for i, t in rows}
+    learned = [of[i] for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    word, kind, pair = Counter(), {}, Counter()
+    tokens_of = {}
+    for h, y, one, skip, both, _ in learned:
+        for x in zip(h.tolist(), y.tolist(), one.tolist(), skip.tolist(), both.tolist()):
+            word[x[0]] += 1
+            kind[x[0]] = x[1]
+            pair[x[2], x[0]] += 1
+            tokens_of.setdefault((x[2], x[1]), []).append(x)
+    size = Counter()
+    for h, n in word.items():
+        size[kind[h]] += n + 1
+    share = lambda h, y: (word[h] + 1) / (size[y] + 1)
+    g_of = lambda h: h >> (64 - maxent.GROUP_BITS)
+
+    def factors(y, skip, both):
+        base = (y - maxent.OWN) * maxent.SKIPS
+        return np.exp((w.table[base + skip] + w.table[maxent.ENDINGS * maxent.SKIPS + base + both]).astype(float))
+
+    held = {}
+
+    def context(one, y):  # the words' masses, those of unknown words a group, and the scale of seen ones
+        if (one, y) in held:
+            return held[one, y]
+        n = len(tokens_of.get((one, y), ()))
+        mu = maxent.MU * max(n, 1) ** maxent.POWER
+        words_of = [h for h in word if kind[h] == y]
+        unknown = mu / (size[y] + 1) / maxent.GROUPS
+        at = np.flatnonzero(v.hot.table == np.uint64(one))
+
+        def masses(scale):
+            return {h: (pair[one, h] + mu * share(h, y)) * (np.exp(scale[g_of(h)]) if pair[one, h] else 1) for h in words_of}
+
+        def by_group(m):
+            return np.bincount([g_of(h) for h in words_of], [m[h] for h in words_of], maxent.GROUPS) + unknown
+
+        scale = np.zeros(maxent.GROUPS)
+        if len(at):
+            scale = w.scale[at[0] * maxent.CLASSES + y]
+        elif y >= maxent.OWN:
+            for _ in range(maxent.STEPS):
+                m = by_group(masses(scale))
+                expected = mu / m.sum() + sum((f / (f @ m) for f in (factors(y, *x[3:]) for x in tokens_of.get((one, y), ()))), np.zeros(maxent.GROUPS))
+                scale = scale + np.clip(1 - np.exp(scale) * expected, -1, 1)
+        held[one, y] = masses(scale), by_group(masses(scale)), mu
+        return held[one, y]
+
+    def inside(h, one, y, skip, both):
+        m, total, mu = context(one, y)
+        f = factors(y, skip, both) if y >= maxent.OWN else np.ones(maxent.GROUPS)
+        return m.get(h, mu / (size[y] + 1)) * f[g_of(h)] / (f @ total)
+
+    want = []
+    for i, _ in rows:
+        h, y, one, skip, both, features = of[i]
+        z = maxent.log_softmax(table, features)
+        want.append((i, sum(float(z[k][y[k]]) / np.log(10) + np.log10(inside(int(h[k]), int(one[k]), int(y[k]), skip[k], both[k])) for k in range(len(h)))))
+    assert [x for _, x in sorted(want)] == pytest.approx([r.score for r in sorted(got, key=lambda r: r.doc_id)], abs=1e-3)
+    h, _, one, skip, _, _ = learned[0]
+    for k in range(9):
+        for y in range(maxent.OWN, maxent.CLASSES):
+            both = (textkit.finish(((textkit.finish(one[k : k + 1]) & ~np.uint64(15)) | np.uint64(y)) ^ (skip[k : k + 1].astype(np.uint64) << np.uint64(20))) % np.uint64(maxent.SKIPS)).astype(int)[0]
+            m, total, mu = context(int(one[k]), y)
+            f = factors(y, skip[k], both)
+            unknown = mu / (size[y] + 1) / maxent.GROUPS * f.sum() / (f @ total)
+            assert abs(sum(inside(x, int(one[k]), y, skip[k], both) for x in m) + unknown - 1) < 1e-6
+
+
+def test_lm_steps_within_classes_follow_the_gradient(spark, monkeypatch):
+    """One step from no weights, against differences of the training tokens' log-likelihood."""
+    rows = small_corpus(7, 40)
+    _, v, _, counts, _ = kept_lm(monkeypatch, spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), 1)
+    assert len(v.hot.table) >= v.distinct  # all contexts, whose pairs' weights stay as they are within a round
+    block = maxent.Block(0, 1, v.hot)
+    for _, t in rows:
+        h, y, one, skip, _, _ = lm_tokens(t, v)
+        block.add(np.full(len(h), maxent.LEARN), one, skip, y, h, v.level_of(h))
+    messages = [m for m in block.send() if m[2] == maxent.PAIRS]
+    first = maxent.unlearned(v)
+    (change, count, seen, expected), = maxent._learn(iter(messages), first, v, counts)
+    group, word, level, skip, _ = maxent.unpacked(messages[0][3], *maxent.PAIR_TYPES)
+    learn = np.ones(len(group), bool)
+
+    def likelihood(w):
+        return maxent.pair_scores(group, word, level.astype(int) - 1, skip, learn, v, counts, w).sum() * np.log(10)
+
+    assert likelihood(first) == pytest.approx(likelihood(None), rel=1e-6)
+    step = change / np.maximum(count, 1)[:, None]
+    slope = step / np.sqrt(np.maximum(maxent.RATE**2 - step**2, 1e-12))
+    for row in np.flatnonzero(count)[:: max(1, int((count > 0).sum()) // 12)]:
+        for g in (0, 5, 11):
+            up, down = (maxent.Within(first.table.copy(), first.seen, first.scale) for _ in range(2))
+            up.table[row, g] += 0.05
+            down.table[row, g] -= 0.05
+            assert slope[row, g] == pytest.approx((likelihood(up) - likelihood(down)) / 0.1, abs=0.01)
+    n = np.maximum(counts.sum(axis=1), 1)[:, None]  # without skips, pairs stand at their best: no step
+    met = (counts.sum(axis=1) > 0) & (np.arange(len(counts)) % maxent.CLASSES >= maxent.OWN)
+    none = maxent.MU * n**maxent.POWER / (n + maxent.MU * n**maxent.POWER)
+    assert np.abs(maxent.stepped(np.zeros_like(expected), expected + none)[met]).max() < 1e-3
+
+
+def test_lm_skips_tell_words_of_a_class_apart(spark):
+    """Forty words of one ending after the same word: only the word before that one says which."""
+    r = random.Random(3)
+    name = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    rows = [(i, " ".join(f"{name[k]} mid {name[40 + (k + (i >= 1000)) % 40]}ing" for k in (r.randrange(40) for _ in range(20)))) for i in (*range(300), *range(1000, 1060))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    may = (F.col("doc_id") < 1000) & (F.col("doc_id") % 5 != 2)
+    gain = {}
+    for within in (0, 6):
+        of = {q.doc_id: q.score / 20 for q in maxent.lm_scores(df, may, within=within).collect()}
+        right, wrong = [x for i, x in of.items() if i < 1000 and i % 5 == 2], [x for i, x in of.items() if i >= 1000]
+        gain[within] = np.mean(right), np.mean(right) - np.mean(wrong)
+    assert gain[6][0] > gain[0][0] + 0.2 and gain[6][1] > gain[0][1] + 0.4
+
+
+def test_lm_within_classes_without_rows_or_training(spark, docs, empty):
+    assert maxent.lm_scores(empty, F.lit(True), within=1).count() == 0
+    for may in (F.lit(False), F.col("doc_id") == 2, F.lit(True)):
+        got = maxent.lm_scores(docs, may, within=1).collect()
+        assert len(got) == len(TEXTS) and all(np.isfinite(r.score) and r.score < 0 for r in got)
+
+
+def test_op8_trains_within_classes(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(maxent, "train_within", lambda *a, f=maxent.train_within: rounds.append(a[3]) or f(*a))
+    assert llm_queries.op8_lm(spark, SMALL).count() == len(spark.read.parquet(SMALL + "/documents.parquet").collect()) and rounds[0] > 0
+
+
 def test_lm_places():
     r = np.random.default_rng(2)
     for n in (0, 1, 5, 3000):
