@@ -44,6 +44,7 @@ from .common import HOT, materialize, shuffle_width, trim
 from .textkit import LOWER, Part, as_binary, finish, prefix_sums, runs, span_hash, words
 
 OWN = 8
+#: A power of two.
 ENDINGS = 8
 #: Sixteen, as a class is the lowest four bits of a group's hash.
 CLASSES = OWN + ENDINGS
@@ -78,8 +79,10 @@ def tokens(buf: np.ndarray, offs: np.ndarray, ended: bool = True) -> tuple[np.nd
     h = span_hash(prefix_sums(low), start, end)
     code = np.zeros(len(start), np.uint64)
     for k in (1, 2, 3):
-        code = (code << np.uint64(8)) | np.where(end - k >= start, low[np.maximum(end - k, 0)] if len(low) else 0, 0).astype(np.uint64)
-    kind = OWN + (finish(code + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
+        code <<= np.uint64(8)
+        if len(low):
+            code |= np.where(end - k >= start, low.take(np.maximum(end - k, 0)), np.uint8(0))
+    kind = OWN + (finish(code + np.uint64(1)) & np.uint64(ENDINGS - 1)).astype(np.int64)
     if not ended:
         return doc, h, kind
     n = len(offs) - 1
@@ -87,16 +90,55 @@ def tokens(buf: np.ndarray, offs: np.ndarray, ended: bool = True) -> tuple[np.nd
     return np.insert(doc, at, np.arange(n)), np.insert(h, at, END), np.insert(kind, at, OWN)
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """What np.argsort(x, kind="stable") gives of unsigned 64-bit numbers: the numbers are sorted with their places in the lowest bits, which is faster than sorting places.
+
+    Of large numbers the bits just above the lowest four then give way to the
+    places'. Where that brings any out of order, the places are sorted after all.
+    """
+    bits = max(len(x) - 1, 1).bit_length()
+    put, off = np.uint64(bits), np.uint64(bits + 4)
+    if int(x.max(initial=0)) >> (64 - bits):
+        key = x >> off
+        key <<= off
+        few = x & np.uint64(15)
+        few <<= put
+        key |= few
+        del few
+    else:
+        key = x << put
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    key &= np.uint64((1 << bits) - 1)
+    order = key.view(np.int64)
+    y = x.take(order)
+    return order if (y[1:] >= y[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def alike(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of unsigned 64-bit numbers, the distinct ones, and where each one's begin in that order."""
+    order = stable_order(x)
+    y = x.take(order)
+    cuts = np.flatnonzero(np.append(True, y[1:] != y[:-1])[: len(y)])
+    return order, y.take(cuts), cuts
+
+
+def spread(order: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Each distinct number's value to all that are equal to it, in their own places."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(cuts, append=len(order)))
+    return out
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(learn, text) -> (word, kind, n, m): counts in the documents that are learned from, and in all, by task, given out whenever many words have gathered."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def merged() -> tuple[np.ndarray, ...]:
-        word, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        kind = np.zeros(len(word), np.int32)
-        kind[at] = np.concatenate([x[1] for x in held])
-        return word, kind, *(np.bincount(at, np.concatenate([x[k] for x in held]), len(word)).astype(np.int64) for k in (2, 3))
+        order, word, cuts = alike(np.concatenate([x[0] for x in held]))
+        kind = np.concatenate([x[1] for x in held])[order[cuts]]
+        return word, kind, *(np.add.reduceat(np.concatenate([x[k] for x in held])[order], cuts) for k in (2, 3))
 
     def out(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), *map(pa.array, x[1:])], ["word", "kind", "n", "m"])
@@ -106,8 +148,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flag, rows in ((1, learn), (0, pc.invert(learn))):
             for part in (p for *_, parts in runs(as_binary(batch.column(1).filter(rows))) for p in parts):
                 _, h, kind = tokens(*part)
-                word, first, n = np.unique(h, return_index=True, return_counts=True)
-                held.append((word, kind[first].astype(np.int32), n * flag, n))
+                order, word, cuts = alike(h)
+                n = np.diff(cuts, append=len(h))
+                held.append((word, kind[order[cuts]].astype(np.int32), n * flag, n))
                 size += len(word)
                 if size > 2 * FLUSH:
                     held = [merged()]
@@ -166,19 +209,24 @@ class Places:
 
     def __init__(self, table: np.ndarray):
         bits = max(1, (2 * len(table)).bit_length())
-        self.table, self.shift = table, np.uint64(64 - bits)
+        self.ended, self.shift = np.append(table, np.uint64(2**64 - 1)), np.uint64(64 - bits)
         self.first = np.searchsorted(table, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
+    @property
+    def table(self) -> np.ndarray:
+        return self.ended[:-1]
+
     def of(self, x: np.ndarray) -> np.ndarray:
         """Each value's place, -1 if it isn't there."""
-        out, todo = np.full(len(x), -1), np.arange(len(x))
-        at = self.first[x >> self.shift].astype(np.int64)
+        last = len(self.ended) - 1  # of the greatest value of all, which ends every search
+        at = self.first.take((x >> self.shift).view(np.int64)).astype(np.int64)
+        there = self.ended.take(at)
+        out = np.where((there == x) & (at < last), at, -1)
+        todo = np.flatnonzero(there < x)
+        at = at.take(todo) + 1
         while len(todo):
-            inside = at < len(self.table)
-            at, todo = at[inside], todo[inside]
-            there = self.table[at]
-            want = x[todo]
-            hit = there == want
+            want, there = x.take(todo), self.ended.take(at)
+            hit = (there == want) & (at < last)
             out[todo[hit]] = at[hit]
             on = there < want
             at, todo = at[on] + 1, todo[on]
@@ -245,20 +293,59 @@ def _read(parts: Iterator[Part]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 ROWS = 1 + 3 * BUCKETS
 
 
-def log_softmax(table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Sums beyond +-60, where single precision ends, are cut off."""
+#: Sums beyond +-60, where single precision ends, are cut off.
+MOST = 60
+
+
+def _sums(table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
     z = table.take(rows[0], axis=0, mode="clip")
     t = np.empty_like(z)
     for r in rows[1:]:
         table.take(r, axis=0, out=t, mode="clip")
         z += t
     z += table[0]
-    np.clip(z, -60, 60, out=z)
-    np.exp(z, out=t)
-    z -= np.log(t @ np.ones(t.shape[1], t.dtype))[:, None]
+    return np.clip(z, -MOST, MOST, out=z)
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def log_softmax(table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    z = _sums(table, rows)
+    z -= np.log(_row_sums(np.exp(z)))[:, None]
+    return z
+
+
+def softmax(table: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    z = _sums(table, rows)
+    np.exp(z, out=z)
+    z /= _row_sums(z)[:, None]
     return z
 
 
+class Settled:
+    """log P(class | context) by weights that don't change any more: their exponentials are taken once, and multiplied for each token."""
+
+    def __init__(self, table: np.ndarray):
+        ends = (0, 1, *range(1 + BUCKETS, ROWS + 1, BUCKETS))
+        most = sum(float(np.abs(table[a:b]).max()) for a, b in zip(ends, ends[1:], strict=False))
+        self.table, self.grown = table, np.exp(table) if most <= MOST else None  # else sums may have to be cut off
+
+    def of(self, rows: tuple[np.ndarray, ...], y: np.ndarray) -> np.ndarray:
+        """Of each token's class y."""
+        if self.grown is None:
+            return log_softmax(self.table, rows)[np.arange(len(y)), y]
+        m = self.grown.take(rows[0], axis=0, mode="clip")
+        t, flat, z = np.empty_like(m), self.table.ravel(), self.table[0].take(y)
+        for k, r in enumerate(rows):
+            if k:
+                self.grown.take(r, axis=0, out=t, mode="clip")
+                m *= t
+            z += flat.take(r * CLASSES + y)
+        return z - np.log(m @ self.grown[0])
+
+
 def initial(v: Vocabulary) -> np.ndarray:
     """Every class at its share of the training tokens, whatever the context."""
     table = np.zeros((ROWS, CLASSES), np.float32)
@@ -273,34 +360,44 @@ def _train(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary)
     for batch in batches:
         for _, h, kind, one, features in (x for *_, parts in runs(as_binary(batch.column(0))) for x in _read(parts)):
             y, at = v.classes(h, kind), v.hot.of(one)
-            hot += np.bincount(((at * CLASSES + y) * GROUPS + group_of(h))[at >= 0], minlength=len(hot))
+            often = np.flatnonzero(at >= 0)
+            hot += np.bincount((at[often] * CLASSES + y[often]) * GROUPS + group_of(h[often]), minlength=len(hot))
             for a in range(0, len(y), BATCH):
                 rows = tuple(f[a : a + BATCH] for f in features)
-                g = np.exp(log_softmax(table, rows))
+                g = softmax(table, rows)
                 g[np.arange(len(g)), y[a : a + BATCH]] -= 1
-                seen[0] += len(g)
-                _step(table, power, np.zeros(1, np.int64), g.sum(axis=0)[None])
+                g = by_column(g)
+                seen[0] += g.shape[1]
+                _step(table, power, slice(0, 1), g.sum(axis=1)[None].astype(np.float32))
                 for k, r in enumerate(rows):
-                    _descend(table, power, seen, r, 1 + k * BUCKETS, g)
+                    _descend(table, power, seen, r, slice(1 + k * BUCKETS, 1 + (k + 1) * BUCKETS), g)
     change = (table - first) * seen[:, None]
     yield pa.RecordBatch.from_pydict({"change": [change.astype(np.float32).tobytes()], "seen": [seen.tobytes()], "hot": [hot.tobytes()]})
     del change, table, power
     trim()
 
 
-def _descend(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, base: int, g: np.ndarray) -> None:
-    """A step along the tokens' gradients g, summed by row; rows: from base on, fewer than 2^16."""
-    low = (rows - base).astype(np.uint16)
-    order = np.argsort(low, kind="stable")
-    hit, cut, n = np.unique(low[order], return_index=True, return_counts=True)
-    hit = hit.astype(np.int64) + base
-    seen[hit] += n
-    _step(table, power, hit, np.add.reduceat(g.take(order, axis=0, mode="clip"), cut, axis=0))
+def by_column(g: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(g.T, dtype=np.float64)
+
+
+def _descend(table: np.ndarray, power: np.ndarray, seen: np.ndarray, rows: np.ndarray, part: slice, g: np.ndarray) -> None:
+    """A step along the tokens' gradients g, a token a column, summed by row; rows: all within part."""
+    low, width = rows - part.start, part.stop - part.start
+    seen[part] += np.bincount(low, minlength=width)
+    sums = np.empty((width, len(g)), np.float32)
+    for k, x in enumerate(g):
+        sums[:, k] = np.bincount(low, x, width)
+    _step(table, power, part, sums)
 
 
-def _step(table: np.ndarray, power: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
-    power[rows] += g * g
-    table[rows] -= RATE * g / np.sqrt(power[rows])
+def _step(table: np.ndarray, power: np.ndarray, part: slice, g: np.ndarray) -> None:
+    """Rows without a gradient stay as they are."""
+    power, table = power[part], table[part]
+    power += g * g
+    g *= np.float32(RATE)
+    g /= np.sqrt(power)
+    table -= g
 
 
 def _add(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -400,9 +497,10 @@ class Block:
         return ((mixed >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
     def _dealt(self, kind: int, mixed: np.ndarray, key: np.ndarray, *rest: np.ndarray) -> Iterator[Message]:
-        shard = self._shard(mixed)
-        order = np.lexsort((key, shard))
-        shard, columns = shard[order], [x[order] for x in (key, *rest)]
+        shard = self._shard(mixed).astype(np.uint16 if self.shards <= 1 << 16 else np.uint32)
+        order = stable_order(key)
+        order = order.take(np.argsort(shard.take(order), kind="stable"))
+        shard, columns = shard.take(order), [x.take(order) for x in (key, *rest)]
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)].tolist()
         for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=False):
             yield int(shard[a]), self.name, kind, packed(*(c[a:b] for c in columns))
@@ -427,7 +525,7 @@ def _batch(messages: list[Message]) -> pa.RecordBatch:
 
 def _ask(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, learn, text) -> messages: of each block its tokens by context and class, its rare words, and its documents."""
-    name, log_level = TaskContext.get().partitionId() << 32, np.log10(v.levels)
+    name, log_level, classes = TaskContext.get().partitionId() << 32, np.log10(v.levels), Settled(table)
 
     def messages() -> Iterator[Message]:
         block = Block(name, shards, v.hot)
@@ -442,8 +540,7 @@ def _ask(batches: Iterator[pa.RecordBatch], table: np.ndarray, v: Vocabulary, sh
                     y = v.classes(h, kind)
                     for s in range(0, len(y), BATCH):
                         part = slice(s, s + BATCH)
-                        z = log_softmax(table, tuple(f[part] for f in features))[np.arange(len(y[part])), y[part]]
-                        rest += np.bincount(doc[part], z, b - a)
+                        rest += np.bincount(doc[part], classes.of(tuple(f[part] for f in features), y[part]), b - a)
                     level = v.level_of(h)
                     often = level >= 0
                     size += np.bincount(doc, minlength=b - a)
@@ -467,6 +564,7 @@ class Tally:
 
     group: np.ndarray  # of the distinct contexts and classes
     at: np.ndarray  # each token's among them
+    order: np.ndarray  # of the tokens by context and class
     place: np.ndarray  # the row of each hot one among the hot ones, else -1
     mu: np.ndarray
     times: np.ndarray
@@ -476,17 +574,22 @@ class Tally:
 
 
 def tally(group: np.ndarray, word: np.ndarray, level: np.ndarray, learn: np.ndarray, v: Vocabulary, hot: np.ndarray) -> Tally:
-    distinct, at = np.unique(group, return_inverse=True)
+    order, distinct, cuts = alike(group)
+    at = spread(order, cuts, np.arange(len(cuts)))
     times = np.bincount(at, learn, len(distinct))
     keys = ((finish(v.hot.table) & ~np.uint64(15))[:, None] | np.arange(CLASSES, dtype=np.uint64)).ravel()
-    order = np.argsort(keys)
-    known = Places(keys[order]).of(distinct)
-    place = np.where(known >= 0, order[known], -1)
+    by_key = np.argsort(keys)
+    known = Places(keys[by_key]).of(distinct)
+    place = np.where(known >= 0, by_key[known], -1)
     times[known >= 0] = hot.sum(axis=1)[place[known >= 0]]
-    pair, which = np.unique(finish(group ^ (word.astype(np.uint64) * np.uint64(0x100000001))), return_inverse=True)
-    n = np.bincount(which, learn, len(pair))[which]
+    pair = word.astype(np.uint64)
+    pair *= np.uint64(0x100000001)
+    pair ^= group
+    by_pair, _, cuts = alike(finish(pair))
+    n = spread(by_pair, cuts, np.add.reduceat(learn.take(by_pair), cuts, dtype=float))
+    del pair, by_pair
     share = v.shares((group & np.uint64(15)).astype(np.int64), level)
-    return Tally(distinct, at, place, MU * np.maximum(times, 1) ** POWER, times, n, share, learn)
+    return Tally(distinct, at, order, place, MU * np.maximum(times, 1) ** POWER, times, n, share, learn)
 
 
 @dataclass
@@ -518,12 +621,18 @@ def stepped(scale: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return scale + np.clip(1 - np.exp(scale) * expected, -1, 1)
 
 
+#: Sums of the hashed features' weights beyond +-30 are cut off.
+FAR = 30
+
+
 class Chunk:
     """Tokens of some contexts and classes, in their order, and the sums that normalise them."""
 
     def __init__(self, t: Tally, tokens: np.ndarray, word: np.ndarray, skip: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within):
         self.tokens, self.learn = tokens, t.learn[tokens]
-        ids, self.at = np.unique(t.at[tokens], return_inverse=True)
+        ids = t.at[tokens]
+        new = np.diff(ids, prepend=-1) != 0
+        ids, self.at = ids[new], np.cumsum(new) - 1
         self.place, self.mu = t.place[ids], t.mu[ids]
         y = (t.group[ids] & np.uint64(15)).astype(np.int64)
         self.group = (word[tokens] & np.uint32(GROUPS - 1)).astype(np.int64)
@@ -543,10 +652,16 @@ class Chunk:
         self.rows = base + far, base + (both & np.uint64(SKIPS - 1)).astype(np.int64) + ENDINGS * SKIPS
         self.pieces = [slice(a, a + CHUNK) for a in range(0, len(tokens), CHUNK)]
 
-    def factors(self, table: np.ndarray, part: slice) -> np.ndarray:
-        """exp of the hashed features' weights, a token a row and a group a column."""
-        z = table.take(self.rows[0][part], axis=0) + table.take(self.rows[1][part], axis=0)
-        return np.exp(np.clip(z, -30, 30, out=z), out=z)
+    def factors(self, table: np.ndarray, part: slice, grown: np.ndarray | None = None) -> np.ndarray:
+        """exp of the hashed features' weights, a token a row and a group a column; grown: the exponentials of the table."""
+        one, both = (x[part] for x in self.rows)
+        if grown is not None:
+            z = grown.take(one, axis=0)
+            z *= grown.take(both, axis=0)
+            return z
+        z = table.take(one, axis=0)
+        z += table.take(both, axis=0)
+        return np.exp(np.clip(z, -FAR, FAR, out=z), out=z)
 
     def mass(self) -> np.ndarray:
         """Of each context its groups' sums of exp(weights) times share and mu, by the pairs' weights alone."""
@@ -555,26 +670,27 @@ class Chunk:
     def by_context(self, part: slice, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of tokens' rows by context, and which contexts these are."""
         cut = np.flatnonzero(np.diff(self.at[part], prepend=-1))
-        return self.at[part][cut], np.add.reduceat(x, cut, axis=0)
+        return self.at[part][cut], np.add.reduceat(x.view(np.complex64), cut, axis=0).view(np.float32)  # two columns at once
 
-    def settle(self, table: np.ndarray) -> None:
-        """Gradient steps of the pairs' weights from where they are the best without skips; those of hot contexts are trained in rounds."""
+    def settle(self, table: np.ndarray, grown: np.ndarray | None = None) -> np.ndarray:
+        """Gradient steps of the pairs' weights from where they are the best without skips; those of hot contexts are trained in rounds. The first piece's factors."""
+        first = self.factors(table, self.pieces[0], grown)
         for _ in range(0 if self.hot.all() else STEPS):
             mass = self.mass()
             expected = np.repeat((self.mu / mass.sum(axis=1)).astype(np.float32)[:, None], GROUPS, axis=1)
-            for part in self.pieces:
-                f = self.factors(table, part)
-                f *= (self.learn[part] / np.einsum("ij,ij->i", f, mass[self.at[part]]))[:, None]
-                which, sums = self.by_context(part, f)
+            for k, part in enumerate(self.pieces):
+                f = self.factors(table, part, grown) if k else first
+                share = (self.learn[part] / np.einsum("ij,ij->i", f, mass.take(self.at[part], axis=0))).astype(np.float32)
+                which, sums = self.by_context(part, f * share[:, None])
                 expected[which] += sums
             self.scale[~self.hot] = stepped(self.scale, expected)[~self.hot]
+        return first
 
 
 def _chunks(t: Tally, word: np.ndarray, skip: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within) -> Iterator[Chunk]:
     """All tokens but those of classes of a single word, whole contexts at once, hot ones last."""
-    order = np.argsort(t.at, kind="stable")
-    order = order[(t.group[t.at[order]] & np.uint64(15)) >= OWN]
-    often = t.place[t.at[order]] >= 0
+    order = t.order[((t.group & np.uint64(15)) >= OWN)[t.at[t.order]]]
+    often = (t.place >= 0)[t.at[order]]
     order = np.concatenate([order[~often], order[often]])
     cuts = np.append(np.flatnonzero(np.diff(t.at[order], prepend=-1)), len(order))
     a = 0
@@ -599,19 +715,20 @@ def _learn(messages: Iterator[Message], w: Within, v: Vocabulary, hot: np.ndarra
         t = tally(group, word, level.astype(np.int64) - 1, np.ones(len(group), bool), v, hot)
         for c in _chunks(t, word, skip, v, hot, w):
             seen[c.place[c.hot]] += c.here[c.hot]
-            c.settle(table)
+            first = c.settle(table)
             mass = c.mass()
-            for part in c.pieces:
-                f = c.factors(table, part)
-                g = f * mass[c.at[part]]
-                z = g.sum(axis=1)[:, None]
+            for k, part in enumerate(c.pieces):
+                f = c.factors(table, part) if k else first
+                g = f * mass.take(c.at[part], axis=0)
+                z = _row_sums(g)[:, None]
                 if c.hot.any():
                     which, sums = c.by_context(part, f / z)
                     expected[c.place[which[c.hot[which]]]] += sums[c.hot[which]]
                 g /= z
                 g[np.arange(len(g)), c.group[part]] -= 1
-                for k, rows in enumerate(c.rows):
-                    _descend(table, power, count, rows[part], k * ENDINGS * SKIPS, g)
+                g = by_column(g)
+                for a, rows in zip((0, ENDINGS * SKIPS), c.rows, strict=True):
+                    _descend(table, power, count, rows[part], slice(a, a + ENDINGS * SKIPS), g)
     yield ((table - w.table) * count[:, None]).astype(np.float32), count, seen, expected
     trim()
 
@@ -634,24 +751,31 @@ def train_within(asked: RDD, v: Vocabulary, hot: np.ndarray, rounds: int) -> Wit
 def pair_scores(group: np.ndarray, word: np.ndarray, level: np.ndarray, skip: np.ndarray, learn: np.ndarray, v: Vocabulary, hot: np.ndarray, w: Within | None) -> np.ndarray:
     """log10 P(word | class, words before) of tokens; without trained weights, by the pairs' alone."""
     t = tally(group, word, level, learn, v, hot)
-    mu = t.mu[t.at]
-    out = np.log10((t.n + mu * t.share) / (t.times[t.at] + mu))
-    for c in _chunks(t, word, skip, v, hot, w) if w is not None else ():
-        c.settle(w.table)
-        mass = c.mass()
-        for part in c.pieces:
+    out = np.empty(len(group))
+    plain = np.arange(len(group)) if w is None else np.flatnonzero((group & np.uint64(15)) < OWN)  # by the pairs' weights alone
+    at = t.at[plain]
+    out[plain] = np.log10((t.n[plain] + t.mu[at] * t.share[plain]) / (t.times + t.mu)[at])
+    if w is None:
+        return out
+    far = sum(float(np.abs(x).max()) for x in np.split(w.table, 2))
+    grown = np.exp(w.table) if far <= FAR else None  # else sums may have to be cut off
+    for c in _chunks(t, word, skip, v, hot, w):
+        first = c.settle(w.table, grown)
+        mass, up = c.mass(), np.exp(c.scale)
+        for j, part in enumerate(c.pieces):
             k, at, g = c.tokens[part], c.at[part], c.group[part]
-            f = c.factors(w.table, part)
-            own = (t.n[k] + mu[k] * t.share[k]) * np.where(t.n[k] > 0, np.exp(c.scale[at, g]), 1) * f[np.arange(len(f)), g]
-            out[k] = np.log10(own / np.einsum("ij,ij->i", f, mass[at]))
+            f = c.factors(w.table, part, grown) if j else first
+            n = t.n[k]
+            own = (n + c.mu[at] * t.share[k]) * np.where(n > 0, up[at, g], 1) * f[np.arange(len(f)), g]
+            out[k] = np.log10(own / np.einsum("ij,ij->i", f, mass.take(at, axis=0)))
     return out
 
 
 def _by_blob(blob: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Sums of values by blob and document; where each blob's begin."""
-    key, at = np.unique(blob.astype(np.int64) << 16 | doc, return_inverse=True)
-    cuts = np.searchsorted(key >> 16, np.arange(int(blob.max(initial=-1)) + 2))
-    return (key & 0xFFFF).astype(np.uint16), cuts, [np.bincount(at, x, len(key)) for x in values]
+    order, key, cuts = alike((blob.astype(np.int64) << 16 | doc).view(np.uint64))
+    key = key.view(np.int64)
+    return (key & 0xFFFF).astype(np.uint16), np.searchsorted(key >> 16, np.arange(int(blob.max(initial=-1)) + 2)), [np.add.reduceat(x.take(order), cuts, dtype=float) for x in values]
 
 
 def _answer(messages: Iterator[Message], v: Vocabulary, hot: np.ndarray, w: Within | None) -> Iterator[tuple[int, int, bytes]]:
@@ -673,8 +797,8 @@ def _answer(messages: Iterator[Message], v: Vocabulary, hot: np.ndarray, w: With
         if kind == PAIRS:
             values = [pair_scores(columns[0], columns[1], columns[2].astype(np.int64) - 1, columns[3], learn, v, hot, w)]
         else:
-            word, at = np.unique(columns[0], return_inverse=True)
-            n = np.bincount(at, learn, len(word))[at]
+            order, _, cuts = alike(columns[0])
+            n = spread(order, cuts, np.add.reduceat(learn.take(order), cuts, dtype=float))
             values = [n > 0, np.log10(n + 1)]
         del columns, learn
         doc, cuts, sums = _by_blob(blob, doc, *values)

@@ -700,6 +700,56 @@ def test_lm_places():
         assert maxent.Places(table).of(x).tolist() == [where.get(v, -1) for v in x.tolist()]
 
 
+def test_lm_orders_are_stable():
+    r = np.random.default_rng(4)
+    hashes = r.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2)
+    for n in (0, 1, 2, 5000):
+        near = (np.uint64(1 << 63) + r.integers(0, 300, n).astype(np.uint64) * np.uint64(16)) | r.integers(0, 16, n).astype(np.uint64)  # alike but for bits that places take
+        for x in (hashes[r.integers(0, 40, n)] & ~np.uint64(15) | r.integers(0, 16, n).astype(np.uint64), r.integers(0, 99, n).astype(np.uint64), near, np.full(n, 2**64 - 1, np.uint64)):
+            assert (maxent.stable_order(x) == np.argsort(x, kind="stable")).all()
+            order, distinct, cuts = maxent.alike(x)
+            values, at, counts = np.unique(x, return_inverse=True, return_counts=True)
+            assert (distinct == values).all() and (np.diff(cuts, append=n) == counts).all()
+            assert (maxent.spread(order, cuts, counts) == counts[at]).all()
+
+
+@pytest.mark.parametrize("scale", [1, 30])
+def test_lm_settled_classes(scale):
+    """Products of exponentials, and sums that have to be cut off, give what the softmax gives."""
+    r = np.random.default_rng(6)
+    table = (r.normal(size=(maxent.ROWS, maxent.CLASSES)) * scale).astype(np.float32)
+    rows, y = tuple(r.integers(1 + k * maxent.BUCKETS, 1 + (k + 1) * maxent.BUCKETS, 500) for k in range(3)), r.integers(0, maxent.CLASSES, 500)
+    settled = maxent.Settled(table)
+    assert (settled.grown is None) == (scale > 1)
+    assert settled.of(rows, y) == pytest.approx(maxent.log_softmax(table, rows)[np.arange(500), y], abs=1e-4)
+    assert maxent.softmax(table, rows) == pytest.approx(np.exp(maxent.log_softmax(table, rows)), abs=1e-5)
+
+
+def test_lm_weights_are_looked_up_once_a_token(monkeypatch):
+    """Steps of the pairs' weights and the scores after them share their look-ups; with weights so large that sums are cut off, too."""
+    r = np.random.default_rng(8)
+    n, none = 3000, np.zeros(maxent.CLASSES)
+    v = maxent.Vocabulary(n, 50, n, np.zeros(0, np.uint64), np.zeros(0, np.int64), none, none + 100, none + 2, np.full((maxent.CLASSES, maxent.GROUPS), 1 / maxent.GROUPS), maxent.Places(np.zeros(0, np.uint64)), np.zeros(0, np.int64), np.zeros(0), maxent.Places(np.array([maxent.START])))
+    group = np.sort(r.integers(0, 1 << 40, 60).astype(np.uint64)[r.integers(0, 60, n)] << np.uint64(4) | r.integers(maxent.OWN, maxent.CLASSES, n).astype(np.uint64))
+    word, skip, level, learn = r.integers(0, 50, n).astype(np.uint32), r.integers(0, maxent.SKIPS, n).astype(np.uint16), np.full(n, -1), r.random(n) < 0.8
+    monkeypatch.setattr(maxent, "CHUNK", 400)
+    looked, factors = [], maxent.Chunk.factors
+    monkeypatch.setattr(maxent.Chunk, "factors", lambda self, table, part, *a: looked.append(len(self.tokens[part])) or factors(self, table, part, *a))
+    w = maxent.unlearned(v)
+    hot = np.zeros((maxent.CLASSES, maxent.GROUPS))
+    w.table[:] = r.normal(size=w.table.shape) / 4
+    got = {}
+    for far in (maxent.FAR, 0.0):
+        monkeypatch.setattr(maxent, "FAR", far)
+        got[far] = maxent.pair_scores(group, word, level, skip, learn, v, hot, w)
+        assert sum(looked) == n
+        looked.clear()
+    w.table[:] = 0
+    monkeypatch.setattr(maxent, "FAR", 30)
+    assert got[0.0] == pytest.approx(maxent.pair_scores(group, word, level, skip, learn, v, hot, w), abs=1e-5)
+    assert np.abs(got[30] - got[0.0]).max() > 0.01
+
+
 def test_lm_messages_come_back_whole():
     r = np.random.default_rng(1)
     for n in (0, 1, 1000):
